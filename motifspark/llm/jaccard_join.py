@@ -11,7 +11,9 @@ are the large entries of M x M'.  The product is taken in blocks:
    it has in common with a linked row.
 3. These short prefixes are dealt out by shingle.  Rows that meet there are
    discarded unless the overlap still possible after the meeting place
-   reaches ceil(t (n + m) / (1 + t)), and the sizes' ratio reaches t.
+   reaches ceil(t (n + m) / (1 + t)), and the sizes' ratio reaches t.  For the
+   remaining pairs the overlap inside both prefixes is counted, and the bound
+   that it leaves is tested again.
 4. What is left falls into small candidate clusters.  A cluster's full rows
    are multiplied in blocks of a bounded number of rows, overlap counts
    accumulate over slices of columns, and each block returns a spanning
@@ -130,7 +132,11 @@ def _may_link(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray,
 
 
 def _candidates(classes: DataFrame, percent: int, shards: int) -> DataFrame:
-    """Pairs (a, b) of signatures that meet in their prefixes and pass the bounds."""
+    """Pairs (a, b) of signatures that meet in their prefixes and pass the bound of the meeting place.
+
+    joins: the pair stands for a whole group of rows that meet, so it must
+    hold the group together and isn't tested by itself.
+    """
 
     def deal(stream):
         for batch in stream:
@@ -162,20 +168,41 @@ def _candidates(classes: DataFrame, percent: int, shards: int) -> DataFrame:
                 for block in np.array_split(starts, 1 + len(starts) * len(i) // 500_000):
                     a, b = (block[:, None] + i).ravel(), (block[:, None] + j).ravel()
                     ok = _may_link(size[a], size[b], place[a], place[b], percent)
-                    pairs.append((sign[a[ok]], sign[b[ok]]))
+                    pairs.append((sign[a[ok]], sign[b[ok]], np.zeros(ok.sum(), bool)))
                 continue
             for start in starts:
                 own = slice(start, start + g)
                 root = np.zeros(g, np.int64)
                 if g <= TESTED:
                     root = forest(_may_link(size[own, None], size[None, own], place[own, None], place[None, own], percent))
-                pairs.append((sign[own], sign[own][root]))
-        a, b = (np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+                pairs.append((sign[own], sign[own][root], np.ones(g, bool)))
+        a, b, joins = (np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64) for k in range(3))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), joins], 1)[a != b], axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "joins": pa.array(both[:, 2] > 0)})
 
     dealt = classes.select("sign", "n_shingles", "head").mapInArrow(deal, "shard int, hashes binary, signs binary, sizes binary, places binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("shard").applyInArrow(meet, "a long, b long, joins boolean").groupBy("a", "b").agg(F.max("joins").alias("joins"))
+
+
+def _bounded(candidates: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) whose overlap can reach the similarity, given how much their prefixes share.
+
+    One prefix ends no later in the global order than the other, so all that
+    the rows share beyond the counted part lies in that row's rest.
+    """
+
+    def work(stream):
+        for batch in stream:
+            n, m = (batch.column(k).to_numpy() for k in ("n_a", "n_b"))
+            heads = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in ("head_a", "head_b")]
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*heads, strict=True)], np.int64)
+            rest = np.maximum(n - [len(x) for x in heads[0]], m - [len(x) for x in heads[1]])
+            keep = shared + rest >= -(-percent * (n + m) // (100 + percent))
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))})
+
+    own = classes.select("sign", "n_shingles", "head")
+    tested = candidates.filter("NOT joins").join(own.toDF("a", "n_a", "head_a"), "a").join(own.toDF("b", "n_b", "head_b"), "b")
+    return tested.select("a", "b", "n_a", "n_b", "head_a", "head_b").mapInArrow(work, "a long, b long").unionByName(candidates.filter("joins").select("a", "b"))
 
 
 def _exact_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int, percent: int, chunk: int) -> DataFrame:
@@ -211,7 +238,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
     rows = stored(_prefixes(docs, width, percent, bitmap), "prefixes")
     classes = stored(rows.filter("sign IS NOT NULL").groupBy("sign").agg(F.min("doc_id").alias("smallest"), F.min("n_shingles").alias("n_shingles"), F.min("head").alias("head")), "classes")
     candidates = stored(_candidates(classes, percent, shards), "candidates")
-    links = stored(_exact_links(docs, classes, candidates, width, percent, chunk), "links")
+    bounded = stored(_bounded(candidates, classes, percent), "bounded")
+    links = stored(_exact_links(docs, classes, bounded, width, percent, chunk), "links")
     linked = components(links).join(classes.select(F.col("sign").alias("node"), "smallest"), "node")
     least = linked.groupBy("component").agg(F.min("smallest").alias("least"))
     named = linked.join(least, "component").select(F.col("node").alias("sign"), "least")
