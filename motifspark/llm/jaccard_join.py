@@ -39,8 +39,10 @@ from .textops import batches, lower_bytes, mix, shingle_sets, stored
 REGION = np.uint64(1 << 62)
 FLAG_BITS = 26
 MOST_FLAGS = 4 << 20
-#: Groups of more rows are connected through one row instead of by tested pairs.
-TESTED = 1024
+#: A group in which a row may link with more rows than this on average is held together by a forest instead of by tested pairs.
+MOST_TESTED = 32
+#: Beyond this many rows such a forest joins all rows of the group to one.
+TESTED = 2048
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -131,6 +133,23 @@ def _may_link(n: np.ndarray, m: np.ndarray, at_n: np.ndarray, at_m: np.ndarray,
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (1 + np.minimum(n - at_n, m - at_m) - 1 >= needed)
 
 
+def _meet_in_large(size: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of a large group that may link, or, if there are very many, a forest that holds them together (True)."""
+    g, found, n_found = len(size), [], 0
+    for first in range(0, g, 512):
+        rows = np.arange(first, min(first + 512, g))
+        i, j = np.nonzero(_may_link(size[rows, None], size[None], place[rows, None], place[None], percent) & (rows[:, None] < np.arange(g)))
+        found.append((rows[i], j))
+        n_found += len(i)
+        if n_found > MOST_TESTED * g:
+            break
+    else:
+        return *(np.concatenate([x[k] for x in found]) for k in (0, 1)), False
+    if g > TESTED:
+        return np.zeros(g, np.int64), np.arange(g), True
+    return np.arange(g), forest(_may_link(size[:, None], size[None], place[:, None], place[None], percent)), True
+
+
 def _candidates(classes: DataFrame, percent: int, shards: int) -> DataFrame:
     """Pairs (a, b) of signatures that meet in their prefixes and pass the bound of the meeting place.
 
@@ -171,11 +190,8 @@ def _candidates(classes: DataFrame, percent: int, shards: int) -> DataFrame:
                     pairs.append((sign[a[ok]], sign[b[ok]], np.zeros(ok.sum(), bool)))
                 continue
             for start in starts:
-                own = slice(start, start + g)
-                root = np.zeros(g, np.int64)
-                if g <= TESTED:
-                    root = forest(_may_link(size[own, None], size[None, own], place[own, None], place[None, own], percent))
-                pairs.append((sign[own], sign[own][root], np.ones(g, bool)))
+                a, b, joins = _meet_in_large(size[start : start + g], place[start : start + g], percent)
+                pairs.append((sign[start + a], sign[start + b], np.full(len(a), joins)))
         a, b, joins = (np.concatenate([x[k] for x in pairs]) if pairs else np.zeros(0, np.int64) for k in range(3))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), joins], 1)[a != b], axis=0)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64()), "joins": pa.array(both[:, 2] > 0)})
