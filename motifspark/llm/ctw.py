@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textops import NOT_SPACE, batches, crc, lower_bytes, mix, stored, word_table
+from .textops import NOT_SPACE, batches, crc, distinct, distinct_counts, lower_bytes, mix, stored, word_table
 
 END = 0xFF  # the byte that ends each text and fills the context before its start
 END_TOKEN = np.uint64(0xE4D0_0000_0000_00E1)
@@ -175,8 +175,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    own, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return own, np.bincount(where, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
+    keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def _shard_of(kind: int, keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -235,9 +238,11 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
                 for a, b in batches([texts[i] for i in at], 1 << 19):
                     part, own = [lower_bytes(texts[i]) for i in at[a:b]], trains[at[a:b]]
                     for kind, (keys, begin) in enumerate((tokens(part), grams(part, depth))):
-                        distinct, where = np.unique(keys, return_inverse=True)
-                        held.setdefault(int(label), ([], []))[kind].append((distinct, np.bincount(where, weights=np.repeat(own, np.diff(begin)), minlength=len(distinct))))
-                        size += len(distinct)
+                        seen, (known, times) = distinct(keys), distinct_counts(keys[np.repeat(own, np.diff(begin))])
+                        counts = np.zeros(len(seen), np.int64)
+                        counts[np.searchsorted(seen, known)] = times
+                        held.setdefault(int(label), ([], []))[kind].append((seen, counts))
+                        size += len(seen)
                     if size > 4_000_000:
                         for kept, found in held.items():
                             held[kept] = tuple([_sum_up([x[0] for x in parts], [x[1] for x in parts])] for parts in found)
@@ -265,7 +270,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
         return pa.table({k: pa.array(x, kind) for (k, kind), x in zip((("kind", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("node", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary()), ("log_p", pa.binary())), out, strict=True)})
 
     weighed = stored(packed.groupBy("kind", "shard").applyInArrow(weigh, "kind int, total long, distinct long, node binary, zeros binary, ones binary, log_p binary"), "weights")
-    total, distinct = weighed.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    total, n_distinct = weighed.filter("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     parts = [[np.frombuffer(r[k], np.float64 if k else np.uint64) for r in weighed.filter("kind = 1").select("node", "zeros", "ones", "log_p").toLocalIterator()] for k in range(4)] if total else [[]] * 4
     top = spark.sparkContext.broadcast(join_top(*(np.concatenate(x) if x else np.zeros(0) for x in parts)))
 
@@ -277,7 +282,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
         names, sent = np.unique(block), []
         for name in names:
             own = [all_keys[i] for i in np.flatnonzero(block == name)]
-            own = np.sort(own[0]) if len(own) == 1 else np.unique(np.concatenate(own))
+            own = distinct(np.concatenate(own))
             sent.append(values[np.searchsorted(keys, own)].tobytes())
         return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array([kind] * len(names), pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * len(names), pa.int32()), "sent": pa.array(sent, pa.binary())})
 
@@ -288,9 +293,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
         kinds, where, blobs = sent.column("kind").to_pylist(), sent.column("shard").to_pylist(), sent.column("sent").to_pylist()
         lookup, out = [], {k: [] for k in ("tokens", "known", "logs", "score", "bytes")}
         for kind, read in enumerate((tokens, lambda x: grams(x, depth))):
-            own = np.zeros(0, np.uint64)
-            for found in _parts(raw, read):
-                own = np.union1d(own, found)
+            own = distinct(np.concatenate([np.zeros(0, np.uint64), *_parts(raw, read)]))
             order, begin = _split(kind, own, depth, shards)
             values = np.zeros(len(own), np.float32 if kind else np.int64)
             filled = 0
@@ -303,16 +306,16 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
                     filled += len(got)
             if filled != len(own):
                 raise RuntimeError("a block's texts differ between two passes; give corpus_scores a stable block label")
-            lookup.append((own, values))
+            lookup.append(Lookup(own, values))
         for a, b in batches(raw, 1 << 19):
             part = [lower_bytes(x) for x in raw[a:b]]
             (words, word_at), (codes, code_at) = tokens(part), grams(part, depth)
-            known = lookup[0][1][np.searchsorted(lookup[0][0], words)]
+            known = lookup[0](words)
             out["tokens"].append(np.diff(word_at))
             out["known"].append(np.add.reduceat((known > 0).astype(np.int64), word_at[:-1]))
             out["logs"].append(np.add.reduceat(np.log10(known + 1.0), word_at[:-1]))
             out["bytes"].append(np.diff(code_at) - 1)
-            out["score"].append([float(lookup[1][1][np.searchsorted(lookup[1][0], np.sort(codes[i:j]))].sum(dtype=np.float64)) for i, j in zip(code_at[:-1], code_at[1:], strict=True)])
+            out["score"].append(np.add.reduceat(lookup[1](codes).astype(np.float64), code_at[:-1]))
         merged = {k: np.concatenate(x) if x else np.zeros(0) for k, x in out.items()}
         return pa.table({"doc_id": ids, "n_tokens": pa.array(merged["tokens"], pa.int64()), "n_known": pa.array(merged["known"], pa.int64()), "logs": pa.array(merged["logs"], pa.float64()), "score": pa.array(merged["score"], pa.float64()), "n_bytes": pa.array(merged["bytes"], pa.int64())})
 
@@ -320,12 +323,35 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == held_out
     return scored.select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), "score", "n_bytes",
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(total + n_distinct + 1))).alias("base_score"), "score", "n_bytes",
     )
 
 
+class Lookup:
+    """Values by key for keys that are all known: one probe for most, a binary search where slots are shared."""
+
+    SLOT_BITS = 23
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        place = self._slot(keys)
+        self.at = np.zeros(1 << self.SLOT_BITS, np.int32)
+        own = np.arange(len(keys), dtype=np.int32)
+        self.at[place] = own
+        self.at[place[self.at[place] != own]] = -1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.at[self._slot(keys)]
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.searchsorted(self.keys, keys[shared])
+        return self.values[at]
+
+
 def _parts(texts: list, read):
     """The distinct keys of a block's texts, a few megabytes of text at a time."""
     for a, b in batches(texts, 1 << 21):
-        found = [np.unique(read([lower_bytes(x) for x in texts[a + i : a + j]])[0]) for i, j in batches(texts[a:b], 1 << 19)]
-        yield np.unique(np.concatenate(found))
+        found = [distinct(read([lower_bytes(x) for x in texts[a + i : a + j]])[0]) for i, j in batches(texts[a:b], 1 << 19)]
+        yield distinct(np.concatenate(found))

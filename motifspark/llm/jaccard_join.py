@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .block_product import exact_links, forest, holds, place_bitmap
 from .components import components
-from .textops import batches, lower_bytes, mix, shingle_sets, stored
+from .textops import batches, distinct_counts, lower_bytes, mix, shingle_sets, stored
 
 #: Shingles whose hash lies in the first quarter are counted to find the shared ones.
 REGION = np.uint64(1 << 62)
@@ -82,7 +82,7 @@ def _shared_shingles(docs: DataFrame, width: int, shards: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(keep, pa.int32()), "hashes": pa.array([hashes[begin[k] : begin[k + 1]].tobytes() for k in keep], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, times = np.unique(np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64), return_counts=True)
+        hashes, times = distinct_counts(np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64))
         level = np.minimum(np.log2(times).astype(np.int32), 40)
         rows = [(int(k), (hashes[level == k] & np.uint64((1 << FLAG_BITS) - 1)).astype(np.uint32)) for k in np.unique(level) if k > 0]
         return pa.table({"level": pa.array([k for k, _ in rows], pa.int32()), "n": pa.array([len(x) for _, x in rows], pa.int64()), "places": pa.array([x.tobytes() for _, x in rows], pa.binary())})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import crc_column, lower_bytes, stored
+from .textops import crc_column, distinct, lower_bytes, stored
 
 _PLACES: dict[int, np.ndarray] = {}
 
@@ -35,7 +35,7 @@ def ngrams(text: bytes, most: int = 3) -> np.ndarray:
             code = (code << np.uint32(8)) | data[k : k + len(code)]
         parts.append(code + np.uint32(first))
         first += 256**n
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
+    return distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint32)
 
 
 @dataclass

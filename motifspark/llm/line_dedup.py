@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .block_product import exact_links, holds, place_bitmap
 from .components import components
-from .textops import batches, byte_class, lower_bytes, mix, stored, word_table
+from .textops import batches, byte_class, distinct, lower_bytes, mix, stored, word_table
 
 WIDTH = 8
 ROWS, BANDS = 3, 9
@@ -57,7 +57,7 @@ def _runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_set(line: bytes) -> np.ndarray:
-    return np.unique(mix(_runs([line])[0]))
+    return distinct(mix(_runs([line])[0]))
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:

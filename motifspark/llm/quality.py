@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import NOT_SPACE, batches, crc_column, stored, word_table
+from .textops import NOT_SPACE, batches, crc_column, distinct_counts, stored, word_table
 
 #: Character classes: each byte has one; shares of them are statistics.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", "\n", ".", ",;:", "!", "?", "|", "%", "&", "$", "#", "*", "<>{}[]()=/\\", "@_~^+-", "'\"`")
@@ -48,7 +48,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
             lines = data.split(b"\n")
             more = [np.log1p(size), -(used * np.log(used)).sum(), np.log1p(size / len(lines)), len(set(lines)) / len(lines)]
             if len(own):
-                distinct, times = np.unique(words, return_counts=True)
+                distinct, times = distinct_counts(words)
                 more += [own.mean(), own.std(), len(distinct) / len(own), times.max() / len(own), (own <= 3).mean(), (own >= 12).mean(), np.log1p(len(own)), np.sqrt((words[1:] == words[:-1]).mean()) if len(own) > 1 else 0.0]
             row[N_CLASSES : N_CLASSES + len(more)] = more
     return out

@@ -50,6 +50,19 @@ def lower_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass").translate(_LOWER)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; by one sort, which numbers take fastest."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def byte_class(members: Iterable[int]) -> np.ndarray:
     """A table of 256 flags that are set for the members."""
     table = np.zeros(256, bool)
@@ -93,7 +106,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     for i in range(len(texts)):
         a, b = first[i], first[i + 1]
         if b - a >= width:
-            yield np.unique(rolled[a : b - width + 1])
+            yield distinct(rolled[a : b - width + 1])
         elif b > a:
             yield mix(np.sum(mix(hashes[a:b] ^ salts[: b - a]), keepdims=True) + np.uint64(b - a))
         else:
