@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from . import model_queries, sequence_queries, table_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "L1_log_likelihood"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
