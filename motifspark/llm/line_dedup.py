@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .block_product import exact_links, holds, place_bitmap
 from .components import components
-from .textops import batches, byte_class, distinct, lower_bytes, mix, stored, word_table
+from .textops import batches, byte_class, distinct, free_name, lower_bytes, mix, stored, word_table
 
 WIDTH = 8
 ROWS, BANDS = 3, 9
@@ -188,8 +188,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     cut = duplicate_lines(docs, percent).groupBy("row_id").agg(F.collect_set("place").alias("places_cut"))
     names = docs.columns
-    keyed = docs.withColumn("row_id_of_line_dedup", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    joined = keyed.join(cut.withColumnRenamed("row_id", "row_id_of_line_dedup"), "row_id_of_line_dedup", "left").select(*names, "places_cut")
+    row_id, places = free_name("row_id", names), free_name("places_cut", names)
+    keyed = docs.withColumn(row_id, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    joined = keyed.join(cut.toDF(row_id, places), row_id, "left").select(*names, places)
     at, schema = names.index("text"), docs.schema
 
     def work(stream):

@@ -125,6 +125,14 @@ def batches(texts: list, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """The name, with underscores in front as far as columns of any case have it already."""
+    used = {x.lower() for x in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def crc(value) -> int:
     """crc32 of a number as text; a null counts as the empty text."""
     return zlib.crc32(b"" if value is None else str(value).encode())
