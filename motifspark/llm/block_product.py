@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,15 +69,25 @@ def place_bitmap(rows: DataFrame, first: str, second: str) -> np.ndarray:
     return out
 
 
+def holds_each(bitmap: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A flag for each pair of int64 numbers: whether the bitmap may hold it."""
+    place = _places(np.ascontiguousarray(first), np.ascontiguousarray(second))
+    return ((bitmap[place >> 6] >> (place & 63)) & 1).astype(bool)
+
+
 def holds(bitmap: np.ndarray, first: int, second: int | None) -> bool:
-    place = int(_places(np.array([first], np.int64), np.array([second or 0], np.int64))[0])
-    return bool((int(bitmap[place >> 6]) >> (place & 63)) & 1)
+    return bool(holds_each(bitmap, np.array([first], np.int64), np.array([second or 0], np.int64))[0])
+
+
+def packed_set(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint64)
 
 
-def exact_links(clusters: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+def exact_links(clusters: DataFrame, sets: DataFrame, percent: int, chunk: int, unpack: Callable[[bytes], np.ndarray] = packed_set) -> DataFrame:
     """Edges (a, b) that span the links with 100 * intersection >= percent * union inside each cluster.
 
-    clusters: (node, component); sets: (node, shingles), packed sorted uint64.
+    clusters: (node, component); sets: (node, shingles), what `unpack` makes
+    a set of distinct uint64 of; by default, these packed.
     A cluster of more than `chunk` sets is cut into chunks, and each pair of
     chunks is one block, so a task holds two chunks at most.
     """
@@ -84,7 +96,7 @@ def exact_links(clusters: DataFrame, sets: DataFrame, percent: int, chunk: int)
     blocks = placed.select("node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def multiply(table: pa.Table) -> pa.Table:
-        a, b = block_links(table.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], percent)
+        a, b = block_links(table.column("node").to_numpy(), [unpack(x) for x in table.column("shingles").to_pylist()], percent)
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
     return blocks.join(sets, "node").groupBy("component", "low", "high").applyInArrow(multiply, "a long, b long")

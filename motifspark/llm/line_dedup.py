@@ -6,7 +6,8 @@
    gives 27 minima, 9 bands of 3; lines of similarity 0.8 miss each other in
    all bands with probability (1 - 0.8**3)**9 = 0.0016.
 3. Lines that share a band become candidates and then clusters; each cluster
-   is verified by exact Jaccard similarity, in blocks of bounded size.
+   is verified by exact Jaccard similarity, in blocks of bounded size.  The
+   lines travel there, not their sets, which are eight times their size.
 4. Star contraction over the verified links gives components; a component
    keeps its first line, by document and place, and the others are cut out.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block_product import exact_links, holds, place_bitmap
+from .block_product import exact_links, holds_each, place_bitmap
 from .components import components
 from .textops import batches, byte_class, distinct, free_name, lower_bytes, mix, stored, word_table
 
@@ -163,15 +164,15 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
     clusters = stored(components(stored(_candidates(classes, shards), "candidates")).join(classes.select(F.col("hash").alias("node"), F.col("first.row_id").alias("row_id")), "node"), "clusters")
     wanted = spark.sparkContext.broadcast(place_bitmap(clusters, "node", "row_id"))
 
-    def sets(stream):
+    def verified(stream):
         for batch in stream:
-            ids = batch.column("row_id").to_pylist()
+            ids = batch.column("row_id").to_numpy()
             for row, _, hashes, lines in _each_line(batch):
-                kept = [(h, line_set(x).tobytes()) for r, h, x in zip(row.tolist(), hashes.tolist(), lines, strict=True) if holds(wanted.value, h, ids[r])]
-                yield pa.RecordBatch.from_pydict({"node": pa.array([x[0] for x in kept], pa.int64()), "shingles": pa.array([x[1] for x in kept], pa.binary())})
+                at = np.flatnonzero(holds_each(wanted.value, hashes, ids[row]))
+                yield pa.RecordBatch.from_pydict({"node": pa.array(hashes[at], pa.int64()), "shingles": pa.array([lines[k] for k in at], pa.binary())})
 
-    found = _rows(docs).mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
-    links = stored(exact_links(clusters, found, percent, chunk), "links")
+    found = _rows(docs).mapInArrow(verified, "node long, shingles binary").dropDuplicates(["node"])
+    links = stored(exact_links(clusters, found, percent, chunk, line_set), "links")
     joined = classes.select("hash", "first", "n").join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
     repeated = joined.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "hash"))
     kept = repeated.groupBy("component").agg(F.min("first").alias("kept"))
