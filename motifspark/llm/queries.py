@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_scores(table(spark, sf_dir, "documents"), depth=5, modulus=7, held_out=2)
+    return corpus_scores(table(spark, sf_dir, "documents"), depth=7, modulus=7, held_out=2)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
