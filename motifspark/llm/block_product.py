@@ -36,9 +36,10 @@ def block_links(signs: np.ndarray, sets: list[np.ndarray], percent: int, columns
     order = np.argsort(where, kind="stable")
     row, where = row[order], where[order]
     overlap = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(shared.sum()), columns):
+    total = int(shared.sum())
+    for first in range(0, total, columns):
         a, b = np.searchsorted(where, [first, first + columns])
-        part = np.zeros((len(sets), columns), np.float32)
+        part = np.zeros((len(sets), min(columns, total - first)), np.float32)
         part[row[a:b], where[a:b] - first] = 1
         overlap += part @ part.T
     both = overlap.astype(np.int64)
@@ -79,24 +80,30 @@ def holds(bitmap: np.ndarray, first: int, second: int | None) -> bool:
     return bool(holds_each(bitmap, np.array([first], np.int64), np.array([second or 0], np.int64))[0])
 
 
-def packed_set(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint64)
+def packed_sets(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in packed]
 
 
-def exact_links(clusters: DataFrame, sets: DataFrame, percent: int, chunk: int, unpack: Callable[[bytes], np.ndarray] = packed_set) -> DataFrame:
+def exact_links(clusters: DataFrame, sets: DataFrame, percent: int, chunk: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = packed_sets, together: int = 0) -> DataFrame:
     """Edges (a, b) that span the links with 100 * intersection >= percent * union inside each cluster.
 
     clusters: (node, component); sets: (node, shingles), what `unpack` makes
-    a set of distinct uint64 of; by default, these packed.
+    sets of distinct uint64 of; by default, these packed.
     A cluster of more than `chunk` sets is cut into chunks, and each pair of
-    chunks is one block, so a task holds two chunks at most.
+    chunks is one block, so a task holds two chunks at most.  Where `together`
+    is given, smaller clusters share blocks of about so many sets; what such
+    a block links across clusters is a link as well.
     """
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     placed = clusters.select("node", "component").join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = placed.select("node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    block = F.col("component")
+    if together:
+        shared = F.pmod(F.xxhash64("component"), F.lit(clusters.count() // together + 1))
+        block = F.when(F.col("chunks") == 1, shared).otherwise(block)
+    blocks = placed.select("node", block.alias("component"), F.when(F.col("chunks") == 1, -1).otherwise(F.least("own", "other")).alias("low"), F.greatest("own", "other").alias("high"))
 
     def multiply(table: pa.Table) -> pa.Table:
-        a, b = block_links(table.column("node").to_numpy(), [unpack(x) for x in table.column("shingles").to_pylist()], percent)
+        a, b = block_links(table.column("node").to_numpy(), unpack(table.column("shingles").to_pylist()), percent)
         return pa.table({"a": pa.array(a[a != b], pa.int64()), "b": pa.array(b[a != b], pa.int64())})
 
     return blocks.join(sets, "node").groupBy("component", "low", "high").applyInArrow(multiply, "a long, b long")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .block_product import exact_links, holds_each, place_bitmap
 from .components import components
-from .textops import batches, byte_class, distinct, free_name, lower_bytes, mix, stored, word_table
+from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, word_table
 
 WIDTH = 8
 ROWS, BANDS = 3, 9
@@ -57,8 +57,14 @@ def _runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return runs[keep], np.repeat(np.arange(len(lines)), lengths - WIDTH + 1)
 
 
-def line_set(line: bytes) -> np.ndarray:
-    return distinct(mix(_runs([line])[0]))
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The distinct runs of each line."""
+    runs, owner = _runs(lines)
+    runs, owner = mix(runs), np.asarray(owner, np.int64)
+    order = np.lexsort((runs, owner))
+    runs, owner = runs[order], owner[order]
+    fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]) if len(runs) else np.zeros(0, bool)
+    return np.split(runs[fresh], np.searchsorted(owner[fresh], np.arange(1, len(lines))))
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
@@ -172,7 +178,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
                 yield pa.RecordBatch.from_pydict({"node": pa.array(hashes[at], pa.int64()), "shingles": pa.array([lines[k] for k in at], pa.binary())})
 
     found = _rows(docs).mapInArrow(verified, "node long, shingles binary").dropDuplicates(["node"])
-    links = stored(exact_links(clusters, found, percent, chunk, line_set), "links")
+    links = stored(exact_links(clusters, found, percent, chunk, line_sets, together=64), "links")
     joined = classes.select("hash", "first", "n").join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
     repeated = joined.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "hash"))
     kept = repeated.groupBy("component").agg(F.min("first").alias("kept"))
