@@ -182,6 +182,25 @@ def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The numbers' bytes, all first bytes before all second ones; runs of equal bytes compress."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _from_planes(packed: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(packed, np.uint64), dtype=np.uint64)
+
+
 def _shard_of(kind: int, keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
     spread = mix(keys >> np.uint64(8 * (depth - 1))) if kind else keys >> np.uint64(20)
     return (spread % np.uint64(shards)).astype(np.int64)
@@ -225,7 +244,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
             order, begin = _split(kind, keys, depth, shards)
             keys, counts = keys[order], counts[order].astype(np.uint32)
             at = [k for k in range(shards) if begin[k] < begin[k + 1]]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.int32()), "block": pa.array([block] * len(at), pa.int64()), "shard": pa.array(at, pa.int32()), "keys": pa.array([keys[begin[k] : begin[k + 1]].tobytes() for k in at], pa.binary()), "counts": pa.array([counts[begin[k] : begin[k + 1]].tobytes() for k in at], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.int32()), "block": pa.array([block] * len(at), pa.int64()), "shard": pa.array(at, pa.int32()), "keys": pa.array([pack_sorted(keys[begin[k] : begin[k + 1]]) for k in at], pa.binary()), "counts": pa.array([_planes(counts[begin[k] : begin[k + 1]]) for k in at], pa.binary())})
 
     def gather(stream):
         held: dict[int, tuple[list, list]] = {}
@@ -243,10 +262,10 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
                         counts[np.searchsorted(seen, known)] = times
                         held.setdefault(int(label), ([], []))[kind].append((seen, counts))
                         size += len(seen)
-                    if size > 4_000_000:
+                    if size > 2_500_000:
                         for kept, found in held.items():
                             held[kept] = tuple([_sum_up([x[0] for x in parts], [x[1] for x in parts])] for parts in found)
-                        if sum(len(x[0][0]) for found in held.values() for x in found) > 3_000_000:
+                        if sum(len(x[0][0]) for found in held.values() for x in found) > 2_000_000:
                             for kept, found in held.items():
                                 yield from pack(kept, found)
                             held = {}
@@ -255,10 +274,11 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
             yield from pack(kept, found)
 
     packed = stored(rows.mapInArrow(gather, "kind int, block long, shard int, keys binary, counts binary"), "ngrams")
-    bytes_of = lambda table, name, kind: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+    keys_of = lambda table: [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    counts_of = lambda table: [_from_planes(x, np.uint32) for x in table.column("counts").to_pylist()]
 
     def weigh(table: pa.Table) -> pa.Table:
-        keys, counts = _sum_up(bytes_of(table, "keys", np.uint64), bytes_of(table, "counts", np.uint32))
+        keys, counts = _sum_up(keys_of(table), counts_of(table))
         known = counts > 0
         if table.column("kind")[0].as_py() == 0:
             out = [[0], [int(counts.sum())], [int(known.sum())], [b""], [b""], [b""], [b""]]
@@ -276,8 +296,8 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
 
     def answer(table: pa.Table) -> pa.Table:
         block, kind = table.column("block").to_numpy(), table.column("kind")[0].as_py()
-        all_keys = bytes_of(table, "keys", np.uint64)
-        keys, counts = _sum_up(all_keys, bytes_of(table, "counts", np.uint32))
+        all_keys = keys_of(table)
+        keys, counts = _sum_up(all_keys, counts_of(table))
         values = byte_scores(keys, counts, depth, top.value).astype(np.float32) if kind else counts
         names, sent = np.unique(block), []
         for name in names:
