@@ -33,6 +33,7 @@ from .textops import NOT_SPACE, batches, crc, distinct, distinct_counts, lower_b
 
 END = 0xFF  # the byte that ends each text and fills the context before its start
 END_TOKEN = np.uint64(0xE4D0_0000_0000_00E1)
+SHARDS_A_PARTITION = 4  # a task holds the levels of one shard at a time
 _SMALL = 1 << 14
 
 
@@ -234,7 +235,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
     come out alike in each pass over docs.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = SHARDS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (split_block() if block is None else block).alias("block"))
     learns = lambda value: crc(value) % modulus != held_out
 
