@@ -2,25 +2,28 @@
 
 The decoder reads prefix codes, meta prefix codes, back-references and the
 colour cache, and inverts the predictor, cross-colour, green and palette
-transforms.  Streams whose prefix codes all have eight bits, which the media
-column writes, are read as whole arrays; any other stream symbol by symbol.
+transforms.  An image of one group of prefix codes is read in whole arrays: what
+would be read at every bit of a block, then the chain of places where items
+begin.  An image of several groups is read symbol by symbol.  The encoder picks
+the transforms by estimated entropy, tile by tile.
 Pixels are uint32 arrays (alpha, red, green, blue from the top byte).
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import mix
+
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
@@ -28,7 +31,6 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 ALPHABETS = (256 + 24, 256, 256, 256, 40)
 #: Near places of back-references: by distance from the pixel, then from its column, right before left.
 NEAR = sorted([(x, 0) for x in range(1, 9)] + [(x, y) for y in range(1, 8) for x in range(-7, 9)], key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
-_REVERSED = np.array([int(f"{b:08b}"[::-1], 2) for b in range(256)], np.uint8)
 
 
 class WebpError(ValueError):
@@ -53,10 +55,8 @@ class PrefixCode:
     def __init__(self, lengths: tuple[int, ...]):
         used = [(n, s) for s, n in enumerate(lengths) if n]
         self.lone = used[0][1] if len(used) == 1 else None
-        self.uniform = {n for n, _ in used}
-        self.used = [s for _, s in used]
         self.words: dict[int, tuple[int, int]] = {}
-        self.table: dict[tuple[int, int], int] = {}
+        self.longest = 0
         if not used:
             self.lone = 0
         elif self.lone is None:
@@ -66,19 +66,39 @@ class PrefixCode:
             for n, s in sorted(used):
                 code <<= n - last
                 last = n
-                self.words[s] = (code, n)
-                self.table[n, code] = s
+                self.words[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
                 code += 1
+            self.longest = last
+
+    @cached_property
+    def peek(self) -> np.ndarray:
+        """symbol << 4 | length by the next `longest` bits of the stream."""
+        out = np.full(1 << self.longest, (self.lone or 0) << 4, np.int32)
+        for s, (word, n) in self.words.items():
+            out[word :: 1 << n] = s << 4 | n
+        return out
+
+    @cached_property
+    def steps(self) -> list[int]:
+        return self.peek.tolist()
+
+    def arrays(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words as the stream holds them, lengths) by symbol; a lone symbol has none."""
+        words, lengths = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        if self.words:
+            at = list(self.words)
+            words[at], lengths[at] = np.array(list(self.words.values()), np.uint64).T
+        return words, lengths
 
     def read(self, bits: Bits) -> int:
         if self.lone is not None:
             return self.lone
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            if (found := self.table.get((n, code))) is not None:
-                return found
-        raise WebpError("no such prefix code")
+        a = bits.at
+        found = self.steps[(int.from_bytes(bits.data[a >> 3 : (a >> 3) + 3], "little") >> (a & 7)) & ((1 << self.longest) - 1)]
+        bits.at = a + (found & 15)
+        if bits.at > len(bits.data) * 8:
+            raise WebpError("the stream ends early")
+        return found >> 4
 
 
 prefix_code = lru_cache(4096)(PrefixCode)
@@ -122,18 +142,109 @@ def _value(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _rows_of_bytes(bits: Bits, groups: list[PrefixCode], count: int) -> np.ndarray | None:
-    """All pixels at once where green, red and blue codes are the 256 literals in eight bits each and alpha is fixed."""
-    if any(c.uniform != {8} or len(c.used) != 256 or c.used[-1] != 255 for c in groups[:3]) or groups[3].lone is None:
-        return None
-    shift, first = bits.at & 7, bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first : first + 3 * count + 1].astype(np.uint16)
-    if bits.at + 24 * count > len(bits.data) * 8:
-        raise WebpError("the stream ends early")
-    raw = np.append(raw, np.zeros(3 * count + 1 - len(raw), np.uint16))
-    samples = _REVERSED[((raw[:-1] >> shift) | (raw[1:] << (8 - shift))).astype(np.uint8)].reshape(-1, 3).astype(np.uint32)
-    bits.at += 24 * count
-    return np.uint32(groups[3].lone << 24) | (samples[:, 1] << 16) | (samples[:, 0] << 8) | samples[:, 2]
+BLOCK = 1 << 16
+
+
+def _extra(symbols: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths or distances, how many extra bits they take) from prefix symbols and the bits after them."""
+    extra = np.where(symbols < 4, 0, (symbols - 2) >> 1)
+    more = ahead.astype(np.int64) & ((1 << extra) - 1)
+    return np.where(symbols < 4, symbols, ((2 + (symbols & 1)) << extra) + more) + 1, extra
+
+
+def _read_items(bits: Bits, group: list[PrefixCode], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(green symbols, pixels or lengths, distance codes) of the items of an image of one code group.
+
+    What an item at a bit would be is found for all bits of a block at once;
+    the items are those that the chain from the first one meets.
+    """
+    data, found, pixels = np.frombuffer(bits.data, np.uint8), [], 0
+    shifts = np.arange(8, dtype=np.uint32)
+    while pixels < total:
+        base, first = bits.at >> 3, bits.at & 7
+        n = min(BLOCK, max(len(bits.data) - base, 0) * 8)
+        if n <= first:
+            raise WebpError("the stream ends early")
+        raw = np.zeros(n // 8 + 20, np.uint32)
+        part = data[base : base + len(raw)]
+        raw[: len(part)] = part
+        ahead = ((raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)[:, None] >> shifts).ravel()
+
+        def symbols(code: PrefixCode, at: np.ndarray, ahead=ahead) -> tuple[np.ndarray | int, np.ndarray]:
+            if code.lone is not None:
+                return code.lone, at
+            step = code.peek[ahead[at] & np.uint32((1 << code.longest) - 1)]
+            return step >> 4, at + (step & 15)
+
+        green, after = symbols(group[0], np.arange(n))
+        green = np.broadcast_to(green, n)
+        red, to = symbols(group[1], after)
+        blue, to = symbols(group[2], to)
+        alpha, to = symbols(group[3], to)
+        to = np.where(green < 256, to, after)
+        value = np.broadcast_to(np.asarray(alpha, np.int64) << 24 | np.asarray(red, np.int64) << 16 | green << 8 | np.asarray(blue, np.int64), n).copy()
+        distance = np.zeros(n, np.int64)
+        at = np.flatnonzero((green >= 256) & (green < 280))
+        if len(at):
+            place = after[at]
+            value[at], extra = _extra(green[at] - 256, ahead[place])
+            far, place = symbols(group[4], place + extra)
+            far = np.broadcast_to(far, len(at))
+            distance[at], extra = _extra(far, ahead[place])
+            to[at] = place + extra
+        chain, p, follow = [], first, to.tolist()
+        for _ in range(total - pixels):
+            if p >= n:
+                break
+            chain.append(p)
+            p = follow[p]
+        kept = np.array(chain)
+        ends = np.cumsum(np.where((green[kept] >= 256) & (green[kept] < 280), value[kept], 1))
+        kept = kept[: int(np.searchsorted(ends, total - pixels)) + 1]
+        pixels += int(ends[len(kept) - 1])
+        bits.at = base * 8 + follow[kept[-1]]
+        if bits.at > len(bits.data) * 8:
+            raise WebpError("the stream ends early")
+        found.append((green[kept], value[kept], distance[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _back(code: int, width: int) -> int:
+    """How many pixels back a distance code means."""
+    if code > 120:
+        return code - 120
+    dx, dy = NEAR[code - 1]
+    return max(1, dx + dy * width)
+
+
+def _resolved(items: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, total: int, cache_bits: int) -> np.ndarray:
+    """The pixels of items: literals, copies and colours of the cache."""
+    green, value, distance = items
+    if not (green >= 256).any():
+        return value.astype(np.uint32)
+    shift = 32 - cache_bits
+    slots = ((value.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(shift)).tolist() if cache_bits else [0] * len(value)
+    cache, out = [0] * (1 << cache_bits), []
+    for s, v, far, slot in zip(green.tolist(), value.tolist(), distance.tolist(), slots, strict=True):
+        if s < 256:
+            out.append(v)
+            cache[slot] = v
+        elif s < 280:
+            back = _back(far, width)
+            if back > len(out) or len(out) + v > total:
+                raise WebpError("a back-reference leaves the image")
+            for _ in range(v):
+                p = out[-back]
+                out.append(p)
+                if cache_bits:
+                    cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+        else:
+            if s - 280 >= len(cache) or not cache_bits:
+                raise WebpError("no such colour in the cache")
+            p = cache[s - 280]
+            out.append(p)
+            cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+    return np.array(out, np.uint32)
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -149,8 +260,11 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = which.tolist()
     groups = [[read_code(bits, n + (k == 0 and cache_bits > 0) * (1 << cache_bits)) for k, n in enumerate(ALPHABETS)] for _ in range(count)]
     total = width * height
-    if count == 1 and not cache_bits and (whole := _rows_of_bytes(bits, groups[0], total)) is not None:
-        return whole
+    if count == 1 and any(c.lone is None for c in groups[0][:4]):
+        return _resolved(_read_items(bits, groups[0], total), width, total, cache_bits)
+    if count == 1 and groups[0][0].lone < 256:  # no bits at all
+        green, red, blue, alpha = (c.lone for c in groups[0][:4])
+        return np.full(total, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     group = groups[0]
@@ -165,12 +279,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             out.append(alpha << 24 | red << 16 | s << 8 | blue)
         elif s < 280:
             n = _value(bits, s - 256)
-            code = _value(bits, group[4].read(bits))
-            if code > 120:
-                back = code - 120
-            else:
-                dx, dy = NEAR[code - 1]
-                back = max(1, dx + dy * width)
+            back = _back(_value(bits, group[4].read(bits)), width)
             if back > at or at + n > total:
                 raise WebpError("a back-reference leaves the image")
             for k in range(n):
@@ -203,11 +312,11 @@ def predict(mode: int, left, top, corner, right) -> np.ndarray:
     if mode == 5:
         return mean(mean(left, right), top)
     if mode in (6, 7, 8, 9):
-        return (mean(left, corner), mean(left, top), mean(corner, top), mean(top, right))[mode - 6]
+        return mean(*((left, corner), (left, top), (corner, top), (top, right))[mode - 6])
     if mode == 10:
         return mean(mean(left, corner), mean(top, right))
     if mode == 11:
-        return left if np.abs(top - corner).sum() < np.abs(left - corner).sum() else top
+        return np.where(np.abs(top - corner).sum(-1, keepdims=True) < np.abs(left - corner).sum(-1, keepdims=True), left, top)
     if mode == 12:
         return np.clip(left + top - corner, 0, 255)
     if mode == 13:
@@ -216,15 +325,51 @@ def predict(mode: int, left, top, corner, right) -> np.ndarray:
     raise WebpError("no such predictor")
 
 
-def _predicted(image: np.ndarray, modes: np.ndarray, tile: int, y: int, x: int) -> np.ndarray:
-    if not y and not x:
-        return np.array([255, 0, 0, 0])
-    if not y:
-        return image[0, x - 1]
-    if not x:
-        return image[y - 1, 0]
-    right = image[y - 1, x + 1] if x + 1 < image.shape[1] else image[y, 0]
-    return predict(int(modes[y >> tile, x >> tile]), image[y, x - 1], image[y - 1, x], image[y - 1, x - 1], right)
+BLACK = np.array([255, 0, 0, 0])
+
+
+def _predictions(image: np.ndarray, modes: list[int]) -> dict[int, np.ndarray]:
+    """What each predictor makes of a known image; the first row is predicted from the left, the first column from above."""
+    left, top, corner, right = (np.zeros_like(image) for _ in range(4))
+    left[:, 1:] = image[:, :-1]
+    top[1:] = image[:-1]
+    corner[1:, 1:] = image[:-1, :-1]
+    right[1:, :-1] = image[:-1, 1:]
+    right[:, -1] = image[:, 0]
+    out = {}
+    for mode in modes:
+        own = out[mode] = np.broadcast_to(predict(mode, left, top, corner, right), image.shape).copy()
+        own[1:, 0] = top[1:, 0]
+        own[0] = left[0]
+        own[0, 0] = BLACK
+    return out
+
+
+def _unpredicted(rest: np.ndarray, modes: np.ndarray, tile: int) -> np.ndarray:
+    """The image of which the predictors left `rest`: row by row, in runs of one predictor."""
+    height, width, _ = rest.shape
+    image = rest.copy()
+    image[0, 0] += BLACK
+    image[0] = np.cumsum(image[0], axis=0) & 0xFF
+    image[:, 0] = np.cumsum(image[:, 0], axis=0) & 0xFF
+    wide = np.repeat(modes, 1 << tile, axis=1)[:, 1:width]
+    runs = []
+    for row in wide:
+        cuts = [0, *(np.flatnonzero(row[1:] != row[:-1]) + 1).tolist(), len(row)]
+        runs.append([(int(row[a]), a + 1, b + 1) for a, b in zip(cuts, cuts[1:]) if a < b])  # noqa: B905
+    for y in range(1, height):
+        own, above = image[y], image[y - 1]
+        for mode, a, b in runs[y >> tile]:
+            if mode == 1:
+                own[a:b] = (own[a - 1] + np.cumsum(own[a:b], axis=0)) & 0xFF
+                continue
+            right = np.concatenate([above[a + 1 : b + 1], own[:1]]) if b == width else above[a + 1 : b + 1]
+            if mode in (0, 2, 3, 4, 8, 9):
+                own[a:b] = (own[a:b] + predict(mode, None, above[a:b], above[a - 1 : b - 1], right)) & 0xFF
+                continue
+            for x in range(a, b):
+                own[x] = (own[x] + predict(mode, own[x - 1], above[x], above[x - 1], right[x - a])) & 0xFF
+    return image
 
 
 def _cross(channels: np.ndarray, factors: np.ndarray, tile: int, sign: int) -> np.ndarray:
@@ -273,9 +418,7 @@ def decode_image(data: bytes) -> np.ndarray:
         elif kind == CROSS_COLOUR:
             image = _cross(image, more, tile, 1)
         elif kind == PREDICTOR:
-            for y in range(height):
-                for x in range(before):
-                    image[y, x] = (image[y, x] + _predicted(image, more[..., 2], tile, y, x)) & 0xFF
+            image = _unpredicted(image, more[..., 2], tile)
         else:
             each = 1 << tile
             depth = 8 >> tile
@@ -296,8 +439,19 @@ class BitsOut:
 
     def word(self, code: PrefixCode, symbol: int):
         if code.lone is None:
-            word, n = code.words[symbol]
-            self.write(int(f"{word:0{n}b}"[::-1], 2), n)
+            self.write(*code.words[symbol])
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray):
+        """Many fields of at most 63 bits, as uint64."""
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return
+        at = ends - sizes
+        words = np.zeros(int(ends[-1] >> np.uint64(6)) + 2, np.uint64)
+        place, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        np.add.at(words, place, values << shift)
+        np.add.at(words, place + 1, (values >> np.uint64(1)) >> (np.uint64(63) - shift))
+        self.write(int.from_bytes(words.tobytes(), "little"), int(ends[-1]))
 
 
 def code_lengths(counts: dict[int, int], size: int, most: int = 15) -> list[int]:
@@ -307,15 +461,24 @@ def code_lengths(counts: dict[int, int], size: int, most: int = 15) -> list[int]
         out[next(iter(counts))] = 1
         return out
     while counts:
-        heap = [(n, s, (s,)) for s, n in counts.items()]
-        heapq.heapify(heap)
-        depth = Counter()
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            depth.update(a[2] + b[2])
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= most:
-            for s, n in depth.items():
+        order = sorted(counts, key=lambda s: (counts[s], s))
+        weight, many = [counts[s] for s in order], len(order)
+        parent, leaf, inner = [0] * (2 * many - 1), 0, many
+        for node in range(many, 2 * many - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < many and (inner >= node or weight[leaf] <= weight[inner]):
+                    least, leaf = leaf, leaf + 1
+                else:
+                    least, inner = inner, inner + 1
+                parent[least] = node
+                total += weight[least]
+            weight.append(total)
+        depth = [0] * (2 * many - 1)
+        for node in range(2 * many - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth[:many]) <= most:
+            for s, n in zip(order, depth[:many], strict=True):
                 out[s] = n
             break
         counts = {s: (n + 1) // 2 for s, n in counts.items()}
@@ -367,22 +530,55 @@ def _write_code(out: BitsOut, lengths: list[int]) -> PrefixCode:
     return prefix_code(tuple(lengths))
 
 
-def _symbol(value: int) -> tuple[int, int, int]:
-    """Prefix symbol, extra bits and how many for a length or distance."""
-    v = value - 1
-    if v < 4:
-        return v, 0, 0
-    n = v.bit_length() - 1
-    second = (v >> (n - 1)) & 1
-    return 2 * n + second, v & ((1 << (n - 1)) - 1), n - 1
+def _symbols(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, extra bits and how many for lengths or distances."""
+    v = values - 1
+    n = np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1
+    few = np.maximum(n - 1, 0)
+    small = v < 4
+    return np.where(small, v, 2 * n + ((v >> few) & 1)), np.where(small, 0, v & ((1 << few) - 1)), np.where(small, 0, few)
+
+
+@lru_cache(4096)
+def _near(width: int) -> dict[int, int]:
+    """The distance code of the places near a pixel, by how far back they are."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
 
 
-def _write_image(out: BitsOut, pixels: list[int], width: int, main: bool, cache_bits: int = 0, references: bool = False, tile: int = 0):
+def _last_equal(keys: np.ndarray) -> np.ndarray:
+    """For each place the last one before it of the same key, or -1."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _repeats(pixels: np.ndarray, most: int = 4096) -> list[tuple[int, int, int]]:
+    """(place, how many, distance) of the copies, of three pixels or more, that a greedy pass takes."""
+    if len(pixels) < 4:
+        return []
+    p = pixels.astype(np.uint64)
+    key = mix(mix(p[:-2] << np.uint64(32) | p[1:-1]) ^ p[2:])
+    last, values, out, free = _last_equal(key), pixels.tolist(), [], 0
+    for at in np.flatnonzero(last >= 0).tolist():
+        back = int(last[at])
+        if at < free or values[back : back + 3] != values[at : at + 3]:
+            continue
+        n = 3
+        while n < most and at + n < len(values) and values[back + n] == values[at + n]:
+            n += 1
+        out.append((at, n, at - back))
+        free = at + n
+    return out
+
+
+def _write_image(out: BitsOut, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, tile: int = 0):
     """An entropy-coded image; references: runs and repeats as back-references; tile: one code group for each tile."""
     out.write(cache_bits > 0, 1)
     if cache_bits:
         out.write(cache_bits, 4)
-    group_of = lambda at: 0
+    pixels = np.asarray(pixels).ravel().astype(np.uint32)
     height, many = len(pixels) // width, 1
     if main:
         out.write(tile > 0, 1)
@@ -390,50 +586,53 @@ def _write_image(out: BitsOut, pixels: list[int], width: int, main: bool, cache_
             out.write(tile - 2, 3)
             across, down = (width + (1 << tile) - 1) >> tile, (height + (1 << tile) - 1) >> tile
             many = across * down
-            _write_image(out, [k << 8 for k in range(many)], across, False)
-            group_of = lambda at: (at // width >> tile) * across + (at % width >> tile)
-    items, cache, seen, at = [], {}, {}, 0
-    keep = lambda p: cache.__setitem__((CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits), p) if cache_bits else None
-    while at < len(pixels):
-        p, back = pixels[at], seen.get(tuple(pixels[at : at + 3])) if references else None
-        slot = (CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-        n = 1
-        if back is not None and at + 3 <= len(pixels):
-            while at + n < len(pixels) and n < 4096 and pixels[back + n] == pixels[at + n]:
-                n += 1
-            distance = at - back
-            near = next((k + 1 for k, (x, y) in enumerate(NEAR) if max(1, x + y * width) == distance), distance + 120)
-            items.append((group_of(at), "back", n, near))
-        elif cache_bits and cache.get(slot) == p:
-            items.append((group_of(at), "cache", slot, 0))
-        else:
-            items.append((group_of(at), "pixel", p, 0))
-        for k in range(at, at + n):
-            seen[tuple(pixels[k : k + 3])] = k
-            keep(pixels[k])
-        at += n
-    counts = [[Counter() for _ in range(5)] for _ in range(many)]
-    for g, kind, a, b in items:
-        if kind == "pixel":
-            for k, v in enumerate(((a >> 8) & 255, (a >> 16) & 255, a & 255, a >> 24)):
-                counts[g][k][v] += 1
-        elif kind == "cache":
-            counts[g][0][280 + a] += 1
-        else:
-            counts[g][0][256 + _symbol(a)[0]] += 1
-            counts[g][4][_symbol(b)[0]] += 1
-    codes = [[_write_code(out, code_lengths(c, n + (k == 0 and cache_bits > 0) * (1 << cache_bits))) for k, (c, n) in enumerate(zip(own, ALPHABETS, strict=True))] for own in counts]
-    for g, kind, a, b in items:
-        if kind == "pixel":
-            for k, v in enumerate(((a >> 8) & 255, (a >> 16) & 255, a & 255, a >> 24)):
-                out.word(codes[g][k], v)
-        elif kind == "cache":
-            out.word(codes[g][0], 280 + a)
-        else:
-            for code, first, value in ((codes[g][0], 256, a), (codes[g][4], 0, b)):
-                s, extra, n = _symbol(value)
-                out.word(code, first + s)
-                out.write(extra, n)
+            _write_image(out, np.arange(many) << 8, across, False)
+    copies = _repeats(pixels) if references else []
+    begins, length, distance = np.ones(len(pixels), bool), np.zeros(len(pixels), np.int64), np.zeros(len(pixels), np.int64)
+    near = _near(width)
+    for at, n, back in copies:
+        begins[at + 1 : at + n] = False
+        length[at], distance[at] = n, near.get(back, back + 120)
+    cached = np.zeros(len(pixels), bool)
+    if cache_bits:
+        slots = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        last = _last_equal(slots)
+        cached = (last >= 0) & (pixels[last] == pixels)
+    at = np.flatnonzero(begins)
+    group = (at // width >> tile) * across + (at % width >> tile) if tile and main else np.zeros(len(at), np.int64)
+    p, length, distance = pixels[at], length[at], distance[at]
+    copy = length > 0
+    cached = cached[at] & ~copy
+    literal = ~copy & ~cached
+    parts = [((p >> np.uint32(k)) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24)]
+    green = parts[0].copy()
+    if cache_bits:
+        green[cached] = 280 + slots[at][cached]
+    lengths, distances = _symbols(length), _symbols(distance)
+    green[copy] = 256 + lengths[0][copy]
+    symbols, used = [green, *parts[1:], distances[0]], [np.ones(len(at), bool), literal, literal, literal, copy]
+    values, sizes = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+
+    def append(which, value, size):
+        values[which] |= value.astype(np.uint64) << sizes[which]
+        sizes[which] += size.astype(np.uint64)
+
+    alphabets = [n + (k == 0 and cache_bits > 0) * (1 << cache_bits) for k, n in enumerate(ALPHABETS)]
+    own = [np.arange(len(at))] if many == 1 else [np.flatnonzero(group == g) for g in range(many)]
+    for which in own:
+        codes = []
+        for s, u, n in zip(symbols, used, alphabets, strict=True):
+            counts = np.bincount(s[which][u[which]], minlength=n)
+            some = np.flatnonzero(counts)
+            codes.append(_write_code(out, code_lengths(dict(zip(some.tolist(), counts[some].tolist(), strict=True)), n)).arrays(n))
+        for k in range(5):
+            now = which[used[k][which]]
+            append(now, codes[k][0][symbols[k][now]], codes[k][1][symbols[k][now]])
+            more = lengths if k == 0 else distances if k == 4 else None
+            if more is not None:
+                now = now[copy[now]]
+                append(now, more[1][now], more[2][now])
+    out.extend(values, sizes)
 
 
 def _file(body: bytes) -> bytes:
@@ -464,7 +663,7 @@ def encode_image(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0
             colours = np.unique(_pixels(image))
             table = _channels(colours)
             out.write(len(colours) - 1, 8)
-            _write_image(out, _pixels(np.diff(table, axis=0, prepend=0)).tolist(), len(colours), False)
+            _write_image(out, _pixels(np.diff(table, axis=0, prepend=0)), len(colours), False)
             pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
             index = np.searchsorted(colours, _pixels(image))
             across = (image.shape[1] + (1 << pack) - 1) >> pack
@@ -476,42 +675,64 @@ def encode_image(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0
             bits, table = step[1], np.asarray(step[2])
             out.write(bits - 2, 3)
             if kind == PREDICTOR:
-                _write_image(out, (table.ravel() << 8).tolist(), table.shape[1], False)
-                image = np.array([[(image[y, x] - _predicted(image, table, bits, y, x)) & 0xFF for x in range(image.shape[1])] for y in range(height)])
+                _write_image(out, table << 8, table.shape[1], False)
+                made = _predictions(image, np.unique(table).tolist())
+                wide = np.repeat(np.repeat(table, 1 << bits, axis=0)[:height], 1 << bits, axis=1)[:, : image.shape[1], None]
+                image = (image - sum(np.where(wide == mode, x, 0) for mode, x in made.items())) & 0xFF
             else:
-                _write_image(out, _pixels(table).ravel().tolist(), table.shape[1], False)
+                _write_image(out, _pixels(table), table.shape[1], False)
                 image = _cross(image, table, bits, -1)
     out.write(0, 1)
-    _write_image(out, _pixels(image).ravel().tolist(), image.shape[1], True, cache_bits, references, tile)
+    _write_image(out, _pixels(image), image.shape[1], True, cache_bits, references, tile)
     return _file(out.value.to_bytes((out.size + 7) // 8, "little"))
 
 
-@lru_cache(1)
-def _plain_codes() -> tuple[int, int]:
-    """The bits between the size and the pixels of a stream whose codes have eight bits: (value, how many)."""
-    out = BitsOut()
-    for value, n in ((0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        out.write(value, n)
-    for size in ALPHABETS[:3]:
-        _write_code(out, [8] * 256 + [0] * (size - 256))
-    for size, symbol in ((256, 255), (40, 0)):
-        _write_code(out, [int(k == symbol) for k in range(size)])
-    return out.value, out.size
+TILE = 4
+MODES = (0, 1, 2, 4, 8, 9)
+FACTORS = (0, 16, 32)
+
+
+def _costs(stack: np.ndarray) -> np.ndarray:
+    """Bits by tile and candidate, from each candidate's own counts over the image: (candidate, height, width, channel) bytes."""
+    many, height, width, depth = stack.shape
+    cell = stack + (np.arange(many * depth) << 8).reshape(many, 1, 1, depth)
+    counts = np.bincount(cell.ravel(), minlength=many * depth << 8)
+    bits = np.log2(height * width / np.maximum(counts, 1))[cell].sum(-1)
+    return np.add.reduceat(np.add.reduceat(bits, np.arange(0, height, 1 << TILE), 1), np.arange(0, width, 1 << TILE), 2)
+
+
+def choose_transforms(pixels: np.ndarray) -> tuple:
+    """Transforms for encode_image: a palette where it is short, else predictors and cross-colour factors by tile, after green where that helps."""
+    colours = len(np.unique(pixels))
+    if colours <= 256 and 2 * colours <= pixels.size:
+        return (("palette",),)
+    image, out = _channels(pixels), ()
+    less = image.copy()
+    less[..., [1, 3]] = (less[..., [1, 3]] - less[..., 2:3]) & 0xFF
+    plain, taken = _costs(np.stack([image, less])[..., [1, 3]]).sum((1, 2))
+    if taken < plain:
+        image, out = less, (("green",),)
+    rest = np.stack([(image - x) & 0xFF for x in _predictions(image, MODES).values()])
+    best = _costs(rest[..., 1:]).argmin(0)
+    wide = np.repeat(np.repeat(best, 1 << TILE, 0)[: image.shape[0]], 1 << TILE, 1)[:, : image.shape[1]]
+    image = np.take_along_axis(rest, wide[None, :, :, None], 0)[0]
+    signed = lambda v: v - ((v & 0x80) << 1)
+    factors = np.zeros((*best.shape, 4), np.int64)
+    for channel, source, place in ((1, 2, 3), (3, 2, 2), (3, 1, 1)):
+        tried = np.stack([(image[..., channel] - ((f * signed(image[..., source])) >> 5)) & 0xFF for f in FACTORS])
+        if place == 1:
+            green = np.repeat(np.repeat(factors[..., 2], 1 << TILE, 0)[: image.shape[0]], 1 << TILE, 1)[:, : image.shape[1]]
+            tried = (tried - ((green * signed(image[..., 2])) >> 5)) & 0xFF
+        factors[..., place] = np.array(FACTORS)[_costs(tried[..., None]).argmin(0)]
+    factors[..., 0] = 255
+    return (*out, ("predictor", TILE, np.array(MODES)[best]), ("cross", TILE, factors))
 
 
 def encode_samples(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of 8-bit samples (height, width, red green blue) in one pass, in codes of eight bits."""
-    height, width, _ = samples.shape
-    value, size = _plain_codes()
-    head = 0x2F | (width - 1) << 8 | (height - 1) << 22 | value << 36
-    size += 36
-    whole, shift = size >> 3, size & 7
-    data = _REVERSED[samples.reshape(-1, 3)[:, [1, 0, 2]].ravel()].astype(np.uint16)
-    moved = np.zeros(len(data) + 1, np.uint16)
-    moved[:-1] = data << shift
-    moved[1:] |= data >> (8 - shift)
-    moved[0] |= head >> (8 * whole)
-    return _file((head & ((1 << (8 * whole)) - 1)).to_bytes(whole, "little") + (moved & 0xFF).astype(np.uint8).tobytes())
+    """A lossless WebP file of 8-bit samples (height, width, red green blue): transforms by content, cache, copies and Huffman codes."""
+    red, green, blue = (samples[..., k].astype(np.uint32) for k in range(3))
+    pixels = np.uint32(255 << 24) | red << np.uint32(16) | green << np.uint32(8) | blue
+    return encode_image(pixels, choose_transforms(pixels), cache_bits=min(10, max(1, pixels.size.bit_length() - 2)))
 
 
 WIDTH, MOST_ROWS = 64, 16384
