@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -44,43 +45,74 @@ def _hazards(text: str, theta: Theta, k: int, left: int) -> np.ndarray:
 
 
 class OrderScore:
-    """The log-likelihood of orders of one sequence's mutations; a step renews only the sites whose motif it changes."""
+    """The log-likelihood of orders of one sequence's mutations; what has mutated before a step, not its order, decides the step."""
 
     def __init__(self, start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int):
         self.start, self.targets, self.theta, self.k, self.left = start, targets, theta, k, left
+        self.bit = {pos: 1 << i for i, pos in enumerate(sorted(targets))}
         self.base = _hazards(start, theta, k, left).tolist()
+        self.steps: dict[int, dict[int, float]] = {}
 
-    def __call__(self, order: Sequence[int]) -> float:
-        """order: positions from 1. Minus infinity where a step is impossible."""
+    def step(self, done: int, pos: int) -> float:
+        """The log-probability that `pos` mutates next after the positions whose bits are in `done`; minus infinity where impossible."""
+        if (found := self.steps.get(done)) is None:
+            if len(self.steps) >= 1 << 16:
+                self.steps.clear()
+            found = self.steps[done] = self._after(done)
+        return found[pos]
+
+    def _after(self, done: int) -> dict[int, float]:
         k, left = self.k, self.left
-        text, hazard, total, done, out = list(self.start), self.base.copy(), sum(self.base), set(), 0.0
-        for pos in order:
-            at = pos - 1
-            if hazard[at] <= 0:
-                return -math.inf
-            out += math.log(hazard[at]) - math.log(total)
-            total -= hazard[at]
-            done.add(at)
-            text[at] = self.targets[pos]
+        text, hazard, changed = list(self.start), self.base.copy(), [p - 1 for p, b in self.bit.items() if done & b]
+        for at in changed:
+            text[at] = self.targets[at + 1]
+        for at in changed:
             for q in range(max(left, at - (k - 1 - left)), min(len(text) - (k - 1 - left), at + left + 1)):
-                if q not in done:
-                    new = math.exp(self.theta.get("".join(text[q - left : q - left + k]), 0.0))
-                    total += new - hazard[q]
-                    hazard[q] = new
-        return out
+                hazard[q] = math.exp(self.theta.get("".join(text[q - left : q - left + k]), 0.0))
+        for at in changed:
+            hazard[at] = 0.0
+        total = sum(hazard)
+        return {p: math.log(hazard[p - 1] / total) if hazard[p - 1] > 0 else -math.inf for p, b in self.bit.items() if not done & b}
 
+    def __call__(self, order: Sequence[int]) -> float:
+        """order: positions from 1, of all or some mutations. Minus infinity where a step is impossible."""
+        done, out = 0, 0.0
+        for pos in order:
+            out += self.step(done, pos)
+            done |= self.bit[pos]
+        return out
 
-def gibbs(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, burn_in: int, samples: int, rate: int, rng: np.random.Generator) -> Iterator[list[int]]:
-    """Orders drawn by taking out one position at a time and putting it back in proportion to the likelihood."""
-    order = list(rng.permutation(sorted(targets)))
-    score, kept, sweep = OrderScore(start, targets, theta, k, left), 0, 0
+    def places(self, rest: Sequence[int], pos: int) -> np.ndarray:
+        """The log-likelihood of `rest` with `pos` put in at each place."""
+        own, done, before, without, within = self.bit[pos], 0, [0.0], [], []
+        for x in rest:
+            before.append(before[-1] + self.step(done, x))
+            without.append(self.step(done, pos))
+            within.append(self.step(done | own, x))
+            done |= self.bit[x]
+        without.append(self.step(done, pos))
+        after = [0.0]
+        for x in reversed(within):
+            after.append(after[-1] + x)
+        return np.array([a + b + c for a, b, c in zip(before, without, reversed(after), strict=True)])
+
+
+def gibbs(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, burn_in: int, samples: int, rate: int, rng: np.random.Generator, order: Sequence[int] = (), held: Sequence[int] = (), score: OrderScore | None = None) -> Iterator[list[int]]:
+    """Orders drawn by taking out one position at a time and putting it back in proportion to the likelihood.
+
+    order: the first one, drawn where it isn't given.  The positions in `held`
+    keep the relative order that the first one has; only the others move.
+    """
+    order = list(order) or list(rng.permutation(sorted(targets)))
+    moved = sorted(set(targets) - set(held))
+    score, kept, sweep = score or OrderScore(start, targets, theta, k, left), 0, 0
     while kept < samples:
-        for pos in rng.permutation(sorted(targets)):
+        for pos in rng.permutation(moved):
             rest = [x for x in order if x != pos]
-            places = [rest[:i] + [pos] + rest[i:] for i in range(len(rest) + 1)]
-            logs = np.array([score(x) for x in places])
+            logs = score.places(rest, pos)
             p = np.exp(logs - logs.max())
-            order = places[rng.choice(len(places), p=p / p.sum())]
+            at = rng.choice(len(p), p=p / p.sum())
+            order = rest[:at] + [pos] + rest[at:]
         sweep += 1
         if sweep > burn_in and (sweep - burn_in) % rate == 0:
             kept += 1
@@ -105,21 +137,32 @@ def gibbs_orders(seqs: DataFrame, theta: DataFrame, k: int = 3, left: int = 1, b
 def marginal_log_lik(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, rng: np.random.Generator, samples: int = 200, exact: int = 5) -> float:
     """ln of the probability of the end sequence: the sum over all orders, or by the candidate's identity.
 
-    Up to `exact` mutations all orders are summed; beyond, the log-likelihood
-    of the most frequent sampled order less its estimated share, which is the
-    product of the shares of each place given the relative order so far.
+    Up to `exact` mutations all orders are summed; beyond, Chib's method: the
+    log-likelihood of the most frequent sampled order less the log of its
+    share.  The order is fixed from its end: the share of its last two
+    positions is that among unconditional draws, the share of each position
+    before them is that among `samples` draws of a chain held to the positions
+    fixed so far, and that of the first position is computed.  A chain goes on
+    until one of its draws agrees.
     """
     score = OrderScore(start, targets, theta, k, left)
     if len(targets) <= exact:
         logs = np.array([score(x) for x in itertools.permutations(sorted(targets))])
         return float(logs.max() + np.log(np.exp(logs - logs.max()).sum()))
-    drawn = list(gibbs(start, targets, theta, k, left, 10, samples, 1, rng))
-    best = max(set(map(tuple, drawn)), key=lambda o: (drawn.count(list(o)), o))
-    share = 0.0
-    for i in range(1, len(best)):
-        agrees = [o for o in drawn if [x for x in o if x in best[:i]] == list(best[:i])]
-        nearer = [o for o in agrees if [x for x in o if x in best[: i + 1]] == list(best[: i + 1])]
-        share += math.log(len(nearer) / len(agrees))
+    drawn = list(map(tuple, gibbs(start, targets, theta, k, left, 10, samples, 1, rng, score=score)))
+    counts = Counter(drawn)
+    best = max(counts, key=lambda o: (counts[o], o))
+    agree = lambda orders, at: sum(o.index(best[at]) < o.index(best[at + 1]) for o in orders)
+    share = math.log(agree(drawn, len(best) - 2) / len(drawn))
+    for at in range(len(best) - 3, 0, -1):
+        agrees = total = 0
+        order = best
+        while not agrees:
+            held = list(gibbs(start, targets, theta, k, left, 0, samples, 1, rng, order, best[at + 1 :], score))
+            agrees, total, order = agree(held, at), total + samples, held[-1]
+        share += math.log(agrees / total)
+    logs = score.places(best[1:], best[0])
+    share += logs[0] - logs.max() - math.log(np.exp(logs - logs.max()).sum())
     return score(best) - share
 
 
