@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textops import WORD_BYTES, batches, lower_bytes, mix, word_table
+from .textops import WORD_BYTES, batches, free_name, lower_bytes, mix, word_table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 HITS = "row_id long, doc_id long, n_words long, starts binary, ends binary, items array<long>"
@@ -154,59 +155,90 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
     return counted.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.2, most_chars: int = 8_000_000) -> DataFrame:
     """The documents without the benchmark's passages, with all their columns.
 
     Verified windows are cut out of a text; a document of which windows cover
     more than `most_share` of the words is removed.  Documents without hits
     stay as they are, as do null texts.  An empty benchmark changes nothing.
+
+    most_chars bounds what is broadcast at once: a larger benchmark is dealt
+    into blocks of items.  Each block's hits are found on the original text and
+    travel with the row; the share is tested and the text cut once, after the
+    last block, so the number of blocks doesn't change the result.
     """
+    spark = docs.sparkSession
     tests = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + size // 8_000_000
+    blocks = 1 + size // most_chars
+    spans = free_name("window_spans", docs.columns)
     out = docs
     for k in range(blocks):
         items = [(r[0], lower_bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toLocalIterator()]
-        out = _cut(out, docs.sparkSession.sparkContext.broadcast(WindowSet(items, window)), most_share)
-    return out
+        out = _marked(out, spark.sparkContext.broadcast(WindowSet(items, window)), spans)
+    return _cut(out, spans, most_share)
+
 
+def _words(texts: list):
+    """(raw texts, hashes, owner, start, end, each text's first word) of the words of some texts."""
+    raw = [lower_bytes(x) for x in texts]
+    hashes, owner, start, end = word_table(raw, WORD_BYTES)
+    return raw, hashes, owner, start, end, np.searchsorted(owner, np.arange(len(texts) + 1))
 
-def _cut(docs: DataFrame, windows, most_share: float) -> DataFrame:
-    at = docs.columns.index("text")
+
+def _marked(docs: DataFrame, windows, spans: str) -> DataFrame:
+    """docs with a block's hits, pairs of int32 word positions, behind those in the column `spans`, which is made if missing."""
+    at, held = docs.columns.index("text"), docs.columns.index(spans) if spans in docs.columns else None
+    schema = docs.schema if held is not None else T.StructType([*docs.schema, T.StructField(spans, T.BinaryType())])
 
     def work(stream):
         block = windows.value
         for batch in stream:
-            texts = batch.column("text").to_pylist()
-            keep = np.ones(len(texts), bool)
+            texts = batch.column(at).to_pylist()
+            found = [b""] * len(texts) if held is None else [x or b"" for x in batch.column(held).to_pylist()]
             for a, b in batches(texts, 1 << 19):
-                raw = [lower_bytes(x) for x in texts[a:b]]
-                hashes, owner, start, end = word_table(raw, WORD_BYTES)
-                begin = np.searchsorted(owner, np.arange(b - a + 1))
-                offset = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
-                spans = defaultdict(list)
+                _, hashes, owner, _, _, begin = _words(texts[a:b])
+                own = defaultdict(list)
                 for first, last, _ in block.occurrences(hashes, owner):
-                    spans[int(owner[first])].append((first, last))
-                for k, own in spans.items():
+                    k = int(owner[first])
+                    own[k] += [first - begin[k], last - begin[k]]
+                for k, places in own.items():
+                    found[a + k] += np.array(places, np.int32).tobytes()
+            columns = batch.columns if held is None else [*batch.columns[:held], *batch.columns[held + 1 :]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(work, schema)
+
+
+def _cut(docs: DataFrame, spans: str, most_share: float) -> DataFrame:
+    """docs without the words that `spans` cover and without that column, its last one."""
+    at, schema = docs.columns.index("text"), T.StructType(docs.schema[:-1])
+
+    def work(stream):
+        for batch in stream:
+            texts, found = batch.column(at).to_pylist(), batch.column(spans).to_pylist()
+            keep = np.ones(len(texts), bool)
+            hit = [k for k, x in enumerate(found) if x]
+            for a, b in batches([texts[k] for k in hit], 1 << 19):
+                raw, _, _, start, end, begin = _words([texts[k] for k in hit[a:b]])
+                offset = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
+                for i, k in enumerate(hit[a:b]):
                     merged: list[list[int]] = []
-                    for first, last in sorted(own):
+                    for first, last in sorted(np.frombuffer(found[k], np.int32).reshape(-1, 2).tolist()):
                         if merged and first <= merged[-1][1]:
                             merged[-1][1] = max(merged[-1][1], last)
                         else:
                             merged.append([first, last])
-                    if sum(y - x for x, y in merged) > most_share * (begin[k + 1] - begin[k]):
-                        keep[a + k] = False
+                    if sum(y - x for x, y in merged) > most_share * (begin[i + 1] - begin[i]):
+                        keep[k] = False
                         continue
-                    data, out, done = texts[a + k].encode("utf-8", "surrogatepass"), b"", 0
+                    data, out, done = texts[k].encode("utf-8", "surrogatepass"), b"", 0
                     for first, last in merged:
-                        out += data[done : start[first] - offset[k]]
-                        done = int(end[last - 1] - offset[k])
-                    texts[a + k] = (out + data[done:]).decode("utf-8", "surrogatepass")
-            columns = [*batch.columns]
+                        out += data[done : start[begin[i] + first] - offset[i]]
+                        done = int(end[begin[i] + last - 1] - offset[i])
+                    texts[k] = (out + data[done:]).decode("utf-8", "surrogatepass")
+            columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return docs.mapInArrow(work, docs.schema)
-
-
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
 
+    return docs.mapInArrow(work, schema)
