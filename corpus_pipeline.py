@@ -17,7 +17,7 @@ from motifspark.llm.line_dedup import dedup_lines
 from motifspark.llm.packing import pack
 from motifspark.llm.quality import fit_quality, score_quality
 from motifspark.llm.queries import table, tokenizer_path
-from motifspark.llm.textops import stored
+from motifspark.llm.textops import free_name, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles of similarity 0.8, the one of the smallest id stays; null ids stay."""
-    found = jaccard_components(docs, width=5, percent=80)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.copy_id, "left_anti")
+    """Of the rows linked by 5-word shingles of similarity 0.8, directly or through others, one stays.
+
+    It is the one of the smallest id, nulls last, and of rows that share it any
+    one.  Rows are told apart by a key that is stored with them, so rows of
+    null or repeated ids count each by its own text.  Null and wordless texts
+    link with nothing and stay.
+    """
+    key = free_name("row_key", docs.columns)
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80)
+    rows = keyed.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("id")).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    kept = rows.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("last"), "id", "row")).alias("best")).select(F.col("best.row").alias(key))
+    gone = keyed.select(key).join(kept, key, "left_anti")
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
