@@ -75,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier, MinHash and the tokenizer are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifier, MinHash and the tokenizer are beyond SQL. Of the stages only near_duplicates has a test of its own; the others and the chain have none, only some of their operators.
 ORACLE_SQL = None
