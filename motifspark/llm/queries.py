@@ -12,11 +12,11 @@ from .decontaminate import contamination_report
 from .jaccard_join import jaccard_components
 from .language_id import fit_languages, identify
 from .line_dedup import dedup_lines
+from .media import media_digest
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .tokenizing import token_counts
 from .url_filters import judge_urls
-from .webp import media_digest
 
 TOKENIZER = "word_bpe_49k.json"
 

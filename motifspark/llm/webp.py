@@ -1,26 +1,19 @@
-"""Lossless WebP: a decoder of the whole bitstream, an encoder, and the media column made of them.
+"""Lossless WebP: a decoder of the whole bitstream and an encoder, for one image at a time.
 
 The decoder reads prefix codes, meta prefix codes, back-references and the
 colour cache, and inverts the predictor, cross-colour, green and palette
-transforms.  An image of one group of prefix codes is read in whole arrays: what
-would be read at every bit of a block, then the chain of places where items
-begin.  An image of several groups is read symbol by symbol.  The encoder picks
-the transforms by estimated entropy, tile by tile.
+transforms.  webp_lanes.py does the same for many small images at once and chooses
+transforms by content; media.py makes the media column of it.
 Pixels are uint32 arrays (alpha, red, green, blue from the top byte).
 """
 
 from __future__ import annotations
 
-import hashlib
 import struct
-import zlib
 from collections import Counter
 from functools import cached_property, lru_cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .textops import mix
 
@@ -142,71 +135,10 @@ def _value(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-BLOCK = 1 << 16
-
-
-def _extra(symbols: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths or distances, how many extra bits they take) from prefix symbols and the bits after them."""
-    extra = np.where(symbols < 4, 0, (symbols - 2) >> 1)
-    more = ahead.astype(np.int64) & ((1 << extra) - 1)
-    return np.where(symbols < 4, symbols, ((2 + (symbols & 1)) << extra) + more) + 1, extra
-
-
-def _read_items(bits: Bits, group: list[PrefixCode], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(green symbols, pixels or lengths, distance codes) of the items of an image of one code group.
-
-    What an item at a bit would be is found for all bits of a block at once;
-    the items are those that the chain from the first one meets.
-    """
-    data, found, pixels = np.frombuffer(bits.data, np.uint8), [], 0
-    shifts = np.arange(8, dtype=np.uint32)
-    while pixels < total:
-        base, first = bits.at >> 3, bits.at & 7
-        n = min(BLOCK, max(len(bits.data) - base, 0) * 8)
-        if n <= first:
-            raise WebpError("the stream ends early")
-        raw = np.zeros(n // 8 + 20, np.uint32)
-        part = data[base : base + len(raw)]
-        raw[: len(part)] = part
-        ahead = ((raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24)[:, None] >> shifts).ravel()
-
-        def symbols(code: PrefixCode, at: np.ndarray, ahead=ahead) -> tuple[np.ndarray | int, np.ndarray]:
-            if code.lone is not None:
-                return code.lone, at
-            step = code.peek[ahead[at] & np.uint32((1 << code.longest) - 1)]
-            return step >> 4, at + (step & 15)
-
-        green, after = symbols(group[0], np.arange(n))
-        green = np.broadcast_to(green, n)
-        red, to = symbols(group[1], after)
-        blue, to = symbols(group[2], to)
-        alpha, to = symbols(group[3], to)
-        to = np.where(green < 256, to, after)
-        value = np.broadcast_to(np.asarray(alpha, np.int64) << 24 | np.asarray(red, np.int64) << 16 | green << 8 | np.asarray(blue, np.int64), n).copy()
-        distance = np.zeros(n, np.int64)
-        at = np.flatnonzero((green >= 256) & (green < 280))
-        if len(at):
-            place = after[at]
-            value[at], extra = _extra(green[at] - 256, ahead[place])
-            far, place = symbols(group[4], place + extra)
-            far = np.broadcast_to(far, len(at))
-            distance[at], extra = _extra(far, ahead[place])
-            to[at] = place + extra
-        chain, p, follow = [], first, to.tolist()
-        for _ in range(total - pixels):
-            if p >= n:
-                break
-            chain.append(p)
-            p = follow[p]
-        kept = np.array(chain)
-        ends = np.cumsum(np.where((green[kept] >= 256) & (green[kept] < 280), value[kept], 1))
-        kept = kept[: int(np.searchsorted(ends, total - pixels)) + 1]
-        pixels += int(ends[len(kept) - 1])
-        bits.at = base * 8 + follow[kept[-1]]
-        if bits.at > len(bits.data) * 8:
-            raise WebpError("the stream ends early")
-        found.append((green[kept], value[kept], distance[kept]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+def words_of(data: bytes, begin: int, end: int) -> list[int]:
+    """The eight bytes from each byte on, of a part of the data, filled up with zeros."""
+    part = data[begin:end] + bytes(16)
+    return np.ndarray((len(part) - 7,), "<u8", part, strides=(1,)).tolist()
 
 
 def _back(code: int, width: int) -> int:
@@ -217,34 +149,80 @@ def _back(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
-def _resolved(items: tuple[np.ndarray, np.ndarray, np.ndarray], width: int, total: int, cache_bits: int) -> np.ndarray:
-    """The pixels of items: literals, copies and colours of the cache."""
-    green, value, distance = items
-    if not (green >= 256).any():
-        return value.astype(np.uint32)
-    shift = 32 - cache_bits
-    slots = ((value.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(shift)).tolist() if cache_bits else [0] * len(value)
-    cache, out = [0] * (1 << cache_bits), []
-    for s, v, far, slot in zip(green.tolist(), value.tolist(), distance.tolist(), slots, strict=True):
-        if s < 256:
-            out.append(v)
-            cache[slot] = v
-        elif s < 280:
+def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: int, total: int, cache_bits: int) -> tuple[list[int], int]:
+    """The pixels of an image of one code group, and the bit after it.
+
+    words: see words_of(); tables: symbol << 4 | length by the bits that follow, for each of the five codes.
+    """
+    g_mask, r_mask, b_mask, a_mask, d_mask = (len(x) - 1 for x in tables)
+    greens, reds, blues, alphas, distances = tables
+    out: list[int] = []
+    cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
+    add, many, limit = out.append, 0, 280 + (1 << cache_bits if cache_bits else 0)
+    last = len(words) - 1
+    try:
+        while many < total:
+            ahead = words[at >> 3] >> (at & 7)
+            step = greens[ahead & g_mask]
+            n = step & 15
+            symbol = step >> 4
+            if symbol < 256:
+                ahead >>= n
+                red = reds[ahead & r_mask]
+                ahead >>= red & 15
+                blue = blues[ahead & b_mask]
+                at += n + (red & 15) + (blue & 15)
+                if a_mask:
+                    alpha = alphas[words[at >> 3] >> (at & 7) & a_mask]
+                    at += alpha & 15
+                else:
+                    alpha = alphas[0]
+                p = alpha >> 4 << 24 | red >> 4 << 16 | symbol << 8 | blue >> 4
+                add(p)
+                many += 1
+                if cache_bits:
+                    cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+                continue
+            at += n
+            if symbol >= 280:
+                if symbol >= limit:
+                    raise WebpError("no such colour in the cache")
+                add(cache[symbol - 280])
+                many += 1
+                continue
+            symbol -= 256
+            if symbol < 4:
+                n = symbol + 1
+            else:
+                more = (symbol - 2) >> 1
+                n = ((2 + (symbol & 1)) << more) + (words[at >> 3] >> (at & 7) & ((1 << more) - 1)) + 1
+                at += more
+            step = distances[words[at >> 3] >> (at & 7) & d_mask]
+            at += step & 15
+            symbol = step >> 4
+            if symbol < 4:
+                far = symbol + 1
+            else:
+                more = (symbol - 2) >> 1
+                far = ((2 + (symbol & 1)) << more) + (words[at >> 3] >> (at & 7) & ((1 << more) - 1)) + 1
+                at += more
             back = _back(far, width)
-            if back > len(out) or len(out) + v > total:
+            if back > many or many + n > total:
                 raise WebpError("a back-reference leaves the image")
-            for _ in range(v):
-                p = out[-back]
-                out.append(p)
-                if cache_bits:
+            if n <= back:
+                part = out[many - back : many - back + n]
+            else:
+                part = (out[many - back :] * (n // back + 1))[:n]
+            out += part
+            many += n
+            if cache_bits:
+                for p in part:
                     cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
-        else:
-            if s - 280 >= len(cache) or not cache_bits:
-                raise WebpError("no such colour in the cache")
-            p = cache[s - 280]
-            out.append(p)
-            cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
-    return np.array(out, np.uint32)
+    except IndexError:
+        raise WebpError("the stream ends early") from None
+    if at >> 3 > last - 8 and at > 8 * (last - 8):
+        raise WebpError("the stream ends early")
+    return out, at
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -260,11 +238,11 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         which = which.tolist()
     groups = [[read_code(bits, n + (k == 0 and cache_bits > 0) * (1 << cache_bits)) for k, n in enumerate(ALPHABETS)] for _ in range(count)]
     total = width * height
-    if count == 1 and any(c.lone is None for c in groups[0][:4]):
-        return _resolved(_read_items(bits, groups[0], total), width, total, cache_bits)
-    if count == 1 and groups[0][0].lone < 256:  # no bits at all
-        green, red, blue, alpha = (c.lone for c in groups[0][:4])
-        return np.full(total, alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
+    if count == 1:
+        begin = bits.at >> 3
+        found, at = entropy_pixels(words_of(bits.data, begin, len(bits.data)), bits.at & 7, [c.steps for c in groups[0]], width, total, cache_bits)
+        bits.at = 8 * begin + at
+        return np.array(found, np.uint32)
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     group = groups[0]
@@ -685,130 +663,3 @@ def encode_image(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0
     out.write(0, 1)
     _write_image(out, _pixels(image), image.shape[1], True, cache_bits, references, tile)
     return _file(out.value.to_bytes((out.size + 7) // 8, "little"))
-
-
-TILE = 4
-MODES = (0, 1, 2, 4, 8, 9)
-FACTORS = (0, 16, 32)
-
-
-def _costs(stack: np.ndarray) -> np.ndarray:
-    """Bits by tile and candidate, from each candidate's own counts over the image: (candidate, height, width, channel) bytes."""
-    many, height, width, depth = stack.shape
-    cell = stack + (np.arange(many * depth) << 8).reshape(many, 1, 1, depth)
-    counts = np.bincount(cell.ravel(), minlength=many * depth << 8)
-    bits = np.log2(height * width / np.maximum(counts, 1))[cell].sum(-1)
-    return np.add.reduceat(np.add.reduceat(bits, np.arange(0, height, 1 << TILE), 1), np.arange(0, width, 1 << TILE), 2)
-
-
-def choose_transforms(pixels: np.ndarray) -> tuple:
-    """Transforms for encode_image: a palette where it is short, else predictors and cross-colour factors by tile, after green where that helps."""
-    colours = len(np.unique(pixels))
-    if colours <= 256 and 2 * colours <= pixels.size:
-        return (("palette",),)
-    image, out = _channels(pixels), ()
-    less = image.copy()
-    less[..., [1, 3]] = (less[..., [1, 3]] - less[..., 2:3]) & 0xFF
-    plain, taken = _costs(np.stack([image, less])[..., [1, 3]]).sum((1, 2))
-    if taken < plain:
-        image, out = less, (("green",),)
-    rest = np.stack([(image - x) & 0xFF for x in _predictions(image, MODES).values()])
-    best = _costs(rest[..., 1:]).argmin(0)
-    wide = np.repeat(np.repeat(best, 1 << TILE, 0)[: image.shape[0]], 1 << TILE, 1)[:, : image.shape[1]]
-    image = np.take_along_axis(rest, wide[None, :, :, None], 0)[0]
-    signed = lambda v: v - ((v & 0x80) << 1)
-    factors = np.zeros((*best.shape, 4), np.int64)
-    for channel, source, place in ((1, 2, 3), (3, 2, 2), (3, 1, 1)):
-        tried = np.stack([(image[..., channel] - ((f * signed(image[..., source])) >> 5)) & 0xFF for f in FACTORS])
-        if place == 1:
-            green = np.repeat(np.repeat(factors[..., 2], 1 << TILE, 0)[: image.shape[0]], 1 << TILE, 1)[:, : image.shape[1]]
-            tried = (tried - ((green * signed(image[..., 2])) >> 5)) & 0xFF
-        factors[..., place] = np.array(FACTORS)[_costs(tried[..., None]).argmin(0)]
-    factors[..., 0] = 255
-    return (*out, ("predictor", TILE, np.array(MODES)[best]), ("cross", TILE, factors))
-
-
-def encode_samples(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of 8-bit samples (height, width, red green blue): transforms by content, cache, copies and Huffman codes."""
-    red, green, blue = (samples[..., k].astype(np.uint32) for k in range(3))
-    pixels = np.uint32(255 << 24) | red << np.uint32(16) | green << np.uint32(8) | blue
-    return encode_image(pixels, choose_transforms(pixels), cache_bits=min(10, max(1, pixels.size.bit_length() - 2)))
-
-
-WIDTH, MOST_ROWS = 64, 16384
-
-
-def store_payload(payload: bytes) -> bytes:
-    """Bytes, a positive multiple of 192, as WebP files of 64 pixels by at most 16,384 rows, one after the other."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    return b"".join(encode_samples(samples[k : k + MOST_ROWS]) for k in range(0, len(samples), MOST_ROWS))
-
-
-def read_pixels(media: bytes) -> np.ndarray:
-    """The rows of pixels of stored files."""
-    parts, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack_from("<I", media, at + 4)[0]
-        parts.append(decode_image(media[at : at + size]))
-        at += size
-    return np.concatenate(parts)
-
-
-def samples_of(pixels: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(*pixels.shape, 4)[..., 2::-1]
-
-
-def feature(samples: np.ndarray) -> str:
-    """A short text about an image: size, mean of each channel, entropy of all samples and mean step along a row."""
-    counts = np.bincount(samples.ravel(), minlength=256)
-    share = counts[counts > 0] / samples.size
-    means = samples.reshape(-1, 3).mean(0, dtype=np.float64)
-    step = np.abs(np.diff(samples.astype(np.int16), axis=1)).mean()
-    return f"{samples.shape[1]}x{samples.shape[0]};mean={means[0]:.3f},{means[1]:.3f},{means[2]:.3f};entropy={-(share * np.log2(share)).sum():.4f};step={step:.3f}"
-
-
-def media_column(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up with spaces to a multiple of 192, as WebP files.
-
-    Null and empty texts are 192 spaces.  Repeated rows are stored each by
-    itself, equal texts alike.  Other columns are ignored.
-    """
-
-    def work(stream):
-        for batch in stream:
-            sizes, media = [], []
-            for text in batch.column("text").to_pylist():
-                data = (text or "").encode("utf-8", "surrogatepass")
-                sizes.append(len(data))
-                media.append(store_payload(data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(media, pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_bytes long, media binary")
-
-
-def media_pixels(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, height, width, samples): the stored files decoded to 8-bit red, green, blue samples; a null stays null."""
-
-    def work(stream):
-        for batch in stream:
-            found = [None if x is None else samples_of(read_pixels(x)) for x in batch.column("media").to_pylist()]
-            size = lambda k: pa.array([None if x is None else x.shape[k] for x in found], pa.int32())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "height": size(0), "width": size(1), "samples": pa.array([None if x is None else x.tobytes() for x in found], pa.binary())})
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(work, "doc_id long, n_bytes long, height int, width int, samples binary")
-
-
-def media_digest(docs: DataFrame) -> DataFrame:
-    """What the media column holds, by text: sizes, checksums of the samples read back and of the stored form, and a feature."""
-
-    def work(stream):
-        for batch in stream:
-            rows = []
-            for media in batch.column("media").to_pylist():
-                samples = samples_of(read_pixels(media))
-                payload = samples.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
-            names = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes")} | {n: pa.array([r[k] for r in rows], kind) for k, (n, kind) in enumerate(names)})
-
-    return media_column(docs).mapInArrow(work, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motifspark.llm import components as C
-from motifspark.llm import ctw, queries, webp
+from motifspark.llm import ctw, media, queries
 from motifspark.llm.decontaminate import contamination_report, decontaminate
 from motifspark.llm.jaccard_join import jaccard_components
 from motifspark.llm.language_id import fit_languages, identify
@@ -251,7 +251,7 @@ def test_odd_rows_and_empty_tables(spark, odd, sf):
         assert jaccard_components(frame).count() == n
         assert score_quality(frame, fit_quality(frame, labels)).count() == n
         assert token_counts(frame, queries.tokenizer_path()).count() == n
-        assert webp.media_digest(frame).count() == n
+        assert media.media_digest(frame).count() == n
         assert judge_urls(frame.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count() == n
         left = dedup_lines(frame)
         assert left.columns == frame.columns and left.count() <= n

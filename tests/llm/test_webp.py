@@ -1,11 +1,11 @@
-"""Round trips of the WebP codec: every transform, code groups, copies and the cache, and what stored payloads hold."""
+"""Round trips of the WebP codecs: every transform, code groups, copies and the cache, and what stored payloads hold."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
 
-from motifspark.llm import webp
+from motifspark.llm import webp, webp_lanes
 
 RNG = np.random.default_rng(1)
 IMAGES = {
@@ -30,36 +30,97 @@ def test_transforms_come_back(name, options):
         assert (webp.decode_image(webp.encode_image(image, transforms, **options)) == image).all(), transforms
 
 
-def test_payloads_use_the_method(monkeypatch):
-    """Stored payloads hold Huffman codes, copies, colours of the cache, predictors, cross-colour and palettes, and come back."""
-    seen, read, inverse, cross = set(), webp._read_items, webp._unpredicted, webp._cross
-
-    def items(bits, group, total):
-        out = read(bits, group, total)
-        seen.update({"literal", "copy", "cache"} & {n for n, k in (("literal", out[0] < 256), ("copy", (out[0] >= 256) & (out[0] < 280)), ("cache", out[0] >= 280)) if k.any()})
-        seen.update("codes" for c in group if len({n for _, n in c.words.values()}) > 1)
-        return out
-
-    def marked(name, f):
-        return lambda *a: seen.add(name) or f(*a)
-
-    text = " ".join(f"line {k} of some words, {k * k % 977}" for k in range(400))
-    for payload in (text.encode(), b"abc" * 400, b"the same words " * 500):
-        payload += b" " * (-len(payload) % 192)
-        media = webp.store_payload(payload)
-        assert len(media) < len(payload)
-        with monkeypatch.context() as m:
-            m.setattr(webp, "_read_items", items)
-            m.setattr(webp, "_unpredicted", marked("predictor", inverse))
-            m.setattr(webp, "_cross", marked("cross", cross))
-            assert webp.samples_of(webp.read_pixels(media)).tobytes() == payload
-    assert seen == {"literal", "copy", "cache", "codes", "predictor", "cross"}
-
-
-def test_content_chooses_transforms():
-    grey = RNG.integers(0, 256, (32, 64)).astype(np.uint32)
-    names = lambda image: [x[0] for x in webp.choose_transforms(image)]
-    assert names(np.uint32(255 << 24) | grey * np.uint32(0x010101)) == ["palette"]
-    near = grey + (np.arange(64, dtype=np.uint32) % 3 << 16) + (np.arange(32, dtype=np.uint32)[:, None] % 3)
-    assert names(np.uint32(255 << 24) | (grey << 8) + (grey << 16) + near) == ["green", "predictor", "cross"]
-    assert names(IMAGES["noise"] | np.uint32(255 << 24))[-2:] == ["predictor", "cross"]
+def _payload(text: bytes) -> bytes:
+    return text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
+
+
+TEXTS = [b"", b"a", b"abc" * 400, b"the same words " * 500, " ".join(f"line {k} of some words, {k * k % 977}" for k in range(400)).encode(), RNG.integers(0, 256, 5000).astype(np.uint8).tobytes(), bytes(range(256)) * 9]
+
+
+def _many(n: int = 60) -> list[bytes]:
+    words = [bytes(RNG.integers(97, 123, RNG.integers(2, 9)).astype(np.uint8)) for _ in range(300)]
+    return [_payload(x) for x in TEXTS] + [_payload(b"ab c" * k) for k in range(1, 60)] + [_payload(b" ".join(words[i] for i in RNG.integers(0, 300, n_words))) for n_words in RNG.integers(1, 900, n)]
+
+
+@pytest.mark.parametrize("few", [webp_lanes.FEW, 1 << 30], ids=["in step", "one by one"])
+def test_payloads_come_back_from_both_decoders(monkeypatch, few):
+    """Batches are read back by the lanes and by the single decoder, and hold every part of the format that their content asks for."""
+    monkeypatch.setattr(webp_lanes, "FEW", few)
+    payloads, seen = _many(), set()
+    for name, found in (("_unpredicted", "predictor"), ("_uncrossed", "cross"), ("_from_palette", "palette")):
+        inner = getattr(webp_lanes, name)
+        monkeypatch.setattr(webp_lanes, name, lambda *a, inner=inner, found=found: seen.add(found) or inner(*a))
+    inner = webp_lanes.entropy_pixels
+
+    def counted(words, at, tables, *more):
+        pixels, to = inner(words, at, tables, *more)
+        seen.update("codes" for t in tables[:3] if len({x & 15 for x in t}) > 1)
+        seen.update({"copy"} if len(tables[4]) > 1 else set())
+        seen.update({"cache"} if any(x >> 4 >= 280 for x in tables[0]) else set())
+        return pixels, to
+
+    monkeypatch.setattr(webp_lanes, "entropy_pixels", counted)
+    media = webp_lanes.store_payloads(payloads)
+    assert [x.tobytes() for x in webp_lanes.read_payloads(media)] == payloads
+    for file, payload in zip(media, payloads, strict=True):
+        pixels = webp.decode_image(file)
+        assert np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(*pixels.shape, 4)[..., 2::-1].tobytes() == payload
+    assert few > 1000 or seen == {"predictor", "cross", "palette", "codes", "copy", "cache"}
+
+
+def test_stored_form_depends_on_the_payload_alone():
+    payloads = _many(40)
+    whole = webp_lanes.store_payloads(payloads)
+    assert whole == [webp_lanes.store_payloads([x])[0] for x in payloads]
+    assert sum(map(len, whole)) < 0.9 * sum(map(len, payloads))
+
+
+def test_tall_payloads_are_cut_into_files():
+    payload = _payload(b"".join(b"%d lines of a long text\n" % k for k in range(130_000)))
+    assert len(payload) > 192 * webp_lanes.MOST_ROWS
+    media = webp_lanes.store_payloads([payload])[0]
+    assert media.count(b"RIFF") >= 2 and webp_lanes.read_payloads([media])[0].tobytes() == payload
+
+
+def test_lanes_read_what_the_single_encoder_writes():
+    """Also palettes of every size, code groups and predictors that only the single decoder inverts."""
+    images = [IMAGES[k] for k in IMAGES] * 4 + [(RNG.integers(0, n, (11, 64)) * 77 + 5).astype(np.uint32) for n in (1, 2, 3, 4, 9, 16, 17, 200)]
+    options = [(("green",),), (("predictor", 2, None),), (("cross", 3, None),), ()]
+    files = []
+    for k, image in enumerate(images):
+        steps = []
+        for step in options[k % 4] if k < 20 else (("palette",),):
+            if len(step) > 1:
+                shape = tuple(-(-n // (1 << step[1])) for n in image.shape)
+                step = (step[0], step[1], RNG.integers(0, 14 if k % 3 else 5, shape) if step[0] == "predictor" else RNG.integers(0, 256, (*shape, 4)))
+            steps.append(step)
+        files.append(webp.encode_image(image, tuple(steps), cache_bits=k % 5, tile=2 if k % 7 == 0 else 0))
+    found = webp_lanes._decode_lanes(files)
+    assert sum(x is None for x in found) < len(files) / 2
+    for image, x, y in zip(images, found, webp_lanes.decode_batch(files), strict=True):
+        want = np.stack([(image >> np.uint32(k)) & np.uint32(255) for k in (16, 8, 0)], -1)
+        assert (y == want).all() and (x is None or (x == want).all())
+
+
+def test_long_codes_stay_within_the_limit():
+    """Fibonacci counts make Huffman words of more than 15 bits before they are evened out; lanes and the single builder agree on cost."""
+    fib = [1, 1]
+    while len(fib) < 24:
+        fib.append(fib[-1] + fib[-2])
+    rows = 40
+    row, symbol, count = np.repeat(np.arange(rows), 24), np.tile(np.arange(24), rows), np.tile(np.array(fib), rows)
+    got = webp_lanes.huffman_lengths(row, symbol, count, rows, 15).reshape(rows, 24)
+    assert got.max() <= 15 and (np.sum(1 << (15 - got), axis=1) == 1 << 15).all() and (got == got[0]).all()
+    counts = RNG.integers(1, 1000, (rows, 24))
+    got = webp_lanes.huffman_lengths(row, symbol, counts.ravel(), rows, 15).reshape(rows, 24)
+    for mine, c in zip(got, counts, strict=True):
+        assert (mine * c).sum() == (np.array(webp.code_lengths(dict(enumerate(c.tolist())), 24)) * c).sum()
+
+
+def test_broken_streams_are_refused():
+    file = webp_lanes.store_payloads([_payload(TEXTS[4])])[0]
+    for broken in (file[:60], b"RIFX" + file[4:], file[:20] + b"\0" + file[21:]):
+        with pytest.raises(webp.WebpError):
+            webp_lanes.decode_batch([broken])
+        with pytest.raises(webp.WebpError):
+            webp_lanes._decode_lanes([broken] * 20)
