@@ -234,7 +234,9 @@ def _exact_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, wid
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = texts.mapInArrow(work, "node long, shingles binary").dropDuplicates(["node"])
-    return exact_links(clusters, sets, percent, chunk)
+    links = stored(exact_links(clusters, sets, percent, chunk), "links")
+    wanted.destroy()
+    return links
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = 256) -> DataFrame:
@@ -252,10 +254,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bitmap = spark.sparkContext.broadcast(_shared_shingles(docs, width, shards))
     rows = stored(_prefixes(docs, width, percent, bitmap), "prefixes")
+    bitmap.destroy()
     classes = stored(rows.filter("sign IS NOT NULL").groupBy("sign").agg(F.min("doc_id").alias("smallest"), F.min("n_shingles").alias("n_shingles"), F.min("head").alias("head")), "classes")
     candidates = stored(_candidates(classes, percent, shards), "candidates")
     bounded = stored(_bounded(candidates, classes, percent), "bounded")
-    links = stored(_exact_links(docs, classes, bounded, width, percent, chunk), "links")
+    links = _exact_links(docs, classes, bounded, width, percent, chunk)
     linked = components(links).join(classes.select(F.col("sign").alias("node"), "smallest"), "node")
     least = linked.groupBy("component").agg(F.min("smallest").alias("least"))
     named = linked.join(least, "component").select(F.col("node").alias("sign"), "least")

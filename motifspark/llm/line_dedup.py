@@ -2,13 +2,18 @@
 
 1. Every line (A-Z lower-cased, white space at its ends cut) is hashed, and
    equal lines collapse by a hash aggregation.
-2. A line's set holds its distinct runs of 8 bytes.  One permutation hashing
-   gives 27 minima, 9 bands of 3; lines of similarity 0.8 miss each other in
-   all bands with probability (1 - 0.8**3)**9 = 0.0016.
-3. Lines that share a band become candidates and then clusters; each cluster
-   is verified by exact Jaccard similarity, in blocks of bounded size.  The
-   lines travel there, not their sets, which are eight times their size.
-4. Star contraction over the verified links gives components; a component
+2. A line's set holds its distinct runs of 5 characters, so one changed letter
+   inside a line of 50 characters or more leaves a similarity above 0.8.  One
+   permutation hashing gives 27 minima, 9 bands of 3; lines of similarity 0.8
+   miss each other in all bands with probability (1 - 0.8**3)**9 = 0.0016.
+3. Lines that share a band are compared by a byte of each of the 27 minima:
+   fewer than 13 equal ones, where a similarity of 0.8 expects 21.6 (less than
+   13 with probability 0.0001), is no candidate.  A bucket of very many lines
+   is held together by one of them instead, untested.
+4. Candidates fall into clusters; each cluster is verified by exact Jaccard
+   similarity, in blocks of bounded size.  The lines travel there, not their
+   sets, which are eight times their size.
+5. Star contraction over the verified links gives components; a component
    keeps its first line, by document and place, and the others are cut out.
 """
 
@@ -19,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .block_product import exact_links, holds_each, place_bitmap
+from .block_product import exact_links, forest, holds_each, place_bitmap
 from .components import components
 from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, word_table
 
-WIDTH = 8
+WIDTH = 5
 ROWS, BANDS = 3, 9
+#: Of all minima, as many must agree for a candidate, if similarities of 0.8 are wanted.
+AGREE = 13
+#: Buckets of more lines than this aren't compared pair by pair.
+MOST_COMPARED = 1024
 _NOT_BREAK = ~byte_class([0x0A, 0x0D, 0xFF])
 
 
@@ -42,36 +51,38 @@ def line_hashes(lines: list[bytes]) -> np.ndarray:
 
 
 def _runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(run of 8 bytes, its line's index) for all lines; a shorter line is one run, filled up."""
-    padded = [x if len(x) >= WIDTH else x + b"\xff" * (WIDTH - len(x)) for x in lines]
-    buffer = b"".join(padded) + b"\xff" * WIDTH
+    """(hash of a run of 5 characters, its line's index) for all lines; a shorter line is one run, filled up."""
+    data = b"".join(lines)
+    starts = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
+    lengths = np.diff(starts[np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)])
+    points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    room = np.maximum(lengths, WIDTH)
+    buffer = np.zeros(int(room.sum()) + WIDTH, np.uint64)
+    owner = np.repeat(np.arange(len(lines)), lengths)
+    begin = np.cumsum(room) - room
+    buffer[begin[owner] + np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = points
     total = len(buffer) - WIDTH
-    runs = np.empty(total, np.uint64)
+    runs = np.zeros(total, np.uint64)
     for k in range(WIDTH):
-        part = np.frombuffer(buffer, "<u8", (len(buffer) - k) // WIDTH, k)
-        runs[k::WIDTH] = part[: len(runs[k::WIDTH])]
-    lengths = np.array([len(x) for x in padded])
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + buffer[k : k + total]
     keep = np.ones(total, bool)
-    end = np.cumsum(lengths)
-    keep[(end[:, None] - np.arange(1, WIDTH)).ravel()] = False
-    return runs[keep], np.repeat(np.arange(len(lines)), lengths - WIDTH + 1)
+    keep[((begin + room)[:, None] - np.arange(1, WIDTH)).ravel()] = False
+    return mix(runs[keep]), np.repeat(np.arange(len(lines)), room - WIDTH + 1)
 
 
 def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     """The distinct runs of each line."""
     runs, owner = _runs(lines)
-    runs, owner = mix(runs), np.asarray(owner, np.int64)
     order = np.lexsort((runs, owner))
     runs, owner = runs[order], owner[order]
     fresh = np.concatenate([[True], (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])]) if len(runs) else np.zeros(0, bool)
     return np.split(runs[fresh], np.searchsorted(owner[fresh], np.arange(1, len(lines))))
 
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """A row of BANDS keys for each line, from one permutation hashing with empty bins filled by rotation."""
+def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of BANDS keys, and of a byte of each minimum, for each line: one permutation hashing with empty bins filled by rotation."""
     size = ROWS * BANDS
-    runs, owner = _runs(lines)
-    hashes = mix(runs)
+    hashes, owner = _runs(lines)
     bins = (hashes % np.uint64(size)).astype(np.int64)
     low = (hashes >> np.uint64(33)).astype(np.uint64)  # 31 bits
     keyed = np.sort(((owner * size + bins).astype(np.uint64) << np.uint64(31)) | low)
@@ -85,11 +96,13 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
         if not empty.any():
             break
         minima = np.where(empty & (np.roll(minima, -step, axis=1) >= 0), np.roll(minima, -step, axis=1) + (step << 32), minima)
-    values = mix(minima.astype(np.uint64)).reshape(len(lines), BANDS, ROWS)
+    values = mix(minima.astype(np.uint64))
+    sketch = (values >> np.uint64(56)).astype(np.uint8)
+    values = values.reshape(len(lines), BANDS, ROWS)
     keys = np.zeros((len(lines), BANDS), np.uint64)
     for k in range(ROWS):
         keys = mix(keys ^ values[:, :, k])
-    return keys ^ mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+    return keys ^ mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77)), sketch
 
 
 def _each_line(batch: pa.RecordBatch):
@@ -117,40 +130,70 @@ def _lines(docs: DataFrame, bands: bool) -> DataFrame:
             for row, place, hashes, lines in _each_line(batch):
                 if not len(row):
                     continue
-                more = {"bands": pa.array([x.tobytes() for x in band_keys(lines)], pa.binary())} if bands else {}
+                more = {}
+                if bands:
+                    _, first, again = np.unique(hashes, return_index=True, return_inverse=True)
+                    keys, sketch = band_keys([lines[k] for k in first])
+                    packed = np.concatenate([keys.view(np.uint8).reshape(len(keys), -1), sketch], axis=1)
+                    more["bands"] = pa.array([x.tobytes() for x in packed], pa.binary()).take(pa.array(again))
                 yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes, pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(row)), "row_id": batch.column("row_id").take(pa.array(row)), "place": pa.array(place, pa.int32())} | more)
 
     return _rows(docs).mapInArrow(work, "hash long, doc_id long, row_id long, place int" + ", bands binary" * bands)
 
 
-def _candidates(classes: DataFrame, shards: int) -> DataFrame:
-    """Pairs (a, b) of line hashes that share a band; buckets of many lines are connected through one of them."""
+def _agreeing(node: np.ndarray, sketch: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that hold together what agrees in enough minima, directly or through others, in buckets of equal size (buckets, lines)."""
+    n, g = node.shape
+    if g > MOST_COMPARED:
+        return np.repeat(node[:, :1], g - 1, axis=1).ravel(), node[:, 1:].ravel()
+    if g <= 32:
+        i, j = np.triu_indices(g, 1)
+        near = (sketch[:, i] == sketch[:, j]).sum(-1) >= agree
+        return node[:, i][near], node[:, j][near]
+    found = [[], []]
+    for own, bytes_ in zip(node, sketch, strict=True):
+        linked = np.concatenate([(bytes_[k : k + 64, None] == bytes_[None]).sum(-1) >= agree for k in range(0, g, 64)])
+        found[0].append(own[forest(linked)])
+        found[1].append(own)
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def _candidates(classes: DataFrame, shards: int, agree: int) -> DataFrame:
+    """Pairs (a, b) of line hashes that share a band and agree in enough minima, or hold such pairs together."""
+    wide = 8 * BANDS + ROWS * BANDS
 
     def deal(stream):
         for batch in stream:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint64)
-            node = np.repeat(batch.column("hash").to_numpy(), BANDS)
+            packed = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint8).reshape(-1, wide)
+            keys = np.ascontiguousarray(packed[:, : 8 * BANDS]).view(np.uint64).ravel()
+            row = np.repeat(np.arange(len(packed)), BANDS)
             shard = ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             begin = np.searchsorted(shard[order], np.arange(shards + 1))
-            keys, node = keys[order], node[order]
+            keys, node, sketch = keys[order], batch.column("hash").to_numpy()[row[order]], packed[row[order], 8 * BANDS :]
             at = [k for k in range(shards) if begin[k] < begin[k + 1]]
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(at, pa.int32()), "keys": pa.array([keys[begin[k] : begin[k + 1]].tobytes() for k in at], pa.binary()), "nodes": pa.array([node[begin[k] : begin[k + 1]].tobytes() for k in at], pa.binary())})
+            part = lambda x: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in at], pa.binary())
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(at, pa.int32()), "keys": part(keys), "nodes": part(node), "sketches": part(sketch)})
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, node = (np.frombuffer(b"".join(table.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint64), ("nodes", np.int64)))
+        keys, node, sketch = (np.frombuffer(b"".join(table.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint64), ("nodes", np.int64), ("sketches", np.uint8)))
         order = np.lexsort((node, keys))
         keys, node = keys[order], node[order]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         length = np.diff(np.append(begin, len(keys)))
-        hub = np.repeat(begin, length)
-        follow = np.flatnonzero(hub != np.arange(len(keys)))
-        both = np.unique(np.stack([node[hub[follow]], node[follow]], 1), axis=0)
+        sketch, found = sketch.reshape(len(keys), -1), []
+        for g in np.unique(length[length > 1]).tolist():
+            starts = begin[length == g]
+            for some in np.array_split(starts, 1 + len(starts) * min(g, 32) ** 2 // 200_000):
+                at = some[:, None] + np.arange(g)
+                found.append(_agreeing(node[at], sketch[order[at]], agree))
+        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
         return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
-    dealt = classes.select("hash", "bands").mapInArrow(deal, "shard int, keys binary, nodes binary")
+    dealt = classes.select("hash", "bands").mapInArrow(deal, "shard int, keys binary, nodes binary, sketches binary")
     return dealt.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -159,7 +202,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
 
     Lines are compared with A-Z lower-cased and the white space at their ends
     cut; empty lines are no lines here.  row_id is xxhash64(doc_id, text), so
-    rows that agree in both count as one row.  Null texts have no lines.
+    rows that agree in both count as one row, of which dedup_lines keeps one.
+    Null texts have no lines.
     Components are kept by their first line in the order of doc_id (nulls
     first), row_id and place.
     """
@@ -167,7 +211,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = F.struct("doc_id", "row_id", "place")
     classes = stored(_lines(docs, True).groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "lines")
-    clusters = stored(components(stored(_candidates(classes, shards), "candidates")).join(classes.select(F.col("hash").alias("node"), F.col("first.row_id").alias("row_id")), "node"), "clusters")
+    clusters = stored(components(stored(_candidates(classes, shards, AGREE if percent >= 80 else 0), "candidates")).join(classes.select(F.col("hash").alias("node"), F.col("first.row_id").alias("row_id")), "node"), "clusters")
     wanted = spark.sparkContext.broadcast(place_bitmap(clusters, "node", "row_id"))
 
     def verified(stream):
@@ -179,6 +223,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
 
     found = _rows(docs).mapInArrow(verified, "node long, shingles binary").dropDuplicates(["node"])
     links = stored(exact_links(clusters, found, percent, chunk, line_sets, together=64), "links")
+    wanted.destroy()
     joined = classes.select("hash", "first", "n").join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
     repeated = joined.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "hash"))
     kept = repeated.groupBy("component").agg(F.min("first").alias("kept"))
@@ -190,14 +235,17 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one line kept of each component of near-equal lines; all columns stay.
 
     A text's other lines keep their order.  A document of which every line
-    goes is removed; null texts and texts without lines stay as they are, as
-    does a text that loses nothing.  See duplicate_lines().
+    goes is removed, as are all but one (any one) of rows that agree in doc_id
+    and text; null texts and texts without lines stay as they are, each row
+    of them, as does a text that loses nothing.  See duplicate_lines().
     """
     cut = duplicate_lines(docs, percent).groupBy("row_id").agg(F.collect_set("place").alias("places_cut"))
     names = docs.columns
-    row_id, places = free_name("row_id", names), free_name("places_cut", names)
+    row_id, places, again = (free_name(n, names) for n in ("row_id", "places_cut", "repeats"))
     keyed = docs.withColumn(row_id, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    joined = keyed.join(cut.toDF(row_id, places), row_id, "left").select(*names, places)
+    repeats = keyed.filter(F.col("text").rlike(r"[^ \t\x0B\x0C\r\n]")).groupBy(row_id).agg((F.count("*") > 1).alias(again)).filter(F.col(again))
+    joined = keyed.join(cut.toDF(row_id, places), row_id, "left").join(repeats, row_id, "left")
+    joined = joined.filter(F.col(again).isNull()).unionByName(joined.filter(F.col(again)).dropDuplicates([row_id])).select(*names, places)
     at, schema = names.index("text"), docs.schema
 
     def work(stream):
