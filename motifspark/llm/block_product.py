@@ -87,8 +87,9 @@ def packed_sets(packed: list[bytes]) -> list[np.ndarray]:
 def exact_links(clusters: DataFrame, sets: DataFrame, percent: int, chunk: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = packed_sets, together: int = 0) -> DataFrame:
     """Edges (a, b) that span the links with 100 * intersection >= percent * union inside each cluster.
 
-    clusters: (node, component); sets: (node, shingles), what `unpack` makes
-    sets of distinct uint64 of; by default, these packed.
+    clusters: (node, component), a node in any number of them; sets: (node,
+    shingles), what `unpack` makes sets of distinct uint64 of; by default,
+    these packed.
     A cluster of more than `chunk` sets is cut into chunks, and each pair of
     chunks is one block, so a task holds two chunks at most.  Where `together`
     is given, smaller clusters share blocks of about so many sets; what such

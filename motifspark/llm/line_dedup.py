@@ -9,10 +9,10 @@
 3. Lines that share a band are compared by a byte of each of the 27 minima:
    fewer than 13 equal ones, where a similarity of 0.8 expects 21.6 (less than
    13 with probability 0.0001), is no candidate.  A bucket of very many lines
-   is held together by one of them instead, untested.
-4. Candidates fall into clusters; each cluster is verified by exact Jaccard
-   similarity, in blocks of bounded size.  The lines travel there, not their
-   sets, which are eight times their size.
+   is one group, untested.
+4. What agrees inside a bucket, directly or through others, is one group,
+   verified by exact Jaccard similarity in blocks of bounded size.  The lines
+   travel there, not their sets, which are eight times their size.
 5. Star contraction over the verified links gives components; a component
    keeps its first line, by document and place, and the others are cut out.
 """
@@ -141,25 +141,27 @@ def _lines(docs: DataFrame, bands: bool) -> DataFrame:
     return _rows(docs).mapInArrow(work, "hash long, doc_id long, row_id long, place int" + ", bands binary" * bands)
 
 
-def _agreeing(node: np.ndarray, sketch: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that hold together what agrees in enough minima, directly or through others, in buckets of equal size (buckets, lines)."""
-    n, g = node.shape
+def _groups(sketch: np.ndarray, agree: int) -> np.ndarray:
+    """For buckets of equal size (buckets, lines, minima): the first line of the bucket that each line reaches over pairs that agree in enough minima."""
+    n, g, _ = sketch.shape
     if g > MOST_COMPARED:
-        return np.repeat(node[:, :1], g - 1, axis=1).ravel(), node[:, 1:].ravel()
+        return np.zeros((n, g), np.int64)
     if g <= 32:
-        i, j = np.triu_indices(g, 1)
-        near = (sketch[:, i] == sketch[:, j]).sum(-1) >= agree
-        return node[:, i][near], node[:, j][near]
-    found = [[], []]
-    for own, bytes_ in zip(node, sketch, strict=True):
-        linked = np.concatenate([(bytes_[k : k + 64, None] == bytes_[None]).sum(-1) >= agree for k in range(0, g, 64)])
-        found[0].append(own[forest(linked)])
-        found[1].append(own)
-    return np.concatenate(found[0]), np.concatenate(found[1])
+        near = (sketch[:, :, None] == sketch[:, None]).sum(-1, dtype=np.uint8) >= agree
+        label = np.tile(np.arange(g), (n, 1))
+        while True:
+            new = np.where(near, label[:, None], g).min(-1)
+            if (new == label).all():
+                return label
+            label = new
+    return np.stack([forest(np.concatenate([(own[k : k + 64, None] == own[None]).sum(-1, dtype=np.uint8) >= agree for k in range(0, g, 64)])) for own in sketch])
 
 
 def _candidates(classes: DataFrame, shards: int, agree: int) -> DataFrame:
-    """Pairs (a, b) of line hashes that share a band and agree in enough minima, or hold such pairs together."""
+    """(component, node): groups of line hashes that share a band and agree in enough minima, directly or through others of the bucket.
+
+    A group is named by its members, so what several bands find is one group.
+    """
     wide = 8 * BANDS + ROWS * BANDS
 
     def deal(stream):
@@ -184,17 +186,22 @@ def _candidates(classes: DataFrame, shards: int, agree: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         length = np.diff(np.append(begin, len(keys)))
         sketch, found = sketch.reshape(len(keys), -1), []
+        spread = mix(node.view(np.uint64)).view(np.int64)
         for g in np.unique(length[length > 1]).tolist():
             starts = begin[length == g]
             for some in np.array_split(starts, 1 + len(starts) * min(g, 32) ** 2 // 200_000):
                 at = some[:, None] + np.arange(g)
-                found.append(_agreeing(node[at], sketch[order[at]], agree))
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+                label = _groups(sketch[order[at]], agree)
+                cell, at = (label + np.arange(len(some))[:, None] * g).ravel(), at.ravel()
+                name, size = np.zeros(len(at), np.int64), np.bincount(cell, minlength=len(at))
+                np.add.at(name, cell, spread[at])
+                several = size[cell] > 1
+                found.append((name[cell][several], node[at][several]))
+        both = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
+        return pa.table({"component": pa.array(both[0], pa.int64()), "node": pa.array(both[1], pa.int64())})
 
     dealt = classes.select("hash", "bands").mapInArrow(deal, "shard int, keys binary, nodes binary, sketches binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    return dealt.groupBy("shard").applyInArrow(meet, "component long, node long").distinct()
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> DataFrame:
@@ -211,8 +218,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = F.struct("doc_id", "row_id", "place")
     classes = stored(_lines(docs, True).groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "lines")
-    clusters = stored(components(stored(_candidates(classes, shards, AGREE if percent >= 80 else 0), "candidates")).join(classes.select(F.col("hash").alias("node"), F.col("first.row_id").alias("row_id")), "node"), "clusters")
-    wanted = spark.sparkContext.broadcast(place_bitmap(clusters, "node", "row_id"))
+    groups = stored(_candidates(classes, shards, AGREE if percent >= 80 else 0), "candidates")
+    owners = groups.select("node").distinct().join(classes.select(F.col("hash").alias("node"), F.col("first.row_id").alias("row_id")), "node")
+    wanted = spark.sparkContext.broadcast(place_bitmap(owners, "node", "row_id"))
 
     def verified(stream):
         for batch in stream:
@@ -222,7 +230,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> Dat
                 yield pa.RecordBatch.from_pydict({"node": pa.array(hashes[at], pa.int64()), "shingles": pa.array([lines[k] for k in at], pa.binary())})
 
     found = _rows(docs).mapInArrow(verified, "node long, shingles binary").dropDuplicates(["node"])
-    links = stored(exact_links(clusters, found, percent, chunk, line_sets, together=64), "links")
+    links = stored(exact_links(groups, found, percent, chunk, line_sets, together=64), "links")
     wanted.destroy()
     joined = classes.select("hash", "first", "n").join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
     repeated = joined.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "hash"))

@@ -149,48 +149,56 @@ def _back(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
+def step_table(steps: np.ndarray, code: int) -> list[int]:
+    """symbol << 4 | length by the bits that follow: green and red in their place of a pixel, other symbols of the first code beyond 1 << 16."""
+    size, symbol = steps & 15, steps >> 4
+    if code == 0:
+        symbol = np.where(symbol < 256, symbol << 8, symbol + 65536)
+    return ((symbol << 16 if code == 1 else symbol) << 4 | size).tolist()
+
+
 def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: int, total: int, cache_bits: int) -> tuple[list[int], int]:
     """The pixels of an image of one code group, and the bit after it.
 
-    words: see words_of(); tables: symbol << 4 | length by the bits that follow, for each of the five codes.
+    words: see words_of(); tables: see step_table(), for each of the five codes.
     """
-    g_mask, r_mask, b_mask, a_mask, d_mask = (len(x) - 1 for x in tables)
     greens, reds, blues, alphas, distances = tables
+    opaque = len(alphas) == 1
+    g_mask, r_mask, b_mask, a_mask, d_mask = (len(x) - 1 for x in tables)
+    base = alphas[0] >> 4 << 24 if opaque else 0
     out: list[int] = []
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    add, many, limit = out.append, 0, 280 + (1 << cache_bits if cache_bits else 0)
-    last = len(words) - 1
+    add, filled, limit = out.append, 0, 65536 + 280 + (1 << cache_bits if cache_bits else 0)
+    last = len(words) - 9
     try:
-        while many < total:
+        while len(out) < total:
             ahead = words[at >> 3] >> (at & 7)
             step = greens[ahead & g_mask]
             n = step & 15
             symbol = step >> 4
-            if symbol < 256:
+            if symbol < 65536:
                 ahead >>= n
                 red = reds[ahead & r_mask]
-                ahead >>= red & 15
-                blue = blues[ahead & b_mask]
-                at += n + (red & 15) + (blue & 15)
-                if a_mask:
+                size = red & 15
+                blue = blues[(ahead >> size) & b_mask]
+                at += n + size + (blue & 15)
+                if opaque:
+                    add(base + symbol + (red >> 4) + (blue >> 4))
+                else:
                     alpha = alphas[words[at >> 3] >> (at & 7) & a_mask]
                     at += alpha & 15
-                else:
-                    alpha = alphas[0]
-                p = alpha >> 4 << 24 | red >> 4 << 16 | symbol << 8 | blue >> 4
-                add(p)
-                many += 1
-                if cache_bits:
-                    cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+                    add((alpha >> 4 << 24) + symbol + (red >> 4) + (blue >> 4))
                 continue
             at += n
-            if symbol >= 280:
+            if symbol >= 65536 + 280:
                 if symbol >= limit:
                     raise WebpError("no such colour in the cache")
-                add(cache[symbol - 280])
-                many += 1
+                for p in out[filled:]:  # what has come since the last look into the cache
+                    cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+                filled = len(out)
+                add(cache[symbol - 65536 - 280])
                 continue
-            symbol -= 256
+            symbol -= 65536 + 256
             if symbol < 4:
                 n = symbol + 1
             else:
@@ -206,21 +214,13 @@ def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: in
                 more = (symbol - 2) >> 1
                 far = ((2 + (symbol & 1)) << more) + (words[at >> 3] >> (at & 7) & ((1 << more) - 1)) + 1
                 at += more
-            back = _back(far, width)
+            back, many = _back(far, width), len(out)
             if back > many or many + n > total:
                 raise WebpError("a back-reference leaves the image")
-            if n <= back:
-                part = out[many - back : many - back + n]
-            else:
-                part = (out[many - back :] * (n // back + 1))[:n]
-            out += part
-            many += n
-            if cache_bits:
-                for p in part:
-                    cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> shift] = p
+            out += out[many - back : many - back + n] if n <= back else (out[many - back :] * (n // back + 1))[:n]
     except IndexError:
         raise WebpError("the stream ends early") from None
-    if at >> 3 > last - 8 and at > 8 * (last - 8):
+    if at > 8 * last:
         raise WebpError("the stream ends early")
     return out, at
 
@@ -240,7 +240,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     if count == 1:
         begin = bits.at >> 3
-        found, at = entropy_pixels(words_of(bits.data, begin, len(bits.data)), bits.at & 7, [c.steps for c in groups[0]], width, total, cache_bits)
+        found, at = entropy_pixels(words_of(bits.data, begin, len(bits.data)), bits.at & 7, [step_table(c.peek, k) for k, c in enumerate(groups[0])], width, total, cache_bits)
         bits.at = 8 * begin + at
         return np.array(found, np.uint32)
     out: list[int] = []

@@ -17,7 +17,7 @@ from functools import cache, cached_property
 import numpy as np
 
 from .textops import mix
-from .webp import ALPHABETS, CACHE_FACTOR, CROSS_COLOUR, LENGTH_ORDER, NEAR, PALETTE, PREDICTOR, WebpError, _channels, _cross, _near, _pixels, _symbols, code_lengths, decode_image, entropy_pixels
+from .webp import ALPHABETS, CACHE_FACTOR, CROSS_COLOUR, LENGTH_ORDER, NEAR, PALETTE, PREDICTOR, WebpError, _channels, _cross, _near, _pixels, _symbols, code_lengths, decode_image, entropy_pixels, step_table
 
 WIDTH, MOST_ROWS = 64, 16384
 TILE = 4
@@ -83,7 +83,7 @@ def huffman_lengths(row: np.ndarray, symbol: np.ndarray, count: np.ndarray, rows
     """Huffman code lengths of the entries (ordered by row) of many codes; counts are halved until none is longer than `most`."""
     many = np.bincount(row, minlength=rows)
     out = np.ones(len(row), np.int64)
-    if rows <= FEW:
+    if rows <= 5 * FEW:
         for r, a in zip(np.flatnonzero(many > 1).tolist(), _first(many)[many > 1].tolist(), strict=True):
             b = a + many[r]
             own = code_lengths(dict(zip(symbol[a:b].tolist(), count[a:b].tolist(), strict=True)), int(symbol[a:b].max()) + 1, most)
@@ -116,12 +116,11 @@ def huffman_lengths(row: np.ndarray, symbol: np.ndarray, count: np.ndarray, rows
             x, y = leaf_w[own, a], inner_w[own, b]
             take = x <= y
             total += np.where(take, x, y)
-            some = np.flatnonzero(take)
+            some, other = take.nonzero()[0], (~take).nonzero()[0]
             leaf_up[some, a[some]] = t
-            other = np.flatnonzero(~take)
             inner_up[other, b[other]] = t
-            leaf[:live] += take
-            inner[:live] += ~take
+            leaf[some] += 1
+            inner[other] += 1
         inner_w[:live, t] = total
     depth = np.zeros((rows, k), np.int64)
     for t in range(k - 3, -1, -1):
@@ -285,18 +284,26 @@ def _write_images(out: Streams, pixels: np.ndarray, owner: np.ndarray, width: in
     if copy.any():
         lengths, distances = _symbols(length), _symbols(distance)
         green[copy] = 256 + lengths[0][copy]
-    for symbol, used, size, more in ((green, None, alphabet, lengths), (red, literal, 256, None), (blue, literal, 256, None), (alpha, literal, 256, None), (distances[0], copy, 40, distances)):
+    streams = ((green, None, alphabet, lengths), (red, literal, 256, None), (blue, literal, 256, None), (alpha, literal, 256, None), (distances[0], copy, 40, distances))
+    cells, entries, counted = [], [], []
+    for symbol, used, size, _ in streams:
+        some = slice(None) if used is None else used
+        cells.append(owner[some] * size + symbol[some])
+        counts = np.bincount(cells[-1], minlength=out.many * size)
+        entries.append(np.flatnonzero(counts))
+        counted.append(counts[entries[-1]])
+    rows = [k * out.many + entry // size for k, (entry, (_, _, size, _)) in enumerate(zip(entries, streams, strict=True))]
+    syms = [entry % size for entry, (_, _, size, _) in zip(entries, streams, strict=True)]
+    built = huffman_lengths(np.concatenate(rows), np.concatenate(syms), np.concatenate(counted), 5 * out.many, 15)
+    built = np.split(built, np.cumsum([len(x) for x in entries])[:-1])
+    for k, (_, used, size, more) in enumerate(streams):
+        row = rows[k] - k * out.many
+        _write_codes(out, row, syms[k], built[k])
+        words, bits = (np.zeros(out.many * size, np.int64) for _ in range(2))
+        words[entries[k]], bits[entries[k]] = _words(row, syms[k], built[k], out.many)
         some = np.arange(len(at)) if used is None else np.flatnonzero(used)
-        cell = owner[some] * size + symbol[some]
-        counts = np.bincount(cell, minlength=out.many * size)
-        entry = np.flatnonzero(counts)
-        row, sym = entry // size, entry % size
-        own = huffman_lengths(row, sym, counts[entry], out.many, 15)
-        _write_codes(out, row, sym, own)
-        words, bits = (np.zeros(len(counts), np.int64) for _ in range(2))
-        words[entry], bits[entry] = _words(row, sym, own, out.many)
-        values[some] |= words[cell] << sizes[some]
-        sizes[some] += bits[cell]
+        values[some] |= words[cells[k]] << sizes[some]
+        sizes[some] += bits[cells[k]]
         if more is not None and copy.any():
             now = np.flatnonzero(copy)
             values[now] |= more[1][now] << sizes[now]
@@ -376,7 +383,9 @@ def _transformed(batch: _Batch, out: Streams) -> np.ndarray:
         rests.append(image - made)
         costs.append(batch.by_tile(sum(_cost(rests[-1][..., c], batch.image, batch.total) for c in range(3))))
     best = np.argmin(costs, axis=0)
-    image = np.choose(best[batch.tile][..., None], rests)
+    chosen, image = best[batch.tile], rests[0]
+    for k in range(1, len(rests)):
+        np.copyto(image, rests[k], where=(chosen == k)[..., None])
     out.each(1 | PREDICTOR << 1 | (TILE - 2) << 3, 6)
     _write_images(out, np.array(MODES)[best] << 8, batch.tile_image)
     factors = np.zeros((4, len(best)), np.int64)
@@ -496,15 +505,18 @@ class _Codes:
         count = np.bincount(cell, minlength=rows << 4).reshape(rows, 16)
         return np.cumsum(count << (15 - np.arange(16)), axis=1), self.begin[:, None] + np.cumsum(count, axis=1) - count
 
-    def steps(self, lane: int) -> list[int]:
+    def tables(self, code: int) -> list[list[int]]:
+        """step_table() of every lane."""
+        alone = step_table(self.lone << 4, code)
+        return [[one] if lone else step_table(self.steps(k), code) for k, (lone, one) in enumerate(zip(self.alone.tolist(), alone, strict=True))]
+
+    def steps(self, lane: int) -> np.ndarray:
         """symbol << 4 | length of one lane by the bits that follow, as many as its longest word has."""
-        if self.alone[lane]:
-            return [int(self.lone[lane]) << 4]
         a, b = self.begin[lane], self.begin[lane] + self.many[lane]
         length = self.length[a:b]
         longest = int(length[-1])
         ordered = np.repeat(self.symbol[a:b] << 4 | length, np.int64(1) << (longest - length))
-        return ordered[_reversed15()[: 1 << longest] >> (15 - longest)].tolist()
+        return ordered[_reversed15()[: 1 << longest] >> (15 - longest)]
 
     def read(self, lanes: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, bits taken) for the lanes from the bits that follow."""
@@ -618,6 +630,7 @@ def _read_lanes(bits: _Reader, lanes: np.ndarray, width: np.ndarray, height: np.
     if not len(ids):
         return out, left
     codes = [_read_codes(bits, lanes, np.full(len(lanes), n) + (np.where(cache_bits > 0, 1 << cache_bits, 0) if k == 0 else 0)) for k, n in enumerate(ALPHABETS)]
+    tables = list(zip(*(c.tables(j) for j, c in enumerate(codes)), strict=True))
     for k, i in enumerate(ids.tolist()):
         if all(c.alone[k] for c in codes[:4]) and codes[0].lone[k] < 256:  # no bits at all
             green, red, blue, alpha = (int(c.lone[k]) for c in codes[:4])
@@ -625,7 +638,7 @@ def _read_lanes(bits: _Reader, lanes: np.ndarray, width: np.ndarray, height: np.
             continue
         at = int(bits.at[lanes[k]])
         words = bits.words[at >> 3 : (int(bits.end[lanes[k]]) >> 3) + 9].tolist()
-        pixels, to = entropy_pixels(words, at & 7, [c.steps(k) for c in codes], int(width[k]), int(total[k]), int(cache_bits[k]))
+        pixels, to = entropy_pixels(words, at & 7, tables[k], int(width[k]), int(total[k]), int(cache_bits[k]))
         bits.at[lanes[k]] = (at & ~7) + to
         out[i] = np.array(pixels, np.uint32)
     return out, left
@@ -779,7 +792,7 @@ def decode_batch(files: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def store_payloads(payloads: list[bytes], most_pixels: int = 1 << 18) -> list[bytes]:
+def store_payloads(payloads: list[bytes], most_pixels: int = 1 << 19) -> list[bytes]:
     """Bytes, a positive multiple of 192 each, as WebP files of 64 pixels by at most 16,384 rows, one after the other."""
     parts, owner = [], []
     for k, payload in enumerate(payloads):

@@ -8,7 +8,6 @@ import random
 import numpy as np
 
 from motifspark.llm import line_dedup as D
-from motifspark.llm.components import components
 
 RNG = random.Random(5)
 WORDS = ["".join(RNG.choices("abcdefghijklmnopqrstuvwxyzäé", k=RNG.randint(2, 9))) for _ in range(400)]
@@ -102,9 +101,9 @@ def test_buckets_of_any_size_hold_together(monkeypatch, spark):
     rows = [(k, edited(text, 1)) for k in range(90)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert D.dedup_lines(frame).count() == 1
-    keys, sketch = D.band_keys([x.encode() for _, x in rows])
-    for most in (1 << 20, 10):
+    _, sketch = D.band_keys([x.encode() for _, x in rows])
+    for most, n in ((1 << 20, 90), (10, 90), (10, 20)):
         monkeypatch.setattr(D, "MOST_COMPARED", most)
-        a, b = D._agreeing(np.arange(90)[None], sketch[None], D.AGREE)
-        links = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
-        assert {r.component for r in components(links).collect()} == {0}
+        assert (D._groups(sketch[None, :n], D.AGREE) == 0).all()
+    apart = np.concatenate([sketch[:3], sketch[:3] ^ np.uint8(1)])
+    assert D._groups(apart[None], D.AGREE).tolist() == [[0, 0, 0, 3, 3, 3]]
