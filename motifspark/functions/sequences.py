@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,10 +40,15 @@ def iupac_pattern(motif: str) -> str:
     return "".join(f"[{IUPAC[x]}]" for x in motif.upper())
 
 
+def bound(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
+    """use(struct of the values), with each value computed once a row, however often a lambda of `use` names it."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use)[0]
+
+
 def differing(a: Column | str, b: Column | str) -> Column:
     """The positions at which two sequences differ."""
-    a, b = _col(a), _col(b)
-    return F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda p: F.substring(a, p, F.lit(1)) != F.substring(b, p, F.lit(1)))
+    places = lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.length(x["a"]), F.lit(1))), lambda p: F.substring(x["a"], p, F.lit(1)) != F.substring(x["b"], p, F.lit(1)))
+    return bound({"a": _col(a), "b": _col(b)}, places)
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
@@ -61,9 +68,87 @@ def known_length(seq: Column | str) -> Column:
 
 def mask_both(a: Column | str, b: Column | str) -> Column:
     """The first sequence, with n wherever either one has it."""
-    a, b = _col(a), _col(b)
-    letters = F.transform(F.sequence(F.lit(1), F.length(a)), lambda p: F.when(F.substring(b, p, F.lit(1)) == "n", F.lit("n")).otherwise(F.substring(a, p, F.lit(1))))
-    return F.when(F.length(a) > 0, F.array_join(letters, "")).otherwise("")
+    letters = lambda x: F.transform(F.sequence(F.lit(1), F.length(x["a"])), lambda p: F.when(F.substring(x["b"], p, F.lit(1)) == "n", F.lit("n")).otherwise(F.substring(x["a"], p, F.lit(1))))
+    return F.when(F.length(_col(a)) > 0, F.array_join(bound({"a": _col(a), "b": _col(b)}, letters), "")).otherwise("")
+
+
+def unknown_share(seq: Column | str) -> Column:
+    """The share of unknown bases between the first and the last known one; 0 where there is none."""
+    inner = strip_unknown(seq)
+    return F.when(F.length(inner) > 0, 1 - known_length(inner) / F.length(inner)).otherwise(0.0)
+
+
+def filled(seq: Column | str, key: Column | str) -> Column:
+    """Inner unknown bases replaced by bases that a digest of the key and the position picks, so a pair of one key gets the same."""
+    digit = lambda k, p: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.concat(k, F.lit("-"), p.cast("string"))), 1, 1)) - 1
+
+    def letters(x):
+        first, last = F.length(F.regexp_extract(x["s"], "^n*", 0)), F.length(x["s"]) - F.length(F.regexp_extract(x["s"], "n*$", 0))
+        base = lambda p: F.substring(x["s"], p, F.lit(1))
+        return F.transform(F.sequence(F.lit(1), F.length(x["s"])), lambda p: F.when((base(p) == "n") & (p > first) & (p <= last), F.substring(F.lit(BASES), digit(x["k"], p) % 4 + 1, F.lit(1))).otherwise(base(p)))
+
+    return F.when(F.length(_col(seq)) > 0, F.array_join(bound({"s": _col(seq), "k": _col(key).cast("string")}, letters), "")).otherwise("")
+
+
+def collapsed_runs(seq: Column | str, flank: int) -> Column:
+    """The inner runs of n longer than `flank`, as structs of start and end (from 0, in the sequence without its unknown ends)."""
+
+    def runs(x):
+        at = lambda p: F.substring(x["s"], p, F.lit(1)) == "n"
+        n = F.length(x["s"])
+        places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+        begins = F.filter(places, lambda p: at(p) & ~at(p - 1) & (p > 1))
+        length = lambda p: F.length(F.regexp_extract(F.substring(x["s"], p, n), "^n*", 0))
+        return F.filter(F.transform(begins, lambda p: F.struct((p - 1).alias("start"), (p - 1 + length(p)).alias("end"))), lambda r: r["end"] - r["start"] > flank)
+
+    return bound({"s": strip_unknown(seq)}, runs)
+
+
+def raw_position(pos: Column, offset: Column, runs: Column, flank: int) -> Column:
+    """Where a position of a trimmed, collapsed sequence lies in the sequence as it was; runs: see collapsed_runs()."""
+    step = lambda s, r: F.when(s["done"] | (s["raw"] <= offset + r["start"] - flank), F.struct(s["raw"].alias("raw"), F.lit(True).alias("done"))).otherwise(F.struct((s["raw"] + r["end"] - r["start"] - flank).alias("raw"), F.lit(False).alias("done")))
+    return F.aggregate(runs, F.struct((pos + offset).cast("int").alias("raw"), F.lit(False).alias("done")), step, lambda s: s["raw"])
+
+
+def trimmed(a: Column | str, b: Column | str, left: int, right: int) -> Column:
+    """(start, end) from 0 of what lies between the flanks of a pair: each half is scanned from its outer end for conserved known bases.
+
+    What comes before the first `left` conserved bases of the first half is skipped, so are these; likewise from the end.
+    """
+
+    def ends(x):
+        base = lambda t, p: F.substring(x[t], p, F.lit(1))
+        flags = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x["a"]), F.lit(1))), lambda p: F.when((base("a", p) != base("b", p)) | (base("a", p) == "n") | (base("b", p) == "n"), "1").otherwise("0")), "")
+        half = F.floor(F.length(x["a"]) / 2).cast("int")
+        skipped = lambda text, n: F.length(F.regexp_extract(text, f"^(?:0{{0,{n - 1}}}1)*", 0)) if n else F.lit(0)
+        return F.struct((skipped(F.substring(flags, F.lit(1), half), left) + left).alias("start"), (F.length(x["a"]) - skipped(F.reverse(F.substring(flags, half + 1, F.length(flags))), right) - right).alias("end"))
+
+    return bound({"a": _col(a), "b": _col(b)}, ends)
+
+
+def productive(seq: Column | str, start: Column | str, invariant: Sequence[int]) -> Column:
+    """No stop codon, whole codons only, and the codons at the invariant places (numbered from 0) as at the start."""
+    codons = lambda t: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(t) / 3).cast("int") - 1, F.lit(0))), lambda i: F.substring(t, 1 + 3 * i, F.lit(3)))
+
+    def test(x):
+        same = F.lit(True)
+        for k in invariant:
+            same = same & (F.substring(x["s"], 1 + 3 * k, 3) == F.substring(x["g"], 1 + 3 * k, 3))
+        return ~F.exists(codons(x["s"]), lambda c: c.isin("taa", "tag", "tga")) & (F.length(x["s"]) % 3 == 0) & same
+
+    return bound({"s": _col(seq), "g": _col(start)}, test)
+
+
+def parse_positions(text: str) -> list[list[int]]:
+    """Places that mutate, by motif length: "0,1:1" is [[0, 1], [1]]."""
+    return [[int(x) for x in part.split(",")] for part in text.split(":")]
+
+
+def positions_of(lengths: Sequence[int], positions: Sequence[Sequence[int]]) -> list[tuple[int, int]]:
+    """(motif length, bases before the mutating one) of each block; a place outside its motif is an error."""
+    if len(lengths) != len(positions) or any(not 0 <= p < k for k, own in zip(lengths, positions, strict=False) for p in own):
+        raise ValueError("places must lie inside their motifs")
+    return [(k, p) for k, own in zip(lengths, positions, strict=True) for p in own]
 
 
 def collapse_unknown(seq: Column | str, flank: int) -> Column:

@@ -26,7 +26,8 @@ def states(orders: DataFrame, key: str = "sk") -> DataFrame:
 
 def risk_sites(orders: DataFrame, k: int = 3, left: int = 1, key: str = "sk") -> DataFrame:
     """(key, step, site, motif, hit, target): the sites at risk before each step; hit marks the one that mutates."""
-    spread = states(orders.repartition(key), key).withColumn("site", F.explode(F.sequence(F.lit(left + 1), F.length("state") - (k - 1 - left))))
+    dealt = orders.repartition(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spread = states(dealt, key).withColumn("site", F.explode(F.sequence(F.lit(left + 1), F.length("state") - (k - 1 - left))))
     return spread.filter(~F.array_contains("done", F.col("site"))).select(key, "step", "site", F.substring(F.col("state"), F.col("site") - left, F.lit(k)).alias("motif"), (F.col("site") == F.col("pos")).alias("hit"), "target")
 
 

@@ -19,24 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Dealt out by a key where a small table lies in fewer splits than there are cores: the work in a row is far larger than the row."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores, key)
+
+
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gk, family, gs)"""
     key = F.col("c_custkey").cast("string")
     digest = F.concat(F.md5(F.concat(F.lit("g"), key)), F.md5(F.concat(F.lit("h"), key)))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("gk"), F.col("c_mktsegment").alias("family"), F.translate(digest, HEX, "acgt" * 4).alias("gs"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select(F.col("c_custkey").alias("gk"), F.col("c_mktsegment").alias("family"), F.translate(digest, HEX, "acgt" * 4).alias("gs"))
 
 
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sk, gk, family, gs, es, mutations): mutations in their order, as structs of pos and target."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sk"), F.col("o_custkey").alias("gk"))
+    orders = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sk"), F.col("o_custkey").alias("gk")), "sk")
     joined = orders.join(genes(spark, sf_dir), "gk")
-    digits = joined.withColumns({"mask": F.expr("concat(md5(concat('m', sk)), md5(concat('k', sk)))"), "turn": F.expr("concat(md5(concat('t', sk)), md5(concat('u', sk)))")})
+    # the digests are bound once a row: named inside a lambda, they would be computed anew for every place
     found = F.expr(f"""
-        transform(
-            array_sort(transform(
-                filter(sequence(2, {LENGTH - 1}), p -> substr(mask, p, 1) = '0'),
-                p -> struct(md5(concat(sk, '-', p)) AS h, p AS pos,
-                    substr('acgtacgt', instr('acgt', substr(gs, p, 1)) + 1 + (instr('{HEX}', substr(turn, p, 1)) - 1) % 3, 1) AS target))),
-            x -> struct(x.pos AS pos, x.target AS target))""")
+        transform(array(struct(sk, gs, concat(md5(concat('m', sk)), md5(concat('k', sk))) AS mask, concat(md5(concat('t', sk)), md5(concat('u', sk))) AS turn)), r ->
+            transform(
+                array_sort(transform(
+                    filter(sequence(2, {LENGTH - 1}), p -> substr(r.mask, p, 1) = '0'),
+                    p -> struct(md5(concat(r.sk, '-', p)) AS h, p AS pos,
+                        substr('acgtacgt', instr('acgt', substr(r.gs, p, 1)) + 1 + (instr('{HEX}', substr(r.turn, p, 1)) - 1) % 3, 1) AS target))),
+                x -> struct(x.pos AS pos, x.target AS target)))[0]""")
     ended = F.expr("aggregate(mutations, gs, (s, x) -> overlay(s PLACING x.target FROM x.pos FOR 1))")
-    return digits.select("sk", "gk", "family", "gs", found.alias("mutations")).withColumn("es", ended)
+    return joined.select("sk", "gk", "family", "gs", found.alias("mutations")).withColumn("es", ended)
