@@ -85,3 +85,21 @@ def aggregate_theta(full: DataFrame, blocks: Sequence[tuple[int, int, DataFrame]
 def state_after(start: Column, mutations: Column, steps: Column) -> Column:
     """The sequence after the first `steps` of its ordered mutations."""
     return F.aggregate(F.slice(mutations, F.lit(1), steps), start, lambda s, x: F.overlay(s, x["target"], x["pos"], F.lit(1)))
+
+
+def mutability(labelled: DataFrame) -> DataFrame:
+    """(motif, mutability): how often a motif's site mutates, the sum over motifs scaled to 1; labelled: (motif, target), null where none."""
+    rates = labelled.groupBy("motif").agg((F.count("target") / F.count("*")).alias("rate"))
+    total = rates.agg(F.sum("rate")).first()[0]
+    return rates.select("motif", (F.col("rate") / F.lit(total)).alias("mutability"))
+
+
+def substitution(labelled: DataFrame) -> DataFrame:
+    """(motif, target, substitution): a motif's shares of targets among its mutations."""
+    counts = labelled.filter("target IS NOT NULL").groupBy("motif", "target").agg(F.count("*").alias("n"))
+    return counts.withColumn("substitution", F.col("n") / F.sum("n").over(Window.partitionBy("motif"))).drop("n")
+
+
+def targeting(found: DataFrame, rates: DataFrame) -> DataFrame:
+    """(motif, target, n, targeting): how many sites have each motif, and what their rates towards each target add up to; a null rate stays null."""
+    return found.groupBy("motif").agg(F.count("*").alias("n")).join(F.broadcast(rates), "motif").select("motif", "target", "n", (F.col("n") * F.col("rate")).alias("targeting"))

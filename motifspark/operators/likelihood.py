@@ -55,6 +55,11 @@ def log_likelihood(counts: DataFrame, theta: DataFrame, key: str = "sk") -> Data
     return steps.groupBy(key).agg(F.count("*").alias("n_steps"), F.sum(F.col("num") - F.ln("den")).alias("log_lik"))
 
 
+def denominators(counts: DataFrame, theta: DataFrame, key: str = "sk") -> DataFrame:
+    """(key, step, den): the hazard of all sites at risk before each step."""
+    return _with_theta(counts, theta).groupBy(key, "step").agg(F.sum(F.col("n") * F.col("hazard")).alias("den"))
+
+
 def weights(counts: DataFrame, theta: DataFrame, key: str = "sk") -> DataFrame:
     """(key, step, motif, share, hit): each motif's share of the hazard before each step."""
     rated = _with_theta(counts, theta)
@@ -94,6 +99,31 @@ def residuals(orders: DataFrame, theta: DataFrame, k: int = 3, left: int = 1, ke
 
 def penalised_objective(counts: DataFrame, theta: DataFrame, penalty: float, key: str = "sk") -> DataFrame:
     """One row: the mean negative log-likelihood plus the lasso penalty."""
-    fit = log_likelihood(counts, theta, key).agg(F.avg("log_lik").alias("mean"))
-    norm = theta.agg(F.sum(F.abs("theta")).alias("norm"))
-    return fit.join(norm).select((-F.col("mean") + penalty * F.col("norm")).alias("objective"))
+    norm = theta.agg(F.sum(F.abs("theta"))).first()[0] or 0.0
+    return log_likelihood(counts, theta, key).agg((-F.avg("log_lik") + penalty * norm).alias("objective"))
+
+
+def fused_objective(counts: DataFrame, theta: DataFrame, edges: DataFrame, penalty: float, fused: float, key: str = "sk") -> DataFrame:
+    """The lasso's objective plus a penalty on the differences of neighbouring motifs; edges: (motif, other), each pair in both orders."""
+    ends = edges.join(F.broadcast(theta.select("motif", F.col("theta").alias("x"))), "motif").join(F.broadcast(theta.select(F.col("motif").alias("other"), F.col("theta").alias("y"))), "other")
+    apart = ends.agg(F.sum(F.abs(F.col("x") - F.col("y")))).first()[0] or 0.0
+    return penalised_objective(counts, theta, penalty, key).select((F.col("objective") + fused * apart).alias("objective"))
+
+
+def observed_information(counts: DataFrame, theta: DataFrame, label: str, samples: int, key: str = "sk") -> DataFrame:
+    """(f1, f2, value): the information of the observed data by Louis' method.
+
+    counts: one `key` for each sampled order, with the `label` of its
+    observation, which has `samples` of them.  Per observation only its own
+    gradient is held; sums are of 4**k by 4**k numbers.
+    """
+    own = weights(counts, theta, key).join(counts.select(key, label).distinct(), key).groupBy(label, "motif").agg(F.sum(F.col("hit").cast("double") - F.col("share")).alias("g"))
+    listed = own.groupBy(label).agg(F.collect_list(F.struct("motif", "g")).alias("all"))
+    whole = own.groupBy("motif").agg(F.sum("g").alias("g")).agg(F.collect_list(F.struct("motif", "g")).alias("all"))
+    pairs = lambda frame: frame.select("all", F.inline("all").alias("f1", "g1")).select("f1", "g1", F.inline("all").alias("f2", "g2")).groupBy("f1", "f2").agg(F.sum(F.col("g1") * F.col("g2")).alias("value"))
+    m = float(samples)
+    parts = [(hessian(counts, theta, key), -1 / m), (score_products(counts, theta, key), -1 / m), (pairs(whole), -1 / m**2), (pairs(listed), 1 / m**2)]
+    out = parts[0][0].select("f1", "f2", (F.col("value") * parts[0][1]).alias("value"))
+    for frame, by in parts[1:]:
+        out = out.unionByName(frame.select("f1", "f2", (F.col("value") * by).alias("value")))
+    return out.groupBy("f1", "f2").agg(F.sum("value").alias("value"))

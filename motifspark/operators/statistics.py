@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,8 +22,14 @@ def relative_error(frame: DataFrame, fitted: str, truth: str, by: list[str]) ->
 
 
 def average_ranks(frame: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Adds the rank within the group; ties share their mean rank."""
-    return frame.withColumn(name, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0)
+    """Adds the rank within the group; ties share their mean rank.
+
+    Ranks come from the counts of distinct values, joined back, so rows of a group are never sorted in one task.
+    """
+    cells = frame.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
+    ranks = cells.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).alias(name))
+    return frame.join(ranks, [*by, value])
 
 
 def spearman(frame: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -38,10 +46,11 @@ def kendall(frame: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return sums.select(*by, F.when((F.col("tx") > 0) & (F.col("ty") > 0), F.col("s") / F.sqrt(F.col("tx") * F.col("ty"))).alias("kendall"))
 
 
-def coverage(frame: DataFrame, by: list[str], lower: str = "lower", upper: str = "upper", truth: str = "truth", slack: float = 1e-5) -> DataFrame:
-    """The share of true values inside their intervals."""
-    inside = (F.col(lower) - slack <= F.col(truth)) & (F.col(truth) <= F.col(upper) + slack)
-    return frame.groupBy(*by).agg(F.count("*").alias("n"), F.avg(inside.cast("double")).alias("covered"))
+def coverage(frame: DataFrame, by: list[str], lower: str = "lower", upper: str = "upper", truth: str = "truth", slack: float = 1e-5, zero: float = 1e-6) -> DataFrame:
+    """The share of true values inside their intervals: of all, and of the negative, zero and positive ones; null where there are none."""
+    inside = ((F.col(lower) - slack <= F.col(truth)) & (F.col(truth) <= F.col(upper) + slack)).cast("double")
+    signs = {"negative": F.col(truth) < -zero, "zero": F.abs(truth) <= zero, "positive": F.col(truth) > zero}
+    return frame.groupBy(*by).agg(F.count("*").alias("n"), F.avg(inside).alias("covered"), *[F.avg(F.when(which, inside)).alias(f"covered_{k}") for k, which in signs.items()])
 
 
 def discoveries(frame: DataFrame, by: list[str], fitted: str, truth: str, zero: float = 1e-6) -> DataFrame:
@@ -72,5 +81,94 @@ def median_centred(frame: DataFrame, by: list[str], value: str, name: str) -> Da
 
 def median_scaled(frame: DataFrame, value: str, name: str) -> DataFrame:
     """The value over the median magnitude of those that aren't zero."""
-    mid = frame.filter(F.abs(value) > 1e-6).agg(F.median(F.abs(value)).alias("mid"))
-    return frame.join(F.broadcast(mid)).withColumn(name, F.col(value) / F.col("mid")).drop("mid")
+    mid = frame.filter(F.abs(value) > 1e-6).agg(F.median(F.abs(value))).first()[0]
+    return frame.withColumn(name, F.col(value) / F.lit(mid))
+
+
+def mean_report(frame: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """n, mean, sd, se and both as text, "mean (se)"."""
+    out = frame.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.sqrt(F.var_pop(value) / F.count(value)).alias("se"))
+    return out.withColumn("report", F.format_string("%.3f (%.3f)", "mean", "se"))
+
+
+def error_table(frame: DataFrame, fitted: str, truth: str, by: list[str]) -> DataFrame:
+    """The norm of the difference and Kendall's tau by group."""
+    norms = frame.groupBy(*by).agg(F.sqrt(F.sum(F.pow(F.col(fitted) - F.col(truth), 2))).alias("error"))
+    return norms.join(kendall(frame, fitted, truth, by), by)
+
+
+def grouped_ratios(ratios: DataFrame, label: str, order: str, value: str) -> DataFrame:
+    """(rep, value): the r-th samples of all observations, summed and divided by how many observations there are.
+
+    A label's samples are ranked within it; there are as many as were drawn for one observation.
+    """
+    ranked = ratios.withColumn("rep", F.row_number().over(Window.partitionBy(label).orderBy(order)))
+    total = ratios.select(label).distinct().count()
+    return ranked.groupBy("rep").agg((F.sum(value) / F.lit(max(total, 1))).alias("value"))
+
+
+def paired_t(frame: DataFrame, difference: str, by: list[str]) -> DataFrame:
+    """The t statistic of a mean difference; null where all are equal or there is one."""
+    out = frame.groupBy(*by).agg(F.count(difference).alias("n"), F.avg(difference).alias("mean"), F.stddev_pop(difference).alias("sd"))
+    return out.select(*by, "n", F.when((F.col("n") > 1) & (F.col("sd") > 0), F.col("mean") / (F.col("sd") / F.sqrt(F.col("n") - 1))).alias("t"))
+
+
+def with_interval(frame: DataFrame, value: str, se: str, z: float = 1.96) -> DataFrame:
+    return frame.withColumns({"lower": F.col(value) - z * F.col(se), "upper": F.col(value) + z * F.col(se)})
+
+
+def corrected_interval(values: np.ndarray, z: float, difference: float) -> tuple[float | None, float, float, float]:
+    """(se, lower, upper, effective size) of the mean of correlated draws, around a penalised difference.
+
+    Lags count up to the first negative autocorrelation, if two or more are
+    negative.  A constant series has the size -1; a negative variance gives no
+    standard error and no bounds.
+    """
+    n, mean, var = len(values), float(np.mean(values)), float(np.var(values))
+    if var < 1e-10:
+        return 0.0, mean, mean, -1.0
+    wide = np.fft.rfft(values - mean, 2 * n)
+    lags = np.fft.irfft(wide * np.conj(wide), 2 * n)[:n] / (var * np.arange(n, 0, -1))
+    below = np.flatnonzero(lags < 0)
+    kappa = 1 + 2 * float(np.sum(lags[1 : below[0] if len(below) > 1 else n]))
+    size = n / kappa
+    if var / size < 0:
+        return None, -np.inf, np.inf, size
+    se = float(np.sqrt(var / size))
+    return se, difference - z * se, difference + z * se, size
+
+
+def chain_intervals(frame: DataFrame, by: str, order: str, value: str, z: float = 1.96) -> DataFrame:
+    """(by, n, mean, se, lower, upper, ess) of each chain of draws; a chain is as long as its sampler ran."""
+
+    def work(key, part):
+        values = part.sort_values("at")["v"].to_numpy(float)
+        return pd.DataFrame([(key[0], len(values), values.mean(), *corrected_interval(values, z, float(values.mean())))], columns=["chain", "n", "mean", "se", "lower", "upper", "ess"])
+
+    kind = frame.schema[by].dataType.simpleString()
+    rows = frame.select(F.col(by).alias("chain"), F.col(order).alias("at"), F.col(value).alias("v"))
+    return rows.groupBy("chain").applyInPandas(work, f"chain {kind}, n long, mean double, se double, lower double, upper double, ess double").withColumnRenamed("chain", by)
+
+
+def aggregate_variance(matches: DataFrame, covariance: DataFrame) -> DataFrame:
+    """(full, variance): the covariances of all pairs of coefficients that a full motif is the sum of."""
+    one, other = matches.select("full", F.col("feat_idx").alias("i")), matches.select("full", F.col("feat_idx").alias("j"))
+    return one.join(other, "full").join(F.broadcast(covariance), ["i", "j"]).groupBy("full").agg(F.sum("value").alias("variance"))
+
+
+def theta_index(theta: DataFrame, row: str, col: str, wanted: Column) -> DataFrame:
+    """Adds theta_idx, which numbers the wanted coefficients column by column, and is -1 for others; theta has 5 * 4**k rows at most."""
+    found = F.sum(wanted.cast("int")).over(Window.orderBy(col, row)) - 1
+    return theta.withColumn("theta_idx", F.when(wanted, found).otherwise(-1).cast("long"))
+
+
+def target_probabilities(theta: DataFrame, by: str, value: str) -> DataFrame:
+    """Adds probability of each target, in proportion to exp(-theta)."""
+    total = theta.groupBy(by).agg(F.sum(F.exp(-F.col(value))).alias("total"))
+    return theta.join(F.broadcast(total), by).withColumn("probability", F.exp(-F.col(value)) / F.col("total")).drop("total")
+
+
+def masked_means(frame: DataFrame, by: str, value: str, most_missing: float) -> DataFrame:
+    """(by, n, mean) of the known values; no mean where more than this share is missing."""
+    out = frame.groupBy(by).agg(F.count(value).alias("n"), F.avg(F.col(value).isNull().cast("int")).alias("missing"), F.avg(value).alias("mean"))
+    return out.select(by, "n", F.when(F.col("missing") <= most_missing, F.col("mean")).alias("mean"))

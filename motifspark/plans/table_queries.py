@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifspark.functions import sequences as S
-from motifspark.operators import fitting, statistics
+from motifspark.operators import features, fitting, statistics, tables
 from motifspark.sources.derived import genes, seqs, table
 
 from .registry import derived, register
@@ -24,8 +24,8 @@ def j1_anti(spark, d):
 
 @register("J5_interval_lookup", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN p_size < 10 THEN 'short' WHEN p_size < 30 THEN 'middle' ELSE 'long' END AS label FROM part) GROUP BY label")
 def j5(spark, d):
-    dims = spark.createDataFrame([(0, 10, "short"), (10, 30, "middle"), (30, 1000, "long")], "lo int, hi int, label string")
-    return table(spark, d, "part").join(F.broadcast(dims), (F.col("p_size") >= F.col("lo")) & (F.col("p_size") < F.col("hi"))).groupBy("label").agg(F.count("*").alias("n"))
+    labelled = tables.interval_labels(table(spark, d, "part"), "p_size", [(0, 10, "short"), (10, 30, "middle"), (30, 1000, "long")])
+    return labelled.groupBy("label").agg(F.count("*").alias("n"))
 
 
 @register("J6_tree_pairs", "SELECT n.n_nationkey AS child, n.n_name AS child_name, r.r_name AS parent_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
@@ -36,9 +36,7 @@ def j6(spark, d):
 
 @register("J10_ordered_model_pairs", "SELECT a.r_name AS model, b.r_name AS other FROM region a, region b WHERE a.r_name <> b.r_name")
 def j10(spark, d):
-    models = table(spark, d, "region")
-    other = models.select(F.col("r_name").alias("other"))
-    return models.select(F.col("r_name").alias("model")).join(F.broadcast(other), F.col("model") != F.col("other"))
+    return tables.ordered_pairs(table(spark, d, "region"), "r_name")
 
 
 @register("A2_cluster_sizes", derived("seqs", "SELECT min(n) AS least, max(n) AS most, median(n) AS middle, round(avg((n = 1)::INT), 6) AS singletons FROM (SELECT gk, count(*) AS n FROM seqs0 GROUP BY gk)"))
@@ -47,10 +45,14 @@ def a2(spark, d):
     return sizes.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.median("n").alias("middle"), S.rounded(F.avg((F.col("n") == 1).cast("int"))).alias("singletons"))
 
 
-@register("A3_data_statistics", derived("ends", "SELECT family, count(*) AS n_seqs, sum(hamming(gs, es))::BIGINT AS n_mutations, round(avg(hamming(gs, es) / 64.0), 6) AS frequency, count(DISTINCT gk) AS n_genes FROM ends GROUP BY family"))
+@register("A3_data_statistics", derived("ends", ", m AS (SELECT family, count(DISTINCT substr(gs, p, 3)) AS n_motifs FROM (SELECT family, gs, unnest(range(1, 63)) AS p FROM genes WHERE gk IN (SELECT gk FROM ends)) GROUP BY family), f AS (SELECT *, list_aggregate([CASE WHEN gs[i] <> es[i] THEN '1' ELSE '0' END FOR i IN range(1, 65)], 'string_agg', '') AS f FROM ends) SELECT family, count(*) AS n_seqs, sum(hamming(gs, es))::BIGINT AS n_mutations, round(avg(hamming(gs, es) / 64.0), 6) AS frequency, count(DISTINCT gk) AS n_genes, median(length(es))::DOUBLE AS median_length, sum(length(regexp_extract(f[1:32], '^(?:0{0,1}1)*')) + length(regexp_extract(reverse(f[33:64]), '^(?:0{0,1}1)*')))::BIGINT AS n_skipped, max(n_motifs) AS n_motifs FROM f JOIN m USING (family) GROUP BY family"))
 def a3(spark, d):
-    n = S.hamming("gs", "es")
-    return seqs(spark, d).groupBy("family").agg(F.count("*").alias("n_seqs"), F.sum(n).alias("n_mutations"), S.rounded(F.avg(n / 64.0)).alias("frequency"), F.countDistinct("gk").alias("n_genes"))
+    """n_skipped counts the bases cut off outside the flanks of two conserved bases."""
+    found = seqs(spark, d).select("sk", "gk", "family", "gs", "es", S.hamming("gs", "es").alias("n"), S.trimmed("gs", "es", 2, 2).alias("x"))
+    skipped = F.col("x.start") - 2 + F.length("gs") - F.col("x.end") - 2
+    stats = found.groupBy("family").agg(F.count("*").alias("n_seqs"), F.sum("n").alias("n_mutations"), S.rounded(F.avg(F.col("n") / 64.0)).alias("frequency"), F.countDistinct("gk").alias("n_genes"), F.median(F.length("es")).alias("median_length"), F.sum(skipped).alias("n_skipped"))
+    used = genes(spark, d).join(table(spark, d, "orders"), F.col("gk") == F.col("o_custkey"), "left_semi")
+    return stats.join(features.sites(used, 3, 1).groupBy("family").agg(F.countDistinct("motif").alias("n_motifs")), "family")
 
 
 _INTERVAL = "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(sqrt(var_pop(value) / count(value)), 6) AS se, round(avg(value) - 1.96 * sqrt(var_pop(value) / count(value)), 6) AS lower, round(avg(value) + 1.96 * sqrt(var_pop(value) / count(value)), 6) AS upper FROM events GROUP BY event_type"
@@ -62,12 +64,12 @@ def a6(spark, d):
     return found.withColumns({c: S.rounded(c) for c in ("mean", "se", "lower", "upper")})
 
 
-@register("A7_most_common_order", derived("sites", ", o AS (SELECT family, string_agg(pos::VARCHAR, ',' ORDER BY stp) AS places FROM sites WHERE mu AND stp <= 1 GROUP BY family, sk), c AS (SELECT family, places, count(*) AS n FROM o GROUP BY ALL) SELECT family, places, n FROM c QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, places) = 1"))
+@register("A7_most_common_order", derived("sites", ", o AS (SELECT family, string_agg(pos::VARCHAR, ',' ORDER BY stp) AS places FROM sites WHERE mu GROUP BY family, sk), c AS (SELECT family, places, count(*) AS n FROM o GROUP BY ALL) SELECT family, places, n FROM c QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, places) = 1"))
 def a7(spark, d):
-    """The most common first place of mutation in each family; ties go to the smaller text."""
-    first = seqs(spark, d).filter(F.size("mutations") > 0).groupBy("family", F.expr("cast(mutations[0].pos AS string)").alias("places")).agg(F.count("*").alias("n"))
-    best = first.groupBy("family").agg(F.min(F.struct((-F.col("n")).alias("less"), "places")).alias("x"))
-    return best.select("family", "x.places", (-F.col("x.less")).alias("n"))
+    """The most common order of mutations in each family; ties go to the smaller text."""
+    places = F.array_join(F.transform("mutations", lambda x: x["pos"].cast("string")), ",")
+    orders = seqs(spark, d).filter(F.size("mutations") > 0).groupBy("family", places.alias("places")).agg(F.count("*").alias("n"))
+    return tables.best_by(orders, ["family"], "n", "places")
 
 
 @register("A8_order_agreement", derived("sites", ", f AS (SELECT family, min(CASE WHEN stp = 1 THEN pos END) AS a, min(CASE WHEN stp = 2 THEN pos END) AS b FROM sites WHERE mu GROUP BY family, sk) SELECT family, count(*) AS n, round(avg((a < b)::INT), 6) AS share FROM f WHERE b IS NOT NULL GROUP BY family"))
@@ -76,11 +78,12 @@ def a8(spark, d):
     return two.groupBy("family").agg(F.count("*").alias("n"), S.rounded(F.avg(F.expr("cast(mutations[0].pos < mutations[1].pos AS int)"))).alias("share"))
 
 
-@register("A12_position_means", derived("sites", "SELECT pos::INT AS pos, count_if(mu)::BIGINT AS n, round(avg(mu::INT), 6) AS frequency FROM sites GROUP BY pos"))
+@register("A12_position_means", derived("sites", "SELECT pos::INT AS pos, count(x) AS n, CASE WHEN avg((x IS NULL)::INT) <= 0.5 THEN round(avg(x), 6) END AS frequency FROM (SELECT pos, CASE WHEN pos <= 40 + gk % 25 THEN mu::INT END AS x FROM sites) GROUP BY pos"))
 def a12(spark, d):
-    spread = seqs(spark, d).select("gs", "es", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("pos"))
-    mu = F.substring("gs", F.col("pos"), F.lit(1)) != F.substring("es", F.col("pos"), F.lit(1))
-    return spread.groupBy("pos").agg(F.count_if(mu).alias("n"), S.rounded(F.avg(mu.cast("int"))).alias("frequency"))
+    """Sequences end between 40 and 64; positions that more than half of them lack have no mean."""
+    spread = seqs(spark, d).select("gk", F.transform("mutations", lambda x: x["pos"]).alias("all"), F.explode(F.sequence(F.lit(1), F.lit(64))).alias("pos"))
+    known = spread.select("pos", F.when(F.col("pos") <= 40 + F.col("gk") % 25, F.array_contains("all", F.col("pos")).cast("int")).alias("x"))
+    return statistics.masked_means(known, "pos", "x", 0.5).select("pos", "n", S.rounded("mean").alias("frequency"))
 
 
 _PAIRS = "(SELECT event_type, value AS truth, round(value / 10) * 10 AS fitted FROM events)"
@@ -90,10 +93,18 @@ def _pairs(spark, d):
     return table(spark, d, "events").select("event_type", F.col("value").alias("truth"), (F.round(F.col("value") / 10) * 10).alias("fitted"))
 
 
-@register("A13_coverage", f"SELECT event_type, count(*) AS n, round(avg((fitted - 2 - 1e-5 <= truth AND truth <= fitted + 2 + 1e-5)::INT), 6) AS covered FROM {_PAIRS} GROUP BY event_type")
+_INSIDE = "(fitted - 2 - 1e-5 <= truth AND truth <= fitted + 2 + 1e-5)::INT"
+_SIGNED = "(SELECT event_type, CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 5 = 0 AND event_type <> 'click' THEN -truth ELSE truth END AS truth, CASE WHEN event_id % 5 = 0 AND event_id % 7 <> 0 AND event_type <> 'click' THEN -fitted ELSE fitted END AS fitted FROM (SELECT event_id, event_type, value AS truth, round(value / 10) * 10 AS fitted FROM events))"
+
+
+@register("A13_coverage", f"SELECT event_type, count(*) AS n, round(avg({_INSIDE}), 6) AS covered, round(avg(CASE WHEN truth < -1e-6 THEN {_INSIDE} END), 6) AS covered_negative, round(avg(CASE WHEN abs(truth) <= 1e-6 THEN {_INSIDE} END), 6) AS covered_zero, round(avg(CASE WHEN truth > 1e-6 THEN {_INSIDE} END), 6) AS covered_positive FROM {_SIGNED} GROUP BY event_type")
 def a13(spark, d):
-    found = statistics.coverage(_pairs(spark, d).withColumns({"lower": F.col("fitted") - 2, "upper": F.col("fitted") + 2}), ["event_type"])
-    return found.withColumn("covered", S.rounded("covered"))
+    """Some true values turned negative or zero; one event type has no negative one, and no share of them."""
+    events = table(spark, d, "events").select("event_id", "event_type", F.col("value").alias("truth"), (F.round(F.col("value") / 10) * 10).alias("fitted"))
+    zero, turned = F.col("event_id") % 7 == 0, (F.col("event_id") % 5 == 0) & (F.col("event_type") != "click")
+    signed = events.select("event_type", F.when(zero, 0.0).when(turned, -F.col("truth")).otherwise(F.col("truth")).alias("truth"), F.when(turned & ~zero, -F.col("fitted")).otherwise(F.col("fitted")).alias("fitted"))
+    found = statistics.coverage(signed.withColumns({"lower": F.col("fitted") - 2, "upper": F.col("fitted") + 2}), ["event_type"])
+    return found.withColumns({c: S.rounded(c) for c in found.columns if c.startswith("covered")})
 
 
 @register("A14_discoveries", f"SELECT event_type, count_if(abs(fitted) > 1e-6 AND abs(truth) > 1e-6)::BIGINT AS discovered, count_if(abs(fitted) > 1e-6 AND abs(truth) <= 1e-6)::BIGINT AS false_positive FROM {_PAIRS} GROUP BY event_type")
@@ -195,10 +206,11 @@ def d1(spark, d):
     return best.select("gk", "x.sk", "x.gs", "x.es")
 
 
-@register("S4_best_model", "SELECT max(CASE WHEN s_acctbal > 0 THEN s_suppkey END) AS best FROM supplier")
+@register("S4_best_model", "SELECT coalesce(max(CASE WHEN s_acctbal > 0 THEN s_suppkey END), min(s_suppkey)) AS s_suppkey FROM supplier WHERE s_suppkey % 2 = 1")
 def s4(spark, d):
-    """The last model whose lower bound is positive."""
-    return table(spark, d, "supplier").agg(F.max(F.when(F.col("s_acctbal") > 0, F.col("s_suppkey"))).alias("best"))
+    """The last refitted model whose lower bound is positive."""
+    models = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 2 == 1).alias("refit"), F.col("s_acctbal").alias("bound"))
+    return tables.pick_best_model(models, "s_suppkey", "refit", "bound")
 
 
 @register("S5_top_orders", derived("sites", "SELECT places, count(*) AS n FROM (SELECT string_agg(pos::VARCHAR, ',' ORDER BY stp) AS places FROM sites WHERE mu GROUP BY sk) GROUP BY places ORDER BY n DESC, places LIMIT 10"))
