@@ -213,10 +213,14 @@ def _split(kind: int, keys: np.ndarray, depth: int, shards: int) -> tuple[np.nda
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def split_block(most_bytes: int = 16 << 20, spread: int = 64) -> Column:
-    """A label that any pass over the same rows repeats: the input split, cut further where it is large."""
+def split_block(docs: DataFrame, most_bytes: int = 16 << 20) -> Column:
+    """A label that any pass over the same rows repeats: the input split, cut further where it is large.
+
+    Rows that come from no file are dealt by their id into as many blocks as their size asks for.
+    """
     part = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.input_file_block_length() / most_bytes)))
-    return F.when(F.input_file_block_start() >= 0, F.xxhash64(F.input_file_name(), F.input_file_block_start(), part)).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+    spread = 1 if docs.inputFiles() else 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most_bytes
+    return F.when(F.input_file_block_start() >= 0, F.xxhash64(F.input_file_name(), F.input_file_block_start(), part)).otherwise(F.pmod(F.xxhash64("doc_id", "text"), F.lit(spread)))
 
 
 def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: int = 2, block: Column | None = None) -> DataFrame:
@@ -236,7 +240,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
     """
     spark = docs.sparkSession
     shards = SHARDS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (split_block() if block is None else block).alias("block"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (split_block(docs) if block is None else block).alias("block"))
     learns = lambda value: crc(value) % modulus != held_out
 
     def pack(block: int, found: tuple[list, list]):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import crc_column, distinct, lower_bytes, stored
+from .textops import crc_column, distinct, free_name, lower_bytes, stored
 
 _PLACES: dict[int, np.ndarray] = {}
 
@@ -80,7 +80,7 @@ def _with_landmarks(texts: list[bytes], langs: list[str], stamp: int) -> Languag
 
 
 def fit_languages(docs: DataFrame, modulus: int = 4, held_out: int = 2, most_rows: int = 8_000, landmarks: int = 160, ridge: float = 1e-3) -> LanguageModel | None:
-    """Fits the model to at most `most_rows` texts of a known language, those of the smallest hashes.
+    """Fits the model to at most `most_rows` texts of a known language, those of the smallest hashes; equal rows count once.
 
     Rows with crc32(doc_id as text) mod `modulus` equal to `held_out`, null or
     empty texts and null languages teach nothing.  Landmarks are shared out
@@ -88,15 +88,17 @@ def fit_languages(docs: DataFrame, modulus: int = 4, held_out: int = 2, most_row
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     known = rows.filter("doc_id IS NOT NULL AND lang IS NOT NULL").filter(crc_column("doc_id", modulus) != held_out)
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    sample = stored(known.join(F.broadcast(ids.distinct()), "doc_id").filter("length(text) > 0").limit(most_rows), "language-sample")
+    mark = free_name("mark", known.columns)
+    known = known.filter("length(text) > 0").withColumn(mark, F.xxhash64("lang", "text"))
+    ids = known.select("doc_id", mark).orderBy(F.xxhash64("doc_id"), "doc_id", mark).limit(most_rows).distinct()
+    sample = stored(known.join(F.broadcast(ids), ["doc_id", mark]).dropDuplicates(["doc_id", mark]), "language-sample")
     langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not langs:
         return None
     each = -(-landmarks // len(langs))
     chosen = []
     for lang in langs:
-        chosen += sample.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(each).select("text").collect()
+        chosen += sample.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", mark).limit(each).select("text").collect()
     model = _with_landmarks([lower_bytes(r.text) for r in chosen], langs, hash(tuple(r.text for r in chosen)) & 0x7FFFFFFF)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     size = model.mapping.shape[1]
@@ -119,7 +121,8 @@ def fit_languages(docs: DataFrame, modulus: int = 4, held_out: int = 2, most_row
 def identify(docs: DataFrame, model: LanguageModel | None, modulus: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row; only the whole text is looked at.
 
-    The score is the winning language's regression value, cut to 0..1.  A text
+    The score is the winning language's regression value, cut to 0..1; of
+    equal values the first language in alphabetical order wins.  A text
     that is null or has no letter is `und` with score 0, as is any text
     without a model.  Repeated rows are judged each by itself.
     """

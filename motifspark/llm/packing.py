@@ -171,7 +171,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, shard_r
 
     A null text counts as the empty one, which is its end id alone.  Only
     documents longer than a sequence are cut.  Repeated rows are packed each
-    by itself.  Other columns are ignored; no rows in, no rows out.  Ranks are
+    by itself; which of equal pieces gets which place is left open.  Other columns are ignored; no rows in, no rows out.  Ranks are
     counted within shards of about `shard_rows` pieces, and shards' counts add
     up over all, so no task holds more than a shard.
     """

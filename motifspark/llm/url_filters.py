@@ -1,15 +1,17 @@
 """URL filters: pattern rules found through their rarest literal token.
 
-A rule's pattern is compiled to a regular expression, but no URL meets all
-rules: each rule is filed under one literal token that every matching URL must
-hold, the rarest of its tokens in the corpus' own token counts.  A URL is cut
-into tokens, these fetch the candidate rules, and only candidates run.
+Rules and patterns are regular expressions, but no URL meets all of them: each
+is filed under one literal token that every matching URL must hold, the rarest
+of its tokens in the corpus' own token counts.  The tokens of a pattern are
+taken out of the pattern itself.  A URL is cut into tokens, these fetch the
+candidates, and only candidates run.  What has no such token runs on every URL.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -43,18 +45,49 @@ class Rule:
 
 
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
-#: Patterns for URLs that no rule fits, each with a literal token that it needs.
-PATTERNS = (
-    ("utm", r"[?&]utm_[a-z]+="),
-    ("ref", r"[?&]ref="),
-    ("blog", r"://blog\."),
-    ("login", r"/login\b"),
-    ("cart", r"/cart\b"),
-    ("ads", r"/ads\b"),
-)
+#: Patterns of blocked URLs, for those that no rule fits.
+PATTERNS = (r"[?&]utm_[a-z]+=", r"[?&]ref=", r"://blog\.", r"/login\b", r"/cart\b", r"/ads\b")
 MOST_RULES = 1_000_000
 
 
+def literal_tokens(pattern: str) -> set[str]:
+    """Tokens that every lower-cased text which the pattern finds holds whole.
+
+    These are runs of literal letters and digits outside of choices and
+    repeats, with something beside them on both sides that can't be a letter
+    or digit: such a literal, a class of such, or an edge of a word or text.
+    """
+    items = _pieces(re._parser.parse(pattern))
+    found, at = set(), 0
+    while at < len(items):
+        end = at
+        while end < len(items) and items[end] is not None and _TOKEN.fullmatch(items[end]):
+            end += 1
+        if end > at and at > 0 and items[at - 1] == "" and end < len(items) and items[end] == "":
+            found.add("".join(items[at:end]))
+        at = max(end, at + 1)
+    return found
+
+
+def _pieces(parsed) -> list[str | None]:
+    """A pattern's parts in order: a letter or digit, "" for what can't be one, None for anything else."""
+    out: list[str | None] = []
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            out.append(chr(value) if _TOKEN.fullmatch(chr(value)) else None if chr(value).isalnum() else "")
+        elif name == "AT":
+            out.append("" if str(value) in ("AT_BOUNDARY", "AT_BEGINNING_STRING", "AT_END_STRING") else None)
+        elif name == "IN":
+            plain = all(str(k) == "LITERAL" and not chr(v).isalnum() for k, v in value)
+            out.append("" if plain else None)
+        elif name == "SUBPATTERN" and not value[1] and not value[2]:
+            out += _pieces(value[3])
+        else:
+            out.append(None)
+    return out
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path; both empty for a null or a URL without `://`."""
     found = _SPLIT_URL.search(url or "")
@@ -70,14 +103,15 @@ def url_tokens(url: str | None) -> set[str]:
 class RuleIndex:
     """Rules and patterns by their rarest token; counts: how often the corpus holds a token."""
 
-    def __init__(self, rules, patterns, counts: dict[str, int]):
-        self.rules, self.patterns, self.always = defaultdict(list), defaultdict(list), []
+    def __init__(self, rules: Sequence[Rule], patterns: Sequence[str], counts: dict[str, int]):
+        self.rules, self.patterns, self.always, self.everywhere = defaultdict(list), defaultdict(list), [], []
+        rarest = lambda tokens: min(tokens, key=lambda t: (counts.get(t, 0), t))
         for rule in rules:
-            tokens = sorted(rule.tokens(), key=lambda t: (counts.get(t, 0), t))
-            entry = (rule, re.compile(rf"(?:.*\.)?{re.escape(rule.host)}\Z", re.S))
-            (self.rules[tokens[0]] if tokens else self.always).append(entry)
-        for token, pattern in patterns:
-            self.patterns[token].append(re.compile(pattern))
+            tokens = rule.tokens()
+            (self.rules[rarest(tokens)] if tokens else self.always).append((rule, re.compile(rf"(?:.*\.)?{re.escape(rule.host)}\Z", re.S)))
+        for pattern in patterns:
+            tokens = literal_tokens(pattern)
+            (self.patterns[rarest(tokens)] if tokens else self.everywhere).append(re.compile(pattern))
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         """(host, path, rule or None, verdict); the longest fitting rule wins, a block before an allow of its length."""
@@ -89,7 +123,7 @@ class RuleIndex:
             best = max(fits, key=lambda r: (len(r.name), r.action, r.name))
             return host, path, best.name, best.action
         lower = (url or "").lower()
-        blocked = any(p.search(lower) for t in tokens for p in self.patterns.get(t, ()))
+        blocked = any(p.search(lower) for p in self.everywhere) or any(p.search(lower) for t in tokens for p in self.patterns.get(t, ()))
         return host, path, None, "block" if blocked else "allow"
 
 
@@ -97,8 +131,9 @@ def judge_urls(pages: DataFrame, rules=RULES, patterns=PATTERNS) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages.
 
     A rule fits its host and all subdomains if the path begins with the
-    rule's; the longest wins.  Where none fits, a URL that one of the patterns
-    finds is blocked and any other allowed.  Null URLs and those without `://`
+    rule's; the longest wins, and of two names of one length a block.  Where
+    none fits, a URL in which, lower-cased, one of the patterns is found is
+    blocked and any other allowed.  Null URLs and those without `://`
     have an empty host and path and fit no rule.  Repeated rows and ids are
     judged each by itself; other columns are ignored.
 
@@ -109,9 +144,10 @@ def judge_urls(pages: DataFrame, rules=RULES, patterns=PATTERNS) -> DataFrame:
     if len(rules) + len(patterns) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} fit in an executor")
     spark = pages.sparkSession
-    wanted = sorted({t for r in rules for t in r.tokens()} | {t for t, _ in patterns})
-    words = pages.select(F.explode(F.array_intersect(F.split(F.lower("url"), "[^a-z0-9]+"), F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"))).alias("token"))
-    counts = {r[0]: r[1] for r in words.groupBy("token").count().toLocalIterator()}
+    wanted = sorted({t for r in rules for t in r.tokens()} | {t for x in patterns for t in literal_tokens(x)})
+    known = spark.createDataFrame([(t,) for t in wanted], "token string")
+    words = pages.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("token"))
+    counts = {r[0]: r[1] for r in words.join(F.broadcast(known), "token").groupBy("token").count().toLocalIterator()}
     index = spark.sparkContext.broadcast(RuleIndex(rules, patterns, counts))
 
     def work(stream):

@@ -22,7 +22,7 @@ from motifspark.llm.line_dedup import dedup_lines
 from motifspark.llm.packing import pack, plan_packing
 from motifspark.llm.quality import fit_quality, isotonic, score_quality
 from motifspark.llm.tokenizing import Encoder, spliced_count, token_counts
-from motifspark.llm.url_filters import Rule, judge_urls
+from motifspark.llm.url_filters import Rule, judge_urls, literal_tokens
 
 ODD = [(1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (4, "word", None), (4, "word", None), (None, "word two three four five six", "y"), (5, "Ärger " * 20000, "y"), (6, "a|b c,d", "y")]
 SCHEMA = "doc_id long, text string, lang string"
@@ -165,6 +165,36 @@ def test_url_rules(spark):
     assert Rule("allow", "org/").path == "/"
 
 
+def test_literal_tokens_of_patterns():
+    want = {r"[?&]utm_[a-z]+=": {"utm"}, r"://blog\.": {"blog"}, r"/login\b": {"login"}, r"blog": set(), r"/a(?:b|c)/": set(), r"/(shop)/sale-\d+/": {"shop", "sale"}, r"/xs?/": set(), r"/ad[sx]/b/": {"b"}, r"[^a]foo/": set(), r"\Aftp:": {"ftp"}}
+    assert {x: literal_tokens(x) for x in want} == want
+
+
+def test_many_rules_and_patterns_match_a_scan_of_all(spark):
+    import random
+
+    rng = random.Random(2)
+    hosts = [f"{rng.choice('abcdefgh')}{rng.randint(0, 40)}.{rng.choice(['com', 'org', 'net'])}" for _ in range(300)]
+    rules = {f"{h}/{rng.choice(['', 'en/', 'de/', 'en/1', 'x-'])}" for h in hosts for _ in range(8)} | {"com/", "org/de/"}
+    rules = [Rule(rng.choice(["allow", "block"]), x) for x in sorted(rules)]
+    patterns = [rf"/w{k}\b" for k in range(200)] + [r"[?&]q\d=", r"(?:ad|promo)s/"]
+    urls = [f"http://{rng.choice(['', 'www.', 'A.'])}{rng.choice(hosts)}/{rng.choice(['', 'en/', 'de/2', 'en/12', 'x-y', f'W{rng.randint(0, 300)}', 'ads/', 'a?q1=2'])}" for _ in range(600)]
+
+    def scan(url):
+        host, path = re.match(r"http://([^/]*)([^?]*)", url).groups()
+        host = host.lower()
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: (len(r.name), r.action, r.name))
+            return host, path, best.name, best.action
+        return host, path, None, "block" if any(re.search(p, url.lower()) for p in patterns) else "allow"
+
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge_urls(frame, rules, patterns).collect()}
+    assert got == {k: scan(x) for k, x in enumerate(urls)}
+    assert judge_urls(frame.limit(0), rules, patterns).count() == 0
+
+
 def test_media_payloads_come_back(spark, texts):
     got = {r.doc_id: r for r in queries.op7_webp_media(spark, "/root/testdata/sf0.001").collect()}
     for i, x in texts:
@@ -217,6 +247,46 @@ def test_packing_plan_places_every_piece_once():
     assert n <= 1.15 * sum(k * v for k, v in counts.items()) / 2048 + 1
 
 
+def test_pieces_are_the_librarys_ids(spark, docs, texts, odd):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    for frame, own in ((docs, texts), (odd, [(i, x) for i, x, _ in ODD])):
+        want = Counter()
+        for i, x in own:
+            ids = np.array([*plain.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
+            want.update((i, k, a, len(ids[a : a + 512]), zlib.crc32(ids[a : a + 512].tobytes())) for k, a in enumerate(range(0, len(ids), 512)))
+        got = pack(frame, queries.tokenizer_path(), 512, 0).collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert pack(odd.limit(0), queries.tokenizer_path()).count() == 0
+
+
+def test_language_model_matches_dense_algebra(spark, docs):
+    """Features and ridge weights against kernels and normal equations computed from sets of byte runs."""
+    model = fit_languages(docs, landmarks=24, most_rows=300)
+    grams = lambda x: {x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)}
+    sample = docs.filter("lang IS NOT NULL AND length(text) > 0").limit(12).collect()
+    raw = [lower(r.text).encode() for r in sample]
+    x = model.features(raw)
+    kernel = np.array([[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for b in raw] for a in raw])
+    own = np.linalg.norm(x, axis=1)
+    assert (own <= 1 + 1e-3).all() and (x @ x.T <= kernel + 0.15).all()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, model).collect()}
+    values = x @ model.weights
+    for r, v in zip(sample, values, strict=True):
+        assert got[r.doc_id] == (model.langs[int(v.argmax())], pytest.approx(min(max(float(v.max()), 0), 1), abs=1e-5))
+
+
+def test_samples_do_not_depend_on_the_run(spark, odd, docs):
+    """Repeated ids with different texts: bounded samples are the same whatever the order of rows."""
+    few = docs.select((F.col("doc_id") % 7).alias("doc_id"), "text", "lang")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)], "doc_id long, quality int")
+    one, other = (f(few.repartition(n)) for f, n in ((lambda d: fit_languages(d, most_rows=40, landmarks=8), 3), (lambda d: fit_languages(d, most_rows=40, landmarks=8), 5)))
+    assert np.allclose(one.weights, other.weights, atol=1e-4)
+    one, other = (fit_quality(few.repartition(n), labels, most_rows=40, features=10) for n in (3, 5))
+    assert np.allclose(one.weights, other.weights, atol=1e-6)
+
+
 def test_language_accuracy_held_out(spark, docs):
     got = identify(docs, fit_languages(docs)).filter("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").filter("lang IS NOT NULL AND lang_pred <> 'und' AND length(text) > 40").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.85
@@ -230,8 +300,14 @@ def test_quality_accuracy_held_out(spark, docs, sf):
 
 
 def test_isotonic_is_the_least_squares_monotone_fit():
-    x, y = isotonic(np.arange(5.0), np.array([0, 1, 0, 1, 1.0]))
-    assert y.tolist() == [0.0, 0.5, 1.0] or (np.diff(y) >= 0).all() and x[0] == 0
+    """Against the min-max formula: the largest over beginnings of the smallest mean over ends."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30):
+        values = rng.integers(0, 2, n).astype(float)
+        x, y = isotonic(np.arange(n, dtype=float), values)
+        fit = [max(min(values[a : b + 1].mean() for b in range(k, n)) for a in range(k + 1)) for k in range(n)]
+        assert (np.diff(y) > 0).all() and len(x) == len(y) == len(set(np.round(fit, 9)))
+        assert y == pytest.approx(sorted(set(np.round(fit, 9))))
 
 
 def test_components_find_the_smallest_node(spark):
@@ -253,6 +329,7 @@ def test_odd_rows_and_empty_tables(spark, odd, sf):
         assert token_counts(frame, queries.tokenizer_path()).count() == n
         assert media.media_digest(frame).count() == n
         assert judge_urls(frame.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"))).count() == n
+        assert pack(frame, queries.tokenizer_path()).filter("piece = 0").count() == n
         left = dedup_lines(frame)
         assert left.columns == frame.columns and left.count() <= n
         assert decontaminate(frame, tests).columns == frame.columns
