@@ -27,24 +27,49 @@ def forest(linked: np.ndarray) -> np.ndarray:
 
 
 def block_links(signs: np.ndarray, sets: list[np.ndarray], percent: int, columns: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the exact links in one block: the product of its incidence with its transpose."""
+    """A spanning forest of the exact links in one block.
+
+    Rows that are linked to one row, the first or another, need no further
+    test among themselves; what is left is multiplied with all rows: the
+    product of its incidence with the transpose of the block's.
+    """
+    count = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     shingles, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1
     column = np.cumsum(shared) - 1
-    row, where = np.repeat(np.arange(len(sets)), sizes)[shared[where]], column[where[shared[where]]]
+    owner = np.repeat(np.arange(count), sizes)
+    keep = shared[where]
+    row, where = owner[keep], column[where[keep]]
+    total = int(shared.sum())
+    linked = lambda both, i: 100 * both >= percent * (sizes + sizes[i] - both)
+    star, hub = np.zeros(count, bool), 0
+    for rep in dict.fromkeys((0, count // 2, count - 1)) if count > 32 else ():
+        member = np.zeros(total, bool)
+        member[where[row == rep]] = True
+        own = linked(np.bincount(row[member[where]], minlength=count), rep)
+        own[rep] = True
+        if own.sum() > star.sum():
+            star, hub = own, rep
+    label = np.arange(count)
+    label[star] = hub
+    rest = np.flatnonzero(~star)
+    if not len(rest):
+        return signs, signs[label]
     order = np.argsort(where, kind="stable")
     row, where = row[order], where[order]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
-    total = int(shared.sum())
+    columns = min(columns, max(512, (1 << 23) // count))
+    overlap = np.zeros((len(rest), count), np.float32)
     for first in range(0, total, columns):
         a, b = np.searchsorted(where, [first, first + columns])
-        part = np.zeros((len(sets), min(columns, total - first)), np.float32)
+        part = np.zeros((count, min(columns, total - first)), np.float32)
         part[row[a:b], where[a:b] - first] = 1
-        overlap += part @ part.T
+        overlap += part[rest] @ part.T
     both = overlap.astype(np.int64)
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    return signs, signs[forest(linked)]
+    links = np.zeros((count, count), bool)
+    links[rest] = 100 * both >= percent * (sizes[rest][:, None] + sizes[None, :] - both)
+    links[hub, star] = True
+    return signs, signs[forest(links | links.T)]
 
 
 def _places(first: np.ndarray, second: np.ndarray) -> np.ndarray:

@@ -204,7 +204,7 @@ def _candidates(classes: DataFrame, shards: int, agree: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(meet, "component long, node long").distinct()
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 256) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> DataFrame:
     """(doc_id, row_id, place): the lines that repeat another one and are not its component's first.
 
     Lines are compared with A-Z lower-cased and the white space at their ends
@@ -252,8 +252,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     row_id, places, again = (free_name(n, names) for n in ("row_id", "places_cut", "repeats"))
     keyed = docs.withColumn(row_id, F.xxhash64(F.col("doc_id").cast("long"), "text"))
     repeats = keyed.filter(F.col("text").rlike(r"[^ \t\x0B\x0C\r\n]")).groupBy(row_id).agg((F.count("*") > 1).alias(again)).filter(F.col(again))
-    joined = keyed.join(cut.toDF(row_id, places), row_id, "left").join(repeats, row_id, "left")
-    joined = joined.filter(F.col(again).isNull()).unionByName(joined.filter(F.col(again)).dropDuplicates([row_id])).select(*names, places)
+    single = keyed.join(repeats, row_id, "left_anti").unionByName(keyed.join(repeats, row_id, "left_semi").dropDuplicates([row_id]))
+    joined = single.join(cut.toDF(row_id, places), row_id, "left").select(*names, places)
     at, schema = names.index("text"), docs.schema
 
     def work(stream):
