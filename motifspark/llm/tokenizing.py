@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Letters that the normaliser leaves alone or lower-cases one to one, with ASCII punctuation on both sides.
 _PLAIN = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
-MOST_PIECES = 800_000
+MOST_PIECES = 200_000  # some 30 MB a worker
 _LOADED: dict[str, Encoder] = {}
 
 
