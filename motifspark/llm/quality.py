@@ -94,7 +94,7 @@ def _packed(stream, fold):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, most_rows: int = 20_000, features: int = 400, ridge: float = 1e-3, seed: int = 7) -> QualityModel | None:
-    """Fits the model to at most `most_rows` labelled documents, those of the smallest hashes; equal rows count once.
+    """Fits the model to at most `most_rows` labelled documents, those of the smallest hashes; repeated rows count each.
 
     Labels of ids with crc32(doc_id as text) mod `modulus` equal to `held_out`
     are not looked at; null ids and labels are left out, and an id's labels
@@ -102,16 +102,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
     """
     learnt = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(crc_column("doc_id", modulus) != held_out)
     sample = learnt.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).join(F.broadcast(sample), "doc_id")
-    chosen = named.select("doc_id", "mark").orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(most_rows).distinct()
-    rows = named.join(F.broadcast(chosen), ["doc_id", "mark"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).join(F.broadcast(sample), "doc_id")
 
     def measure(stream):
         for batch in stream:
             x = statistics(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "x": pa.array([v.tobytes() for v in x], pa.binary()), "label": batch.column("label"), "fold": batch.column("fold")})
 
-    measured = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5))).mapInArrow(measure, "doc_id long, mark long, x binary, label double, fold long").dropDuplicates(["doc_id", "mark"]).select("x", "label", "fold")
+    measured = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(5))).mapInArrow(measure, "doc_id long, mark long, x binary, label double, fold long").orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(most_rows).select("x", "label", "fold")
     data = stored(measured, "quality-sample").repartition(16)
 
     def sums(x, label, fold):
