@@ -59,56 +59,57 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """The nodes of one context depth, by position of the bit; built from sorted (context, byte) keys."""
+    """The n-grams of one context depth, sorted by (context, byte), their counts and each deeper n-gram's place here."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, up: np.ndarray | None):
         self.keys, self.counts, self.up = keys, counts, up
-        byte = (keys & np.uint64(0xFF)).astype(np.int64)
-        self.group, self.start, self.node, self.zeros, self.ones, self.bits = [], [], [], [], [], []
-        for j in range(8):
-            node = (keys & ~np.uint64(0xFF)) | (np.uint64(1 << j) | (byte >> (8 - j)).astype(np.uint64))
-            fresh = np.concatenate([[True], node[1:] != node[:-1]])
-            start = np.flatnonzero(fresh)
-            bit = (byte >> (7 - j)) & 1
-            ones = np.add.reduceat(counts * bit, start).astype(np.float64)
-            self.bits.append(bit)
-            self.group.append(np.cumsum(fresh) - 1)
-            self.start.append(start)
-            self.node.append(node[start])
-            self.ones.append(ones)
-            self.zeros.append(np.add.reduceat(counts, start) - ones)
-
-
-def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2) -> tuple[list[Level], list[list[np.ndarray]], list[list[np.ndarray]]]:
-    """Levels depth..top with each node's log weighted probability and the weight of its own estimate.
-
-    keys: sorted distinct n-grams, the latest context byte first, the predicted byte last.
+
+
+class Bits:
+    """A level's nodes for one position of the bit: each n-gram's node, and each node's first n-gram and counts."""
+
+    def __init__(self, level: Level, j: int):
+        byte = (level.keys & np.uint64(0xFF)).astype(np.uint8)
+        node = (level.keys & ~np.uint64(0xFF)) | (np.uint64(1 << j) | (byte >> (8 - j)).astype(np.uint64))
+        fresh = np.concatenate([[True], node[1:] != node[:-1]])
+        self.start = np.flatnonzero(fresh)
+        self.group = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+        self.node = node[self.start]
+        self.bit = (byte >> (7 - j)) & 1
+        self.ones = np.add.reduceat(level.counts * self.bit, self.start).astype(np.float64)
+        self.zeros = np.add.reduceat(level.counts, self.start) - self.ones
+
+
+def contexts(keys: np.ndarray, counts: np.ndarray, depth: int, top: int = 2) -> list[Level]:
+    """Levels depth..top of sorted distinct n-grams, the latest context byte first, the predicted byte last."""
+    levels = [Level(keys, counts, None)]
+    for _ in range(depth - top):
+        below = levels[-1]
+        cut = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(0xFF))
+        own, up = np.unique(cut, return_inverse=True)
+        levels.append(Level(own, np.bincount(up, weights=below.counts, minlength=len(own)).astype(np.int64), up.astype(np.int32)))
+    return levels
+
+
+def subtrees(levels: list[Level], j: int) -> tuple[list[Bits], np.ndarray, list[np.ndarray]]:
+    """The nodes of bit j level by level, the top level's log weighted probabilities, and the weights of the nodes' own estimates.
+
+    Nodes of different bits never meet, so only one bit's are held at a time.
     """
-    levels, log_p, weight = [], [], []
-    for d in range(depth, top - 1, -1):
-        if d == depth:
-            level = Level(keys, counts, None)
+    nodes, log_p, weight = [], None, []
+    for level in levels:
+        own = Bits(level, j)
+        kt = log_kt(own.zeros, own.ones)
+        if log_p is None:
+            log_p = kt
+            weight.append(np.ones(len(kt)))
         else:
-            below = levels[-1]
-            cut = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(0xFF))
-            own, up = np.unique(cut, return_inverse=True)
-            level = Level(own, np.bincount(up, weights=below.counts, minlength=len(own)).astype(np.int64), up)
-        own_p, own_w = [], []
-        for j in range(8):
-            kt = log_kt(level.zeros[j], level.ones[j])
-            if d == depth:
-                own_p.append(kt)
-                own_w.append(np.ones(len(kt)))
-            else:
-                parent = level.group[j][level.up[levels[-1].start[j]]]
-                inner = np.bincount(parent, weights=log_p[-1][j], minlength=len(kt))
-                both = np.logaddexp(kt, inner)
-                own_p.append(both - np.log(2))
-                own_w.append(np.exp(kt - both))
-        levels.append(level)
-        log_p.append(own_p)
-        weight.append(own_w)
-    return levels, log_p, weight
+            inner = np.bincount(own.group[level.up[nodes[-1].start]], weights=log_p, minlength=len(kt))
+            both = np.logaddexp(kt, inner)
+            log_p = both - np.log(2)
+            weight.append(np.exp(kt - both))
+        nodes.append(own)
+    return nodes, log_p, weight
 
 
 def join_top(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_p: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,22 +132,22 @@ def join_top(nodes: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_p: np.n
 
 def byte_scores(keys: np.ndarray, counts: np.ndarray, depth: int, top: dict) -> np.ndarray:
     """log10 of the mixed probability of each n-gram's last byte in its context; the counts are training's."""
-    levels, _, weight = subtrees(keys, counts, depth)
+    levels = contexts(keys, counts, depth)
     total = np.zeros(len(keys))
     for j in range(8):
-        at, p = np.arange(len(keys)), None
-        for level, weights in zip(levels, weight, strict=True):
-            at = at if level.up is None else level.up[at]
-            g = level.group[j][at]
-            zeros, ones = level.zeros[j][g], level.ones[j][g]
-            own = (np.where(levels[0].bits[j], ones, zeros) + 0.5) / (zeros + ones + 1)
-            p = own if p is None else weights[j][g] * own + (1 - weights[j][g]) * p
-        node = levels[-1].node[j][g].astype(np.int64)
+        nodes, _, weight = subtrees(levels, j)
+        at, p, bit = None, None, nodes[0].bit == 1
+        for level, own, weights in zip(levels, nodes, weight, strict=True):
+            at = level.up if at is None else level.up[at]
+            g = own.group if at is None else own.group[at]
+            zeros, ones = own.zeros[g], own.ones[g]
+            here = (np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1)
+            p = here if p is None else p + weights[g] * (here - p)
+        node = nodes[-1].node.astype(np.int64)[g]
         for d in (1, 0):
             node = ((node >> 16) << 8) | (node & 0xFF)
             w, zeros, ones = (x[node] for x in top[d])
-            own = (np.where(levels[0].bits[j], ones, zeros) + 0.5) / (zeros + ones + 1)
-            p = w * own + (1 - w) * p
+            p = p + w * ((np.where(bit, ones, zeros) + 0.5) / (zeros + ones + 1) - p)
         total += np.log10(p)
     return total
 
@@ -213,7 +214,7 @@ def _split(kind: int, keys: np.ndarray, depth: int, shards: int) -> tuple[np.nda
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def split_block(docs: DataFrame, most_bytes: int = 16 << 20) -> Column:
+def split_block(docs: DataFrame, most_bytes: int = 8 << 20) -> Column:
     """A label that any pass over the same rows repeats: the input split, cut further where it is large.
 
     Rows that come from no file are dealt by their id into as many blocks as their size asks for.
@@ -288,8 +289,9 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
         if table.column("kind")[0].as_py() == 0:
             out = [[0], [int(counts.sum())], [int(known.sum())], [b""], [b""], [b""], [b""]]
         elif known.any():
-            levels, log_p, _ = subtrees(keys[known], counts[known], depth)
-            out = [[1], [0], [0], *([np.concatenate(x).tobytes()] for x in (levels[-1].node, levels[-1].zeros, levels[-1].ones, log_p[-1]))]
+            levels = contexts(keys[known], counts[known], depth)
+            tops = [(nodes[-1], log_p) for nodes, log_p, _ in (subtrees(levels, j) for j in range(8))]
+            out = [[1], [0], [0], *([np.concatenate(x).tobytes()] for x in zip(*((own.node, own.zeros, own.ones, log_p) for own, log_p in tops), strict=True))]
         else:
             out = [[]] * 7
         return pa.table({k: pa.array(x, kind) for (k, kind), x in zip((("kind", pa.int32()), ("total", pa.int64()), ("distinct", pa.int64()), ("node", pa.binary()), ("zeros", pa.binary()), ("ones", pa.binary()), ("log_p", pa.binary())), out, strict=True)})
