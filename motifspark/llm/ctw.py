@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,23 +185,37 @@ def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """The numbers' bytes, all first bytes before all second ones; runs of equal bytes compress."""
-    return np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """All first bytes of the numbers before all second ones, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes(), 1)
 
 
-def _from_planes(packed: bytes, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def unpack_numbers(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys: how many leading bytes each shares with the one before, then place by place the bytes that it doesn't share."""
+    step = keys ^ np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if len(keys) else keys
+    shared = np.zeros(len(keys), np.uint8)
+    for i in range(1, 8):
+        shared += step < np.uint64(1 << (64 - 8 * i))
+    places = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return zstandard.compress(b"".join([np.int64(len(keys)).tobytes(), shared.tobytes(), *(places[shared <= i, i].tobytes() for i in range(8))]), 1)
 
 
 def unpack_sorted(packed: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(packed, np.uint64), dtype=np.uint64)
+    sent = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    n = int(sent[:8].view(np.int64)[0])
+    shared, at = sent[8 : 8 + n], 8 + n
+    places = np.zeros((n, 8), np.uint8)
+    for i in range(8):
+        own = np.cumsum(shared <= i, dtype=np.int32)
+        count = int(own[-1]) if n else 0
+        places[:, i] = np.concatenate([np.zeros(1, np.uint8), sent[at : at + count]])[own]
+        at += count
+    return places.view(">u8").ravel().astype(np.uint64)
 
 
 def _shard_of(kind: int, keys: np.ndarray, depth: int, shards: int) -> np.ndarray:
@@ -214,7 +229,7 @@ def _split(kind: int, keys: np.ndarray, depth: int, shards: int) -> tuple[np.nda
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def split_block(docs: DataFrame, most_bytes: int = 8 << 20) -> Column:
+def split_block(docs: DataFrame, most_bytes: int = 16 << 20) -> Column:
     """A label that any pass over the same rows repeats: the input split, cut further where it is large.
 
     Rows that come from no file are dealt by their id into as many blocks as their size asks for.
@@ -250,7 +265,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
             order, begin = _split(kind, keys, depth, shards)
             keys, counts = keys[order], counts[order].astype(np.uint32)
             at = [k for k in range(shards) if begin[k] < begin[k + 1]]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.int32()), "block": pa.array([block] * len(at), pa.int64()), "shard": pa.array(at, pa.int32()), "keys": pa.array([pack_sorted(keys[begin[k] : begin[k + 1]]) for k in at], pa.binary()), "counts": pa.array([_planes(counts[begin[k] : begin[k + 1]]) for k in at], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(at), pa.int32()), "block": pa.array([block] * len(at), pa.int64()), "shard": pa.array(at, pa.int32()), "keys": pa.array([pack_sorted(keys[begin[k] : begin[k + 1]]) for k in at], pa.binary()), "counts": pa.array([pack_numbers(counts[begin[k] : begin[k + 1]]) for k in at], pa.binary())})
 
     def gather(stream):
         held: dict[int, tuple[list, list]] = {}
@@ -264,14 +279,14 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
                     part, own = [lower_bytes(texts[i]) for i in at[a:b]], trains[at[a:b]]
                     for kind, (keys, begin) in enumerate((tokens(part), grams(part, depth))):
                         seen, (known, times) = distinct(keys), distinct_counts(keys[np.repeat(own, np.diff(begin))])
-                        counts = np.zeros(len(seen), np.int64)
+                        counts = np.zeros(len(seen), np.uint32)
                         counts[np.searchsorted(seen, known)] = times
                         held.setdefault(int(label), ([], []))[kind].append((seen, counts))
                         size += len(seen)
-                    if size > 2_500_000:
+                    if size > 6_000_000:
                         for kept, found in held.items():
                             held[kept] = tuple([_sum_up([x[0] for x in parts], [x[1] for x in parts])] for parts in found)
-                        if sum(len(x[0][0]) for found in held.values() for x in found) > 2_000_000:
+                        if sum(len(x[0][0]) for found in held.values() for x in found) > 5_000_000:
                             for kept, found in held.items():
                                 yield from pack(kept, found)
                             held = {}
@@ -281,7 +296,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
 
     packed = stored(rows.mapInArrow(gather, "kind int, block long, shard int, keys binary, counts binary"), "ngrams")
     keys_of = lambda table: [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    counts_of = lambda table: [_from_planes(x, np.uint32) for x in table.column("counts").to_pylist()]
+    counts_of = lambda table: [unpack_numbers(x, np.uint32) for x in table.column("counts").to_pylist()]
 
     def weigh(table: pa.Table) -> pa.Table:
         keys, counts = _sum_up(keys_of(table), counts_of(table))
@@ -310,7 +325,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
         for name in names:
             own = [all_keys[i] for i in np.flatnonzero(block == name)]
             own = distinct(np.concatenate(own))
-            sent.append(values[np.searchsorted(keys, own)].tobytes())
+            sent.append(pack_numbers(values[np.searchsorted(keys, own)]))
         return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array([kind] * len(names), pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * len(names), pa.int32()), "sent": pa.array(sent, pa.binary())})
 
     answers = packed.groupBy("kind", "shard").applyInArrow(answer, "block long, kind int, shard int, sent binary")
@@ -326,7 +341,7 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
             filled = 0
             for k, s, blob in zip(kinds, where, blobs, strict=True):
                 if k == kind:
-                    got = np.frombuffer(blob, values.dtype)
+                    got = unpack_numbers(blob, values.dtype)
                     if len(got) != begin[s + 1] - begin[s]:
                         raise RuntimeError("a block's texts differ between two passes; give corpus_scores a stable block label")
                     values[order[begin[s] : begin[s + 1]]] = got
