@@ -15,7 +15,7 @@ tree of a whole corpus is made of n-gram counts:
 2. Shards weight their subtrees bottom up.  What they say about contexts of
    two bytes (at most 65,536, whatever the corpus) is joined to the root.
 3. Shards mix the estimates of all depths for every n-gram of any text and
-   send each block the values of its own n-grams and tokens.
+   send each block its own n-grams and tokens with their values.
 4. Each block's texts meet these values once and are scored.
 
 Work and shuffles grow with the distinct n-grams and tokens of each block;
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -195,6 +196,12 @@ def unpack_numbers(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def short(numbers: np.ndarray) -> np.ndarray:
+    """Rounded to 17 significant bits (by 2**-17 of the number at most), as 32-bit numbers whose last bits are 0 and take no space."""
+    bits = numbers.astype(np.float32).view(np.uint32)
+    return ((bits + np.uint32(1 << 6)) & np.uint32(0xFFFFFF80)).view(np.float32)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted keys: how many leading bytes each shares with the one before, then place by place the bytes that it doesn't share."""
     step = keys ^ np.concatenate([np.zeros(1, np.uint64), keys[:-1]]) if len(keys) else keys
@@ -278,11 +285,10 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
                 for a, b in batches([texts[i] for i in at], 1 << 19):
                     part, own = [lower_bytes(texts[i]) for i in at[a:b]], trains[at[a:b]]
                     for kind, (keys, begin) in enumerate((tokens(part), grams(part, depth))):
-                        seen, (known, times) = distinct(keys), distinct_counts(keys[np.repeat(own, np.diff(begin))])
-                        counts = np.zeros(len(seen), np.uint32)
-                        counts[np.searchsorted(seen, known)] = times
-                        held.setdefault(int(label), ([], []))[kind].append((seen, counts))
-                        size += len(seen)
+                        learnt = np.repeat(own, np.diff(begin))
+                        known, other = distinct_counts(keys[learnt]), distinct(keys[~learnt])
+                        held.setdefault(int(label), ([], []))[kind].extend([known, (other, np.zeros(len(other), np.int64))])
+                        size += len(known[0]) + len(other)
                     if size > 6_000_000:
                         for kept, found in held.items():
                             held[kept] = tuple([_sum_up([x[0] for x in parts], [x[1] for x in parts])] for parts in found)
@@ -320,35 +326,25 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
         block, kind = table.column("block").to_numpy(), table.column("kind")[0].as_py()
         all_keys = keys_of(table)
         keys, counts = _sum_up(all_keys, counts_of(table))
-        values = byte_scores(keys, counts, depth, top.value).astype(np.float32) if kind else counts
+        values = short(byte_scores(keys, counts, depth, top.value)) if kind else counts
         names, sent = np.unique(block), []
         for name in names:
             own = [all_keys[i] for i in np.flatnonzero(block == name)]
             own = distinct(np.concatenate(own))
-            sent.append(pack_numbers(values[np.searchsorted(keys, own)]))
-        return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array([kind] * len(names), pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()] * len(names), pa.int32()), "sent": pa.array(sent, pa.binary())})
+            sent.append((pack_sorted(own), pack_numbers(values[np.searchsorted(keys, own)])))
+        return pa.table({"block": pa.array(names, pa.int64()), "kind": pa.array([kind] * len(names), pa.int32()), "keys": pa.array([x[0] for x in sent], pa.binary()), "sent": pa.array([x[1] for x in sent], pa.binary())})
 
-    answers = packed.groupBy("kind", "shard").applyInArrow(answer, "block long, kind int, shard int, sent binary")
+    answers = packed.groupBy("kind", "shard").applyInArrow(answer, "block long, kind int, keys binary, sent binary")
 
     def score(texts: pa.Table, sent: pa.Table) -> pa.Table:
         ids, raw = texts.column("doc_id"), texts.column("text").to_pylist()
-        kinds, where, blobs = sent.column("kind").to_pylist(), sent.column("shard").to_pylist(), sent.column("sent").to_pylist()
         lookup, out = [], {k: [] for k in ("tokens", "known", "logs", "score", "bytes")}
-        for kind, read in enumerate((tokens, lambda x: grams(x, depth))):
-            own = distinct(np.concatenate([np.zeros(0, np.uint64), *_parts(raw, read)]))
-            order, begin = _split(kind, own, depth, shards)
-            values = np.zeros(len(own), np.float32 if kind else np.int64)
-            filled = 0
-            for k, s, blob in zip(kinds, where, blobs, strict=True):
-                if k == kind:
-                    got = unpack_numbers(blob, values.dtype)
-                    if len(got) != begin[s + 1] - begin[s]:
-                        raise RuntimeError("a block's texts differ between two passes; give corpus_scores a stable block label")
-                    values[order[begin[s] : begin[s + 1]]] = got
-                    filled += len(got)
-            if filled != len(own):
-                raise RuntimeError("a block's texts differ between two passes; give corpus_scores a stable block label")
-            lookup.append(Lookup(own, values))
+        for kind, number in enumerate((np.int64, np.float32)):
+            own = sent.filter(pa.compute.equal(sent.column("kind"), kind))
+            lookup.append(Lookup(
+                np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x.as_py()) for x in own.column("keys"))]),
+                np.concatenate([np.zeros(0, number), *(unpack_numbers(x.as_py(), number) for x in own.column("sent"))]),
+            ))
         for a, b in batches(raw, 1 << 19):
             part = [lower_bytes(x) for x in raw[a:b]]
             (words, word_at), (codes, code_at) = tokens(part), grams(part, depth)
@@ -370,30 +366,37 @@ def corpus_scores(docs: DataFrame, depth: int = 4, modulus: int = 7, held_out: i
 
 
 class Lookup:
-    """Values by key for keys that are all known: one probe for most, a binary search where slots are shared."""
+    """Values by key for distinct keys in any order: one probe for most, keys that share a slot have a smaller table of their own."""
 
-    SLOT_BITS = 23
+    FEW = 64
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values
-        place = self._slot(keys)
-        self.at = np.zeros(1 << self.SLOT_BITS, np.int32)
-        own = np.arange(len(keys), dtype=np.int32)
-        self.at[place] = own
-        self.at[place[self.at[place] != own]] = -1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        self.keys, self.values, self.tables = keys, values, []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left) > self.FEW:
+            bits = int(len(left)).bit_length()
+            place = self._slot(keys[left], len(self.tables), bits)
+            at = np.full(1 << bits, -1, np.int32)
+            at[place] = left
+            shared = at[place] != left
+            crowded = np.unique(place[shared])
+            at[crowded] = -2
+            self.tables.append((bits, at))
+            left = left[at[place] == -2]
+        self.rest = left[np.argsort(keys[left])]
+
+    def _slot(self, keys: np.ndarray, table: int, bits: int) -> np.ndarray:
+        return (mix(keys ^ mix(np.array([table], np.uint64))) >> np.uint64(64 - bits)).astype(np.int32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self.at[self._slot(keys)]
-        shared = np.flatnonzero(at < 0)
-        at[shared] = np.searchsorted(self.keys, keys[shared])
-        return self.values[at]
-
-
-def _parts(texts: list, read):
-    """The distinct keys of a block's texts, a few megabytes of text at a time."""
-    for a, b in batches(texts, 1 << 21):
-        found = [distinct(read([lower_bytes(x) for x in texts[a + i : a + j]])[0]) for i, j in batches(texts[a:b], 1 << 19)]
-        yield distinct(np.concatenate(found))
+        found = np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        for k, (bits, table) in enumerate(self.tables):
+            at = table[self._slot(keys[left], k, bits)]
+            found[left] = at
+            left = left[at == -2]
+        if len(left) and len(self.rest):
+            found[left] = self.rest[np.minimum(np.searchsorted(self.keys[self.rest], keys[left]), len(self.rest) - 1)]
+        if (found < 0).any() or (self.keys[found] != keys).any():
+            raise RuntimeError("a block's texts differ between two passes; give corpus_scores a stable block label")
+        return self.values[found]

@@ -18,3 +18,17 @@ def test_keys_and_numbers_survive_packing(values):
 def test_random_keys_survive_packing():
     keys = ctw.distinct(np.random.default_rng(3).integers(0, 1 << 45, 50_000, dtype=np.uint64))
     assert (ctw.unpack_sorted(ctw.pack_sorted(keys)) == keys).all()
+
+
+@pytest.mark.parametrize("size", [0, 1, 64, 65, 1000, 200_000])
+def test_lookup_gives_each_key_its_value_and_refuses_others(size):
+    keys = np.random.default_rng(4).permutation(np.arange(size, dtype=np.uint64) * np.uint64(7))
+    asked = np.concatenate([keys[::3], keys[::2]])
+    assert (ctw.Lookup(keys, keys.astype(np.float32))(asked) == asked.astype(np.float32)).all()
+    with pytest.raises(RuntimeError):
+        ctw.Lookup(keys, keys)(np.array([3], np.uint64))
+
+
+def test_short_numbers_keep_seventeen_bits():
+    numbers = -np.random.default_rng(5).exponential(1.0, 10_000)
+    assert np.allclose(ctw.short(numbers), numbers, rtol=2.0**-17, atol=0)
