@@ -20,13 +20,26 @@ from motifspark.llm.queries import table, tokenizer_path
 from motifspark.llm.textops import free_name, stored
 
 
+#: Rows of an Arrow batch: 10,000 whole texts are tens of megabytes, held several times by the JVM and the worker.
+BATCH_ROWS = 2_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to BATCH_ROWS; a lower setting stays. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _small_batches(spark)
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line stays of each component of lines of similarity 0.8; n_chars follows the text."""
+    _small_batches(spark)
     return _counted(dedup_lines(docs, percent=80), docs)
 
 
@@ -38,6 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     null or repeated ids count each by its own text.  Null and wordless texts
     link with nothing and stay.
     """
+    _small_batches(spark)
     key = free_name("row_key", docs.columns)
     keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
     found = jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80)
@@ -49,11 +63,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are largely benchmark go."""
+    _small_batches(spark)
     return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, with their places in sequences of 2048 tokens."""
+    _small_batches(spark)
     return pack(docs, tokenizer_path(), capacity=2048)
 
 
