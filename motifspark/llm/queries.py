@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .media import media_digest
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .quality_rules import CAPITALS, MARKS, MEASURES, PRECISION, SPREAD, SYMBOLS, quality_report
 from .tokenizing import token_counts
 from .url_filters import judge_urls
 
@@ -75,18 +76,60 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_report(table(spark, sf_dir, "documents")).select("doc_id", *columns, "level", F.array_join("broken", ",").alias("broken"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_tree, op2_decontamination, op3_language_id, op4_jaccard_join, op5_line_dedup, op6_url_filters, op7_webp_media, op8_token_counts, op9_quality, op10_packing, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_tree, op2_decontamination, op3_language_id, op4_jaccard_join, op5_line_dedup, op6_url_filters, op7_webp_media, op8_token_counts, op9_quality, op10_packing, op12_quality_rules, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 
+_TEXT_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_TEXT_LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
+_BUCKET = f"((v >> greatest(length(bin(v)) - {PRECISION}, 0)) << greatest(length(bin(v)) - {PRECISION}, 0))"
+_FENCES = ", ".join(f"CASE WHEN {m.name} > h['{m.name}']" + (f" OR {m.name} < l['{m.name}']" if m.low else "") + f" THEN '{m.name}' END" for m in MEASURES)
+
 ORACLES: dict[str, str] = {
+    "op12_quality_rules": f"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {_TEXT_WORDS} AS w, {_TEXT_LINES} AS lines FROM documents),
+        windows AS (SELECT r, k, array_to_string(w[k:k + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS k FROM texts WHERE len(w) >= 8)),
+        twice AS (SELECT r, k FROM windows SEMI JOIN (SELECT r, s FROM windows GROUP BY ALL HAVING count(*) > 1) USING (r, s)),
+        repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 8)) AS p FROM twice) GROUP BY r),
+        counts AS (
+            SELECT r, doc_id, lang, source, len(w) AS n_words, length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+                length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols, length(text) - length(translate(text, '{MARKS}', '')) AS n_marks,
+                length(text) - length(translate(text, '{CAPITALS}', '')) AS n_capitals, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+            FROM texts LEFT JOIN repeated USING (r)),
+        rated AS (
+            SELECT *, word_chars * 1000 // greatest(n_words, 1) AS mean_length, n_symbols * 1000 // greatest(n_words, 1) AS symbols, n_marks * 1000 // greatest(n_words, 1) AS marks,
+                n_capitals * 1000 // greatest(word_chars, 1) AS capitals, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats,
+                n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+            FROM counts),
+        tall AS (
+            SELECT lang, source, m.name AS measure, m.slack, {_BUCKET} AS bucket
+            FROM (SELECT lang, source, m, m.v AS v FROM (SELECT lang, source, unnest([{", ".join(f"{{'name': '{m.name}', 'v': {m.name}::BIGINT, 'slack': {m.slack}}}" for m in MEASURES)}]) AS m FROM rated WHERE NOT base_failed))),
+        leveled AS (
+            SELECT 'source' AS level, * FROM tall UNION ALL SELECT 'lang', * REPLACE (NULL AS source) FROM tall UNION ALL SELECT 'corpus', * REPLACE (NULL AS lang, NULL AS source) FROM tall),
+        bounds AS (
+            SELECT level, lang, source, measure, slack, count(*) AS n, quantile_disc(bucket, 0.25) AS lower, quantile_disc(bucket, 0.75) AS upper FROM leveled GROUP BY ALL),
+        groups AS (
+            SELECT level, lang, source, max(n) AS n, map_from_entries(list((measure, upper + greatest({SPREAD} * (upper - lower), slack)))) AS h,
+                map_from_entries(list((measure, lower - greatest({SPREAD} * (upper - lower), slack)))) AS l
+            FROM bounds GROUP BY ALL),
+        chosen AS (
+            SELECT o.lang, o.source, CASE WHEN o.n >= 200 THEN 'source' WHEN g.n >= 200 THEN 'lang' ELSE 'corpus' END AS level,
+                CASE WHEN o.n >= 200 THEN o.h WHEN g.n >= 200 THEN g.h ELSE c.h END AS h, CASE WHEN o.n >= 200 THEN o.l WHEN g.n >= 200 THEN g.l ELSE c.l END AS l
+            FROM (SELECT * FROM groups WHERE level = 'source') o JOIN (SELECT * FROM groups WHERE level = 'lang') g ON o.lang IS NOT DISTINCT FROM g.lang, (SELECT * FROM groups WHERE level = 'corpus') c)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, level, broken
+        FROM (SELECT rated.*, level, concat_ws(',', {_FENCES}) AS broken FROM rated LEFT JOIN chosen ON rated.lang IS NOT DISTINCT FROM chosen.lang AND rated.source IS NOT DISTINCT FROM chosen.source)""",
     "op2_decontamination": f"""
         WITH items AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
         windows AS (
