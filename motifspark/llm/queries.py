@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
+from .collocations import collocations
 from .ctw import corpus_scores
 from .decontaminate import contamination_report
 from .jaccard_join import jaccard_components
@@ -76,18 +78,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_report(table(spark, sf_dir, "documents")).select("doc_id", *columns, "level", F.array_join("broken", ",").alias("broken"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=10, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_tree, op2_decontamination, op3_language_id, op4_jaccard_join, op5_line_dedup, op6_url_filters, op7_webp_media, op8_token_counts, op9_quality, op10_packing, op12_quality_rules, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_context_tree, op2_decontamination, op3_language_id, op4_jaccard_join, op5_line_dedup, op6_url_filters, op7_webp_media, op8_token_counts, op9_quality, op10_packing, op11_alignment, op12_quality_rules, op13_collocations, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
@@ -98,6 +108,26 @@ _BUCKET = f"((v >> greatest(length(bin(v)) - {PRECISION}, 0)) << greatest(length
 _FENCES = ", ".join(f"CASE WHEN {m.name} > h['{m.name}']" + (f" OR {m.name} < l['{m.name}']" if m.low else "") + f" THEN '{m.name}' END" for m in MEASURES)
 
 ORACLES: dict[str, str] = {
+    "op13_collocations": f"""
+        WITH pieces AS (
+            SELECT row_number() OVER () AS p, lang, w
+            FROM (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\x09]+'), lambda x: x <> '') AS w
+                FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents))
+            WHERE len(w) > 0),
+        grams AS (
+            SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k) GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+        cuts AS (
+            SELECT lang, k, phrase, f AS a, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM grams WHERE k > 1 AND f >= 10),
+        rated AS (
+            SELECT c.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+            FROM cuts c JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:c.c], ' ') JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.c + 1:], ' ')),
+        lowest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        inner_ AS (SELECT lang, a AS f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM lowest WHERE k = 3),
+        kept AS (SELECT * FROM lowest t WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = t.lang AND i.phrase = t.phrase AND 100 * i.f >= 50 * t.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
     "op12_quality_rules": f"""
         WITH texts AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, {_TEXT_WORDS} AS w, {_TEXT_LINES} AS lines FROM documents),
         windows AS (SELECT r, k, array_to_string(w[k:k + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS k FROM texts WHERE len(w) >= 8)),
