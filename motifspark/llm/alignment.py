@@ -7,21 +7,18 @@ is cut there, and what a piece between cuts gives is remembered.  In a piece,
 two pointers go along the cumulative ends of both token lists; where they
 meet, a group ends.
 
-Two passes over the texts: the first counts, for each pair of ids, the
-documents that link it, combined before the shuffle; Spark adds up, finds the
-highest count of each id of either side and joins these to the pairs.  The
-second brings counts and maxima back to the documents: from a broadcast table
-while there are MOST_PAIRS pairs at most, beyond that by a join of each
-document's pairs.
+One pass over the texts writes each document's digest and its distinct pairs
+of ids.  Spark counts the documents of each pair, finds the highest count of
+each id of either side, and joins both back to the documents' pairs.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from hashlib import sha256
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,29 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textops import batches, stored
+from .textops import batches, distinct_counts, stored
 from .tokenizing import _byte_letters
 
-MOST_PAIRS = 4_000_000  # of the broadcast table: 68 MB
-MOST_REMEMBERED = 48 << 20  # bytes of pieces that a worker remembers, in either of two generations
+MOST_PAIRS = 1_000_000  # of the broadcast table: some 60 MB in each executor
+MOST_REMEMBERED = 150_000  # pieces of either of two generations that a worker remembers, of LONG_PIECE characters at most: some 60 MB
+MOST_LISTED = 4096  # links of a group that are listed one by one; those of larger groups are counted by their ids
 LONG_PIECE = 64  # characters; longer ones aren't remembered
 SHIFT = 32  # a pair of ids is one number: a << SHIFT | b
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
 
 
-def merge_ends(ends_a: Sequence[int], ends_b: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
-    """(a from, a to, b from, b to) of each group: two pointers over the cumulative ends of tokens of the same bytes."""
-    i = j = i0 = j0 = 0
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            yield i0, i, j0, j
-            i0, j0 = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
+def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in a, index in b) of the tokens that end a group: two pointers over the cumulative ends of tokens of the same bytes.
+
+    Each end of one list is looked for where the pointer of the other stands then, all at once.
+    """
+    at = np.searchsorted(ends_b, ends_a)
+    met = np.flatnonzero(ends_b[at] == ends_a)
+    return met, at[met]
 
 
 class Tokenizers:
@@ -66,17 +60,19 @@ class Tokenizers:
         self.a.no_truncation()
         self.a.no_padding()
         letters = {x: k for k, x in enumerate(_byte_letters())}
-        self.bytes_a = {i: bytes(letters[x] for x in token) if all(x in letters for x in token) else token.encode() for token, i in self.a.get_vocab().items()}
+        self.bytes_a = [b""] * self.a.get_vocab_size()
+        for token, i in self.a.get_vocab().items():
+            self.bytes_a[i] = bytes(letters[x] for x in token) if all(x in letters for x in token) else token.encode()
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("a piece of the second tokenizer goes on after a space: texts can't be cut there")
 
-    def ids(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def ids(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of space + piece by either tokenizer; the second puts the space itself."""
         encoded = self.a.encode_batch_fast([" " + x for x in pieces], add_special_tokens=False)
-        for one, other in zip(encoded, self.b.encode(pieces, num_threads=1), strict=True):
-            yield one.ids, other
+        return [x.ids for x in encoded], self.b.encode(pieces, num_threads=1)
 
 
 def tokenizers_of(path_a: str, path_b: str) -> Tokenizers:
@@ -86,185 +82,170 @@ def tokenizers_of(path_a: str, path_b: str) -> Tokenizers:
     return _LOADED[path_a, path_b]
 
 
-class Piece:
-    """Groups and links of a piece: the text of its groups, (n_a, n_b, n_groups, n_links), its distinct pairs and how often each is linked."""
+class Piece(NamedTuple):
+    """Groups and links of a piece: the text of its groups, (n_a, n_b, n_groups, n_links), and its linked pairs as packed numbers."""
+
+    groups: str
+    sizes: tuple[int, int, int, int]
+    pairs: bytes  # each occurrence, where `links` doesn't tell how often each is linked
+    links: bytes | None
+
 
-    __slots__ = ("groups", "links", "pairs", "sizes")
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and where each list begins, with the end."""
+    first = np.append(0, np.cumsum(list(map(len, lists)), dtype=np.int64))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(first[-1])), first
 
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        found, shown, n_links = Counter(), [], 0
-        for a0, a1, b0, b1 in merge_ends(ends_a, ends_b):
-            left, right = a[a0:a1], b[b0:b1]
-            shown.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            n_links += len(left) * len(right)
-            own_a, own_b = Counter(left), Counter(right)
-            for x, n in own_a.items():
-                for y, m in own_b.items():
-                    found[x << SHIFT | y] += n * m
-        self.groups, self.sizes = ";".join(shown), (len(a), len(b), len(shown), n_links)
-        self.pairs, self.links = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
 
+def _large(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, links) of a group of many tokens: its distinct pairs, and how often each is linked."""
+    (x, n), (y, m) = distinct_counts(a), distinct_counts(b)
+    return (x[:, None] << SHIFT | y).ravel(), (n[:, None] * m).ravel()
 
-def aligned(own: Tokenizers, piece: str, a: list[int], b: list[int]) -> Piece | None:
-    """The piece's groups; None where the bytes of either side aren't those of space + piece."""
-    parts_a, parts_b, whole = [own.bytes_a[x] for x in a], [own.bytes_b[x] for x in b], (" " + piece).encode("utf-8", "surrogatepass")
-    if b"".join(parts_a) != whole or b"".join(parts_b) != whole:
-        return None
-    return Piece(a, b, list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b))))
+
+def aligned(own: Tokenizers, pieces: list[str]) -> list[Piece | None]:
+    """The groups of each piece; None where the bytes of either side aren't those of space + piece."""
+    if not pieces:
+        return []
+    ids_a, ids_b = own.ids(pieces)
+    whole = [(" " + x).encode("utf-8", "surrogatepass") for x in pieces]
+    (a, first_a), (b, first_b) = _flat(ids_a), _flat(ids_b)
+    ends_a, ends_b, size = np.cumsum(own.sizes_a[a]), np.cumsum(own.sizes_b[b]), np.cumsum(list(map(len, whole)))
+    joined = b"".join(whole)
+    same = all(len(ends) and len(first) and bool((np.append(0, ends)[first[1:]] == size).all()) and b"".join(map(table.__getitem__, chain.from_iterable(ids))) == joined for ends, first, table, ids in ((ends_a, first_a, own.bytes_a, ids_a), (ends_b, first_b, own.bytes_b, ids_b)))
+    if not same:
+        good = [b"".join(map(own.bytes_a.__getitem__, x)) == w == b"".join(map(own.bytes_b.__getitem__, y)) for x, y, w in zip(ids_a, ids_b, whole, strict=True)]
+        rest = iter(aligned(own, [x for x, fine in zip(pieces, good, strict=True) if fine]))
+        return [next(rest) if fine else None for fine in good]
+    last_a, last_b = merge_ends(ends_a, ends_b)
+    from_a, from_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
+    n_a, n_b = last_a + 1 - from_a, last_b + 1 - from_b
+    first_group = np.append(0, np.searchsorted(last_a, first_a[1:], "left"))
+    # each A token of a group meets all B tokens of it; large groups are left out and added below
+    listed = n_a * n_b <= MOST_LISTED
+    group = np.repeat(np.arange(len(n_a)), n_a)
+    meets = np.where(listed, n_b, 0)[group]
+    upto = np.cumsum(meets)
+    at_a = np.repeat(np.arange(len(a)), meets)
+    at_b = np.repeat(from_b[group] - (upto - meets), meets) + np.arange(len(at_a))
+    raw = (a[at_a] << SHIFT | b[at_b]).tobytes()
+    first_pair = (np.append(0, upto)[first_a] * 8).tolist()
+    n_links = np.append(0, np.cumsum(n_a * n_b))[first_group]
+    sizes = zip(np.diff(first_a).tolist(), np.diff(first_b).tolist(), np.diff(first_group).tolist(), np.diff(n_links).tolist(), strict=True)
+    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    shown = [f"{text_a[i]}|{text_b[j]}" if n == m == 1 else f"{','.join(text_a[i : i + n])}|{','.join(text_b[j : j + m])}" for i, j, n, m in zip(from_a.tolist(), from_b.tolist(), n_a.tolist(), n_b.tolist(), strict=True)]
+    cuts = first_group.tolist()
+    out = [Piece(";".join(shown[g:h]), s, raw[p:q], None) for g, h, s, p, q in zip(cuts, cuts[1:], sizes, first_pair, first_pair[1:], strict=False)]
+    for g in np.flatnonzero(~listed):
+        i = int(np.searchsorted(first_group, g, "right")) - 1
+        pairs, links = _large(a[from_a[g] : last_a[g] + 1], b[from_b[g] : last_b[g] + 1])
+        had = out[i].links or np.ones(len(out[i].pairs) // 8, np.int64).tobytes()
+        out[i] = out[i]._replace(pairs=out[i].pairs + pairs.tobytes(), links=had + links.tobytes())
+    return out
 
 
 class Memory:
     """What pieces gave, in two generations: when the young one is full it becomes the old one, which is dropped."""
 
-    def __init__(self, own: Tokenizers, keep):
-        self.own, self.keep = own, keep  # keep(Piece) gives what is remembered of it
+    def __init__(self, own: Tokenizers, keep: Callable[[list[Piece]], list]):
+        self.own, self.keep = own, keep  # keep gives what is remembered of each piece
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
-        self.held = 0
-
-    def of(self, texts: list[list[str]]) -> dict[str, object]:
-        """What is kept of each piece of these texts."""
-        found, fresh = {}, {}
-        for pieces in texts:
-            for x in pieces:
-                if x not in found and x not in fresh:
-                    if x in self.young:
-                        found[x] = self.young[x]
-                    elif x in self.old:
-                        found[x] = self._remember(x, self.old[x])
-                    else:
-                        fresh[x] = None
-        names = list(fresh)
-        for x, (a, b) in zip(names, self.own.ids(names), strict=True):
-            piece = aligned(self.own, x, a, b)
-            found[x] = self._remember(x, piece and self.keep(piece)) if len(x) <= LONG_PIECE else piece and self.keep(piece)
-        return found
-
-    def _remember(self, x: str, value):
-        self.young[x] = value
-        self.held += 300 + 4 * len(x)
-        if self.held > MOST_REMEMBERED:
-            self.old, self.young, self.held = self.young, {}, 0
-        return value
-
-
-def documents_of(own: Tokenizers, memory: Memory, texts: list) -> Iterator[list]:
-    """What is kept of the pieces of each text; no piece for texts that are null, empty or not given back by both tokenizers."""
+
+    def of(self, pieces: set[str]) -> dict[str, object]:
+        """What is kept of each piece; None of those that a tokenizer doesn't give back."""
+        young, old = self.young, self.old
+        found = {x: young[x] for x in pieces & young.keys()}
+        rest = pieces - found.keys()
+        again = {x: old[x] for x in rest & old.keys()}
+        fresh = list(rest - again.keys())
+        got = aligned(self.own, fresh)
+        kept = iter(self.keep([x for x in got if x is not None]))
+        made = {x: None if piece is None else next(kept) for x, piece in zip(fresh, got, strict=True)}
+        if len(young) + len(again) + len(made) > MOST_REMEMBERED:
+            self.old, self.young = young, {}
+        self.young.update(again)
+        self.young.update((x, value) for x, value in made.items() if len(x) <= LONG_PIECE)
+        return found | again | made
+
+
+def documents_of(own: Tokenizers, memory: Memory, texts: list) -> Iterator[tuple[list[str], dict]]:
+    """(pieces, what is kept of each) of each text; no pieces of texts that are null, empty or not given back by both tokenizers."""
     for begin, end in batches(texts, 1 << 20):
         cut = [_CUT.split(x) if x else [] for x in texts[begin:end]]
-        known = memory.of(cut)
+        known = memory.of(set().union(*cut))
+        lost = {x for x, value in known.items() if value is None}
         for text, pieces in zip(texts[begin:end], cut, strict=True):
-            found = [known[x] for x in pieces]
-            if any(x is None for x in found):
+            if lost.isdisjoint(pieces):
+                yield pieces, known
+            else:
                 # the pieces' bytes might differ and those of the whole be the same
-                whole = aligned(own, text, *next(own.ids([text])))
-                found = [] if whole is None else [memory.keep(whole)]
-            yield found
+                whole = aligned(own, [text])[0]
+                yield ([], {}) if whole is None else ([text], {text: memory.keep([whole])[0]})
 
 
 def _texts(frame: pd.DataFrame) -> list:
     return [x if isinstance(x, str) else None for x in frame["text"]]
 
 
-def pair_counts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """(pair, n, most_a, most_b): how many documents link a pair of ids, and the highest such counts of its A id and of its B id."""
-
-    def work(stream):
-        own = tokenizers_of(path_a, path_b)
-        memory = Memory(own, lambda piece: piece.pairs)
-        held, size = [], 0
-
-        def counted():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"pair": pairs, "n": n.astype(np.int64)})
-
-        for frame in stream:
-            for found in documents_of(own, memory, _texts(frame)):
-                if found:
-                    held.append(np.unique(np.concatenate(list({id(x): x for x in found}.values()))))
-                    size += len(held[-1])
-                if size > 4_000_000:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    added = docs.select("text").mapInPandas(work, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # an id has no more pairs than the other side has ids
-    most = lambda side: F.max("n").over(Window.partitionBy(side))
-    sides = added.withColumns({"a": F.shiftright("pair", SHIFT), "b": F.col("pair").bitwiseAND((1 << SHIFT) - 1)})
-    return sides.select("pair", "n", "a", most("b").alias("most_b")).select("pair", "n", most("a").alias("most_a"), "most_b")
-
-
 DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
+NAMES = [x.split()[0] for x in DIGEST.split(", ")]
 
 
-def _digest(doc_id, pieces: list[tuple]) -> tuple:
-    """pieces: (groups, sizes) and more of each."""
-    if not pieces:
-        return doc_id, 0, 0, 0, 0, ""
-    return doc_id, *map(sum, zip(*[x[1] for x in pieces], strict=True)), sha256(";".join([x[0] for x in pieces]).encode()).hexdigest()
-
-
-def _number(x):
-    return None if pd.isna(x) else int(x)
-
+def _numbers(column: pd.Series) -> list:
+    return [None if pd.isna(x) else int(x) for x in column]
 
-def _by_broadcast(docs: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Counts and maxima from a sorted table that every worker holds."""
-    rows = counts.orderBy("pair").toArrow()
-    column = lambda name: rows.column(name).to_numpy()
-    n = column("n")
-    held = docs.sparkSession.sparkContext.broadcast((column("pair"), n, n == column("most_a"), n == column("most_b")))
-    names = [x.split()[0] for x in DIGEST.split(", ")]
 
-    def work(stream):
-        own, (pairs, n, best_a, best_b) = tokenizers_of(path_a, path_b), held.value
-
-        def keep(piece: Piece):
-            at = np.searchsorted(pairs, piece.pairs)
-            scores = (int(piece.links @ x[at]) for x in (best_a, best_b, n))
-            return piece.groups, piece.sizes, tuple(scores)
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    made = pd.DataFrame(rows, columns=columns)
+    made["doc_id"] = made["doc_id"].astype("Int64")
+    return made
 
-        memory = Memory(own, keep)
-        for frame in stream:
-            out, scores = [], []
-            for doc_id, found in zip(frame["doc_id"], documents_of(own, memory, _texts(frame)), strict=True):
-                out.append(_digest(_number(doc_id), found))
-                scores.append(tuple(map(sum, zip(*[x[2] for x in found], strict=True))) if found else (0, 0, 0))
-            made = pd.DataFrame(out, columns=names)
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield pd.concat([made, pd.DataFrame(scores, columns=["n_best", "n_best_b", "count_sum"], dtype=np.int64)], axis=1)
 
-    return docs.mapInPandas(work, DIGEST + ", n_best long, n_best_b long, count_sum long")
+def _pairs(pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a document, and how often it links each."""
+    flat = np.frombuffer(b"".join([x.pairs for x in pieces]), np.int64)
+    if not any(x.links for x in pieces):
+        return distinct_counts(flat)
+    each = np.concatenate([np.frombuffer(x.links, np.int64) if x.links else np.ones(len(x.pairs) // 8, np.int64) for x in pieces])
+    pairs, at = np.unique(flat, return_inverse=True)
+    links = np.zeros(len(pairs), np.int64)
+    np.add.at(links, at, each)
+    return pairs, links
 
 
-def _by_join(docs: DataFrame, counts: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Counts and maxima by a join of each document's pairs, which are written once with its digest; for any number of pairs."""
-    names = [x.split()[0] for x in DIGEST.split(", ")]
+def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """The digest columns of each document with its distinct pairs: (doc_id, ..., a, b, links), the last three arrays of equal length."""
 
     def work(stream):
         own = tokenizers_of(path_a, path_b)
-        memory = Memory(own, lambda piece: (piece.groups, piece.sizes, piece.pairs, piece.links))
+        memory = Memory(own, list)
         for frame in stream:
-            out = []
-            for doc_id, found in zip(frame["doc_id"], documents_of(own, memory, _texts(frame)), strict=True):
-                pairs, links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if found:
-                    pairs, at = np.unique(np.concatenate([x[2] for x in found]), return_inverse=True)
-                    links = np.bincount(at, np.concatenate([x[3] for x in found]), len(pairs)).astype(np.int64)
-                out.append((*_digest(_number(doc_id), found), pairs, links))
-            made = pd.DataFrame(out, columns=[*names, "pairs", "links"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
-
-    found = docs.mapInPandas(work, DIGEST + ", pairs array<long>, links array<long>")
-    keyed = stored(found.withColumn("row", F.monotonically_increasing_id()), "alignment")
-    each = keyed.select("row", F.inline(F.arrays_zip("pairs", "links")).alias("pair", "links")).join(counts, "pair")
-    best = lambda most: F.sum(F.when(F.col("n") == F.col(most), F.col("links")).otherwise(0))
-    sums = each.groupBy("row").agg(best("most_a").alias("n_best"), best("most_b").alias("n_best_b"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
-    return keyed.drop("pairs", "links").join(sums, "row", "left").select(*names, zero("n_best"), zero("n_best_b"), zero("count_sum"))
+            out, held = [], 0
+            for doc_id, (names, known) in zip(_numbers(frame["doc_id"]), documents_of(own, memory, _texts(frame)), strict=True):
+                pieces = [known[x] for x in names]
+                pairs, links = _pairs(pieces)
+                sizes = map(sum, zip(*[x.sizes for x in pieces], strict=True)) if pieces else [0] * 4
+                digest = sha256(";".join([x.groups for x in pieces]).encode()).hexdigest() if pieces else ""
+                out.append((doc_id, *sizes, digest, (pairs >> SHIFT).astype(np.int32), (pairs & ((1 << SHIFT) - 1)).astype(np.int32), links))
+                held += len(pairs)
+                if held > 1_000_000:
+                    yield _frame(out, [*NAMES, "a", "b", "links"])
+                    out, held = [], 0
+            if out:
+                yield _frame(out, [*NAMES, "a", "b", "links"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, DIGEST + ", a array<int>, b array<int>, links array<long>")
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """(a, b, n, most_a, most_b): how many documents link a pair of ids, and the highest such counts of its A id and of its B id; found: as linked() gives it.
+
+    An id has no more pairs than the other side has ids, which bounds the rows of a window.
+    """
+    counts = found.select(F.inline(F.arrays_zip("a", "b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    most = lambda side: F.max("n").over(Window.partitionBy(side))
+    return counts.withColumn("most_b", most("b")).withColumn("most_a", most("a"))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -277,13 +258,18 @@ def align(docs: DataFrame, path_a: str, path_b: str, most_pairs: int = MOST_PAIR
     of all links.  Null and empty texts and those that a tokenizer doesn't
     give back have zeros and the digest ''.  Repeated rows count each by
     itself, null ids stay null, other columns are ignored, an empty table
-    gives no rows.  A text is one row of one task: no task holds more than
-    one text's pairs and some 4,000,000 pairs before they are combined.
+    gives no rows.  A text is one row of one task, which holds the text's
+    tokens and links.  Counts are broadcast if there are `most_pairs` pairs at
+    most, and joined by shuffle beyond.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = stored(pair_counts(docs, path_a, path_b), "pair-counts")
+    found = stored(linked(docs, path_a, path_b).withColumn("row", F.monotonically_increasing_id()), "linked")
+    counts = stored(pair_counts(found), "pair-counts")
     few = counts.limit(most_pairs + 1).count() <= most_pairs
-    return (_by_broadcast if few else _by_join)(docs, counts, path_a, path_b)
+    each = found.select("row", F.inline(F.arrays_zip("a", "b", "links"))).join(F.broadcast(counts) if few else counts, ["a", "b"])
+    best = lambda most: F.sum(F.when(F.col("n") == F.col(most), F.col("links")).otherwise(0))
+    sums = each.groupBy("row").agg(best("most_a").alias("n_best"), best("most_b").alias("n_best_b"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long").alias(x)
+    return found.select("row", *NAMES).join(sums, "row", "left").select(*NAMES, zero("n_best"), zero("n_best_b"), zero("count_sum"))
 
 
 def alignment_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -291,13 +277,10 @@ def alignment_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def work(stream):
         own = tokenizers_of(path_a, path_b)
-        memory = Memory(own, lambda piece: piece.groups)
+        memory = Memory(own, lambda pieces: [x.groups for x in pieces])
         for frame in stream:
-            for doc_id, found in zip(frame["doc_id"], documents_of(own, memory, _texts(frame)), strict=True):
-                sides = [x.split("|") for x in ";".join(found).split(";")] if found else []
-                rows = [(_number(doc_id), k, *([int(y) for y in x.split(",")] for x in pair)) for k, pair in enumerate(sides)]
-                made = pd.DataFrame(rows, columns=["doc_id", "group", "a_ids", "b_ids"])
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
+            for doc_id, (pieces, known) in zip(_numbers(frame["doc_id"]), documents_of(own, memory, _texts(frame)), strict=True):
+                sides = [x.split("|") for x in ";".join([known[x] for x in pieces]).split(";")] if pieces else []
+                yield _frame([(doc_id, k, *([int(y) for y in x.split(",")] for x in pair)) for k, pair in enumerate(sides)], ["doc_id", "group", "a_ids", "b_ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, group long, a_ids array<long>, b_ids array<long>")
