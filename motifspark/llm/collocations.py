@@ -17,6 +17,7 @@ different phrases, two share both with a chance of some 10**-5.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 
 from .textops import SEPARATOR, _powers, batches, byte_class, lower_bytes, mix, stored
 
-MOST_SLOTS = 2_000_000  # of a round's index: 12 bytes each, and 8 of its counts in each worker
+MOST_SLOTS = 2_000_000  # of a round's index: 14 bytes each, and 8 of its counts in each worker
 MOST_BITS = 1 << 27  # of the table of what may be frequent: 16 MB
 CHUNK = 1 << 12  # slots of a row of counts
 LONGEST = 3
@@ -77,11 +78,11 @@ class PerfectHash:
 class Index:
     """Slots of candidates; the stored keys, compared at each look-up, turn others away."""
 
-    def __init__(self, keys: np.ndarray, checks: np.ndarray):
+    def __init__(self, keys: np.ndarray, checks: np.ndarray, homes: np.ndarray):
         self.hash = PerfectHash(self._joined(keys, checks))
         at = self.hash.slots(self._joined(keys, checks))
-        self.keys, self.checks = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32)
-        self.keys[at], self.checks[at] = keys, checks
+        self.keys, self.checks, self.homes = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint8)
+        self.keys[at], self.checks[at], self.homes[at] = keys, checks, homes
 
     @staticmethod
     def _joined(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
@@ -100,6 +101,7 @@ class Grams:
 
     def __init__(self, texts: Sequence[bytes], langs: Sequence[str]):
         self.raw = b"\xff".join(texts) + b"\xff"
+        self.homes = np.array([zlib.crc32(x) & 0xFF for x in texts], np.uint8)
         buffer = np.frombuffer(self.raw, np.uint8)
         edge = np.flatnonzero(np.diff(_IN_WORD[buffer], prepend=False, append=False))
         self.start, self.end = edge[0::2], edge[1::2]
@@ -148,30 +150,28 @@ def _parts(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
 
 
 def grams_of(batch: pa.RecordBatch) -> Iterator[tuple[Grams, list[str]]]:
-    """The n-grams of a batch's texts, some 2 MB at a time, with the language of each text."""
+    """The n-grams of a batch's texts, some 1 MB at a time, with the language of each text."""
     texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-    for begin, end in batches(texts, 1 << 21):
+    for begin, end in batches(texts, 1 << 20):
         cut = [(part, lang) for text, lang in zip(texts[begin:end], langs[begin:end], strict=True) for part in _parts(lower_bytes(text))]
         parts, held, size = [], [], 0
         for part, lang in cut:
             parts.append(part)
             held.append(lang)
             size += len(part)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield Grams(parts, held), held
                 parts, held, size = [], [], 0
         if parts:
             yield Grams(parts, held), held
 
 
-def _summed(keys: np.ndarray, checks: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, check) with how often each occurs."""
+def _summed(keys: np.ndarray, checks: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, check), how often each occurs and its least home; equal ones that lie apart give two rows, which the shuffle joins."""
     order = np.argsort(keys)
-    keys, checks = keys[order], checks[order]
-    n = np.ones(len(keys), np.int64) if n is None else n[order]
-    first = np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))  # equal pairs that lie apart give two rows, which the shuffle joins
-    at = np.flatnonzero(first)
-    return keys[at], checks[at], np.add.reduceat(n, at) if len(at) else n
+    keys, checks, homes = keys[order], checks[order], homes[order]
+    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
+    return keys[at], checks[at], np.diff(np.append(at, len(keys))), np.minimum.reduceat(homes, at)
 
 
 def _bits(frequent: DataFrame, size: int) -> np.ndarray:
@@ -191,7 +191,11 @@ def _may_be(table: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, least: int) -> DataFrame:
-    """(n, key, check) of the words, pairs and triples that occur `least` times or more in their language, as parts and by themselves."""
+    """(n, key, check, home) of the words, pairs and triples that occur `least` times or more in their language, as parts and by themselves.
+
+    Every text has a home, a byte of its checksum; the least of those of an
+    n-gram's texts tells which texts give its wording.
+    """
     found = []
     held = None
     for n in range(1, LONGEST + 1):
@@ -200,8 +204,8 @@ def candidates(docs: DataFrame, least: int) -> DataFrame:
             pile, size = [], 0
 
             def rows():
-                keys, checks, count = _summed(*(np.concatenate(x) for x in zip(*pile, strict=True)))
-                return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "check": pa.array(checks.astype(np.int64)), "n": pa.array(np.minimum(count, least))})
+                keys, checks, count, homes = _summed(*(np.concatenate(x) for x in zip(*pile, strict=True)))
+                return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "check": pa.array(checks.astype(np.int64)), "n": pa.array(np.minimum(count, least)), "home": pa.array(homes.astype(np.int16))})
 
             for batch in stream:
                 for grams, _ in grams_of(batch):
@@ -211,16 +215,16 @@ def candidates(docs: DataFrame, least: int) -> DataFrame:
                         table, bits = held.value
                         parts = _may_be(table, bits, grams.of(n - 1)[0])
                         wanted = wanted & parts[:-1] & parts[1:]
-                    pile.append((keys[wanted], checks[wanted]))
+                    pile.append((keys[wanted], checks[wanted], grams.homes[grams.owner[: len(keys)]][wanted]))
                     size += int(wanted.sum())
-                    if size > 2_000_000:
+                    if size > 1_500_000:
                         yield rows()
                         pile, size = [], 0
             if size:
                 yield rows()
 
-        counted = docs.mapInArrow(work, "key long, check long, n long").groupBy("key", "check").agg(F.sum("n").alias("n"))
-        found.append(stored(counted.filter(F.col("n") >= least).select(F.lit(n).alias("n"), "key", "check"), f"frequent-{n}"))
+        counted = docs.mapInArrow(work, "key long, check long, n long, home short").groupBy("key", "check").agg(F.sum("n").alias("n"), F.min("home").alias("home"))
+        found.append(stored(counted.filter(F.col("n") >= least).select(F.lit(n).alias("n"), "key", "check", "home"), f"frequent-{n}"))
         if n < LONGEST:
             size = 1 << min(max(64 * found[-1].count(), 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
             held = docs.sparkSession.sparkContext.broadcast((_bits(found[-1], size), size))
@@ -228,12 +232,12 @@ def candidates(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _index(chosen: DataFrame) -> Index:
-    rows = chosen.select("key", "check").toArrow()
-    return Index(rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("check").to_numpy().astype(np.uint32))
+    rows = chosen.select("key", "check", "home").toArrow()
+    return Index(rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("check").to_numpy().astype(np.uint32), rows.column("home").to_numpy().astype(np.uint8))
 
 
 def _count(docs: DataFrame, held, with_words: bool) -> DataFrame:
-    """Rows of _FRAME: counts by slot, a row for each chunk and task; phrases, once a task; words by language."""
+    """Rows of _FRAME: counts by slot, a row for each chunk and task; phrases, from the texts of their home, once a task; words by language."""
 
     def work(stream):
         from pyspark import TaskContext
@@ -257,10 +261,10 @@ def _count(docs: DataFrame, held, with_words: bool) -> DataFrame:
                     places = np.flatnonzero(at >= 0)
                     counts += np.bincount(at[places], minlength=len(counts))
                     if n > 1:
-                        new = places[~seen[at[places]]]
+                        new = places[~seen[at[places]] & (index.homes[at[places]] == grams.homes[grams.owner[places]])]
                         new = new[np.unique(at[new], return_index=True)[1]]
                         names += [(langs[grams.owner[i]], grams.text(i, n)) for i in new]
-                    seen[at[places]] = True
+                        seen[at[new]] = True
                 if names:
                     yield rows(len(names), lang=[x for x, _ in names], phrase=[x for _, x in names])
         if words:
