@@ -15,10 +15,9 @@ each id of either side, and joins both back to the documents' pairs.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,8 @@ from .textops import batches, distinct_counts, stored
 from .tokenizing import _byte_letters
 
 MOST_PAIRS = 1_000_000  # of the broadcast table: some 60 MB in each executor
-MOST_REMEMBERED = 150_000  # pieces of either of two generations that a worker remembers, of LONG_PIECE characters at most: some 60 MB
+MOST_REMEMBERED = 120_000  # pieces of either of two generations that a worker remembers, of LONG_PIECE characters at most: some 50 MB
+JOINED = 2048  # pieces that are encoded together
 MOST_LISTED = 4096  # links of a group that are listed one by one; those of larger groups are counted by their ids
 LONG_PIECE = 64  # characters; longer ones aren't remembered
 SHIFT = 32  # a pair of ids is one number: a << SHIFT | b
@@ -66,6 +66,7 @@ class Tokenizers:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
         self.sizes_a, self.sizes_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.shown = [f"{i}{end}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for end in ",|;"]
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("a piece of the second tokenizer goes on after a space: texts can't be cut there")
 
@@ -82,19 +83,13 @@ def tokenizers_of(path_a: str, path_b: str) -> Tokenizers:
     return _LOADED[path_a, path_b]
 
 
-class Piece(NamedTuple):
-    """Groups and links of a piece: the text of its groups, (n_a, n_b, n_groups, n_links), and its linked pairs as packed numbers."""
+#: What a piece gives: (its groups, each with a ; at its end; n_a, n_b, n_groups and n_links as packed int32; its linked pairs as packed
+#: int64, each occurrence; None, or packed int64 that tell how often each of these is linked).
+Piece = tuple[str, bytes, bytes, bytes | None]
 
-    groups: str
-    sizes: tuple[int, int, int, int]
-    pairs: bytes  # each occurrence, where `links` doesn't tell how often each is linked
-    links: bytes | None
 
-
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the lists, and where each list begins, with the end."""
-    first = np.append(0, np.cumsum(list(map(len, lists)), dtype=np.int64))
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(first[-1])), first
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
 def _large(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,23 +99,43 @@ def _large(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def aligned(own: Tokenizers, pieces: list[str]) -> list[Piece | None]:
-    """The groups of each piece; None where the bytes of either side aren't those of space + piece."""
-    if not pieces:
+    """The groups of each piece; None where the bytes of either side aren't those of space + piece.
+
+    Pieces that neither begin nor end with white space are encoded together,
+    with a space between them, as neither tokenizer joins across it.
+    """
+    inner = [not (x[0].isspace() or x[-1].isspace()) for x in pieces]
+    together, alone = [x for x, fine in zip(pieces, inner, strict=True) if fine], [x for x, fine in zip(pieces, inner, strict=True) if not fine]
+    chunks = [together[lo : lo + JOINED] for lo in range(0, len(together), JOINED)]
+    found = _given_back(own, chunks)
+    if found is None:
+        alone, chunks, found, inner = pieces, [], [], [False] * len(pieces)
+    single = []
+    for x in alone:
+        one = _given_back(own, [[x]])
+        single.append(None if one is None else one[0])
+    found, single = iter(found), iter(single)
+    return [next(found if fine else single) for fine in inner]
+
+
+def _given_back(own: Tokenizers, chunks: list[list[str]]) -> list[Piece] | None:
+    """The groups of all pieces of the chunks; None where a chunk isn't given back by both tokenizers."""
+    if not chunks:
         return []
-    ids_a, ids_b = own.ids(pieces)
-    whole = [(" " + x).encode("utf-8", "surrogatepass") for x in pieces]
-    (a, first_a), (b, first_b) = _flat(ids_a), _flat(ids_b)
-    ends_a, ends_b, size = np.cumsum(own.sizes_a[a]), np.cumsum(own.sizes_b[b]), np.cumsum(list(map(len, whole)))
+    ids_a, ids_b = own.ids([" ".join(x) for x in chunks])
+    whole = [(" " + x).encode("utf-8", "surrogatepass") for x in chain.from_iterable(chunks)]
     joined = b"".join(whole)
-    same = all(len(ends) and len(first) and bool((np.append(0, ends)[first[1:]] == size).all()) and b"".join(map(table.__getitem__, chain.from_iterable(ids))) == joined for ends, first, table, ids in ((ends_a, first_a, own.bytes_a, ids_a), (ends_b, first_b, own.bytes_b, ids_b)))
-    if not same:
-        good = [b"".join(map(own.bytes_a.__getitem__, x)) == w == b"".join(map(own.bytes_b.__getitem__, y)) for x, y, w in zip(ids_a, ids_b, whole, strict=True)]
-        rest = iter(aligned(own, [x for x, fine in zip(pieces, good, strict=True) if fine]))
-        return [next(rest) if fine else None for fine in good]
+    if any(b"".join(map(table.__getitem__, chain.from_iterable(ids))) != joined for table, ids in ((own.bytes_a, ids_a), (own.bytes_b, ids_b))):
+        return None
+    a, b = _flat(ids_a), _flat(ids_b)
+    ends_a, ends_b, size = np.cumsum(own.sizes_a[a]), np.cumsum(own.sizes_b[b]), np.cumsum(list(map(len, whole)))
     last_a, last_b = merge_ends(ends_a, ends_b)
+    first_group = np.append(0, np.searchsorted(ends_a[last_a], size, "right"))
+    if not np.array_equal(ends_a[last_a[first_group[1:] - 1]], size):
+        return None
     from_a, from_b = np.append(0, last_a[:-1] + 1), np.append(0, last_b[:-1] + 1)
     n_a, n_b = last_a + 1 - from_a, last_b + 1 - from_b
-    first_group = np.append(0, np.searchsorted(last_a, first_a[1:], "left"))
+    first_a, first_b = np.append(from_a, len(a))[first_group], np.append(from_b, len(b))[first_group]
     # each A token of a group meets all B tokens of it; large groups are left out and added below
     listed = n_a * n_b <= MOST_LISTED
     group = np.repeat(np.arange(len(n_a)), n_a)
@@ -131,37 +146,40 @@ def aligned(own: Tokenizers, pieces: list[str]) -> list[Piece | None]:
     raw = (a[at_a] << SHIFT | b[at_b]).tobytes()
     first_pair = (np.append(0, upto)[first_a] * 8).tolist()
     n_links = np.append(0, np.cumsum(n_a * n_b))[first_group]
-    sizes = zip(np.diff(first_a).tolist(), np.diff(first_b).tolist(), np.diff(first_group).tolist(), np.diff(n_links).tolist(), strict=True)
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    shown = [f"{text_a[i]}|{text_b[j]}" if n == m == 1 else f"{','.join(text_a[i : i + n])}|{','.join(text_b[j : j + m])}" for i, j, n, m in zip(from_a.tolist(), from_b.tolist(), n_a.tolist(), n_b.tolist(), strict=True)]
-    cuts = first_group.tolist()
-    out = [Piece(";".join(shown[g:h]), s, raw[p:q], None) for g, h, s, p, q in zip(cuts, cuts[1:], sizes, first_pair, first_pair[1:], strict=False)]
+    sizes = np.stack([np.diff(first_a), np.diff(first_b), np.diff(first_group), np.diff(n_links)], axis=1).astype(np.int32).tobytes()
+    # the tokens of a group lie next to each other, each with what follows it: a comma, a bar after the last of A, a semicolon after the last of B
+    order = np.empty(len(a) + len(b), np.int64)
+    follow_a, follow_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    follow_a[last_a], follow_b[last_b] = 1, 2
+    order[np.arange(len(a)) + from_b[group]] = a * 3 + follow_a
+    order[np.arange(len(b)) + np.repeat(last_a + 1, n_b)] = b * 3 + follow_b
+    shown, first_shown = list(map(own.shown.__getitem__, order.tolist())), (first_a + first_b).tolist()
+    texts = ["".join(shown[g:h]) for g, h in zip(first_shown, first_shown[1:], strict=False)]
+    out = list(zip(texts, [sizes[k : k + 16] for k in range(0, len(sizes), 16)], [raw[p:q] for p, q in zip(first_pair, first_pair[1:], strict=False)], [None] * len(texts), strict=True))
     for g in np.flatnonzero(~listed):
         i = int(np.searchsorted(first_group, g, "right")) - 1
         pairs, links = _large(a[from_a[g] : last_a[g] + 1], b[from_b[g] : last_b[g] + 1])
-        had = out[i].links or np.ones(len(out[i].pairs) // 8, np.int64).tobytes()
-        out[i] = out[i]._replace(pairs=out[i].pairs + pairs.tobytes(), links=had + links.tobytes())
+        text, held, had, often = out[i]
+        out[i] = text, held, had + pairs.tobytes(), (often or np.ones(len(had) // 8, np.int64).tobytes()) + links.tobytes()
     return out
 
 
 class Memory:
     """What pieces gave, in two generations: when the young one is full it becomes the old one, which is dropped."""
 
-    def __init__(self, own: Tokenizers, keep: Callable[[list[Piece]], list]):
-        self.own, self.keep = own, keep  # keep gives what is remembered of each piece
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+    def __init__(self, own: Tokenizers):
+        self.own = own
+        self.young: dict[str, Piece | None] = {}
+        self.old: dict[str, Piece | None] = {}
 
-    def of(self, pieces: set[str]) -> dict[str, object]:
-        """What is kept of each piece; None of those that a tokenizer doesn't give back."""
+    def of(self, pieces: set[str]) -> dict[str, Piece | None]:
+        """The groups of each piece; None of those that a tokenizer doesn't give back."""
         young, old = self.young, self.old
         found = {x: young[x] for x in pieces & young.keys()}
         rest = pieces - found.keys()
         again = {x: old[x] for x in rest & old.keys()}
         fresh = list(rest - again.keys())
-        got = aligned(self.own, fresh)
-        kept = iter(self.keep([x for x in got if x is not None]))
-        made = {x: None if piece is None else next(kept) for x, piece in zip(fresh, got, strict=True)}
+        made = dict(zip(fresh, aligned(self.own, fresh), strict=True))
         if len(young) + len(again) + len(made) > MOST_REMEMBERED:
             self.old, self.young = young, {}
         self.young.update(again)
@@ -169,19 +187,18 @@ class Memory:
         return found | again | made
 
 
-def documents_of(own: Tokenizers, memory: Memory, texts: list) -> Iterator[tuple[list[str], dict]]:
-    """(pieces, what is kept of each) of each text; no pieces of texts that are null, empty or not given back by both tokenizers."""
+def documents_of(own: Tokenizers, memory: Memory, texts: list) -> Iterator[list[Piece]]:
+    """The pieces of each text; none of texts that are null, empty or not given back by both tokenizers."""
     for begin, end in batches(texts, 1 << 20):
         cut = [_CUT.split(x) if x else [] for x in texts[begin:end]]
         known = memory.of(set().union(*cut))
         lost = {x for x, value in known.items() if value is None}
         for text, pieces in zip(texts[begin:end], cut, strict=True):
             if lost.isdisjoint(pieces):
-                yield pieces, known
+                yield list(map(known.__getitem__, pieces))
             else:
                 # the pieces' bytes might differ and those of the whole be the same
-                whole = aligned(own, [text])[0]
-                yield ([], {}) if whole is None else ([text], {text: memory.keep([whole])[0]})
+                yield [x for x in aligned(own, [text]) if x is not None]
 
 
 def _texts(frame: pd.DataFrame) -> list:
@@ -204,14 +221,23 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 def _pairs(pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct pairs of a document, and how often it links each."""
-    flat = np.frombuffer(b"".join([x.pairs for x in pieces]), np.int64)
-    if not any(x.links for x in pieces):
+    _, _, pairs, often = zip(*pieces, strict=True) if pieces else ((), (), (), ())
+    flat = np.frombuffer(b"".join(pairs), np.int64)
+    if set(often) <= {None}:
         return distinct_counts(flat)
-    each = np.concatenate([np.frombuffer(x.links, np.int64) if x.links else np.ones(len(x.pairs) // 8, np.int64) for x in pieces])
-    pairs, at = np.unique(flat, return_inverse=True)
-    links = np.zeros(len(pairs), np.int64)
+    each = np.concatenate([np.frombuffer(y, np.int64) if y else np.ones(len(x) // 8, np.int64) for x, y in zip(pairs, often, strict=True)])
+    kept, at = np.unique(flat, return_inverse=True)
+    links = np.zeros(len(kept), np.int64)
     np.add.at(links, at, each)
-    return pairs, links
+    return kept, links
+
+
+def _digest(pieces: list[Piece]) -> tuple:
+    """(n_a, n_b, n_groups, n_links, digest of the groups) of a document."""
+    if not pieces:
+        return 0, 0, 0, 0, ""
+    sizes = np.frombuffer(b"".join([x[1] for x in pieces]), np.int32).reshape(-1, 4).sum(axis=0, dtype=np.int64).tolist()
+    return *sizes, sha256("".join([x[0] for x in pieces])[:-1].encode()).hexdigest()
 
 
 def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -219,17 +245,14 @@ def linked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def work(stream):
         own = tokenizers_of(path_a, path_b)
-        memory = Memory(own, list)
+        memory = Memory(own)
         for frame in stream:
             out, held = [], 0
-            for doc_id, (names, known) in zip(_numbers(frame["doc_id"]), documents_of(own, memory, _texts(frame)), strict=True):
-                pieces = [known[x] for x in names]
+            for doc_id, pieces in zip(_numbers(frame["doc_id"]), documents_of(own, memory, _texts(frame)), strict=True):
                 pairs, links = _pairs(pieces)
-                sizes = map(sum, zip(*[x.sizes for x in pieces], strict=True)) if pieces else [0] * 4
-                digest = sha256(";".join([x.groups for x in pieces]).encode()).hexdigest() if pieces else ""
-                out.append((doc_id, *sizes, digest, (pairs >> SHIFT).astype(np.int32), (pairs & ((1 << SHIFT) - 1)).astype(np.int32), links))
+                out.append((doc_id, *_digest(pieces), (pairs >> SHIFT).astype(np.int32), (pairs & ((1 << SHIFT) - 1)).astype(np.int32), links))
                 held += len(pairs)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield _frame(out, [*NAMES, "a", "b", "links"])
                     out, held = [], 0
             if out:
@@ -277,10 +300,10 @@ def alignment_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def work(stream):
         own = tokenizers_of(path_a, path_b)
-        memory = Memory(own, lambda pieces: [x.groups for x in pieces])
+        memory = Memory(own)
         for frame in stream:
-            for doc_id, (pieces, known) in zip(_numbers(frame["doc_id"]), documents_of(own, memory, _texts(frame)), strict=True):
-                sides = [x.split("|") for x in ";".join([known[x] for x in pieces]).split(";")] if pieces else []
+            for doc_id, pieces in zip(_numbers(frame["doc_id"]), documents_of(own, memory, _texts(frame)), strict=True):
+                sides = [x.split("|") for x in "".join([x[0] for x in pieces])[:-1].split(";")] if pieces else []
                 yield _frame([(doc_id, k, *([int(y) for y in x.split(",")] for x in pair)) for k, pair in enumerate(sides)], ["doc_id", "group", "a_ids", "b_ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, group long, a_ids array<long>, b_ids array<long>")
