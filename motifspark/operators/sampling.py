@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .generators import FeatureSet, codes_of
+
 Theta = Mapping[str, float]
 
 
@@ -97,6 +99,52 @@ class OrderScore:
         return np.array([a + b + c for a, b, c in zip(before, without, reversed(after), strict=True)])
 
 
+class SetScore(OrderScore):
+    """The same under a feature set's coefficients; hazards are remembered by the bases around a site."""
+
+    def __init__(self, start: str, targets: Mapping[int, str], features: FeatureSet, theta: np.ndarray, known: dict | None = None):
+        self.start, self.targets, self.features, self.coefficients = start, targets, features, theta
+        self.bit = {pos: 1 << i for i, pos in enumerate(sorted(targets))}
+        self.steps: dict[int, dict[int, float]] = {}
+        self.known = {} if known is None else known
+        self.base = [self._rates(start, q) for q in range(len(start))]
+
+    def _rates(self, text: Sequence[str], q: int) -> tuple[float, ...]:
+        """The hazards of a site towards each target, or its one hazard; none outside."""
+        left, right = self.features.left, self.features.right
+        if q < left or q + right >= len(text):
+            return ()
+        around = "".join(text[q - left : q + right + 1])
+        name = (around, q) if self.features.fixed else around
+        if (found := self.known.get(name)) is None:
+            codes = np.full((1, q + right + 1), -1, np.int8)
+            codes[0, q - left :] = codes_of([around])[0]
+            padded = np.vstack([self.coefficients, np.zeros((1, self.coefficients.shape[1]))])
+            score = padded[self.features.index(codes)[0, q]].sum(axis=0)
+            rates = np.exp(score) if len(score) == 1 else np.where(np.arange(4) == codes[0, q], 0.0, np.exp(score[0] + score[1:]))
+            if len(self.known) >= 1 << 18:
+                self.known.clear()
+            found = self.known[name] = tuple(rates.tolist())
+        return found
+
+    def _after(self, done: int) -> dict[int, float]:
+        text, rates, changed = list(self.start), self.base.copy(), [p - 1 for p, b in self.bit.items() if done & b]
+        for at in changed:
+            text[at] = self.targets[at + 1]
+        for q in {q for at in changed for q in range(max(at - self.features.right, 0), min(at + self.features.left + 1, len(text)))}:
+            rates[q] = self._rates(text, q)
+        for at in changed:
+            rates[at] = ()
+        total = sum(map(sum, rates))
+
+        def log(pos: int) -> float:
+            own = rates[pos - 1]
+            rate = own and own["acgt".index(self.targets[pos]) if len(own) > 1 else 0]
+            return math.log(rate / total) if rate else -math.inf
+
+        return {p: log(p) for p, b in self.bit.items() if not done & b}
+
+
 def gibbs(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, burn_in: int, samples: int, rate: int, rng: np.random.Generator, order: Sequence[int] = (), held: Sequence[int] = (), score: OrderScore | None = None) -> Iterator[list[int]]:
     """Orders drawn by taking out one position at a time and putting it back in proportion to the likelihood.
 
@@ -134,6 +182,31 @@ def gibbs_orders(seqs: DataFrame, theta: DataFrame, k: int = 3, left: int = 1, b
     return _spread(seqs.filter(F.size("mutations") > 0).select(F.col(key).cast("long").alias(key), "gs", "mutations"), key).mapInArrow(work, f"{key} long, sample int, gs string, mutations array<struct<pos:int,target:string>>")
 
 
+def set_orders(seqs: DataFrame, features: FeatureSet, theta: np.ndarray, burn_in: int = 10, samples: int = 10, rate: int = 1, seed: int = 0, key: str = "sk", resume: bool = False) -> DataFrame:
+    """(key, sample, gs, mutations): sampled orders of each sequence's mutations under a feature set; resume: chains begin with the rows' own order.
+
+    Mutations at sites that aren't at risk, near the ends, are left out: they
+    are no events.  Sequences without an event have no rows.
+    """
+    held = seqs.sparkSession.sparkContext.broadcast((features, theta))
+    arrow = pa.schema([(key, pa.int64()), ("sample", pa.int32()), ("gs", pa.string()), ("mutations", pa.list_(pa.struct([("pos", pa.int32()), ("target", pa.string())])))])
+
+    def work(stream):
+        (features, theta), known = held.value, {}
+        for batch in stream:
+            for row in batch.to_pylist():
+                inside = [m for m in row["mutations"] if features.left < m["pos"] <= len(row["gs"]) - features.right]
+                targets = {m["pos"]: m["target"] for m in inside}
+                if not targets:
+                    continue
+                score = SetScore(row["gs"], targets, features, theta, known)
+                order = [m["pos"] for m in inside] if resume else ()
+                out = gibbs(row["gs"], targets, {}, 0, 0, burn_in, samples, rate, _rng(seed, row[key]), order, score=score)
+                yield pa.RecordBatch.from_pylist([{key: row[key], "sample": i, "gs": row["gs"], "mutations": [{"pos": p, "target": targets[p]} for p in found]} for i, found in enumerate(out)], schema=arrow)
+
+    return _spread(seqs.filter(F.size("mutations") > 0).select(F.col(key).cast("long").alias(key), "gs", "mutations"), key).mapInArrow(work, f"{key} long, sample int, gs string, mutations array<struct<pos:int,target:string>>")
+
+
 def marginal_log_lik(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, rng: np.random.Generator, samples: int = 200, exact: int = 5) -> float:
     """ln of the probability of the end sequence: the sum over all orders, or by the candidate's identity.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from motifspark.functions.sequences import motif_index, rounded, soft_threshold
-from motifspark.operators import features, fitting, likelihood, sampling
+from motifspark.functions.sequences import motif_index, motif_text, rounded, soft_threshold
+from motifspark.operators import features, fitting, hazards, likelihood, sampling
+from motifspark.operators.generators import FeatureSet, MotifFeatures
 from motifspark.sources.derived import genes, seqs
 
 from .registry import derived, register
@@ -18,6 +20,19 @@ def theta(spark, k: int = 3) -> DataFrame:
     return features.motif_dimension(spark, k).select("motif", ((F.col("motif_idx") % 7) / 7.0).alias("theta"))
 
 
+#: All 3-mers around their middle, with the coefficients of theta().
+THREE = FeatureSet([MotifFeatures(3, 1)])
+THREE_THETA = (np.arange(64) % 7 / 7.0)[:, None]
+
+
+def named(found: DataFrame, *columns: str) -> DataFrame:
+    """Numbers of 3-mers as their texts."""
+    out = found
+    for c in columns:
+        out = out.withColumn(c, motif_text(F.col(c), 3))
+    return out
+
+
 def target_theta(spark) -> DataFrame:
     """(motif, target, theta): the shared coefficient plus a tenth of the target's number; own bases are impossible."""
     targets = features.possible_targets(spark, 3, 1).filter("possible").join(F.broadcast(theta(spark)), "motif")
@@ -72,23 +87,25 @@ def m13(spark, d):
 
 @register("L1_log_likelihood", derived("rated", "SELECT sk, count(*) AS n_steps, round(sum(theta - ln(den)), 6) + 0.0 AS log_lik FROM rated WHERE hit GROUP BY sk"))
 def l1(spark, d):
-    return likelihood.log_likelihood(likelihood.risk_counts(seqs(spark, d)), theta(spark)).withColumn("log_lik", rounded("log_lik"))
+    return hazards.row_likelihoods(seqs(spark, d), THREE, [THREE_THETA]).select("sk", "n_steps", rounded("log_lik_0").alias("log_lik"))
 
 
 @register("L3_target_log_likelihood", derived("risk", """, r AS (
         SELECT *, sum(exp((idx % 7) / 7.0::DOUBLE) * (list_sum([exp(0.1::DOUBLE * k) FOR k IN [0, 1, 2, 3] IF k + 1 <> instr('acgt', motif[2])]))) OVER (PARTITION BY sk, step) AS den FROM risk)
     SELECT sk, count(*) AS n_steps, round(sum((idx % 7) / 7.0::DOUBLE + 0.1::DOUBLE * (instr('acgt', target) - 1) - ln(den)), 6) + 0.0 AS log_lik FROM r WHERE hit GROUP BY sk""").replace("\n,", ","))
 def l3(spark, d):
-    return likelihood.log_likelihood(likelihood.risk_counts(seqs(spark, d)), target_theta(spark)).withColumn("log_lik", rounded("log_lik"))
+    """A shared coefficient for each motif, and for each target a tenth of its number."""
+    by_target = np.hstack([THREE_THETA, np.tile(np.arange(4) / 10.0, (64, 1))])
+    return hazards.row_likelihoods(seqs(spark, d), THREE, [by_target]).select("sk", "n_steps", rounded("log_lik_0").alias("log_lik"))
 
 
 @register("L4_gradient", derived("rated", "SELECT motif, round(sum(hit::INT - h / den), 5) + 0.0 AS gradient FROM rated GROUP BY motif"))
 def l4(spark, d):
-    return likelihood.gradient(likelihood.risk_counts(seqs(spark, d)), theta(spark)).withColumn("gradient", rounded("gradient", 5))
+    found = hazards.sums(seqs(spark, d), THREE, THREE_THETA).filter("i >= 0 AND j < 0 AND value <> 0")
+    return named(found, "i").select(F.col("i").alias("motif"), rounded("value", 5).alias("gradient"))
 
 
-_BASES = """, base AS (SELECT sk, step, motif[2] AS f, hit, exp(instr('acgt', motif[2]) / 5.0::DOUBLE) AS h FROM risk),
-    shares AS (SELECT sk, step, f, sum(h) / sum(sum(h)) OVER (PARTITION BY sk, step) AS s, count_if(hit) AS hits FROM base GROUP BY sk, step, f)"""
+_SHARES = """, shares AS (SELECT sk, step, motif AS f, sum(h) / max(den) AS s, count_if(hit) AS hits FROM rated GROUP BY sk, step, motif)"""
 
 
 def _base_theta(spark):
@@ -100,22 +117,24 @@ def _base_counts(spark, d):
     return inner.groupBy("sk", "step", "motif").agg(F.sum("n").alias("n"), F.max("hit").alias("hit"), F.max("target").alias("target"))
 
 
-@register("L5_hessian", derived("risk", _BASES + " SELECT a.f AS f1, b.f AS f2, round(sum(a.s * b.s - CASE WHEN a.f = b.f THEN a.s ELSE 0 END), 5) + 0.0 AS value FROM shares a JOIN shares b USING (sk, step) GROUP BY ALL").replace("\n,", ","))
+@register("L5_hessian", derived("rated", _SHARES + " SELECT a.f AS f1, b.f AS f2, round(sum(a.s * b.s - CASE WHEN a.f = b.f THEN a.s ELSE 0 END), 5) + 0.0 AS value FROM shares a JOIN shares b USING (sk, step) GROUP BY ALL").replace("\n,", ","))
 def l5(spark, d):
-    return likelihood.hessian(_base_counts(spark, d), _base_theta(spark)).withColumn("value", rounded("value", 5))
+    """Second derivatives by all pairs of 3-mers."""
+    found = hazards.sums(seqs(spark, d), THREE, THREE_THETA, second=True).filter("i >= 0 AND j >= 0")
+    return named(found, "i", "j").select(F.col("i").alias("f1"), F.col("j").alias("f2"), rounded("value", 5).alias("value"))
 
 
-@register("L6_score_products", derived("risk", _BASES + ", g AS (SELECT sk, f, sum(hits - s) AS g FROM shares GROUP BY sk, f) SELECT a.f AS f1, b.f AS f2, round(sum(a.g * b.g), 5) + 0.0 AS value FROM g a JOIN g b USING (sk) GROUP BY ALL").replace("\n,", ","))
+@register("L6_score_products", derived("rated", _SHARES + ", g AS (SELECT sk, f, sum(hits - s) AS g FROM shares GROUP BY sk, f) SELECT a.f AS f1, b.f AS f2, round(sum(a.g * b.g), 5) + 0.0 AS value FROM g a JOIN g b USING (sk) GROUP BY ALL").replace("\n,", ","))
 def l6(spark, d):
-    return likelihood.score_products(_base_counts(spark, d), _base_theta(spark)).withColumn("value", rounded("value", 5))
+    """Products of sequences' gradients by all pairs of 3-mers."""
+    found = hazards.score_sums(seqs(spark, d), THREE, THREE_THETA)
+    return named(found, "i", "j").select(F.col("i").alias("f1"), F.col("j").alias("f2"), rounded("value", 5).alias("value"))
 
 
 @register("L7_log_lik_ratio", derived("rated", ", steps AS (SELECT sk, step, count(*) AS n, max(den) AS den, max(CASE WHEN hit THEN theta END) AS theta FROM rated GROUP BY sk, step) SELECT sk, round(sum(theta - ln(den) + ln(n)), 6) + 0.0 AS ratio FROM steps GROUP BY sk").replace("\n,", ","))
 def l7(spark, d):
-    counts = likelihood.risk_counts(seqs(spark, d))
-    zero = theta(spark).withColumn("theta", F.lit(0.0))
-    one, other = likelihood.log_likelihood(counts, theta(spark)), likelihood.log_likelihood(counts, zero)
-    return one.select("sk", F.col("log_lik").alias("a")).join(other.select("sk", F.col("log_lik").alias("b")), "sk").select("sk", rounded(F.col("a") - F.col("b")).alias("ratio"))
+    found = hazards.row_likelihoods(seqs(spark, d), THREE, [THREE_THETA, np.zeros((64, 1))])
+    return found.select("sk", rounded(F.col("log_lik_0") - F.col("log_lik_1")).alias("ratio"))
 
 
 @register("L8_penalised_objective", derived("rated", ", ll AS (SELECT sk, sum(theta - ln(den)) AS ll FROM rated WHERE hit GROUP BY sk) SELECT round(-avg(ll) + 0.1 * (SELECT sum((i % 7) / 7.0::DOUBLE) FROM range(64) t(i)), 6) AS objective FROM ll").replace("\n,", ","))
@@ -125,14 +144,14 @@ def l8(spark, d):
 
 @register("L9_residuals", derived("rated", ", r AS (SELECT sk, site, sum(hit::INT - h / den) AS residual FROM rated GROUP BY sk, site) SELECT sk, count(*) AS n_sites, round(sum(residual), 6) + 0.0 AS total, round(max(residual), 6) + 0.0 AS greatest FROM r GROUP BY sk").replace("\n,", ","))
 def l9(spark, d):
-    found = likelihood.residuals(seqs(spark, d), theta(spark))
+    found = hazards.site_residuals(seqs(spark, d), THREE, THREE_THETA)
     return found.groupBy("sk").agg(F.count("*").alias("n_sites"), rounded(F.sum("residual")).alias("total"), rounded(F.max("residual")).alias("greatest"))
 
 
 @register("M18_residual_profile", derived("rated", ", r AS (SELECT sk, site, sum(hit::INT - h / den) AS residual FROM rated GROUP BY sk, site) SELECT p::INT AS site, count(residual) AS n, round(avg(residual), 6) + 0.0 AS residual FROM range(1, 65) t(p) LEFT JOIN r ON site = p GROUP BY p").replace("\n,", ","))
 def m18(spark, d):
     places = spark.range(1, 65).select(F.col("id").cast("int").alias("site"))
-    found = likelihood.residuals(seqs(spark, d), theta(spark)).groupBy("site").agg(F.count("*").alias("n"), F.avg("residual").alias("residual"))
+    found = hazards.site_residuals(seqs(spark, d), THREE, THREE_THETA).groupBy("site").agg(F.count("*").alias("n"), F.avg("residual").alias("residual"))
     return places.join(found, "site", "left").select("site", F.coalesce("n", F.lit(0)).alias("n"), rounded("residual").alias("residual"))
 
 
