@@ -90,6 +90,24 @@ def filled(seq: Column | str, key: Column | str) -> Column:
     return F.when(F.length(_col(seq)) > 0, F.array_join(bound({"s": _col(seq), "k": _col(key).cast("string")}, letters), "")).otherwise("")
 
 
+def cleaned_pair(a: Column | str, b: Column | str, flank: int, key: Column | str) -> Column:
+    """A struct (start, end, unknown): both sequences with unknown ends cut off, inner unknown runs cut to `flank`, and inner unknown bases filled alike.
+
+    A base that either one doesn't know is unknown in both; letters beyond
+    acgt are unknown.  `unknown` is the share of inner bases that were, which
+    callers may bound.  Pairs of different lengths and pairs without a known
+    base give null.
+    """
+    a, b = disambiguate(a), disambiguate(b)
+
+    def of(x):
+        masked = bound({"a": mask_both(x["a"], x["b"]), "b": mask_both(x["b"], x["a"])}, lambda y: F.struct(collapse_unknown(strip_unknown(y["a"]), flank).alias("a"), collapse_unknown(strip_unknown(y["b"]), flank).alias("b"), unknown_share(y["a"]).alias("unknown")))
+        return bound({"m": masked, "k": x["k"]}, lambda y: F.struct(filled(y["m"]["a"], y["k"]).alias("start"), filled(y["m"]["b"], y["k"]).alias("end"), y["m"]["unknown"].alias("unknown")))
+
+    found = bound({"a": a, "b": b, "k": _col(key).cast("string")}, of)
+    return F.when((F.length(a) == F.length(b)) & (strip_unknown(mask_both(a, b)) != ""), found)
+
+
 def collapsed_runs(seq: Column | str, flank: int) -> Column:
     """The inner runs of n longer than `flank`, as structs of start and end (from 0, in the sequence without its unknown ends)."""
 

@@ -207,7 +207,7 @@ def set_orders(seqs: DataFrame, features: FeatureSet, theta: np.ndarray, burn_in
     return _spread(seqs.filter(F.size("mutations") > 0).select(F.col(key).cast("long").alias(key), "gs", "mutations"), key).mapInArrow(work, f"{key} long, sample int, gs string, mutations array<struct<pos:int,target:string>>")
 
 
-def marginal_log_lik(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, rng: np.random.Generator, samples: int = 200, exact: int = 5) -> float:
+def marginal_log_lik(start: str, targets: Mapping[int, str], theta: Theta, k: int, left: int, rng: np.random.Generator, samples: int = 200, exact: int = 5, score: OrderScore | None = None) -> float:
     """ln of the probability of the end sequence: the sum over all orders, or by the candidate's identity.
 
     Up to `exact` mutations all orders are summed; beyond, Chib's method: the
@@ -218,7 +218,7 @@ def marginal_log_lik(start: str, targets: Mapping[int, str], theta: Theta, k: in
     fixed so far, and that of the first position is computed.  A chain goes on
     until one of its draws agrees.
     """
-    score = OrderScore(start, targets, theta, k, left)
+    score = score or OrderScore(start, targets, theta, k, left)
     if len(targets) <= exact:
         logs = np.array([score(x) for x in itertools.permutations(sorted(targets))])
         return float(logs.max() + np.log(np.exp(logs - logs.max()).sum()))
@@ -252,6 +252,25 @@ def marginal_likelihoods(seqs: DataFrame, theta: DataFrame, k: int = 3, left: in
     return _spread(seqs.filter(F.size("mutations") > 0).select(F.col(key).cast("long").alias(key), "gs", "mutations"), key).mapInArrow(work, f"{key} long, log_lik double")
 
 
+def set_marginal_likelihoods(seqs: DataFrame, features: FeatureSet, theta: np.ndarray, samples: int = 200, seed: int = 0, key: str = "sk", exact: int = 5) -> DataFrame:
+    """(key, n_events, log_lik): the same under a feature set's coefficients. Mutations that are no events are left out; without any the log-likelihood is 0."""
+    held = seqs.sparkSession.sparkContext.broadcast((features, theta))
+    kind = seqs.schema[key].dataType.simpleString()
+
+    def work(stream):
+        (features, theta), known = held.value, {}
+        for batch in stream:
+            found, counts, rows = [], [], batch.to_pylist()
+            for row in rows:
+                targets = {m["pos"]: m["target"] for m in row["mutations"] if features.left < m["pos"] <= len(row["gs"]) - features.right}
+                score = SetScore(row["gs"], targets, features, theta, known)
+                counts.append(len(targets))
+                found.append(marginal_log_lik(row["gs"], targets, {}, 0, 0, _rng(seed, row[key]), samples, exact, score) if targets else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts, pa.int64()), pa.array(found, pa.float64())], names=[key, "n_events", "log_lik"])
+
+    return _spread(seqs.select(key, "gs", "mutations"), key).mapInArrow(work, f"{key} {kind}, n_events long, log_lik double")
+
+
 def simulate(start: str, theta: Theta, k: int, left: int, rng: np.random.Generator, censor: float = 0.0, share: float = 0.0, baseline: float = 1.0) -> list[tuple[float, int, str]]:
     """Mutations (time, pos, target), each site once: exponential waits until the censoring time, or a share of the inner sites."""
     text, out, time, done = list(start), [], 0.0, set()
