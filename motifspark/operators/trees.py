@@ -114,7 +114,8 @@ def observed_pairs(pairs: DataFrame, left: int, right: int, key: Column | str, s
     Both sequences are cleaned alike (see cleaned_pair(): unknown runs are cut
     to the wider flank), then trimmed to what lies between `left` and `right`
     conserved bases, and widened again by these flanks.  mutations are the
-    differing places of gs, in order of place, with their new base.  Pairs of
+    differing places of gs between the flanks, in order of place, with their
+    new base.  Pairs of
     different lengths, without a known base, shorter than both flanks or with
     a greater share of unknown bases than most_unknown are left out; pairs
     without a mutation stay.
@@ -124,7 +125,8 @@ def observed_pairs(pairs: DataFrame, left: int, right: int, key: Column | str, s
     made = made.withColumn("cut_", trimmed(F.col("pair_.start"), F.col("pair_.end"), left, right)).filter("cut_.end >= cut_.start")
     part = lambda name: F.substring(F.col(f"pair_.{name}"), F.col("cut_.start") - left + 1, F.col("cut_.end") - F.col("cut_.start") + left + right)
     made = made.withColumns({"gs": part("start"), "es": part("end"), "unknown": F.col("pair_.unknown")})
-    places = F.transform(differing("gs", "es"), lambda p: F.struct(p.cast("int").alias("pos"), F.substring(F.col("es"), p, F.lit(1)).alias("target")))
+    inside = F.filter(differing("gs", "es"), lambda p: (p > left) & (p <= F.length("gs") - right))
+    places = F.transform(inside, lambda p: F.struct(p.cast("int").alias("pos"), F.substring(F.col("es"), p, F.lit(1)).alias("target")))
     return made.withColumn("mutations", places).drop("pair_", "cut_")
 
 

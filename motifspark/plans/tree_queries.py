@@ -24,7 +24,7 @@ _FILL = f"CASE WHEN {{0}}[i] = 'n' THEN substr('acgt', 1 + (instr('{_HEX}', subs
     flags AS (SELECT *, length(a) AS n, {_STRING.format("CASE WHEN a[i] <> b[i] THEN '1' ELSE '0' END", "a")} AS f FROM clean),
     ends AS (SELECT *, length(regexp_extract(f[1:n // 2], '^(?:0{{0,1}}1)*')) + 2 AS lo, n - length(regexp_extract(reverse(f[n // 2 + 1:n]), '^(?:1)*')) - 1 AS hi FROM flags),
     ready AS (SELECT gk, substr(a, lo - 1, hi - lo + 3) AS gs, substr(b, lo - 1, hi - lo + 3) AS es, unknown FROM ends WHERE hi >= lo AND unknown <= 0.3)
-    SELECT gk, gs, es, round(unknown, 6) + 0.0 AS unknown, coalesce(list_aggregate([i || es[i] FOR i IN range(1, length(gs) + 1) IF gs[i] <> es[i]], 'string_agg', ','), '') AS mutations FROM ready""")
+    SELECT gk, gs, es, round(unknown, 6) + 0.0 AS unknown, coalesce(list_aggregate([i || es[i] FOR i IN range(3, length(gs)) IF gs[i] <> es[i]], 'string_agg', ','), '') AS mutations FROM ready""")
 def t1_observed(spark, d):
     """Pairs with unknown bases, cleaned alike and trimmed to flanks of two bases before and one after."""
     found = trees.observed_pairs(_pair32(spark, d), 2, 1, "gk", "a", "b", most_unknown=0.3)
