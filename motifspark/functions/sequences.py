@@ -123,9 +123,19 @@ def collapsed_runs(seq: Column | str, flank: int) -> Column:
 
 
 def raw_position(pos: Column, offset: Column, runs: Column, flank: int) -> Column:
-    """Where a position of a trimmed, collapsed sequence lies in the sequence as it was; runs: see collapsed_runs()."""
-    step = lambda s, r: F.when(s["done"] | (s["raw"] <= offset + r["start"] - flank), F.struct(s["raw"].alias("raw"), F.lit(True).alias("done"))).otherwise(F.struct((s["raw"] + r["end"] - r["start"] - flank).alias("raw"), F.lit(False).alias("done")))
-    return F.aggregate(runs, F.struct((pos + offset).cast("int").alias("raw"), F.lit(False).alias("done")), step, lambda s: s["raw"])
+    """Where a position of a trimmed, collapsed sequence lies in the sequence as it was; runs: see collapsed_runs().
+
+    pos counts from 0 after the left flank, before which `offset` bases (the
+    flank and what was cut off) lie.  It moves by what was cut from each run
+    that begins at most a flank after it, in places of the collapsed sequence.
+    """
+
+    def add(s, r):
+        cut = r["end"] - r["start"] - flank
+        moved = F.when(pos > r["start"] - s["cut"] - flank, cut).otherwise(0)
+        return F.struct((s["cut"] + cut).alias("cut"), (s["moved"] + moved).alias("moved"))
+
+    return (pos + offset + F.aggregate(runs, F.struct(F.lit(0).alias("cut"), F.lit(0).alias("moved")), add, lambda s: s["moved"])).cast("int")
 
 
 def trimmed(a: Column | str, b: Column | str, left: int, right: int) -> Column:
