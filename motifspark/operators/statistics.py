@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .fitting import kept
+
 
 def mean_interval(frame: DataFrame, value: str, by: list[str], z: float = 1.96) -> DataFrame:
     """n, mean, se, lower and upper of a value by group."""
@@ -21,17 +23,47 @@ def relative_error(frame: DataFrame, fitted: str, truth: str, by: list[str]) ->
     return norms.select(*by, F.when(F.col("t") > 0, F.col("d") / F.col("t")).alias("relative_error"), "pearson")
 
 
+def running_totals(frame: DataFrame, by: list[str], order: list[str], weight: Column, name: str) -> DataFrame:
+    """Adds the sum of a weight over the rows of the group up to this one, in order.
+
+    Rows are dealt out by ranges of group and order and written once; each
+    range adds what the ranges before it hold of the group.  So a task sees a
+    range at most, however large a group is.  Rows of equal order keep an
+    order of their own.
+    """
+    columns = [*by, *order]
+    dealt = kept(frame.withColumn("_w", weight).repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_part", *by).agg(F.sum("_w").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_size")).drop("_size")
+    inside = dealt.withColumn("_upto", F.sum("_w").over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    a, b = inside.alias("a"), before.alias("b")
+    joined = a.join(b, [F.col("a._part") == F.col("b._part"), *(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by)])
+    return joined.select(*(F.col(f"a.{c}") for c in frame.columns), (F.col("a._upto") + F.col("b._before")).alias(name))
+
+
 def average_ranks(frame: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """Adds the rank within the group; ties share their mean rank.
 
-    Ranks come from the counts of distinct values, joined back, so rows of a group are never sorted in one task.
+    Ranks come from the counts of distinct values in ranges, joined back, so
+    neither rows nor distinct values of a group are sorted in one task.
     """
-    cells = frame.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value))
-    ranks = cells.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).alias(name))
+    cells = running_totals(frame.groupBy(*by, value).agg(F.count("*").alias("_n")), by, [value], F.col("_n"), "_upto_n")
+    ranks = cells.select(*by, value, (F.col("_upto_n") - (F.col("_n") - 1) / 2.0).alias(name))
     return frame.join(ranks, [*by, value])
 
 
+def medians(frame: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, median) of the values that aren't null, exactly: the mean of the middle two of an even number; from counts of distinct values in ranges."""
+    cells = frame.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranked = running_totals(cells, by, [value], F.col("_n"), "_upto_n")
+    sizes = cells.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    a, b = ranked.alias("a"), sizes.alias("b")
+    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]).select(*(F.col(f"a.{k}") for k in by), F.col(f"a.{value}").alias("_v"), (F.col("_upto_n") - F.col("_n")).alias("_from"), F.col("_upto_n"), "_all")
+    holds = lambda place: F.max(F.when((F.col("_from") < place) & (F.col("_upto_n") >= place), F.col("_v")))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    return joined.groupBy(*by).agg(holds(low).alias("_low"), holds(high).alias("_high")).select(*by, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
+
+
 def spearman(frame: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     ranked = average_ranks(average_ranks(frame, x, by, "rank_x"), y, by, "rank_y")
     return ranked.groupBy(*by).agg(F.corr("rank_x", "rank_y").alias("spearman"))
@@ -59,14 +91,44 @@ def discoveries(frame: DataFrame, by: list[str], fitted: str, truth: str, zero:
     return frame.groupBy(*by).agg(F.count_if(found & real).alias("discovered"), F.count_if(found & ~real).alias("false_positive"))
 
 
-def autocorrelation(frame: DataFrame, by: list[str], at: str, value: str, most_lag: int) -> DataFrame:
-    """(by, lag, correlation) for lags 1..most_lag of a series that `at` numbers without gaps."""
-    centred = frame.withColumn("c", F.col(value) - F.avg(value).over(Window.partitionBy(*by)))
-    ordered = Window.partitionBy(*by).orderBy(at)
-    lagged = centred.select(*by, "c", *[F.lag("c", k).over(ordered).alias(f"lag_{k}") for k in range(1, most_lag + 1)])
-    sums = lagged.groupBy(*by).agg(F.sum(F.col("c") * F.col("c")).alias("var"), *[F.sum(F.col("c") * F.col(f"lag_{k}")).alias(f"s_{k}") for k in range(1, most_lag + 1)])
-    tall = sums.select(*by, "var", F.posexplode(F.array(*[F.col(f"s_{k}") for k in range(1, most_lag + 1)])).alias("i", "s"))
-    return tall.select(*by, (F.col("i") + 1).cast("long").alias("lag"), F.when(F.col("var") > 0, F.col("s") / F.col("var")).alias("correlation"))
+def autocorrelation(frame: DataFrame, by: list[str], at: str, value: str, most_lag: int, block: int = 1 << 14) -> DataFrame:
+    """(by, lag, correlation) for lags 1..most_lag of a group's values in the order of `at`; null where all are equal, no row for lags beyond the group.
+
+    Values are numbered through ranges and laid out in blocks; a task has a
+    block with the one after it, or what most_lag needs if that is longer,
+    and gives its sums of products of all lags at once, by Fourier transform.
+    """
+    size = max(block, most_lag)
+    means = frame.groupBy(*by).agg(F.avg(value).alias("_mean"))
+    numbered = running_totals(frame.select(*by, at, F.col(value).cast("double").alias("_v")), by, [at], F.lit(1), "_place")
+    a, b = numbered.alias("a"), means.alias("b")
+    centred = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]).select(*(F.col(f"a.{k}") for k in by), (F.col("a._place") - 1).alias("_place"), (F.col("a._v") - F.col("b._mean")).alias("_c"))
+    whole = F.floor(F.col("_place") / size)
+    # each value goes to its own block and, as what follows, to the one before
+    laid = centred.withColumn("_block", F.explode(F.when(whole > 0, F.array(whole, whole - 1)).otherwise(F.array(whole))))
+
+    def sums(key, part):
+        first, length = int(key[-1]) * size, 2 * size
+        values = np.zeros(length)
+        values[part["_place"].to_numpy(np.int64) - first] = part["_c"].to_numpy(float)
+        own = values.copy()
+        own[size:] = 0
+        wide = 1 << (length + size - 1).bit_length()
+        lags = np.fft.irfft(np.conj(np.fft.rfft(own, wide)) * np.fft.rfft(values, wide), wide)[: most_lag + 1]
+        out = pd.DataFrame({"lag": np.arange(most_lag + 1), "s": lags})
+        for name, k in zip(by, key, strict=False):
+            out[name] = k
+        return out
+
+    kinds = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in by)
+    blocks = laid.groupBy(*by, "_block").applyInPandas(sums, f"{kinds}, lag long, s double")
+    total = centred.groupBy(*by).agg(F.max("_place").alias("_last"))
+    added = blocks.groupBy(*by, "lag").agg(F.sum("s").alias("s"))
+    zero = added.filter("lag = 0").select(*by, F.col("s").alias("_var")).alias("z")
+    found, ends = added.filter("lag > 0").alias("f"), total.alias("t")
+    on = lambda x, y: [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in by]
+    joined = found.join(zero, on("f", "z")).join(ends, on("f", "t")).filter("f.lag <= t._last")
+    return joined.select(*(F.col(f"f.{k}") for k in by), F.col("f.lag").alias("lag"), F.when(F.col("_var") > 0, F.col("f.s") / F.col("_var")).alias("correlation"))
 
 
 def log_sum_exp(frame: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -76,7 +138,8 @@ def log_sum_exp(frame: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def median_centred(frame: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    return frame.join(frame.groupBy(*by).agg(F.median(value).alias("mid")), by).withColumn(name, F.col(value) - F.col("mid")).drop("mid")
+    """Adds the value less its group's exact median."""
+    return frame.join(medians(frame, by, value).withColumnRenamed("median", "_mid"), by).withColumn(name, F.col(value) - F.col("_mid")).drop("_mid")
 
 
 def median_scaled(frame: DataFrame, value: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from motifspark.functions.sequences import rounded
-from motifspark.operators import hazards, models
+from motifspark.operators import hazards, logistic, models, proximal
 from motifspark.operators.fitting import kept
 from motifspark.operators.generators import FeatureSet, MotifFeatures, PositionFeatures, feature_sites
 from motifspark.sources.derived import seqs
@@ -111,3 +111,36 @@ def g4(spark, d):
     zero = np.zeros_like(THREE_THETA)
     found = models.LikelihoodComparer(seqs(spark, d), THREE, zero, samples=4, burn_in=2).compare(THREE_THETA)
     return spark.createDataFrame([(found.mean, found.lower, found.upper, found.size, found.samples)], "mean double, lower double, upper double, effective_size double, samples int")
+
+
+@register("E11_fused_fit")
+def e11(spark, d):
+    """3-mer coefficients of the known orders under a penalty on the differences of motifs that differ in one base, with the objective before and after."""
+    found, values = proximal.fit_proximal(kept(seqs(spark, d).select("sk", "gs", "mutations"), "orders"), THREE, proximal.fused_lasso(proximal.motif_edges(THREE), 0.0005, 0.0005), rounds=15)
+    rows = [(name, float(t) + 0.0, values[0], values[-1]) for (_, name), t in zip(THREE.labels, found.theta.ravel(), strict=True)]
+    return spark.createDataFrame(rows, "motif string, theta double, first double, last double")
+
+
+@register("E9_softmax_score", _sql("sites", """,
+    grams AS (SELECT *, lag(sc) OVER w || sc || lead(sc) OVER w AS motif FROM sites WINDOW w AS (PARTITION BY sk ORDER BY pos)),
+    x AS (SELECT motif, mu, sc, ec, ((instr('acgt', motif[1]) - 1) * 16 + (instr('acgt', motif[2]) - 1) * 4 + instr('acgt', motif[3]) - 1) % 7 / 7.0::DOUBLE - 2 AS x FROM grams WHERE motif IS NOT NULL),
+    s AS (SELECT motif, CASE WHEN mu THEN -ln(1 + exp(-x)) - (instr('acgt', ec) - 1) * 0.1::DOUBLE - ln(1 + exp(-0.1::DOUBLE) + exp(-0.2::DOUBLE) + exp(-0.3::DOUBLE) - exp(-0.1::DOUBLE * (instr('acgt', sc) - 1))) ELSE -ln(1 + exp(x)) END AS score FROM x)
+    SELECT motif, count(*) AS n, round(sum(score), 4) + 0.0 AS score FROM s GROUP BY motif"""))
+def e9_softmax(spark, d):
+    """Log-likelihood by motif of a logistic model with targets whose coefficients are given."""
+    model = logistic.LogisticModel(np.hstack([THREE_THETA, np.tile(np.arange(4) / 10.0, (64, 1))]), -2.0)
+    counts = logistic.collected(logistic.outcome_counts(seqs(spark, d), THREE), 1)
+    names, value = np.array([x for _, x in THREE.labels]), model.log_likelihoods(counts) * counts.n
+    by = counts.features[:, 0]
+    rows = [(str(names[i]), int(counts.n[by == i].sum()), float(value[by == i].sum())) for i in np.unique(by)]
+    return spark.createDataFrame(rows, "motif string, n long, score double").withColumn("score", rounded("score", 4))
+
+
+@register("E9_softmax_fit")
+def e9_softmax_fit(spark, d):
+    """Coefficients of mutating and of each target, the penalty chosen by three folds of sequences."""
+    rows = seqs(spark, d).withColumn("fold", F.pmod(F.xxhash64("sk"), F.lit(3)).cast("int"))
+    counts = logistic.collected(logistic.outcome_counts(rows, THREE, "fold"), 1)
+    penalty, _ = logistic.best_penalty(counts, 64, [30.0, 10.0, 3.0], 5)
+    model = logistic.fit_logistic_model(counts, 64, penalty, 5)
+    return spark.createDataFrame([(name, penalty, model.intercept, *(float(x) + 0.0 for x in t)) for (_, name), t in zip(THREE.labels, model.theta, strict=True)], "motif string, penalty double, intercept double, shared double, a double, c double, g double, t double")

@@ -146,6 +146,20 @@ def w6(spark, d):
     return found.withColumn("correlation", S.rounded("correlation", 5))
 
 
+@register("W6_autocorrelation_200", "WITH c AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS c, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS at FROM events), v AS (SELECT event_type, sum(c * c) AS v FROM c GROUP BY event_type) SELECT a.event_type, b.at - a.at AS lag, round(sum(a.c * b.c) / max(v), 5) + 0.0 AS correlation FROM c a JOIN c b ON a.event_type = b.event_type AND b.at BETWEEN a.at + 1 AND a.at + 200 JOIN v ON v.event_type = a.event_type GROUP BY ALL")
+def w6_many(spark, d):
+    """200 lags, in blocks of 256 values."""
+    found = statistics.autocorrelation(table(spark, d, "events"), ["event_type"], "event_id", "value", 200, block=256)
+    return found.withColumn("correlation", S.rounded("correlation", 5))
+
+
+@register("M7_spearman_continuous", "WITH r AS (SELECT l_returnflag AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS ry FROM lineitem) SELECT g, round(corr(rx, ry), 6) + 0.0 AS spearman FROM r GROUP BY g")
+def m7_continuous(spark, d):
+    """Ranks of values of which nearly every one is another, three large groups."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"))
+    return statistics.spearman(rows, "x", "y", ["g"]).withColumn("spearman", S.rounded("spearman"))
+
+
 @register("M12_log_sum_exp", "SELECT event_type, round(max(value / 100) + ln(sum(exp(value / 100 - 5))) + 5 - max(value / 100), 5) AS log_sum_exp FROM events GROUP BY event_type")
 def m12(spark, d):
     found = statistics.log_sum_exp(table(spark, d, "events").withColumn("x", F.col("value") / 100), ["event_type"], "x")
