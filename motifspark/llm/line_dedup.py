@@ -4,36 +4,46 @@
    equal lines collapse by a hash aggregation.
 2. A line's set holds its distinct runs of 5 characters, so one changed letter
    inside a line of 50 characters or more leaves a similarity above 0.8.  One
-   permutation hashing gives 27 minima, 9 bands of 3; lines of similarity 0.8
-   miss each other in all bands with probability (1 - 0.8**3)**9 = 0.0016.
-3. Lines that share a band are compared by a byte of each of the 27 minima:
-   fewer than 13 equal ones, where a similarity of 0.8 expects 21.6 (less than
-   13 with probability 0.0001), is no candidate.  A bucket of very many lines
-   is one group, untested.
-4. What agrees inside a bucket, directly or through others, is one group,
-   verified by exact Jaccard similarity in blocks of bounded size.  The lines
-   travel there, not their sets, which are eight times their size.
+   permutation hashing gives 48 minima, for a similarity of 0.8 12 bands of 4;
+   such lines miss each other in all bands with probability 0.0018.  Lower
+   similarities have fewer rows a band and more bands (see shape()).
+3. Lines that share a band are compared by four bits of each of 16 minima:
+   where a similarity of 0.8 expects 13 equal ones, fewer than 7 (probability
+   0.0002) are no candidate.  Buckets of any size are compared by this rule.
+4. What agrees, directly or through others, is one group, found by star
+   contraction over (line, least line of its bucket's group), and verified by
+   exact Jaccard similarity in blocks of bounded size.  The lines travel
+   there, each to its one group, not their sets, which are eight times their
+   size.
 5. Star contraction over the verified links gives components; a component
    keeps its first line, by document and place, and the others are cut out.
+
+Texts are read four times and shuffled once at most; what travels otherwise
+are keys.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .block_product import exact_links, forest, holds_each, place_bitmap
+from .block_product import exact_links, holds_each, place_bitmap
 from .components import components
 from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, word_table
 
 WIDTH = 5
-ROWS, BANDS = 3, 9
-#: Of all minima, as many must agree for a candidate, if similarities of 0.8 are wanted.
-AGREE = 13
-#: Buckets of more lines than this aren't compared pair by pair.
-MOST_COMPARED = 1024
+SIZE = 48  # minima of a line
+SKETCH = 16  # minima of which four bits travel with each band key
+MISSED = 0.002  # chance that all bands miss a pair of the least similarity
+PAIRWISE = 32  # lines of a bucket that are compared all at once; a larger one line by line
+MOST_BROADCAST = 300_000  # documents with cuts: some 40 MB
+#: For each try, which bin fills each empty one.
+_BORROWED = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(64)])
+_NIBBLES = np.uint64(0x1111111111111111)
 _NOT_BREAK = ~byte_class([0x0A, 0x0D, 0xFF])
 
 
@@ -79,30 +89,55 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     return np.split(runs[fresh], np.searchsorted(owner[fresh], np.arange(1, len(lines))))
 
 
-def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of BANDS keys, and of a byte of each minimum, for each line: one permutation hashing with empty bins filled by rotation."""
-    size = ROWS * BANDS
+def shape(percent: int) -> tuple[int, int, int]:
+    """(rows, bands, agree): the most rows a band whose bands miss a pair of this similarity with probability MISSED at most, and how many of SKETCH minima must agree.
+
+    Raises ValueError for similarities that even single rows would miss more often.
+    """
+    s = percent / 100
+    same = s + (1 - s) / 16
+    below = [sum(comb(SKETCH, k) * same**k * (1 - same) ** (SKETCH - k) for k in range(least)) for least in range(SKETCH)]
+    for rows in (4, 3, 2, 1):
+        if (1 - s**rows) ** (SIZE // rows) <= MISSED:
+            return rows, SIZE // rows, max(k for k in range(SKETCH) if below[k] <= 0.0003)
+    raise ValueError(f"a similarity of {percent} percent is too low for {SIZE} minima")
+
+
+def band_keys(lines: list[bytes], rows: int = 4, bands: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """A row of band keys and a sketch for each line: one permutation hashing, empty bins filled from bins that a fixed random order names."""
     hashes, owner = _runs(lines)
-    bins = (hashes % np.uint64(size)).astype(np.int64)
+    bins = (hashes % np.uint64(SIZE)).astype(np.int64)
     low = (hashes >> np.uint64(33)).astype(np.uint64)  # 31 bits
-    keyed = np.sort(((owner * size + bins).astype(np.uint64) << np.uint64(31)) | low)
+    keyed = np.sort(((owner * SIZE + bins).astype(np.uint64) << np.uint64(31)) | low)
     place = keyed >> np.uint64(31)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    minima = np.full(len(lines) * size, -1, np.int64)
-    minima[place[first].astype(np.int64)] = (keyed[first] & np.uint64((1 << 31) - 1)).astype(np.int64)
-    minima = minima.reshape(len(lines), size)
-    for step in range(1, size):
-        empty = minima < 0
-        if not empty.any():
+    own = np.full(len(lines) * SIZE, -1, np.int64)
+    own[place[first].astype(np.int64)] = (keyed[first] & np.uint64((1 << 31) - 1)).astype(np.int64)
+    own = own.reshape(len(lines), SIZE)
+    minima = own.copy()
+    thin = np.flatnonzero((own < 0).any(axis=1))
+    for step, source in enumerate(_BORROWED):
+        if not len(thin):
             break
-        minima = np.where(empty & (np.roll(minima, -step, axis=1) >= 0), np.roll(minima, -step, axis=1) + (step << 32), minima)
+        lent = own[thin][:, source]
+        minima[thin] = np.where((minima[thin] < 0) & (lent >= 0), lent + ((step + 1) << 32), minima[thin])
+        thin = thin[(minima[thin] < 0).any(axis=1)]
     values = mix(minima.astype(np.uint64))
-    sketch = (values >> np.uint64(56)).astype(np.uint8)
-    values = values.reshape(len(lines), BANDS, ROWS)
-    keys = np.zeros((len(lines), BANDS), np.uint64)
-    for k in range(ROWS):
+    shifts = np.arange(0, 64, 4, dtype=np.uint64)
+    sketch = np.bitwise_or.reduce((values[:, :: SIZE // SKETCH] >> np.uint64(60)) << shifts, axis=1)
+    values = values[:, : rows * bands].reshape(len(lines), bands, rows)
+    keys = np.zeros((len(lines), bands), np.uint64)
+    for k in range(rows):
         keys = mix(keys ^ values[:, :, k])
-    return keys ^ mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77)), sketch
+    return keys ^ mix(np.arange(bands, dtype=np.uint64) + np.uint64(77)), sketch
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the minima of two sketches agree."""
+    x = a ^ b
+    x = x | (x >> np.uint64(1))
+    x = (x | (x >> np.uint64(2))) & _NIBBLES
+    return SKETCH - np.bitwise_count(x).astype(np.int64)
 
 
 def _each_line(batch: pa.RecordBatch):
@@ -118,125 +153,135 @@ def _each_line(batch: pa.RecordBatch):
         yield row[at], place[at].astype(np.int32), hashes[at].view(np.int64), [lines[k] for k in at]
 
 
+KEY = "doc_id long, row_id long, row_check int"
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_id"), "text")
+    """A row's name are two hashes of its id and text, 96 bits."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_names(F.col("doc_id").cast("long")), "text")
+
 
+def _names(doc_id: Column) -> list[Column]:
+    return [F.xxhash64(doc_id, "text").alias("row_id"), F.hash(doc_id, "text").alias("row_check")]
 
-def _lines(docs: DataFrame, bands: bool) -> DataFrame:
-    """(hash, doc_id, row_id, place[, bands]) for each non-empty line."""
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(hash, doc_id, row_id, row_check, place) for each non-empty line."""
 
     def work(stream):
         for batch in stream:
-            for row, place, hashes, lines in _each_line(batch):
-                if not len(row):
-                    continue
-                more = {}
-                if bands:
-                    _, first, again = np.unique(hashes, return_index=True, return_inverse=True)
-                    keys, sketch = band_keys([lines[k] for k in first])
-                    packed = np.concatenate([keys.view(np.uint8).reshape(len(keys), -1), sketch], axis=1)
-                    more["bands"] = pa.array([x.tobytes() for x in packed], pa.binary()).take(pa.array(again))
-                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes, pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(row)), "row_id": batch.column("row_id").take(pa.array(row)), "place": pa.array(place, pa.int32())} | more)
+            for row, place, hashes, _ in _each_line(batch):
+                if len(row):
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), *(batch.column(c).take(at) for c in ("doc_id", "row_id", "row_check")), pa.array(place, pa.int32())], names=["hash", "doc_id", "row_id", "row_check", "place"])
 
-    return _rows(docs).mapInArrow(work, "hash long, doc_id long, row_id long, place int" + ", bands binary" * bands)
+    return _rows(docs).mapInArrow(work, f"hash long, {KEY}, place int")
+
+
+def groups_of(sketch: np.ndarray, agree: int) -> np.ndarray:
+    """For each line of a bucket, the first one that it reaches over pairs that agree in enough minima."""
+    label, rest = np.arange(len(sketch)), np.arange(len(sketch))
+    while len(rest):
+        seed, waiting, rest = rest[0], [rest[0]], rest[1:]
+        while waiting and len(rest):
+            near = agreement(sketch[rest], sketch[waiting.pop()]) >= agree
+            label[rest[near]] = seed
+            waiting += rest[near].tolist()
+            rest = rest[~near]
+    return label
 
 
 def _groups(sketch: np.ndarray, agree: int) -> np.ndarray:
-    """For buckets of equal size (buckets, lines, minima): the first line of the bucket that each line reaches over pairs that agree in enough minima."""
-    n, g, _ = sketch.shape
-    if g > MOST_COMPARED:
-        return np.zeros((n, g), np.int64)
-    if g <= 32:
-        near = (sketch[:, :, None] == sketch[:, None]).sum(-1, dtype=np.uint8) >= agree
-        label = np.tile(np.arange(g), (n, 1))
-        while True:
-            new = np.where(near, label[:, None], g).min(-1)
-            if (new == label).all():
-                return label
-            label = new
-    return np.stack([forest(np.concatenate([(own[k : k + 64, None] == own[None]).sum(-1, dtype=np.uint8) >= agree for k in range(0, g, 64)])) for own in sketch])
-
-
-def _candidates(classes: DataFrame, shards: int, agree: int) -> DataFrame:
-    """(component, node): groups of line hashes that share a band and agree in enough minima, directly or through others of the bucket.
-
-    A group is named by its members, so what several bands find is one group.
-    """
-    wide = 8 * BANDS + ROWS * BANDS
+    """The same for buckets of equal size (buckets, lines)."""
+    n, g = sketch.shape
+    if g > PAIRWISE:
+        return np.stack([groups_of(own, agree) for own in sketch])
+    near = agreement(sketch[:, :, None], sketch[:, None]) >= agree
+    label = np.tile(np.arange(g), (n, 1))
+    while True:
+        new = np.where(near, label[:, None], g).min(-1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _candidates(docs: DataFrame, shards: int, percent: int) -> DataFrame:
+    """Edges (a, b) of line hashes: each line that agrees with others of a bucket, and the least line that it reaches there."""
+    rows, bands, agree = shape(percent)
 
     def deal(stream):
         for batch in stream:
-            if not batch.num_rows:
-                continue
-            packed = np.frombuffer(b"".join(batch.column("bands").to_pylist()), np.uint8).reshape(-1, wide)
-            keys = np.ascontiguousarray(packed[:, : 8 * BANDS]).view(np.uint64).ravel()
-            row = np.repeat(np.arange(len(packed)), BANDS)
-            shard = ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            begin = np.searchsorted(shard[order], np.arange(shards + 1))
-            keys, node, sketch = keys[order], batch.column("hash").to_numpy()[row[order]], packed[row[order], 8 * BANDS :]
-            at = [k for k in range(shards) if begin[k] < begin[k + 1]]
-            part = lambda x: pa.array([x[begin[k] : begin[k + 1]].tobytes() for k in at], pa.binary())
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(at, pa.int32()), "keys": part(keys), "nodes": part(node), "sketches": part(sketch)})
+            for _, _, hashes, lines in _each_line(batch):
+                node, first = np.unique(hashes, return_index=True)
+                if not len(node):
+                    continue
+                keys, sketch = band_keys([lines[k] for k in first], rows, bands)
+                keys, row = keys.ravel(), np.repeat(np.arange(len(node)), bands)
+                shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                at, begin = np.unique(shard[order], return_index=True)
+                part = lambda x: pa.array([y.tobytes() for y in np.split(x[order], begin[1:])], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part(keys.astype(np.uint32)), part(node[row]), part(sketch[row])], names=["shard", "keys", "nodes", "sketches"])
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, node, sketch = (np.frombuffer(b"".join(table.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint64), ("nodes", np.int64), ("sketches", np.uint8)))
+        keys, node, sketch = (np.frombuffer(b"".join(table.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint32), ("nodes", np.int64), ("sketches", np.uint64)))
         order = np.lexsort((node, keys))
-        keys, node = keys[order], node[order]
+        keys, node, sketch = keys[order], node[order], sketch[order]
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])])
+        keys, node, sketch = keys[fresh], node[fresh], sketch[fresh]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         length = np.diff(np.append(begin, len(keys)))
-        sketch, found = sketch.reshape(len(keys), -1), []
-        spread = mix(node.view(np.uint64)).view(np.int64)
+        found = [np.zeros((0, 2), np.int64)]
         for g in np.unique(length[length > 1]).tolist():
             starts = begin[length == g]
-            for some in np.array_split(starts, 1 + len(starts) * min(g, 32) ** 2 // 200_000):
+            for some in np.array_split(starts, 1 + len(starts) * min(g, PAIRWISE) ** 2 // 200_000):
                 at = some[:, None] + np.arange(g)
-                label = _groups(sketch[order[at]], agree)
-                cell, at = (label + np.arange(len(some))[:, None] * g).ravel(), at.ravel()
-                name, size = np.zeros(len(at), np.int64), np.bincount(cell, minlength=len(at))
-                np.add.at(name, cell, spread[at])
-                several = size[cell] > 1
-                found.append((name[cell][several], node[at][several]))
-        both = [np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1)]
-        return pa.table({"component": pa.array(both[0], pa.int64()), "node": pa.array(both[1], pa.int64())})
+                to = node[np.take_along_axis(at, _groups(sketch[at], agree), axis=1)].ravel()
+                pairs = np.stack([node[at].ravel(), to], axis=1)
+                found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+        edges = np.concatenate(found)
+        return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
-    dealt = classes.select("hash", "bands").mapInArrow(deal, "shard int, keys binary, nodes binary, sketches binary")
-    return dealt.groupBy("shard").applyInArrow(meet, "component long, node long").distinct()
+    dealt = _rows(docs).mapInArrow(deal, "shard int, keys binary, nodes binary, sketches binary")
+    return dealt.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
 def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> DataFrame:
-    """(doc_id, row_id, place): the lines that repeat another one and are not its component's first.
+    """(doc_id, row_id, row_check, place): the lines that repeat another one and are not its component's first.
 
     Lines are compared with A-Z lower-cased and the white space at their ends
-    cut; empty lines are no lines here.  row_id is xxhash64(doc_id, text), so
-    rows that agree in both count as one row, of which dedup_lines keeps one.
-    Null texts have no lines.
+    cut; empty lines are no lines here.  row_id and row_check are hashes of
+    doc_id and text, so rows that agree in both count as one row, of which
+    dedup_lines keeps one.  Null texts have no lines.
     Components are kept by their first line in the order of doc_id (nulls
-    first), row_id and place.
+    first), row_id, row_check and place.
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = F.struct("doc_id", "row_id", "place")
-    classes = stored(_lines(docs, True).groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")), "lines")
-    groups = stored(_candidates(classes, shards, AGREE if percent >= 80 else 0), "candidates")
-    owners = groups.select("node").distinct().join(classes.select(F.col("hash").alias("node"), F.col("first.row_id").alias("row_id")), "node")
-    wanted = spark.sparkContext.broadcast(place_bitmap(owners, "node", "row_id"))
+    first = F.struct("doc_id", "row_id", "row_check", "place")
+    lines = stored(_lines(docs), "lines")
+    edges = stored(_candidates(docs, shards, percent), "candidates")
+    groups = stored(components(edges), "groups")
+    classes = lines.groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n"))
+    owners = groups.select(F.col("node").alias("hash")).join(classes.select("hash", F.col("first.row_id").alias("row_id")), "hash")
+    wanted = spark.sparkContext.broadcast(place_bitmap(owners, "hash", "row_id"))
 
     def verified(stream):
         for batch in stream:
             ids = batch.column("row_id").to_numpy()
-            for row, _, hashes, lines in _each_line(batch):
+            for row, _, hashes, texts in _each_line(batch):
                 at = np.flatnonzero(holds_each(wanted.value, hashes, ids[row]))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(hashes[at], pa.int64()), "shingles": pa.array([lines[k] for k in at], pa.binary())})
+                if len(at):
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(hashes[at], pa.int64()), "shingles": pa.array([texts[k] for k in at], pa.binary())})
 
     found = _rows(docs).mapInArrow(verified, "node long, shingles binary").dropDuplicates(["node"])
     links = stored(exact_links(groups, found, percent, chunk, line_sets, together=64), "links")
     wanted.destroy()
-    joined = classes.select("hash", "first", "n").join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
+    joined = classes.join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
     repeated = joined.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "hash"))
     kept = repeated.groupBy("component").agg(F.min("first").alias("kept"))
     named = stored(repeated.select("hash", "component").join(kept, "component").select("hash", "kept"), "kept-lines")
-    return _lines(docs, False).join(named, "hash").filter(~first.eqNullSafe(F.col("kept"))).select("doc_id", "row_id", "place")
+    return lines.join(named, "hash").filter(~first.eqNullSafe(F.col("kept"))).select("doc_id", "row_id", "row_check", "place")
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -247,13 +292,23 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     and text; null texts and texts without lines stay as they are, each row
     of them, as does a text that loses nothing.  See duplicate_lines().
     """
-    cut = duplicate_lines(docs, percent).groupBy("row_id").agg(F.collect_set("place").alias("places_cut"))
+    cut = stored(duplicate_lines(docs, percent).groupBy("row_id", "row_check").agg(F.collect_set("place").alias("places_cut")), "cuts")
     names = docs.columns
-    row_id, places, again = (free_name(n, names) for n in ("row_id", "places_cut", "repeats"))
-    keyed = docs.withColumn(row_id, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    repeats = keyed.filter(F.col("text").rlike(r"[^ \t\x0B\x0C\r\n]")).groupBy(row_id).agg((F.count("*") > 1).alias(again)).filter(F.col(again))
-    single = keyed.join(repeats, row_id, "left_anti").unionByName(keyed.join(repeats, row_id, "left_semi").dropDuplicates([row_id]))
-    joined = single.join(cut.toDF(row_id, places), row_id, "left").select(*names, places)
+    row_id, check, places, again = (free_name(n, names) for n in ("row_id", "row_check", "places_cut", "repeats"))
+    key = [row_id, check]
+    keyed = docs.withColumns(dict(zip(key, _names(F.col("doc_id").cast("long")), strict=True)))
+    with_lines = F.col("text").rlike(r"[^ \t\x0B\x0C\r\n]")
+    repeats = stored(keyed.filter(with_lines).groupBy(*key).count().filter("count > 1").select(*key), "repeats")
+    few = cut.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    cut = cut.toDF(*key, places)
+    if repeats.isEmpty():
+        single = keyed
+    else:
+        # rows that agree in id and text: of each kind one is taken, by a partial aggregation before they are shuffled
+        several = keyed.join(repeats.withColumn(again, F.lit(True)), key, "left")
+        one = several.filter(F.col(again) & with_lines).groupBy(*key).agg(F.first(F.struct(*names)).alias(places)).select(f"{places}.*", *key)
+        single = several.filter(F.col(again).isNull() | ~F.coalesce(with_lines, F.lit(False))).select(*names, *key).unionByName(one)
+    joined = single.join(F.broadcast(cut) if few else cut, key, "left").select(*names, places)
     at, schema = names.index("text"), docs.schema
 
     def work(stream):
