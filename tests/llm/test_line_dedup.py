@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from motifspark.llm import line_dedup as D
 
@@ -52,7 +53,7 @@ def test_banding_finds_similar_lines_and_few_others():
         x = line(RNG.randint(8, 60))
         y = edited(x, max(1, round(len(x) * RNG.choice([0.01, 0.02, 0.03, 0.15]))))
         (a, b), (s, t) = D.band_keys([x.encode(), y.encode()])
-        found = (a == b).any() and (s == t).sum() >= D.AGREE
+        found = (a == b).any() and D.agreement(s, t) >= D.shape(80)[2]
         if (kind := near if alike(x, y) else None if alike(x, y, 50) else far) is not None:
             kind[0] += found
             kind[1] += 1
@@ -102,8 +103,56 @@ def test_buckets_of_any_size_hold_together(monkeypatch, spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert D.dedup_lines(frame).count() == 1
     _, sketch = D.band_keys([x.encode() for _, x in rows])
+    agree = D.shape(80)[2]
     for most, n in ((1 << 20, 90), (10, 90), (10, 20)):
-        monkeypatch.setattr(D, "MOST_COMPARED", most)
-        assert (D._groups(sketch[None, :n], D.AGREE) == 0).all()
-    apart = np.concatenate([sketch[:3], sketch[:3] ^ np.uint8(1)])
-    assert D._groups(apart[None], D.AGREE).tolist() == [[0, 0, 0, 3, 3, 3]]
+        monkeypatch.setattr(D, "PAIRWISE", most)
+        assert (D._groups(sketch[None, :n], agree) == 0).all()
+        apart = np.concatenate([sketch[:3], ~sketch[:3]])
+        assert D._groups(np.stack([apart, apart[::-1]]), agree).tolist() == [[0, 0, 0, 3, 3, 3]] * 2
+
+
+def test_bands_suit_the_similarity():
+    """Fewer rows a band for lower similarities, so that pairs of it aren't missed; where no bands would do, an error."""
+    assert D.shape(80) == (4, 12, 7)
+    assert [D.shape(p)[0] for p in (95, 80, 70, 50, 30)] == [4, 4, 3, 2, 1]
+    for percent in (50, 60, 70):
+        rows, bands, agree = D.shape(percent)
+        near = [0, 0]
+        for _ in range(2500):
+            x = line(RNG.randint(8, 40))
+            y = edited(x, max(1, round(len(x) * RNG.choice([0.03, 0.05, 0.08, 0.1]))))
+            if alike(x, y, percent) and not alike(x, y, percent + 10):
+                (a, b), (s, t) = D.band_keys([x.encode(), y.encode()], rows, bands)
+                near[0] += (a == b).any() and D.agreement(s, t) >= agree
+                near[1] += 1
+        assert near[1] > 200 and near[0] / near[1] > 0.985
+    with pytest.raises(ValueError, match="too low"):
+        D.shape(5)
+
+
+def test_agreement_counts_equal_minima():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 16, (2, 500, 16)).astype(np.uint64)
+    b[:, ::3] = a[:, ::3]
+    packed = [np.bitwise_or.reduce(x << np.arange(0, 64, 4, dtype=np.uint64), axis=1) for x in (a, b)]
+    assert D.agreement(*packed).tolist() == (a == b).sum(axis=1).tolist()
+
+
+def test_cuts_by_shuffle_and_large_groups_in_chunks(monkeypatch, spark):
+    """More documents with cuts than are broadcast, and groups of more lines than a chunk: the same rows."""
+    base = [line(12) for _ in range(4)]
+    rows = [(k, edited(RNG.choice(base), 1) + "\n" + line(9)) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert sorted([(r.doc_id, r.text) for r in D.dedup_lines(frame).collect()], key=str) == want
+    monkeypatch.setattr(D, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(D.duplicate_lines, "__defaults__", (80, 8))
+    assert sorted([(r.doc_id, r.text) for r in D.dedup_lines(frame).collect()], key=str) == want
+
+
+def test_odd_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, row_id int, repeats int")
+    assert D.dedup_lines(empty).columns == empty.columns and D.dedup_lines(empty).count() == 0
+    same = [(None, "one line that all rows have\nand another one")] * 30 + [(None, None)] * 3
+    got = D.dedup_lines(spark.createDataFrame([(*r, 7, 8) for r in same], empty.schema).repartition(4)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([(*same[0], 7, 8)] + [(None, None, 7, 8)] * 3, key=str)
