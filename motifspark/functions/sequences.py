@@ -167,6 +167,11 @@ def productive(seq: Column | str, start: Column | str, invariant: Sequence[int])
     return bound({"s": _col(seq), "g": _col(start)}, test)
 
 
+def codon_start(pos: Column | str) -> Column:
+    """Where the codon that holds a position begins, both from 1, in the first reading frame."""
+    return (_col(pos) - (_col(pos) - 1) % 3).cast("int")
+
+
 def parse_positions(text: str) -> list[list[int]]:
     """Places that mutate, by motif length: "0,1:1" is [[0, 1], [1]]."""
     return [[int(x) for x in part.split(",")] for part in text.split(":")]

@@ -39,11 +39,6 @@ def j9(spark, d):
     return found.withColumn("step", F.col("step").cast("long"))
 
 
-@register("J11_parameter_grid", "SELECT k, penalty, seed FROM (VALUES (3::BIGINT), (5)) a(k), (VALUES (0.1::DOUBLE), (0.01)) b(penalty), (SELECT i AS seed FROM range(4) t(i)) WHERE NOT (k = 5 AND seed > 1)")
-def j11(spark, d):
-    return tables.parameter_grid(spark, {"k": [3, 5], "penalty": [0.1, 0.01], "seed": list(range(4))}, ~((F.col("k") == 5) & (F.col("seed") > 1)))
-
-
 @register("A1_clusters", derived("seqs", "SELECT gk, count(*) AS n, min(sk) AS first_member, max(sk) AS last_member FROM seqs0 GROUP BY gk"))
 def a1(spark, d):
     return tables.cluster_summary(seqs(spark, d), "gk", "sk")
@@ -98,12 +93,6 @@ def p16(spark, d):
     return tables.resampled_families(table(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 12, 3)
 
 
-@register("P19_nonzero_counts", "WITH v AS (SELECT DISTINCT (i % 7) / 7.0::DOUBLE - 3 / 7.0::DOUBLE AS v FROM range(64) t(i)) SELECT (SELECT count(*) FROM range(64) t(i) WHERE i % 7 <> 3)::BIGINT AS n_nonzero, count(*) AS n_unique FROM v")
-def p19(spark, d):
-    values = theta(spark).withColumn("theta", F.when(F.col("motif") == "aaa", float("-inf")).otherwise(F.col("theta") - 3 / 7.0))
-    return tables.nonzero_counts(values.unionByName(theta(spark).filter("motif = 'aaa'").withColumn("theta", F.lit(-3 / 7.0))), "theta")
-
-
 _PAIR32 = f"SELECT c_custkey AS gk, a, list_aggregate([CASE WHEN substr(q, i, 1) IN ('0', '1') THEN 'a' WHEN substr(q, i, 1) = '2' THEN 'n' ELSE a[i] END FOR i IN range(1, 33)], 'string_agg', '') AS b FROM (SELECT c_custkey, translate(md5('p' || c_custkey::VARCHAR), '{_HEX}', 'acgtacgtnacgtacg') AS a, md5('q' || c_custkey::VARCHAR) AS q FROM customer)"
 
 
@@ -168,17 +157,6 @@ def w10(spark, d):
     return found.groupBy(F.col("pos").cast("long").alias("place")).agg(F.count_if("mu").alias("n"))
 
 
-@register("W10_gap_aligned", "SELECT i AS pos, (i + (i >= 3)::INT + (i + (i >= 3)::INT >= 5)::INT + (i + (i >= 3)::INT + (i + (i >= 3)::INT >= 5)::INT >= 30)::INT)::INT AS aligned FROM range(64) t(i)")
-def w10_gaps(spark, d):
-    gaps = F.array(F.lit(3), F.lit(5), F.lit(30))
-    return spark.range(64).select(F.col("id").alias("pos"), tables.gap_aligned(F.col("id"), gaps).alias("aligned"))
-
-
-@register("S1_nonzero_lines", f"WITH m AS ({_TRIPLES}), v AS (SELECT motif, (idx % 7) / 7.0::DOUBLE AS v FROM m) SELECT row_number() OVER (ORDER BY v, motif)::INT AS place, printf('%.3f, (%s)', v, motif) AS line FROM v WHERE abs(v) > 1e-6")
-def s1(spark, d):
-    return tables.nonzero_lines(theta(spark), "motif", "theta")
-
-
 @register("S3_best_penalty", "SELECT event_type, user_id % 10 AS penalty, round(score, 6) AS score FROM (SELECT event_type, user_id % 10 AS user_id, avg(value) AS score FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY score DESC, user_id) = 1")
 def s3(spark, d):
     scores = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 10).alias("penalty")).agg(F.avg("value").alias("score"))
@@ -216,41 +194,15 @@ def m9(spark, d):
     return found.select("s_suppkey", S.rounded("lower").alias("lower"), S.rounded("upper").alias("upper"))
 
 
-@register("M11_aggregate_variance", f"WITH m AS ({_TRIPLES}), f AS (SELECT motif AS full_motif, idx AS i FROM m UNION ALL SELECT motif, 64 + instr('acgt', motif[2]) - 1 FROM m) SELECT a.full_motif, round(sum(CASE WHEN a.i = b.i THEN 2.0 ELSE ((a.i * b.i) % 11) / 20.0 END)::DOUBLE, 6) AS variance FROM f a JOIN f b USING (full_motif) GROUP BY 1")
-def m11(spark, d):
-    """Variances of sums of a 3-mer's and its middle base's coefficients."""
-    motifs = features.motif_dimension(spark, 3)
-    matches = motifs.select(F.col("motif").alias("full"), F.col("motif_idx").alias("feat_idx")).unionByName(motifs.select(F.col("motif").alias("full"), (64 + F.instr("motif", "a") * 0 + F.instr(F.lit("acgt"), F.substring("motif", 2, 1)) - 1).cast("long").alias("feat_idx")))
-    cells = spark.range(68 * 68).select(F.floor(F.col("id") / 68).alias("i"), (F.col("id") % 68).alias("j"))
-    value = F.when(F.col("i") == F.col("j"), 2.0).otherwise(((F.col("i") * F.col("j")) % 11) / 20.0)
-    return statistics.aggregate_variance(matches, cells.withColumn("value", value)).select(F.col("full").alias("full_motif"), S.rounded("variance").alias("variance"))
-
-
 _TARGETS = f"(SELECT idx, motif, k, substr('acgt', k + 1, 1) AS target FROM ({_TRIPLES}), range(4) t(k))"
 
 
-@register("M14_theta_index", f"SELECT motif, target, CASE WHEN ok THEN row_number() OVER (PARTITION BY ok ORDER BY target, motif) - 1 ELSE -1 END::BIGINT AS theta_idx FROM (SELECT *, motif[2] <> target AS ok FROM {_TARGETS})")
-def m14(spark, d):
-    found = features.possible_targets(spark, 3, 1)
-    return statistics.theta_index(found, "motif", "target", F.col("possible")).select("motif", "target", "theta_idx")
-
-
 @register("M15_paired_t", f"SELECT event_type, count(*) AS n, round(avg(fitted - truth) / (stddev_pop(fitted - truth) / sqrt(count(*) - 1)), 5) + 0.0 AS t FROM {_PAIRS} GROUP BY event_type HAVING count(*) > 1")
 def m15(spark, d):
     found = statistics.paired_t(_pairs(spark, d).withColumn("x", F.col("fitted") - F.col("truth")), "x", ["event_type"])
     return found.filter("n > 1").withColumn("t", S.rounded("t", 5))
 
 
-@register("M16_target_probabilities", f"WITH t AS (SELECT motif, target, (idx % 7) / 7.0::DOUBLE + k * 0.1 AS x FROM {_TARGETS} WHERE motif[2] <> target) SELECT motif, target, round(exp(-x) / sum(exp(-x)) OVER (PARTITION BY motif), 6) AS probability FROM t")
-def m16(spark, d):
-    return statistics.target_probabilities(target_theta(spark), "motif", "theta").select("motif", "target", S.rounded("probability").alias("probability"))
-
-
-@register("M17_median_scaled", f"WITH v AS (SELECT motif, (idx % 7) / 7.0::DOUBLE AS v FROM ({_TRIPLES})) SELECT motif, round(v / (SELECT median(abs(v)) FROM v WHERE abs(v) > 1e-6), 6) + 0.0 AS scaled FROM v")
-def m17(spark, d):
-    return statistics.median_scaled(theta(spark), "theta", "x").select("motif", S.rounded("x").alias("scaled"))
-
-
 @register("M20_targeting", derived("genes", ", w AS (SELECT gk, replace(gs, 't', '') AS s FROM genes), m AS (SELECT substr(s, p, 3) AS motif FROM (SELECT s, unnest(range(1, length(s) - 1)) AS p FROM w)) SELECT motif, target, count(*) AS n, round(CASE WHEN motif[2] <> target THEN count(*) * (idx % 7) / 7.0::DOUBLE * (k + 1) / 10.0 END, 4) + 0.0 AS targeting FROM m JOIN " + _TARGETS + " USING (motif) GROUP BY motif, target, idx, k"))
 def m20(spark, d):
     """Rates of mutation towards each target over all sites, t standing for a gap that is removed; none towards a motif's own base."""
@@ -302,11 +254,6 @@ def t4(spark, d):
     return tables.graph_nodes(_tree(spark, d))
 
 
-@register("IO13_padded_motifs", f"SELECT motif, upper(rpad('N' || motif, 5, 'N')) AS padded FROM ({_TRIPLES})")
-def io13(spark, d):
-    return features.motif_dimension(spark, 3).select("motif", tables.padded_motif("motif", 1, 2, 2).alias("padded"))
-
-
 @register("E8_group_folds", derived("seqs", "SELECT fold, count(*) AS n_families FROM (SELECT family, ((row_number() OVER (ORDER BY n DESC, family) - 1) % 5)::INT AS fold FROM (SELECT family, count(*) AS n FROM seqs0 GROUP BY 1)) GROUP BY fold"))
 def e8_groups(spark, d):
     """Five segments, five folds: one each."""

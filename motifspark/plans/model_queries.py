@@ -74,17 +74,6 @@ def f6(spark, d):
     return likelihood.risk_counts(seqs(spark, d)).groupBy(F.col("step").cast("long").alias("step"), "motif").agg(F.sum("n").alias("n"), F.count_if("hit").alias("hits"))
 
 
-@register("F8_reindexed_features", "SELECT motif, (row_number() OVER (ORDER BY motif) - 1)::INT AS feat_idx FROM (SELECT a || b || c AS motif FROM (VALUES ('a'), ('c'), ('g'), ('t')) x(a), (VALUES ('a'), ('c'), ('g'), ('t')) y(b), (VALUES ('a'), ('c'), ('g'), ('t')) z(c)) WHERE motif[2] <> 'g'")
-def f8(spark, d):
-    dimension = features.motif_dimension(spark, 3)
-    return features.without_features(dimension, dimension.filter(F.substring("motif", 2, 1) == "g")).select("motif", "feat_idx")
-
-
-@register("M13_possible_targets", "SELECT m.b || n.b || o.b AS motif, t.b AS target, n.b <> t.b AS possible FROM (VALUES ('a'), ('c'), ('g'), ('t')) m(b), (VALUES ('a'), ('c'), ('g'), ('t')) n(b), (VALUES ('a'), ('c'), ('g'), ('t')) o(b), (VALUES ('a'), ('c'), ('g'), ('t')) t(b)")
-def m13(spark, d):
-    return features.possible_targets(spark, 3, 1).select("motif", "target", "possible")
-
-
 @register("L1_log_likelihood", derived("rated", "SELECT sk, count(*) AS n_steps, round(sum(theta - ln(den)), 6) + 0.0 AS log_lik FROM rated WHERE hit GROUP BY sk"))
 def l1(spark, d):
     return hazards.row_likelihoods(seqs(spark, d), THREE, [THREE_THETA]).select("sk", "n_steps", rounded("log_lik_0").alias("log_lik"))
@@ -155,11 +144,6 @@ def m18(spark, d):
     return places.join(found, "site", "left").select("site", F.coalesce("n", F.lit(0)).alias("n"), rounded("residual").alias("residual"))
 
 
-@register("E3_soft_threshold", "SELECT motif_idx, round(greatest(x - 0.3, 0) + least(x + 0.3, 0), 6) + 0.0 AS value FROM (SELECT i AS motif_idx, (i % 7) / 7.0::DOUBLE - 0.5 AS x FROM range(64) t(i))")
-def e3(spark, d):
-    return spark.range(64).select(F.col("id").alias("motif_idx"), rounded(soft_threshold((F.col("id") % 7) / 7.0 - 0.5, 0.3)).alias("value"))
-
-
 @register("E12_mutability_counts", derived("sites", ", m AS (SELECT mu, lag(sc, 2) OVER w || lag(sc) OVER w || sc || lead(sc) OVER w || lead(sc, 2) OVER w AS motif FROM sites WINDOW w AS (PARTITION BY sk ORDER BY pos)) SELECT motif, count(*) AS n, count_if(mu)::BIGINT AS mutated, round(count_if(mu) / count(*)::DOUBLE, 6) AS mutability FROM m WHERE motif IS NOT NULL GROUP BY motif").replace("\n,", ","))
 def e12(spark, d):
     found = features.sites(seqs(spark, d), 5, 2)
@@ -188,16 +172,6 @@ def e9_fit(spark, d):
     return spark.createDataFrame(sorted(fitting.fit_logistic(found, 1e-4).items()), "motif string, theta double")
 
 
-@register("J7_aggregate_theta", "SELECT a || b || c AS motif, round(((instr('acgt', b) - 1) % 7) / 7.0::DOUBLE + ((((instr('acgt', a) - 1) * 16 + (instr('acgt', b) - 1) * 4 + instr('acgt', c) - 1)) % 7) / 7.0::DOUBLE, 6) AS theta FROM (VALUES ('a'), ('c'), ('g'), ('t')) x(a), (VALUES ('a'), ('c'), ('g'), ('t')) y(b), (VALUES ('a'), ('c'), ('g'), ('t')) z(c)")
-def j7(spark, d):
-    return features.aggregate_theta(features.motif_dimension(spark, 3), [(1, 1, theta(spark, 1)), (0, 3, theta(spark))]).withColumn("theta", rounded("theta"))
-
-
-@register("J8_fused_edges", "WITH m AS (SELECT a || b || c AS motif FROM (VALUES ('a'), ('c'), ('g'), ('t')) x(a), (VALUES ('a'), ('c'), ('g'), ('t')) y(b), (VALUES ('a'), ('c'), ('g'), ('t')) z(c)) SELECT m.motif, n.motif AS other FROM m, m n WHERE hamming(m.motif, n.motif) = 1")
-def j8(spark, d):
-    return features.neighbours(features.motif_dimension(spark, 3))
-
-
 @register("G1_gibbs_orders")
 def g1(spark, d):
     drawn = sampling.gibbs_orders(seqs(spark, d), theta(spark), burn_in=1, samples=1)

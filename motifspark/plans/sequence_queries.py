@@ -112,11 +112,6 @@ def p18(spark, d):
     return table(spark, d, "part").select("p_partkey", S.gene_family(F.concat("p_brand", F.lit("*01"))).alias("family"))
 
 
-@register("P20_motifs", "SELECT row_number() OVER (ORDER BY motif) - 1 AS motif_idx, motif FROM (SELECT a || b || c AS motif FROM (VALUES ('a'), ('c'), ('g'), ('t')) x(a), (VALUES ('a'), ('c'), ('g'), ('t')) y(b), (VALUES ('a'), ('c'), ('g'), ('t')) z(c))")
-def p20(spark, d):
-    return features.motif_dimension(spark, 3)
-
-
 @register("W1_sliding_motifs", derived("genes", "SELECT motif, count(*) AS n FROM (SELECT substr(gs, p, 5) AS motif FROM (SELECT gs, unnest(range(1, 61)) AS p FROM genes)) GROUP BY motif"))
 def w1(spark, d):
     return features.sites(genes(spark, d), 5, 2).groupBy("motif").agg(F.count("*").alias("n"))
@@ -148,11 +143,6 @@ def w5(spark, d):
     return runs.groupBy(F.col("motif").alias("base"), "run").agg(F.count("*").alias("times"))
 
 
-@register("W11_codon_frame", "SELECT p::INT AS pos, (p - (p - 1) % 3)::INT AS codon_start FROM range(1, 65) t(p)")
-def w11(spark, d):
-    return spark.range(1, 65).select(F.col("id").cast("int").alias("pos"), (F.col("id") - (F.col("id") - 1) % 3).cast("int").alias("codon_start"))
-
-
 #: The standard genetic code, codons in the order t, c, a, g of each base.
 CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 _AMINO = "substr('" + CODE + "', (instr('tcag', substr({0}, 1, 1)) - 1) * 16 + (instr('tcag', substr({0}, 2, 1)) - 1) * 4 + instr('tcag', substr({0}, 3, 1)), 1)"
