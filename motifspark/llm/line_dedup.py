@@ -4,16 +4,18 @@
    equal lines collapse by a hash aggregation.
 2. A line's set holds its distinct runs of 5 characters, so one changed letter
    inside a line of 50 characters or more leaves a similarity above 0.8.  One
-   permutation hashing gives 48 minima, for a similarity of 0.8 12 bands of 4;
-   such lines miss each other in all bands with probability 0.0018.  Lower
-   similarities have fewer rows a band and more bands (see shape()).
-3. Lines that share a band are compared by four bits of each of 16 minima:
-   where a similarity of 0.8 expects 13 equal ones, fewer than 7 (probability
-   0.0002) are no candidate.  Buckets of any size are compared by this rule.
-4. What agrees, directly or through others, is one group, found by star
-   contraction over (line, least line of its bucket's group), and verified by
-   exact Jaccard similarity in blocks of bounded size.  The lines travel
-   there, each to its one group, not their sets, which are eight times their
+   permutation hashing gives 64 minima; for a similarity of 0.8, 48 of them
+   make 12 bands of 4, and such lines miss each other in all bands with
+   probability 0.0018.  Lower similarities have fewer rows a band and more
+   bands (see shape()).
+3. Lines that share a band are compared by two bits of each minimum: where a
+   similarity of 0.8 expects 54 equal ones, fewer than 44 (probability 0.0003)
+   are no candidate.  Buckets of any size are compared by this rule.
+4. In a bucket, lines that agree, directly or through others, are a group; all
+   groups of one least line are a cluster.  Clusters are verified by exact
+   Jaccard similarity: many small ones in a task, which tests each line with
+   the first and only the others with all, large ones in blocks of bounded
+   size.  The lines travel there, not their sets, which are eight times their
    size.
 5. Star contraction over the verified links gives components; a component
    keeps its first line, by document and place, and the others are cut out.
@@ -36,14 +38,14 @@ from .components import components
 from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, word_table
 
 WIDTH = 5
-SIZE = 48  # minima of a line
-SKETCH = 16  # minima of which four bits travel with each band key
+SIZE, BANDED = 64, 48  # minima of a line, and those that make bands; two bits of each travel with each band key
 MISSED = 0.002  # chance that all bands miss a pair of the least similarity
 PAIRWISE = 32  # lines of a bucket that are compared all at once; a larger one line by line
+SMALL = 64  # lines of a cluster that shares a task with others
 MOST_BROADCAST = 300_000  # documents with cuts: some 40 MB
 #: For each try, which bin fills each empty one.
 _BORROWED = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(64)])
-_NIBBLES = np.uint64(0x1111111111111111)
+_ODD_BITS = np.uint64(0x5555555555555555)
 _NOT_BREAK = ~byte_class([0x0A, 0x0D, 0xFF])
 
 
@@ -90,21 +92,21 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
 
 
 def shape(percent: int) -> tuple[int, int, int]:
-    """(rows, bands, agree): the most rows a band whose bands miss a pair of this similarity with probability MISSED at most, and how many of SKETCH minima must agree.
+    """(rows, bands, agree): the most rows a band whose bands miss a pair of this similarity with probability MISSED at most, and how many of all minima must agree.
 
     Raises ValueError for similarities that even single rows would miss more often.
     """
     s = percent / 100
-    same = s + (1 - s) / 16
-    below = [sum(comb(SKETCH, k) * same**k * (1 - same) ** (SKETCH - k) for k in range(least)) for least in range(SKETCH)]
+    same = s + (1 - s) / 4
+    below = [sum(comb(SIZE, k) * same**k * (1 - same) ** (SIZE - k) for k in range(least)) for least in range(SIZE)]
     for rows in (4, 3, 2, 1):
-        if (1 - s**rows) ** (SIZE // rows) <= MISSED:
-            return rows, SIZE // rows, max(k for k in range(SKETCH) if below[k] <= 0.0003)
-    raise ValueError(f"a similarity of {percent} percent is too low for {SIZE} minima")
+        if (1 - s**rows) ** (BANDED // rows) <= MISSED:
+            return rows, BANDED // rows, max(k for k in range(SIZE) if below[k] <= 0.0003)
+    raise ValueError(f"a similarity of {percent} percent is too low for {BANDED} minima")
 
 
 def band_keys(lines: list[bytes], rows: int = 4, bands: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """A row of band keys and a sketch for each line: one permutation hashing, empty bins filled from bins that a fixed random order names."""
+    """A row of band keys and a sketch, two numbers, for each line: one permutation hashing, empty bins filled from bins that a fixed random order names."""
     hashes, owner = _runs(lines)
     bins = (hashes % np.uint64(SIZE)).astype(np.int64)
     low = (hashes >> np.uint64(33)).astype(np.uint64)  # 31 bits
@@ -123,8 +125,8 @@ def band_keys(lines: list[bytes], rows: int = 4, bands: int = 12) -> tuple[np.nd
         minima[thin] = np.where((minima[thin] < 0) & (lent >= 0), lent + ((step + 1) << 32), minima[thin])
         thin = thin[(minima[thin] < 0).any(axis=1)]
     values = mix(minima.astype(np.uint64))
-    shifts = np.arange(0, 64, 4, dtype=np.uint64)
-    sketch = np.bitwise_or.reduce((values[:, :: SIZE // SKETCH] >> np.uint64(60)) << shifts, axis=1)
+    shifts = np.arange(0, 64, 2, dtype=np.uint64)
+    sketch = np.bitwise_or.reduce((values.reshape(len(lines), 2, 32) >> np.uint64(62)) << shifts, axis=2)
     values = values[:, : rows * bands].reshape(len(lines), bands, rows)
     keys = np.zeros((len(lines), bands), np.uint64)
     for k in range(rows):
@@ -133,11 +135,9 @@ def band_keys(lines: list[bytes], rows: int = 4, bands: int = 12) -> tuple[np.nd
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the minima of two sketches agree."""
+    """How many of the minima of two sketches agree; the last axis has the two numbers of a sketch."""
     x = a ^ b
-    x = x | (x >> np.uint64(1))
-    x = (x | (x >> np.uint64(2))) & _NIBBLES
-    return SKETCH - np.bitwise_count(x).astype(np.int64)
+    return SIZE - np.bitwise_count((x | (x >> np.uint64(1))) & _ODD_BITS).sum(axis=-1, dtype=np.int64)
 
 
 def _each_line(batch: pa.RecordBatch):
@@ -192,8 +192,8 @@ def groups_of(sketch: np.ndarray, agree: int) -> np.ndarray:
 
 
 def _groups(sketch: np.ndarray, agree: int) -> np.ndarray:
-    """The same for buckets of equal size (buckets, lines)."""
-    n, g = sketch.shape
+    """The same for buckets of equal size (buckets, lines, 2)."""
+    n, g, _ = sketch.shape
     if g > PAIRWISE:
         return np.stack([groups_of(own, agree) for own in sketch])
     near = agreement(sketch[:, :, None], sketch[:, None]) >= agree
@@ -226,7 +226,7 @@ def _candidates(docs: DataFrame, shards: int, percent: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         keys, node, sketch = (np.frombuffer(b"".join(table.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint32), ("nodes", np.int64), ("sketches", np.uint64)))
         order = np.lexsort((node, keys))
-        keys, node, sketch = keys[order], node[order], sketch[order]
+        keys, node, sketch = keys[order], node[order], sketch.reshape(-1, 2)[order]
         fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])])
         keys, node, sketch = keys[fresh], node[fresh], sketch[fresh]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -246,6 +246,79 @@ def _candidates(docs: DataFrame, shards: int, percent: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
+def overlaps(runs: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """How many runs the sets of each pair share; runs: all sets' distinct numbers below 2**32, each set from `first` to the next."""
+    out = np.zeros(len(pairs), np.int64)
+    size = np.diff(first)
+    upto = np.cumsum(size[pairs].sum(axis=1))
+    for lo, hi in _slices(upto, 1 << 21):
+        some = pairs[lo:hi].T.ravel()
+        n = size[some]
+        at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key = np.sort(np.repeat(np.tile(np.arange(hi - lo), 2), n).astype(np.uint64) << np.uint64(32) | runs[at])
+        out[lo:hi] = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(32)).astype(np.int64), minlength=hi - lo)
+    return out
+
+
+def _slices(upto: np.ndarray, most: int):
+    """Ranges of items whose sizes, of which upto are the sums, add up to about `most`; one large item is a range."""
+    lo = 0
+    while lo < len(upto):
+        hi = max(int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
+def small_links(cluster: np.ndarray, node: np.ndarray, lines: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked nodes (a, b) of many clusters, rows of (cluster, node, line): each line is tested with its cluster's first, those that aren't linked with it with all others."""
+    order = np.lexsort((node, cluster))
+    cluster, node = cluster[order], node[order]
+    known, line = np.unique(node, return_inverse=True)
+    own = np.zeros(len(known), np.int64)
+    own[line] = order
+    runs, owner = _runs([lines[k] for k in own])
+    dense = np.unique(runs, return_inverse=True)[1].astype(np.uint64)
+    sets = np.unique(owner.astype(np.uint64) << np.uint64(32) | dense)
+    first = np.searchsorted(sets >> np.uint64(32), np.arange(len(known) + 1, dtype=np.uint64))
+    sets &= np.uint64((1 << 32) - 1)
+    size = np.diff(first)
+
+    def linked(pairs: np.ndarray) -> np.ndarray:
+        both = overlaps(sets, first, pairs)
+        return 100 * both >= percent * (size[pairs].sum(axis=1) - both)
+
+    begin = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+    hub = np.repeat(begin, np.diff(np.append(begin, len(cluster))))
+    others = np.flatnonzero(np.arange(len(cluster)) != hub)
+    pairs = np.stack([line[hub[others]], line[others]], axis=1)
+    near = linked(pairs)
+    found, rest = [pairs[near]], others[~near]
+    end = np.append(begin[1:], len(cluster))[np.searchsorted(begin, rest, "right") - 1]
+    count = end - hub[rest] - 1  # all members but the first
+    a = np.repeat(rest, count)
+    b = np.repeat(hub[rest] + 1 - (np.cumsum(count) - count), count) + np.arange(len(a))
+    pairs = np.unique(np.sort(np.stack([line[a], line[b]], axis=1)[a != b], axis=1), axis=0)
+    found.append(pairs[linked(pairs)])
+    links = known[np.concatenate(found)]
+    return links[:, 0], links[:, 1]
+
+
+def _verified(clusters: DataFrame, found: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Edges (a, b) that hold together what is linked inside each cluster; clusters: (node, component), found: (node, shingles), the lines."""
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
+    sized = stored(clusters.join(sizes, "component"), "clusters")
+    small = sized.filter(F.col("size") <= SMALL)
+    blocks = small.count() // 512 + 1
+
+    def links(table: pa.Table) -> pa.Table:
+        a, b = small_links(table.column("component").to_numpy(), table.column("node").to_numpy(), table.column("shingles").to_pylist(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    placed = small.select("node", "component", F.pmod(F.xxhash64("component"), F.lit(blocks)).alias("block")).join(found, "node")
+    of_small = placed.groupBy("block").applyInArrow(links, "a long, b long")
+    return of_small.unionByName(exact_links(sized.filter(F.col("size") > SMALL).select("node", "component"), found, percent, chunk, line_sets))
+
+
 def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> DataFrame:
     """(doc_id, row_id, row_check, place): the lines that repeat another one and are not its component's first.
 
@@ -261,9 +334,9 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> Da
     first = F.struct("doc_id", "row_id", "row_check", "place")
     lines = stored(_lines(docs), "lines")
     edges = stored(_candidates(docs, shards, percent), "candidates")
-    groups = stored(components(edges), "groups")
+    clusters = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     classes = lines.groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n"))
-    owners = groups.select(F.col("node").alias("hash")).join(classes.select("hash", F.col("first.row_id").alias("row_id")), "hash")
+    owners = clusters.select(F.col("node").alias("hash")).distinct().join(classes.select("hash", F.col("first.row_id").alias("row_id")), "hash")
     wanted = spark.sparkContext.broadcast(place_bitmap(owners, "hash", "row_id"))
 
     def verified(stream):
@@ -275,7 +348,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> Da
                     yield pa.RecordBatch.from_pydict({"node": pa.array(hashes[at], pa.int64()), "shingles": pa.array([texts[k] for k in at], pa.binary())})
 
     found = _rows(docs).mapInArrow(verified, "node long, shingles binary").dropDuplicates(["node"])
-    links = stored(exact_links(groups, found, percent, chunk, line_sets, together=64), "links")
+    links = stored(_verified(clusters, stored(found, "candidate-lines"), percent, chunk), "links")
     wanted.destroy()
     joined = classes.join(components(links).withColumnRenamed("node", "hash"), "hash", "left")
     repeated = joined.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "hash"))
