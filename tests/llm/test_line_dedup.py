@@ -113,7 +113,7 @@ def test_buckets_of_any_size_hold_together(monkeypatch, spark):
 
 def test_bands_suit_the_similarity():
     """Fewer rows a band for lower similarities, so that pairs of it aren't missed; where no bands would do, an error."""
-    assert D.shape(80) == (4, 12, 7)
+    assert D.shape(80) == (4, 12, 44)
     assert [D.shape(p)[0] for p in (95, 80, 70, 50, 30)] == [4, 4, 3, 2, 1]
     for percent in (50, 60, 70):
         rows, bands, agree = D.shape(percent)
@@ -132,10 +132,35 @@ def test_bands_suit_the_similarity():
 
 def test_agreement_counts_equal_minima():
     rng = np.random.default_rng(2)
-    a, b = rng.integers(0, 16, (2, 500, 16)).astype(np.uint64)
-    b[:, ::3] = a[:, ::3]
-    packed = [np.bitwise_or.reduce(x << np.arange(0, 64, 4, dtype=np.uint64), axis=1) for x in (a, b)]
-    assert D.agreement(*packed).tolist() == (a == b).sum(axis=1).tolist()
+    a, b = rng.integers(0, 4, (2, 500, 2, 32)).astype(np.uint64)
+    b[:, :, ::3] = a[:, :, ::3]
+    packed = [np.bitwise_or.reduce(x << np.arange(0, 64, 2, dtype=np.uint64), axis=2) for x in (a, b)]
+    assert D.agreement(*packed).tolist() == (a == b).sum(axis=(1, 2)).tolist()
+
+
+def test_links_of_small_clusters_against_all_pairs():
+    """What is linked inside a cluster, directly or through others, is so by the edges that are found; nodes are in several clusters."""
+    base = [line(10) for _ in range(6)]
+    lines = [edited(RNG.choice(base), RNG.choice([0, 1, 3, 6])).encode() for _ in range(80)] + [b"x", b"xy", b"x"]
+    cluster = np.array([RNG.randint(0, 8) for _ in range(160)])
+    node = np.array([RNG.randint(0, len(lines) - 1) for _ in range(160)])
+    cluster, node = np.unique(np.stack([cluster, node]), axis=1)
+    a, b = D.small_links(cluster, node * 7, [lines[k] for k in node], 80)
+    edges = set(zip((a // 7).tolist(), (b // 7).tolist(), strict=True))
+
+    def joined(pairs, members):
+        least = {k: k for k in members}
+        for _ in members:
+            for i, j in pairs:
+                if i in least and j in least:
+                    least[i] = least[j] = min(least[i], least[j])
+        return least
+
+    assert all(alike(lines[i].decode(), lines[j].decode()) for i, j in edges)
+    for c in set(cluster.tolist()):
+        members = node[cluster == c].tolist()
+        true = [(i, j) for i, j in itertools.combinations(members, 2) if alike(lines[i].decode(), lines[j].decode())]
+        assert joined(true, members) == joined([*edges], members) or all(joined([*edges], members)[i] == joined([*edges], members)[j] for i, j in true)
 
 
 def test_cuts_by_shuffle_and_large_groups_in_chunks(monkeypatch, spark):
@@ -146,6 +171,7 @@ def test_cuts_by_shuffle_and_large_groups_in_chunks(monkeypatch, spark):
     want = brute(rows)
     assert sorted([(r.doc_id, r.text) for r in D.dedup_lines(frame).collect()], key=str) == want
     monkeypatch.setattr(D, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(D, "SMALL", 3)
     monkeypatch.setattr(D.duplicate_lines, "__defaults__", (80, 8))
     assert sorted([(r.doc_id, r.text) for r in D.dedup_lines(frame).collect()], key=str) == want
 
