@@ -150,11 +150,14 @@ def _back(code: int, width: int) -> int:
 
 
 def step_table(steps: np.ndarray, code: int) -> list[int]:
-    """symbol << 4 | length by the bits that follow: green and red in their place of a pixel, other symbols of the first code beyond 1 << 16."""
+    """symbol << 6 | length by the bits that follow: green and red in their place of a pixel, other symbols of the first code beyond 1 << 16.
+
+    Six bits hold the sum of three lengths, so steps of a pixel's parts can be added up.
+    """
     size, symbol = steps & 15, steps >> 4
     if code == 0:
         symbol = np.where(symbol < 256, symbol << 8, symbol + 65536)
-    return ((symbol << 16 if code == 1 else symbol) << 4 | size).tolist()
+    return ((symbol << 16 if code == 1 else symbol) << 6 | size).tolist()
 
 
 def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: int, total: int, cache_bits: int) -> tuple[list[int], int]:
@@ -165,30 +168,29 @@ def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: in
     greens, reds, blues, alphas, distances = tables
     opaque = len(alphas) == 1
     g_mask, r_mask, b_mask, a_mask, d_mask = (len(x) - 1 for x in tables)
-    base = alphas[0] >> 4 << 24 if opaque else 0
+    base = alphas[0] >> 6 << 24 if opaque else 0
     out: list[int] = []
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
-    add, filled, limit = out.append, 0, 65536 + 280 + (1 << cache_bits if cache_bits else 0)
+    add, filled, limit, literal = out.append, 0, 65536 + 280 + (1 << cache_bits if cache_bits else 0), 65536 << 6
     last = len(words) - 9
     try:
         while len(out) < total:
             ahead = words[at >> 3] >> (at & 7)
             step = greens[ahead & g_mask]
-            n = step & 15
-            symbol = step >> 4
-            if symbol < 65536:
-                ahead >>= n
+            if step < literal:
+                ahead >>= step & 63
                 red = reds[ahead & r_mask]
-                size = red & 15
-                blue = blues[(ahead >> size) & b_mask]
-                at += n + size + (blue & 15)
+                step += red + blues[(ahead >> (red & 63)) & b_mask]
+                at += step & 63
                 if opaque:
-                    add(base + symbol + (red >> 4) + (blue >> 4))
+                    add(base + (step >> 6))
                 else:
                     alpha = alphas[words[at >> 3] >> (at & 7) & a_mask]
-                    at += alpha & 15
-                    add((alpha >> 4 << 24) + symbol + (red >> 4) + (blue >> 4))
+                    at += alpha & 63
+                    add((alpha >> 6 << 24) + (step >> 6))
                 continue
+            n = step & 63
+            symbol = step >> 6
             at += n
             if symbol >= 65536 + 280:
                 if symbol >= limit:
@@ -206,8 +208,8 @@ def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: in
                 n = ((2 + (symbol & 1)) << more) + (words[at >> 3] >> (at & 7) & ((1 << more) - 1)) + 1
                 at += more
             step = distances[words[at >> 3] >> (at & 7) & d_mask]
-            at += step & 15
-            symbol = step >> 4
+            at += step & 63
+            symbol = step >> 6
             if symbol < 4:
                 far = symbol + 1
             else:
