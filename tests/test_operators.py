@@ -12,7 +12,7 @@ from motifspark.functions import sequences as S
 from motifspark.operators import features, fitting, likelihood, sampling
 from motifspark.sources import readers
 
-START, TARGETS = "attcaaatgatatac", {3: "a", 7: "g", 11: "c"}
+START, TARGETS = "gcatgaccatgtcgata", {3: "t", 7: "g", 11: "c"}
 THETA = {"".join(m): (i % 7) / 7 for i, m in enumerate(itertools.product("acgt", repeat=3))}
 
 
@@ -52,7 +52,7 @@ def test_gradient_and_hessian_match_differences(spark):
     counts = likelihood.risk_counts(orders(spark, [7, 3, 11])).cache()
     slope = {r[0]: r[1] for r in likelihood.gradient(counts, frame(spark, THETA)).collect()}
     second = {(r[0], r[1]): r[2] for r in likelihood.hessian(counts, frame(spark, THETA)).collect()}
-    motif, step = "ata", 1e-4
+    motif, step = "atg", 1e-4
     value = lambda by: naive(START, TARGETS, [7, 3, 11], THETA | {motif: THETA[motif] + by})
     assert slope[motif] == pytest.approx((value(step) - value(-step)) / (2 * step), abs=1e-6)
     assert second[motif, motif] == pytest.approx((value(step) - 2 * value(0) + value(-step)) / step**2, abs=1e-5)
@@ -80,7 +80,7 @@ def test_simulation_mutates_a_share_of_the_sites(spark):
     rows = sampling.simulate_seqs(genes, frame(spark, THETA), share=0.1, copies=2).collect()
     assert len(rows) == 40
     for r in rows:
-        assert len(r["mutations"]) == math.ceil(0.1 * 28) == sum(a != b for a, b in zip(r["gs"], r["es"], strict=True))
+        assert len(r["mutations"]) == math.ceil(0.1 * (2 * len(START) - 2)) == sum(a != b for a, b in zip(r["gs"], r["es"], strict=True))
 
 
 def test_lasso_fit_meets_its_conditions(spark):
@@ -111,12 +111,27 @@ def test_fitch(spark):
     assert (got[0, 1], got[0, 2]) == (0b1, 0b11)
 
 
+def masked_by_hand(a, b, flank):
+    """The first of two texts: unknown wherever either is, inner runs cut to the flank, letter by letter."""
+    both = ["n" if x not in "acgt" or y not in "acgt" else x for x, y in zip(a, b, strict=True)]
+    known = [i for i, x in enumerate(both) if x != "n"]
+    out, run = [], 0
+    for i, x in enumerate(both):
+        run = run + 1 if x == "n" else 0
+        if not known or i < known[0] or i > known[-1] or run <= flank:
+            out.append(x)
+    return "".join(out)
+
+
 def test_masking_and_collapsing_unknown_bases(spark):
-    row = spark.createDataFrame([("tagacgntac...a.....acnntcgggaaaacannn", "nnnatgntgc......c..acnntaggtaacaaannn")], "a string, b string")
-    clean = row.select(S.disambiguate("a").alias("a"), S.disambiguate("b").alias("b"))
-    got = clean.select(S.collapse_unknown(S.mask_both("a", "b"), 2), S.collapse_unknown(S.mask_both("b", "a"), 2)).first()
-    assert got[0] == "nnnacgntacnnacnntcgggaaaacannn"
-    assert got[1] == "nnnatgntgcnnacnntaggtaacaaannn"
+    rng = np.random.default_rng(31)
+    texts = ["".join(rng.choice(list("acgtn-?"), 40, p=[0.16] * 4 + [0.2, 0.08, 0.08])) for _ in range(40)]
+    pairs = list(zip(texts[::2], texts[1::2], strict=True)) + [("n" * 6, "acgtac"), ("acgt", "acgt")]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(pairs)], "i int, a string, b string")
+    clean = frame.select("i", S.disambiguate("a").alias("a"), S.disambiguate("b").alias("b"))
+    for flank in (1, 2, 4):
+        got = {r[0]: (r[1], r[2]) for r in clean.select("i", S.collapse_unknown(S.mask_both("a", "b"), flank), S.collapse_unknown(S.mask_both("b", "a"), flank)).collect()}
+        assert got == {i: (masked_by_hand(a, b, flank), masked_by_hand(b, a, flank)) for i, (a, b) in enumerate(pairs)}
 
 
 def test_motif_numbers(spark):
@@ -125,8 +140,9 @@ def test_motif_numbers(spark):
 
 
 def test_position_labels_may_repeat(spark):
-    found = features.position_features(spark.range(30).select(F.col("id").alias("pos")), [0, 9, 19, 25], ["A", "B", "A"]).collect()
-    assert [r["label"] for r in found] == ["A"] * 9 + ["B"] * 10 + ["A"] * 6 + [None] * 5
+    found = features.position_features(spark.range(30).select(F.col("id").alias("pos")), [3, 7, 8, 21, 26], ["x", "w", "y", "x"]).collect()
+    assert [r["label"] for r in found] == [None] * 3 + ["x"] * 4 + ["w"] + ["y"] * 13 + ["x"] * 5 + [None] * 4
+    assert {r["label"]: r["label_idx"] for r in found} == {None: None, "w": 0, "x": 1, "y": 2}
 
 
 def test_readers(spark, tmp_path):
