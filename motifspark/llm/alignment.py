@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .textops import batches, distinct_counts, stored
+from .textops import FORGET, batches, distinct_counts, stored
 from .tokenizing import _byte_letters
 
 MOST_PAIRS = 1_000_000  # of the broadcast table: some 60 MB in each executor
@@ -48,6 +48,9 @@ def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     return met, at[met]
 
 
+FORGET.append(_LOADED.clear)
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of each of their ids."""
 

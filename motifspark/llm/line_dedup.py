@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 
 from .block_product import exact_links, holds_each, place_bitmap
 from .components import components
-from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, word_table
+from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, tidy, word_table
 
 WIDTH = 5
 SIZE, BANDED = 64, 48  # minima of a line, and those that make bands; two bits of each travel with each band key
 MISSED = 0.002  # chance that all bands miss a pair of the least similarity
 PAIRWISE = 32  # lines of a bucket that are compared all at once; a larger one line by line
 SMALL = 64  # lines of a cluster that shares a task with others
+CHUNK = 1024  # lines of a large cluster that are multiplied at once, with as many others
 MOST_BROADCAST = 300_000  # documents with cuts: some 40 MB
 #: For each try, which bin fills each empty one.
 _BORROWED = np.stack([np.random.default_rng(k).permutation(SIZE) for k in range(64)])
@@ -169,6 +170,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(hash, doc_id, row_id, row_check, place) for each non-empty line."""
 
     def work(stream):
+        tidy()
         for batch in stream:
             for row, place, hashes, _ in _each_line(batch):
                 if len(row):
@@ -210,6 +212,7 @@ def _candidates(docs: DataFrame, shards: int, percent: int) -> DataFrame:
     rows, bands, agree = shape(percent)
 
     def deal(stream):
+        tidy()
         for batch in stream:
             for _, _, hashes, lines in _each_line(batch):
                 node, first = np.unique(hashes, return_index=True)
@@ -225,8 +228,13 @@ def _candidates(docs: DataFrame, shards: int, percent: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         keys, node, sketch = (np.frombuffer(b"".join(table.column(n).to_pylist()), kind) for n, kind in (("keys", np.uint32), ("nodes", np.int64), ("sketches", np.uint64)))
-        order = np.lexsort((node, keys))
-        keys, node, sketch = keys[order], node[order], sketch.reshape(-1, 2)[order]
+        ordered = np.sort(keys)
+        several = ordered[1:][ordered[1:] == ordered[:-1]]
+        at = np.flatnonzero(several[np.minimum(np.searchsorted(several, keys), len(several) - 1)] == keys) if len(several) else np.zeros(0, np.int64)
+        at = at[np.lexsort((node[at], keys[at]))]
+        keys, node, sketch = keys[at], node[at], sketch.reshape(-1, 2)[at]
+        if not len(keys):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])])
         keys, node, sketch = keys[fresh], node[fresh], sketch[fresh]
         begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -242,7 +250,7 @@ def _candidates(docs: DataFrame, shards: int, percent: int) -> DataFrame:
         edges = np.concatenate(found)
         return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
 
-    dealt = _rows(docs).mapInArrow(deal, "shard int, keys binary, nodes binary, sketches binary")
+    dealt = docs.select("text").mapInArrow(deal, "shard int, keys binary, nodes binary, sketches binary")
     return dealt.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -284,6 +292,12 @@ def small_links(cluster: np.ndarray, node: np.ndarray, lines: list[bytes], perce
     size = np.diff(first)
 
     def linked(pairs: np.ndarray) -> np.ndarray:
+        n = size[pairs]
+        out = 100 * n.min(axis=1, initial=1 << 40) >= percent * n.max(axis=1, initial=0)  # sizes alone tell the others apart
+        out[out] = near(pairs[out])
+        return out
+
+    def near(pairs: np.ndarray) -> np.ndarray:
         both = overlaps(sets, first, pairs)
         return 100 * both >= percent * (size[pairs].sum(axis=1) - both)
 
@@ -291,8 +305,8 @@ def small_links(cluster: np.ndarray, node: np.ndarray, lines: list[bytes], perce
     hub = np.repeat(begin, np.diff(np.append(begin, len(cluster))))
     others = np.flatnonzero(np.arange(len(cluster)) != hub)
     pairs = np.stack([line[hub[others]], line[others]], axis=1)
-    near = linked(pairs)
-    found, rest = [pairs[near]], others[~near]
+    close = linked(pairs)
+    found, rest = [pairs[close]], others[~close]
     end = np.append(begin[1:], len(cluster))[np.searchsorted(begin, rest, "right") - 1]
     count = end - hub[rest] - 1  # all members but the first
     a = np.repeat(rest, count)
@@ -319,7 +333,7 @@ def _verified(clusters: DataFrame, found: DataFrame, percent: int, chunk: int) -
     return of_small.unionByName(exact_links(sized.filter(F.col("size") > SMALL).select("node", "component"), found, percent, chunk, line_sets))
 
 
-def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> DataFrame:
+def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, row_id, row_check, place): the lines that repeat another one and are not its component's first.
 
     Lines are compared with A-Z lower-cased and the white space at their ends
@@ -329,10 +343,13 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> Da
     Components are kept by their first line in the order of doc_id (nulls
     first), row_id, row_check and place.
     """
+    return _duplicates(docs, stored(_lines(docs), "lines"), percent, chunk)
+
+
+def _duplicates(docs: DataFrame, lines: DataFrame, percent: int, chunk: int) -> DataFrame:
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     first = F.struct("doc_id", "row_id", "row_check", "place")
-    lines = stored(_lines(docs), "lines")
     edges = stored(_candidates(docs, shards, percent), "candidates")
     clusters = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     classes = lines.groupBy("hash").agg(F.min(first).alias("first"), F.count("*").alias("n"))
@@ -340,6 +357,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, chunk: int = 1024) -> Da
     wanted = spark.sparkContext.broadcast(place_bitmap(owners, "hash", "row_id"))
 
     def verified(stream):
+        tidy()
         for batch in stream:
             ids = batch.column("row_id").to_numpy()
             for row, _, hashes, texts in _each_line(batch):
@@ -365,13 +383,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     and text; null texts and texts without lines stay as they are, each row
     of them, as does a text that loses nothing.  See duplicate_lines().
     """
-    cut = stored(duplicate_lines(docs, percent).groupBy("row_id", "row_check").agg(F.collect_set("place").alias("places_cut")), "cuts")
+    lines = stored(_lines(docs), "lines")
+    cut = stored(_duplicates(docs, lines, percent, CHUNK).groupBy("row_id", "row_check").agg(F.collect_set("place").alias("places_cut")), "cuts")
     names = docs.columns
     row_id, check, places, again = (free_name(n, names) for n in ("row_id", "row_check", "places_cut", "repeats"))
     key = [row_id, check]
     keyed = docs.withColumns(dict(zip(key, _names(F.col("doc_id").cast("long")), strict=True)))
     with_lines = F.col("text").rlike(r"[^ \t\x0B\x0C\r\n]")
-    repeats = stored(keyed.filter(with_lines).groupBy(*key).count().filter("count > 1").select(*key), "repeats")
+    # a row's line comes up once at each place, but for repeated rows
+    repeats = stored(lines.groupBy("row_id", "row_check", "place").count().filter("count > 1").select("row_id", "row_check").distinct().toDF(*key), "repeats")
     few = cut.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     cut = cut.toDF(*key, places)
     if repeats.isEmpty():
@@ -385,6 +405,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     at, schema = names.index("text"), docs.schema
 
     def work(stream):
+        tidy()
         for batch in stream:
             texts, cuts = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             keep = np.ones(len(texts), bool)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import NOT_SPACE, batches, crc_column, distinct_counts, stored, word_table
+from .textops import NOT_SPACE, batches, crc_column, distinct_counts, stored, tidy, word_table
 
 #: Character classes: each byte has one; shares of them are statistics.
 CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", "\n", ".", ",;:", "!", "?", "|", "%", "&", "$", "#", "*", "<>{}[]()=/\\", "@_~^+-", "'\"`")
@@ -105,6 +105,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).join(F.broadcast(sample), "doc_id")
 
     def measure(stream):
+        tidy()
         for batch in stream:
             x = statistics(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "x": pa.array([v.tobytes() for v in x], pa.binary()), "label": batch.column("label"), "fold": batch.column("fold")})
@@ -162,10 +163,12 @@ def score_quality(docs: DataFrame, model: QualityModel | None, modulus: int = 3,
     score = lambda texts: np.full(len(texts), 0.5) if shared.value is None else shared.value.score(statistics(texts))
 
     def work(stream):
+        tidy()
         for batch in stream:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score(batch.column("text").to_pylist()), pa.float64())})
 
     def kept(stream):
+        tidy()
         for batch in stream:
             yield batch.filter(pa.array(score(batch.column("text").to_pylist()) >= 0.5))
 

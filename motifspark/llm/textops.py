@@ -8,11 +8,13 @@ each character.  Every helper takes nulls as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ _ODD = 0x9E3779B97F4A7C15  # the multiplier of the rolling hash
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _BYTE_CODES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library: it keeps what it keeps
+    _LIBC = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,6 +52,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+#: What clears each thing that workers remember from task to task.
+FORGET: list = []
+
+
+def tidy() -> None:
+    """Gives back what earlier tasks of this worker have left: what is remembered for other operators, and freed memory that allocators hold."""
+    for forget in FORGET:
+        forget()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def lower_bytes(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z lower-cased; null is empty."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass").translate(_LOWER)

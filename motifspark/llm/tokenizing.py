@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textops import FORGET
+
 #: Letters that the normaliser leaves alone or lower-cases one to one, with ASCII punctuation on both sides.
 _PLAIN = re.compile(r"([!-&(-/:;=-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=-@\[-`{-~]*)")
 MOST_PIECES = 200_000  # some 30 MB a worker
@@ -88,6 +90,9 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
+FORGET.append(_LOADED.clear)
+
+
 def spliced_count(text: str, boundaries, chunk: int, overlap: int) -> tuple[int, int]:
     """(tokens, widenings) of a huge text from overlapping chunks.
 
