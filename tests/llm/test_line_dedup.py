@@ -172,7 +172,7 @@ def test_cuts_by_shuffle_and_large_groups_in_chunks(monkeypatch, spark):
     assert sorted([(r.doc_id, r.text) for r in D.dedup_lines(frame).collect()], key=str) == want
     monkeypatch.setattr(D, "MOST_BROADCAST", 0)
     monkeypatch.setattr(D, "SMALL", 3)
-    monkeypatch.setattr(D.duplicate_lines, "__defaults__", (80, 8))
+    monkeypatch.setattr(D, "CHUNK", 8)
     assert sorted([(r.doc_id, r.text) for r in D.dedup_lines(frame).collect()], key=str) == want
 
 
