@@ -32,13 +32,22 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; the others stay as they are, repeated rows each by itself.
+
+    Null and empty texts are scored as the empty text; a score of exactly 1/2
+    stays.  Without a label for any document all stay.
+    """
     _small_batches(spark)
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line stays of each component of lines of similarity 0.8; n_chars follows the text."""
+    """One line stays of each component of lines of similarity 0.8; n_chars follows the text.
+
+    A document of which no line stays goes, as do all but one of rows that
+    agree in id and text.  Null texts and texts without lines stay, each row
+    of them.  Of equal lines the first one stays, by id (nulls first) and place.
+    """
     _small_batches(spark)
     return _counted(dedup_lines(docs, percent=80), docs)
 
@@ -62,13 +71,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are largely benchmark go."""
+    """Benchmark passages are cut out; documents of which they are more than a fifth of the words go.
+
+    Null and wordless texts and texts without a passage stay as they are,
+    repeated rows each by itself; with no benchmark all stay.
+    """
     _small_batches(spark)
     return _counted(decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their places in sequences of 2048 tokens."""
+    """The pieces of all documents, with their places in sequences of 2048 tokens.
+
+    A null or empty text is one piece of one token, the end; repeated rows are
+    packed each by itself.
+    """
     _small_batches(spark)
     return pack(docs, tokenizer_path(), capacity=2048)
 
@@ -84,12 +101,17 @@ STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    """All stages over the documents table; the session's rows a batch are as they were when it ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for stage_name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{stage_name}")
+    finally:
+        spark.conf.set(name, before)
     return docs
 
 
-#: The classifier, MinHash and the tokenizer are beyond SQL. Of the stages only near_duplicates has a test of its own; the others and the chain have none, only some of their operators.
+#: The classifier, MinHash and the tokenizer are beyond SQL; tests/llm/test_pipeline.py follows each stage and the chain by brute force.
 ORACLE_SQL = None
