@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import WORD_BYTES, batches, free_name, lower_bytes, mix, word_table
+from .textops import WORD_BYTES, batches, free_name, lower_bytes, mix, stored, tidy, word_table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 HITS = "row_id long, doc_id long, n_words long, starts binary, ends binary, items array<long>"
@@ -175,8 +175,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     out = docs
     for k in range(blocks):
         items = [(r[0], lower_bytes(r[1])) for r in tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toLocalIterator()]
-        out = _marked(out, spark.sparkContext.broadcast(WindowSet(items, window)), spans)
-    return _cut(out, spans, most_share)
+        mark, schema = _marking(out.schema, spark.sparkContext.broadcast(WindowSet(items, window)), spans)
+        if k < blocks - 1:
+            # written, so that a task holds one block of the benchmark
+            out = stored(out.mapInArrow(mark, schema), "marked")
+    cut, last = _cutting(schema, spans, most_share)
+    return out.mapInArrow(lambda stream: cut(mark(stream)), last)
 
 
 def _words(texts: list):
@@ -186,12 +190,15 @@ def _words(texts: list):
     return raw, hashes, owner, start, end, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _marked(docs: DataFrame, windows, spans: str) -> DataFrame:
-    """docs with a block's hits, pairs of int32 word positions, behind those in the column `spans`, which is made if missing."""
-    at, held = docs.columns.index("text"), docs.columns.index(spans) if spans in docs.columns else None
-    schema = docs.schema if held is not None else T.StructType([*docs.schema, T.StructField(spans, T.BinaryType())])
+def _marking(schema: T.StructType, windows, spans: str):
+    """(a function of batches, its schema): adds a block's hits, pairs of int32 word positions, behind those in the column `spans`, which is made if missing."""
+    names = schema.names
+    at, held = names.index("text"), names.index(spans) if spans in names else None
+    kept = [x for x in schema if x.name != spans]
+    made = T.StructType([*kept, T.StructField(spans, T.BinaryType())])
 
     def work(stream):
+        tidy()
         block = windows.value
         for batch in stream:
             texts = batch.column(at).to_pylist()
@@ -205,14 +212,14 @@ def _marked(docs: DataFrame, windows, spans: str) -> DataFrame:
                 for k, places in own.items():
                     found[a + k] += np.array(places, np.int32).tobytes()
             columns = batch.columns if held is None else [*batch.columns[:held], *batch.columns[held + 1 :]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names=made.names)
 
-    return docs.mapInArrow(work, schema)
+    return work, made
 
 
-def _cut(docs: DataFrame, spans: str, most_share: float) -> DataFrame:
-    """docs without the words that `spans` cover and without that column, its last one."""
-    at, schema = docs.columns.index("text"), T.StructType(docs.schema[:-1])
+def _cutting(schema: T.StructType, spans: str, most_share: float):
+    """(a function of batches, its schema): leaves out the words that `spans` cover and that column, its last one."""
+    at, made = schema.names.index("text"), T.StructType(schema.fields[:-1])
 
     def work(stream):
         for batch in stream:
@@ -239,6 +246,6 @@ def _cut(docs: DataFrame, spans: str, most_share: float) -> DataFrame:
                     texts[k] = (out + data[done:]).decode("utf-8", "surrogatepass")
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, pa.string()).cast(batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=made.names).filter(pa.array(keep))
 
-    return docs.mapInArrow(work, schema)
+    return work, made

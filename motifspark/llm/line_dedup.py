@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .block_product import exact_links, holds_each, place_bitmap
 from .components import components
-from .textops import batches, byte_class, free_name, lower_bytes, mix, stored, tidy, word_table
+from .textops import batches, byte_class, distinct, free_name, lower_bytes, mix, stored, tidy, word_table
 
 WIDTH = 5
 SIZE, BANDED = 64, 48  # minima of a line, and those that make bands; two bits of each travel with each band key
@@ -286,7 +286,7 @@ def small_links(cluster: np.ndarray, node: np.ndarray, lines: list[bytes], perce
     own[line] = order
     runs, owner = _runs([lines[k] for k in own])
     dense = np.unique(runs, return_inverse=True)[1].astype(np.uint64)
-    sets = np.unique(owner.astype(np.uint64) << np.uint64(32) | dense)
+    sets = distinct(owner.astype(np.uint64) << np.uint64(32) | dense)
     first = np.searchsorted(sets >> np.uint64(32), np.arange(len(known) + 1, dtype=np.uint64))
     sets &= np.uint64((1 << 32) - 1)
     size = np.diff(first)

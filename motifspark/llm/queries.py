@@ -19,7 +19,7 @@ from .packing import pack
 from .quality import fit_quality, score_quality
 from .quality_rules import CAPITALS, MARKS, MEASURES, PRECISION, SPREAD, SYMBOLS, quality_report
 from .tokenizing import token_counts
-from .url_filters import judge_urls
+from .url_filters import PATTERNS, judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -188,6 +188,6 @@ ORACLES: dict[str, str] = {
             SELECT page_id, url, host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
             FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
             GROUP BY ALL)
-        SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(lower(url), '[?&]utm_[a-z]+=|[?&]ref=|://blog\\.|/login\\b|/cart\\b|/ads\\b') THEN 'block' ELSE 'allow' END) AS verdict
+        SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(lower(url), '{"|".join(PATTERNS)}') THEN 'block' ELSE 'allow' END) AS verdict
         FROM best""",
 }
