@@ -63,7 +63,7 @@ def test_banding_finds_similar_lines_and_few_others():
 
 def brute(rows):
     """The texts that stay: one line of each component, by document and place; of repeated rows one."""
-    own = sorted({(d, t) for d, t in rows if t and t.strip()})
+    own = sorted({(d, t) for d, t in rows if t and t.strip()}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     lines = [(d, k, x) for d, t in own for k, x in enumerate(t.split("\n")) if x.strip()]
     least = list(range(len(lines)))
     links = [(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if alike(lower(lines[i][2]), lower(lines[j][2]))]

@@ -42,14 +42,18 @@ def words_of(text):
 def inputs(spark, sf, tmp_path_factory):
     """The small tables, with rows of null and repeated ids, null, empty and wordless texts, benchmark passages, copies and extra columns."""
     folder = tmp_path_factory.mktemp("tables")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 70")  # all pairs of their lines are compared by hand
-    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    more = f"{sf}/../sf0.01"
+    labels = spark.read.parquet(f"{more}/labels.parquet")
+    # few, as all pairs of their lines are compared by hand
+    chosen = labels.filter("quality = 0").orderBy("doc_id").limit(25).unionByName(labels.filter("quality = 1").orderBy("doc_id").limit(45))
+    docs = spark.read.parquet(f"{more}/documents.parquet").join(chosen.select("doc_id"), "doc_id", "left_semi")
+    items = [r.text for r in spark.read.parquet(f"{more}/benchmark.parquet").collect()]
     some = docs.filter("length(text) > 900").limit(3).collect()
-    more = [(None, some[0].text), (900001, None), (900002, ""), (900003, " \n\t "), (900004, some[1].text + "\n" + items[0]), (900005, items[1]), (900006, some[2].text), (900006, some[2].text)]
-    extra = spark.createDataFrame([(d, t, "en", "more", len(t or "")) for d, t in more], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = [(None, some[0].text), (900001, None), (900002, ""), (900003, " \n\t "), (900004, some[1].text + "\n" + items[0]), (900005, items[1]), (900006, some[2].text), (900006, some[2].text)]
+    extra = spark.createDataFrame([(d, t, "en", "more", len(t or "")) for d, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
     docs.unionByName(extra).withColumns({"score": F.lit(1), "places_cut": F.lit("x"), "row_key": F.lit(2), "window_spans": F.lit(3)}).write.parquet(f"{folder}/documents.parquet")
     for name in ("labels", "benchmark"):
-        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+        spark.read.parquet(f"{more}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
     return str(folder), items
 
 
