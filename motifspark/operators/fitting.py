@@ -131,19 +131,24 @@ def intervals(motifs: list[str], theta: np.ndarray, inverse: np.ndarray, z: floa
     return [(m, float(t - z * s), float(t), float(t + z * s)) for m, t, s in zip(motifs, theta, se, strict=True)]
 
 
-def fit_logistic(labelled: DataFrame, penalty: float, rounds: int = 2000) -> dict[str, float]:
-    """theta by motif of P(mutated) = 1 / (1 + exp(-theta)), with a lasso; from the counts of (motif, mutated)."""
-    counts = labelled.groupBy("motif").agg(F.count_if("mutated").alias("hits"), F.count("*").alias("n"))
-    rows = counts.collect()  # 4**k rows
-    if not rows:
-        return {}
-    hits, n = (np.array([r[k] for r in rows], float) for k in (1, 2))
-    theta, total = np.zeros(len(rows)), n.sum()
-    step = 4 * total / n.max()
-    for _ in range(rounds):
-        slope = (n / (1 + np.exp(-theta)) - hits) / total
-        theta = soft(theta - step * slope, step * penalty)
-    return {r[0]: float(t) for r, t in zip(rows, theta, strict=True)}
+def logistic_theta(labelled: DataFrame, penalty: float) -> DataFrame:
+    """(motif, theta) of P(mutated) = 1 / (1 + exp(-theta)) with a lasso, by its closed form; labelled: (motif, mutated).
+
+    A motif's own counts decide: the penalty takes its share of the sites from
+    the mutated or the other ones, and theta is 0 where it takes the majority.
+    Without a penalty a motif that always or never mutates has an infinite theta.
+    """
+    counts = labelled.groupBy("motif").agg(F.count_if("mutated").cast("double").alias("hits"), F.count("*").cast("double").alias("n"))
+    taken = F.lit((labelled.count() or 0) * penalty)
+    up, down = F.col("hits") - taken, F.col("n") - F.col("hits") - taken
+    theta = F.when(up > F.col("n") / 2, F.ln(up) - F.ln(F.col("n") - up)).when(down > F.col("n") / 2, F.ln(F.col("n") - down) - F.ln(down)).otherwise(0.0)
+    exact = F.when(up >= F.col("n"), float("inf")).when(down >= F.col("n"), float("-inf")).otherwise(theta)
+    return counts.select("motif", exact.alias("theta"))
+
+
+def fit_logistic(labelled: DataFrame, penalty: float) -> dict[str, float]:
+    """The same as a dict; 4**k rows."""
+    return {r[0]: r[1] for r in logistic_theta(labelled, penalty).collect()}
 
 
 def fitch(tree: DataFrame, leaves: DataFrame, rounds: int) -> DataFrame:

@@ -154,6 +154,13 @@ def nonzero_lines(theta: DataFrame, label: str, value: str, zero: float = 1e-6)
     return known.select(F.row_number().over(Window.orderBy("v", label)).alias("place"), line.alias("line"))
 
 
+def interval_lines(theta: DataFrame, label: str, lower: str, value: str, upper: str) -> DataFrame:
+    """(place, line): coefficients with their intervals as text, from the least to the greatest; unknown and infinite ones are left out. Theta has 5 * 4**k rows at most."""
+    known = theta.select(label, lower, upper, finite_or_null(value).alias("v")).filter("v IS NOT NULL")
+    line = F.format_string("%.3f, [%.3f, %.3f] (%s)", "v", lower, upper, label)
+    return known.select(F.row_number().over(Window.orderBy("v", label)).alias("place"), line.alias("line"))
+
+
 def padded_motif(motif: Column | str, left: int, most_left: int, most_right: int) -> Column:
     """A motif in capitals, filled with N to the width of the longest motifs on both sides of the mutating base."""
     motif = F.col(motif) if isinstance(motif, str) else motif
@@ -173,15 +180,27 @@ def graph_nodes(tree: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("below").alias("n_children"), (F.max("above") == 0).alias("is_root"))
 
 
-def group_folds(frame: DataFrame, by: str, folds: int) -> DataFrame:
-    """(by, fold): whole groups, the largest first, each into the fold that is smallest so far; the groups' sizes are a few numbers on the driver."""
-    sizes = sorted(((-r[1], r[0]) for r in frame.groupBy(by).agg(F.count("*")).collect()), key=lambda x: (x[0], str(x[1])))
+def group_folds(frame: DataFrame, by: str, folds: int, most: int = 100_000) -> DataFrame:
+    """(by, fold): whole groups, the largest first, each into the fold that is smallest so far; ties by the group's name as text.
+
+    The largest `most` groups are balanced by the driver, a few megabytes of
+    sizes; groups beyond them, none larger than these, are dealt by a digest,
+    which at such a number evens out by itself.
+    """
+    sizes = frame.groupBy(by).agg(F.count("*").alias("size"))
+    order = (F.desc("size"), F.col(by).cast("string").asc_nulls_first())
+    large = sizes.orderBy(*order).limit(most).collect()
     held, rows = [0] * folds, []
-    for less, name in sizes:
+    for name, size in sorted(large, key=lambda r: (-r[1], r[0] is not None, str(r[0]))):
         fold = held.index(min(held))
-        held[fold] -= less
+        held[fold] += size
         rows.append((name, fold))
-    return frame.sparkSession.createDataFrame(rows, f"{by} {frame.schema[by].dataType.simpleString()}, fold int")
+    found = frame.sparkSession.createDataFrame(rows, f"{by} {frame.schema[by].dataType.simpleString()}, fold int")
+    if len(rows) < most:
+        return found
+    named = found.select(F.col(by).alias("_done"))
+    rest = sizes.join(named, sizes[by].eqNullSafe(named["_done"]), "left_anti")
+    return found.unionByName(rest.select(by, F.pmod(F.xxhash64(by), F.lit(folds)).cast("int").alias("fold")))
 
 
 def category_split(frame: DataFrame, by: str, share: float, seed: str = "c") -> tuple[DataFrame, DataFrame]:

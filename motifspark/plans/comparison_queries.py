@@ -260,6 +260,19 @@ def e8_groups(spark, d):
     return tables.group_folds(seqs(spark, d).select("sk", "family"), "family", 5).groupBy("fold").agg(F.count("*").alias("n_families"))
 
 
+@register("E8_balanced_folds", """
+    WITH RECURSIVE sizes AS (SELECT c_nationkey AS nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey::VARCHAR) AS i FROM customer GROUP BY 1),
+    dealt AS (
+        SELECT 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS held, 0::BIGINT AS place, NULL::INT AS nation
+        UNION ALL
+        SELECT i, list_transform(range(1, 5), lambda k: held[k] + CASE WHEN k = place THEN n ELSE 0 END), place, nation
+        FROM (SELECT s.i, s.n, s.nation, d.held, list_position(d.held, list_min(d.held))::BIGINT AS place FROM dealt d JOIN sizes s ON s.i = d.i + 1))
+    SELECT nation, (place - 1)::INT AS fold FROM dealt WHERE i > 0""")
+def e8_balanced(spark, d):
+    """25 nations of unequal sizes in four folds."""
+    return tables.group_folds(table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), "nation", 4)
+
+
 @register("E7_category_split", "SELECT c_custkey AS gk, CASE WHEN c_mktsegment IN (SELECT c_mktsegment FROM (SELECT DISTINCT c_mktsegment FROM customer) ORDER BY md5('c' || c_mktsegment) LIMIT (SELECT floor(0.2 * count(DISTINCT c_mktsegment))::INT + 1 FROM customer)) THEN 'validation' ELSE 'train' END AS part FROM customer")
 def e7_categories(spark, d):
     train, held = tables.category_split(genes(spark, d).select("gk", "family"), "family", 0.2)

@@ -89,6 +89,16 @@ def s1(spark, d):
     return tables.nonzero_lines(counted(spark, d), "motif", "theta")
 
 
+_SE = "sqrt(hits::DOUBLE * (n - hits) / n) / n"
+
+
+@register("IO16_interval_lines", _sql(f"SELECT row_number() OVER (ORDER BY x, motif)::INT AS place, printf('%.3f, [%.3f, %.3f] (%s)', x, x - 1.96 * {_SE}, x + 1.96 * {_SE}, motif) AS line FROM counted"))
+def io16(spark, d):
+    """Coefficients with the intervals of their shares."""
+    se = F.sqrt(F.col("hits").cast("double") * (F.col("n") - F.col("hits")) / F.col("n")) / F.col("n")
+    return tables.interval_lines(statistics.with_interval(counted(spark, d).withColumn("se", se), "theta", "se"), "motif", "lower", "theta", "upper")
+
+
 @register("M11_aggregate_variance", _sql("""SELECT full_motif, round(sum(CASE WHEN a.i = b.i THEN a.h / 100.0 ELSE ((a.h * b.h) % 11) / 20.0 END)::DOUBLE, 6) AS variance
     FROM (SELECT motif AS full_motif, idx AS i, hits AS h FROM counted UNION ALL SELECT motif, 64 + instr('acgt', base) - 1, b.hits FROM counted JOIN bases b ON base = motif[2]) a
     JOIN (SELECT motif AS full_motif, idx AS i, hits AS h FROM counted UNION ALL SELECT motif, 64 + instr('acgt', base) - 1, b.hits FROM counted JOIN bases b ON base = motif[2]) b USING (full_motif) GROUP BY 1"""))

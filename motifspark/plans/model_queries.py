@@ -166,10 +166,10 @@ def e9(spark, d):
     return counts.groupBy("motif").agg(F.sum("n").alias("n"), rounded(F.sum(F.col("n") * one), 4).alias("score"))
 
 
-@register("E9_logistic_fit")
+@register("E9_logistic_fit", derived("sites", ", m AS (SELECT mu, lag(sc) OVER w || sc || lead(sc) OVER w AS motif FROM sites WINDOW w AS (PARTITION BY sk ORDER BY pos)), c AS (SELECT motif, count_if(mu)::DOUBLE AS h, count(*)::DOUBLE AS n, (SELECT count(*) FROM m WHERE motif IS NOT NULL) * 0.0001::DOUBLE AS t FROM m WHERE motif IS NOT NULL GROUP BY motif) SELECT motif, round(CASE WHEN h - t > n / 2 THEN ln(h - t) - ln(n - h + t) WHEN n - h - t > n / 2 THEN ln(h + t) - ln(n - h - t) ELSE 0 END, 6) + 0.0 AS theta FROM c").replace("\n,", ","))
 def e9_fit(spark, d):
     found = features.sites(seqs(spark, d), 3, 1).withColumn("mutated", F.substring("gs", F.col("pos"), F.lit(1)) != F.substring("es", F.col("pos"), F.lit(1)))
-    return spark.createDataFrame(sorted(fitting.fit_logistic(found, 1e-4).items()), "motif string, theta double")
+    return fitting.logistic_theta(found, 1e-4).withColumn("theta", rounded("theta"))
 
 
 @register("G1_gibbs_orders")

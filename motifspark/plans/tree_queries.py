@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from motifspark.functions.sequences import rounded
 from motifspark.operators import trees
 from motifspark.operators.generators import FeatureSet, MotifFeatures
+from motifspark.sources import datasets
 from motifspark.sources.derived import genes, seqs
 
 from .comparison_queries import _HEX, _PAIR32, _pair32
@@ -61,3 +62,22 @@ def t3(spark, d):
     """The likelihood of each gene's tree with its imputed ancestors, under 3-mer coefficients."""
     edges, sequences = _families(spark, d)
     return trees.tree_likelihoods(edges, trees.impute_ancestors(edges, sequences), FeatureSet([MotifFeatures(3, 1)]), (np.arange(64) % 7 / 7.0)[:, None], samples=50)
+
+
+def _members(spark, d):
+    rows = seqs(spark, d)
+    return rows.select(F.col("gk").cast("string").alias("germline_name"), F.col("gs").alias("germline_sequence"), F.col("sk").cast("string").alias("sequence_name"), F.col("es").alias("sequence"))
+
+
+_MEMBERS = "SELECT gk::VARCHAR AS germline_name, gs AS germline_sequence, sk::VARCHAR AS sequence_name, es AS sequence FROM (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY gk ORDER BY {}md5('0-' || sk::VARCHAR)) = 1) WHERE gs <> es"
+
+
+@register("D1_random_member", derived("ends", _MEMBERS.format("")))
+def d1_random(spark, d):
+    """One sequence of each family by chance; families whose pick has no mutation go."""
+    return datasets.one_for_each_family(_members(spark, d), False)
+
+
+@register("D1_most_mutated_member", derived("ends", _MEMBERS.format("hamming(gs, es) DESC, ")))
+def d1_most(spark, d):
+    return datasets.one_for_each_family(_members(spark, d), True)

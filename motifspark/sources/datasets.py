@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from motifspark.functions.sequences import disambiguate, hamming, known_length
 from motifspark.operators.fitting import kept, split
 from motifspark.operators.tables import category_split
-from motifspark.operators.trees import edge_pairs, impute_ancestors
+from motifspark.operators.trees import edge_pairs, impute_ancestors, observed_pairs
 
 from .readers import read_gene_seq
 
@@ -112,6 +112,13 @@ def one_for_each_family(full: DataFrame, most_mutated: bool, seed: int = 0) -> D
     return best.select("x.row.*").filter("sequence <> germline_sequence")
 
 
+def read_observed(spark: SparkSession, genes: str, seqs: str, left: int, right: int, most_unknown: float = 1.0) -> DataFrame:
+    """Files of genes and sequences as pairs for the likelihood: joined, cleaned alike, trimmed to flanks, mutations extracted; see observed_pairs(). Metadata stays; pairs without a mutation go."""
+    pairs = read_gene_seq(spark, genes, seqs)
+    found = observed_pairs(pairs, left, right, "sequence_name", "germline_sequence", "sequence", most_unknown)
+    return found.filter(F.size("mutations") > 0)
+
+
 def imputed_pairs(full: DataFrame, edges: DataFrame) -> DataFrame:
     """The pairs along the edges of families' trees, with imputed ancestors, as rows of (germline_name, germline_sequence, sequence_name, sequence).
 

@@ -105,6 +105,14 @@ def test_imputed_pairs(spark):
     assert got == {("g", "m"): ("acgtacgt", "acgaacgt"), ("m", "b"): ("acgaacgt", "acgaacgg")}
 
 
+def test_files_become_observed_pairs(spark, tmp_path):
+    """Unknown ends go, the flanks are conserved, metadata stays, unmutated sequences go."""
+    (tmp_path / "g.csv").write_text("germline_name,germline_sequence\ng1,NNACGTACGTACGTNN\n")
+    (tmp_path / "s.csv").write_text("germline_name,sequence_name,sequence,species\ng1,a,TTACGTAAGTACGTTT,mouse\ng1,b,NNACGTACGTACGTNN,man\ng1,c,ACGT,man\n")
+    rows = datasets.read_observed(spark, str(tmp_path / "g.csv"), str(tmp_path / "s.csv"), 2, 2).collect()
+    assert [(r["sequence_name"], r["species"], r["gs"], r["es"], [tuple(m) for m in r["mutations"]]) for r in rows] == [("a", "mouse", "acgtacgtacgt", "acgtaagtacgt", [(6, "a")])]
+
+
 def test_sinks_can_run_again(spark, tmp_path):
     full = spark.createDataFrame(families(), FULL)
     genes, seqs = full.select("germline_name", "germline_sequence").distinct(), full.drop("germline_sequence")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motifspark.operators import logistic, models, proximal, sampling, statistics
+from motifspark.operators import fitting, logistic, models, proximal, sampling, statistics, tables
 from motifspark.operators.generators import FeatureSet, MotifFeatures, PositionFeatures
 
 ROW = "sk long, gs string, mutations array<struct<pos:int,target:string>>"
@@ -161,3 +161,36 @@ def test_lags_in_blocks(spark, block, lags):
             want[k, lag] = float((c[:-lag] * c[lag:]).sum() / (c * c).sum()) if (c * c).sum() > 0 else None
     assert {(r["k"], r["lag"]) for r in got} == set(want)
     assert all((r["correlation"] is None) == (want[r["k"], r["lag"]] is None) and (r["correlation"] is None or abs(r["correlation"] - want[r["k"], r["lag"]]) < 1e-9) for r in got)
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.01, 0.2])
+def test_closed_form_of_single_motifs(spark, penalty):
+    """Against a fine grid of each motif's own objective."""
+    counts = {"a": (3, 40), "b": (20, 40), "c": (39, 40), "d": (1, 2), "e": (7, 10)}
+    rows = [(m, i < hits) for m, (hits, n) in counts.items() for i in range(n)]
+    got = fitting.fit_logistic(spark.createDataFrame(rows, "motif string, mutated boolean"), penalty)
+    grid = np.linspace(-6, 6, 120_001)
+    for m, (hits, n) in counts.items():
+        value = (n * np.logaddexp(0, grid) - hits * grid) / len(rows) + penalty * np.abs(grid)
+        assert abs(got[m] - grid[value.argmin()]) < 2e-4
+    always = fitting.fit_logistic(spark.createDataFrame([("x", True), ("y", False)], "motif string, mutated boolean"), 0.0)
+    assert always == {"x": np.inf, "y": -np.inf}
+
+
+def test_groups_are_balanced_over_folds(spark):
+    sizes = {"a": 9, "b": 7, "c": 7, "d": 4, "e": 3, "f": 3, "g": 2, "h": 1, None: 5}
+    frame = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string").repartition(3)
+    got = {r["g"]: r["fold"] for r in tables.group_folds(frame, "g", 3).collect()}
+    held, want = [0, 0, 0], {}
+    for g, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0] is not None, str(x[0]))):
+        want[g] = held.index(min(held))
+        held[want[g]] += n
+    assert got == want and max(held) - min(held) <= 2
+    some = {r["g"]: r["fold"] for r in tables.group_folds(frame, "g", 3, most=4).collect()}
+    assert set(some) == set(sizes) and all(some[g] == want[g] for g in "abc") and set(some.values()) <= {0, 1, 2}
+
+
+def test_lines_of_intervals(spark):
+    rows = [("aa", 0.1, 0.25, 0.4), ("ac", -2.0, -1.0, 0.0), ("ag", None, None, None), ("at", -1.0, float("-inf"), 1.0)]
+    got = tables.interval_lines(spark.createDataFrame(rows, "m string, lo double, v double, hi double"), "m", "lo", "v", "hi").orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(1, "-1.000, [-2.000, 0.000] (ac)"), (2, "0.250, [0.100, 0.400] (aa)")]
