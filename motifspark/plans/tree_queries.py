@@ -41,17 +41,20 @@ def _families(spark, d):
     return edges, roots.unionByName(rows.select("tree", F.col("leaf").alias("node"), F.col("es").alias("sequence")))
 
 
-@register("T2_imputed_ancestors", derived("sites", """,
+_IMPUTED = """,
     counts AS (SELECT gk, sk % 3 + 1 AS node, pos, max(sc) AS root, count_if(ec = 'a') AS na, count_if(ec = 'c') AS nc, count_if(ec = 'g') AS ng, count_if(ec = 't') AS nt FROM sites GROUP BY ALL),
     sets AS (SELECT *, list_filter([CASE WHEN na = m THEN 'a' END, CASE WHEN nc = m THEN 'c' END, CASE WHEN ng = m THEN 'g' END, CASE WHEN nt = m THEN 't' END], lambda x: x IS NOT NULL) AS bases FROM (SELECT *, greatest(na, nc, ng, nt) AS m FROM counts)),
-    picked AS (SELECT gk, node, pos, CASE WHEN list_contains(bases, root) THEN root ELSE bases[1 + ('0x' || substr(md5(gk || '-' || node || '-' || pos), 1, 6))::BIGINT % len(bases)] END AS base FROM sets)
-    SELECT gk AS tree, node::BIGINT AS node, string_agg(base, '' ORDER BY pos) AS sequence FROM picked GROUP BY gk, node""").replace("\n,", ","))
+    picked AS (SELECT *, CASE WHEN list_contains(bases, root) THEN root ELSE bases[1 + ('0x' || substr(md5(gk || '-' || node || '-' || pos), 1, 6))::BIGINT % len(bases)] END AS base FROM sets)
+    """
+
+
+@register("T2_imputed_ancestors", derived("sites", _IMPUTED + "SELECT gk AS tree, node::BIGINT AS node, string_agg(base, '' ORDER BY pos) AS sequence FROM picked GROUP BY gk, node").replace("\n,", ","))
 def t2(spark, d):
     edges, sequences = _families(spark, d)
     return trees.impute_ancestors(edges, sequences).filter("node BETWEEN 1 AND 3")
 
 
-@register("T2_mutations_needed")
+@register("T2_mutations_needed", derived("sites", _IMPUTED + "SELECT gk AS tree, sum((base <> root)::INT + na + nc + ng + nt - m)::BIGINT AS n_mutations FROM picked GROUP BY gk").replace("\n,", ","))
 def t2_needed(spark, d):
     edges, sequences = _families(spark, d)
     return trees.mutations_needed(edges, trees.impute_ancestors(edges, sequences))
