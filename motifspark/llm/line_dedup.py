@@ -75,9 +75,10 @@ def _runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     begin = np.cumsum(room) - room
     buffer[begin[owner] + np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = points
     total = len(buffer) - WIDTH
-    runs = np.zeros(total, np.uint64)
-    for k in range(WIDTH):
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + buffer[k : k + total]
+    runs = buffer[:total].copy()
+    for k in range(1, WIDTH):
+        runs *= np.uint64(0x9E3779B97F4A7C15)
+        runs += buffer[k : k + total]
     keep = np.ones(total, bool)
     keep[((begin + room)[:, None] - np.arange(1, WIDTH)).ravel()] = False
     return mix(runs[keep]), np.repeat(np.arange(len(lines)), room - WIDTH + 1)
@@ -109,9 +110,12 @@ def shape(percent: int) -> tuple[int, int, int]:
 def band_keys(lines: list[bytes], rows: int = 4, bands: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """A row of band keys and a sketch, two numbers, for each line: one permutation hashing, empty bins filled from bins that a fixed random order names."""
     hashes, owner = _runs(lines)
-    bins = (hashes % np.uint64(SIZE)).astype(np.int64)
-    low = (hashes >> np.uint64(33)).astype(np.uint64)  # 31 bits
-    keyed = np.sort(((owner * SIZE + bins).astype(np.uint64) << np.uint64(31)) | low)
+    keyed = owner.astype(np.uint64)
+    keyed *= np.uint64(SIZE)
+    keyed += hashes & np.uint64(SIZE - 1)  # the bin; SIZE is a power of two
+    keyed <<= np.uint64(31)
+    keyed |= hashes >> np.uint64(33)  # 31 bits
+    keyed.sort()
     place = keyed >> np.uint64(31)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     own = np.full(len(lines) * SIZE, -1, np.int64)
