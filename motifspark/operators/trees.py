@@ -9,8 +9,11 @@ level and not the way to it.
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from .fitting import kept
 from .generators import FeatureSet
 from .sampling import set_marginal_likelihoods
 
-ANY = 15  # the set of all four bases
+_SETS = "\x01\x02\x04\x08\x0f"  # the sets of a, c, g, t and of all four bases
 
 
 def levels(edges: DataFrame) -> DataFrame:
@@ -42,18 +45,79 @@ def levels(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _base_sets(sequences: DataFrame) -> DataFrame:
-    """(tree, node, pos, bases): a bit for each base; all four where it isn't known."""
-    letters = sequences.select("tree", "node", F.posexplode(F.split(disambiguate("sequence"), "")).alias("i", "base")).filter("base <> ''")
-    at = F.instr(F.lit(BASES), F.col("base"))
-    return letters.select("tree", "node", (F.col("i") + 1).alias("pos"), F.when(at > 0, F.call_function("shiftleft", F.lit(1), at - 1)).otherwise(ANY).alias("bases"))
+def _counted(below: DataFrame, name: str) -> DataFrame:
+    """(tree, node, counted): for each parent, at each position the bases that the most of its children's sets have; below: (tree, parent_id, bases).
 
-
-def _pick(bases: Column, *names: Column) -> Column:
-    """One base of a set, as a bit, by a digest of the names."""
-    bits = F.filter(F.array(*(F.lit(1 << k) for k in range(4))), lambda b: bases.bitwiseAND(b) > 0)
-    digit = F.conv(F.substring(F.md5(F.concat_ws("-", *(x.cast("string") for x in names))), 1, 6), 16, 10).cast("int")
-    return F.get(bits, digit % F.size(bits))
+    Children come sorted by their parent, so a task adds up one parent after the other, however many children it has.
+    """
+    kinds = ", ".join(f"{c} {below.schema[x].dataType.simpleString()}" for c, x in (("tree", "tree"), ("node", "parent_id")))
+
+    def work(stream):
+        held = None  # the parent that the next batch may go on with, and its counts
+
+        def rows(trees, nodes, counts):
+            most = counts.max(axis=2)
+            bases = (((counts == most[:, :, None]) & (most > 0)[:, :, None]) * (1 << np.arange(4))).sum(axis=2).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([trees, nodes, pa.array([x[x > 0].tobytes().decode() for x in bases], pa.string())], names=["tree", "node", "counted"])
+
+        for batch in stream:
+            if not batch.num_rows:
+                continue
+            trees, nodes = batch.column("tree"), batch.column("parent_id")
+            sets = _padded(batch.column("bases"))
+            new = np.ones(batch.num_rows, bool)
+            same = pc.and_(pc.equal(trees[1:], trees[:-1]), pc.equal(nodes[1:], nodes[:-1]))
+            new[1:] = ~same.to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(new)
+            counts = np.stack([np.add.reduceat((sets >> k & 1).astype(np.int64), first, axis=0) for k in range(4)], axis=2)
+            if held is not None:
+                own, before = held
+                if own == (trees[0].as_py(), nodes[0].as_py()):
+                    wide = max(before.shape[1], counts.shape[1])
+                    counts = np.pad(counts, ((0, 0), (0, wide - counts.shape[1]), (0, 0)))
+                    counts[0, : before.shape[1]] += before[0]
+                else:
+                    yield rows(pa.array([own[0]], trees.type), pa.array([own[1]], nodes.type), before)
+            if len(first) > 1:
+                at = pa.array(first[:-1])
+                yield rows(trees.take(at), nodes.take(at), counts[:-1])
+            held = (trees[int(first[-1])].as_py(), nodes[int(first[-1])].as_py()), counts[-1:]
+        if held is not None:
+            yield rows(pa.array([held[0][0]], trees.type), pa.array([held[0][1]], nodes.type), held[1])
+
+    parts = int(below.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = below.select("tree", "parent_id", "bases").repartition(parts, "tree", "parent_id").sortWithinPartitions("tree", "parent_id")
+    return dealt.mapInArrow(work, f"{kinds}, counted string").withColumnRenamed("counted", name)
+
+
+def _padded(texts: pa.Array) -> np.ndarray:
+    """A row of bytes for each text, 0 beyond its end; the texts are ASCII."""
+    raw = [(x or "").encode() for x in texts.to_pylist()]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    out = np.zeros((len(raw), int(sizes.max(initial=0))), np.uint8)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(raw), np.uint8)
+    return out
+
+
+def _chosen(sets: DataFrame) -> DataFrame:
+    """(tree, node, base): at each position the parent's base if the set has it, else one by a digest of the names and the position; sets: (tree, node, name, bases, above), above null at roots."""
+    kinds = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in ("tree", "node"))
+
+    def work(stream):
+        for batch in stream:
+            bases, above = _padded(batch.column("bases")), _padded(batch.column("above"))
+            root = batch.column("above").is_null().to_numpy(zero_copy_only=False)
+            wide = max(bases.shape[1], above.shape[1])
+            bases, above = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (bases, above))
+            bases[~root] *= above[~root] > 0  # positions that both have
+            base = np.where(bases & above, above, bases)
+            names = batch.column("name").to_pylist()
+            for row, at in zip(*(x.tolist() for x in np.nonzero(base & (base - 1) * (base > 0))), strict=True):
+                bits = [1 << k for k in range(4) if base[row, at] >> k & 1]
+                base[row, at] = bits[int(md5(f"{names[row]}-{at + 1}".encode()).hexdigest()[:6], 16) % len(bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("node"), pa.array([x[x > 0].tobytes().decode() for x in base], pa.string())], names=["tree", "node", "base"])
+
+    return sets.select("tree", "node", "name", "bases", "above").mapInArrow(work, f"{kinds}, base string")
 
 
 def impute_ancestors(edges: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -68,32 +132,27 @@ def impute_ancestors(edges: DataFrame, sequences: DataFrame) -> DataFrame:
     sequences of inner nodes stay as they are.
     """
     edges = kept(edges.select("tree", "parent_id", "child_id").distinct(), "edges")
-    depth = kept(levels(edges), "depths")
-    deepest = depth.agg(F.max("depth")).first()[0] or 0
-    given = kept(_base_sets(sequences), "sets")
-    known = kept(sequences.select("tree", "node").distinct(), "known")
+    depth = levels(edges)
+    # a set is a character whose lowest bits are its bases, a node's sets are a text: a node is one row
+    given = sequences.select("tree", "node", F.translate(disambiguate("sequence"), BASES + "n", _SETS).alias("given"), F.lit(True).alias("known"))
+    up = edges.select("tree", F.col("child_id").alias("node"), "parent_id")
+    nodes = depth.join(up, ["tree", "node"], "left").join(given, ["tree", "node"], "left")
+    nodes = kept(nodes.withColumn("name", F.concat_ws("-", F.col("tree").cast("string"), F.col("node").cast("string"))), "nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
     # upwards: sets of the deepest level first
     sets: dict[int, DataFrame] = {}
     for level in range(deepest, -1, -1):
-        here = depth.filter(F.col("depth") == level).select("tree", "node")
-        own = given.join(here, ["tree", "node"], "left_semi")
+        here = nodes.filter(F.col("depth") == level)
         if level < deepest:
-            below = sets[level + 1].join(edges.withColumnRenamed("child_id", "node"), ["tree", "node"])
-            counts = below.groupBy("tree", F.col("parent_id").alias("node"), "pos").agg(*(F.sum(F.call_function("shiftright", "bases", F.lit(k)).bitwiseAND(1)).alias(f"n{k}") for k in range(4)))
-            most = F.greatest(*(f"n{k}" for k in range(4)))
-            bases = sum((F.when(F.col(f"n{k}") == most, 1 << k).otherwise(0) for k in range(4)), F.lit(0))
-            own = own.unionByName(counts.join(known, ["tree", "node"], "left_anti").select("tree", "node", "pos", bases.cast("int").alias("bases")))
-        sets[level] = kept(own, "sets")
+            here = here.join(_counted(sets[level + 1], "counted"), ["tree", "node"], "left").withColumn("given", F.when(F.col("known"), F.col("given")).otherwise(F.col("counted")))
+        here = here.filter(F.length("given") > 0).select("tree", "node", "parent_id", "name", F.col("given").alias("bases"))
+        sets[level] = kept(here, "sets") if level < deepest else here  # the deepest sets are given
     # downwards
-    picked = _pick(F.col("bases"), F.col("tree"), F.col("node"), F.col("pos"))
-    chosen = [kept(sets[0].withColumn("base", picked).select("tree", "node", "pos", "base"), "bases")]
+    chosen = [kept(_chosen(sets[0].withColumn("above", F.lit(None).cast("string"))), "bases")]
     for level in range(1, deepest + 1):
-        above = chosen[-1].select("tree", F.col("node").alias("parent_id"), "pos", F.col("base").alias("above"))
-        joined = sets[level].join(edges.withColumnRenamed("child_id", "node"), ["tree", "node"]).join(above, ["tree", "parent_id", "pos"])
-        chosen.append(kept(joined.withColumn("base", F.when(F.col("bases").bitwiseAND(F.col("above")) > 0, F.col("above")).otherwise(picked)).select("tree", "node", "pos", "base"), "bases"))
-    letters = reduce(DataFrame.unionByName, chosen).select("tree", "node", "pos", F.substring(F.lit(BASES), (F.log2("base") + 1).cast("int"), F.lit(1)).alias("letter"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "letter")))  # as many as a sequence has bases
-    return letters.groupBy("tree", "node").agg(F.array_join(F.transform(ordered, lambda x: x["letter"]), "").alias("sequence"))
+        above = chosen[-1].select("tree", F.col("node").alias("parent_id"), F.col("base").alias("above"))
+        chosen.append(kept(_chosen(sets[level].join(above, ["tree", "parent_id"])), "bases"))
+    return reduce(DataFrame.unionByName, chosen).filter("base <> ''").select("tree", "node", F.translate("base", _SETS[:4], BASES).alias("sequence"))
 
 
 def mutations_needed(edges: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -121,8 +180,10 @@ def observed_pairs(pairs: DataFrame, left: int, right: int, key: Column | str, s
     without a mutation stay.
     """
     width = max(left, right)
-    made = pairs.withColumn("pair_", cleaned_pair(start, end, width, key)).filter(F.col("pair_").isNotNull() & (F.col("pair_.unknown") <= most_unknown))
-    made = made.withColumn("cut_", trimmed(F.col("pair_.start"), F.col("pair_.end"), left, right)).filter("cut_.end >= cut_.start")
+    # generators: as columns, both would be computed anew wherever a filter or a field names them
+    some = lambda x, test: F.explode(F.filter(F.array(x), test))
+    made = pairs.withColumn("pair_", some(cleaned_pair(start, end, width, key), lambda x: x.isNotNull() & (x["unknown"] <= most_unknown)))
+    made = made.withColumn("cut_", some(trimmed(F.col("pair_.start"), F.col("pair_.end"), left, right), lambda x: x["end"] >= x["start"]))
     part = lambda name: F.substring(F.col(f"pair_.{name}"), F.col("cut_.start") - left + 1, F.col("cut_.end") - F.col("cut_.start") + left + right)
     made = made.withColumns({"gs": part("start"), "es": part("end"), "unknown": F.col("pair_.unknown")})
     inside = F.filter(differing("gs", "es"), lambda p: (p > left) & (p <= F.length("gs") - right))
