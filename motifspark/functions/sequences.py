@@ -83,9 +83,10 @@ def filled(seq: Column | str, key: Column | str) -> Column:
     digit = lambda k, p: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.concat(k, F.lit("-"), p.cast("string"))), 1, 1)) - 1
 
     def letters(x):
-        first, last = F.length(F.regexp_extract(x["s"], "^n*", 0)), F.length(x["s"]) - F.length(F.regexp_extract(x["s"], "n*$", 0))
         base = lambda p: F.substring(x["s"], p, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), F.length(x["s"])), lambda p: F.when((base(p) == "n") & (p > first) & (p <= last), F.substring(F.lit(BASES), digit(x["k"], p) % 4 + 1, F.lit(1))).otherwise(base(p)))
+        first, last = F.length(F.regexp_extract(x["s"], "^n*", 0)), F.length(x["s"]) - F.length(F.regexp_extract(x["s"], "n*$", 0))
+        # the ends are bound too: inside the inner lambda they would be searched for at every place
+        return bound({"first": first, "last": last}, lambda y: F.transform(F.sequence(F.lit(1), F.length(x["s"])), lambda p: F.when((base(p) == "n") & (p > y["first"]) & (p <= y["last"]), F.substring(F.lit(BASES), digit(x["k"], p) % 4 + 1, F.lit(1))).otherwise(base(p))))
 
     return F.when(F.length(_col(seq)) > 0, F.array_join(bound({"s": _col(seq), "k": _col(key).cast("string")}, letters), "")).otherwise("")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from motifspark.functions import sequences as S
 from motifspark.operators import features, likelihood, statistics, tables
-from motifspark.sources.derived import genes, seqs, table
+from motifspark.sources.derived import genes, seqs, spread, table
 
 from .model_queries import target_theta, theta
 from .registry import derived, register
@@ -99,10 +99,11 @@ _PAIR32 = f"SELECT c_custkey AS gk, a, list_aggregate([CASE WHEN substr(q, i, 1)
 def _pair32(spark, d):
     """Pairs of 32 bases, some unknown in either or both."""
     key = F.col("c_custkey").cast("string")
-    digit = lambda p: F.substring(F.md5(F.concat(F.lit("q"), key)), p, F.lit(1))
     a = F.translate(F.md5(F.concat(F.lit("p"), key)), _HEX, "acgtacgtnacgtacg")
-    b = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda p: F.when(digit(p).isin("0", "1"), "a").when(digit(p) == "2", "n").otherwise(F.substring(a, p, F.lit(1)))), "")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("gk"), a.alias("a"), b.alias("b"))
+    digit = lambda x, p: F.substring(x["q"], p, F.lit(1))
+    letters = lambda x: F.transform(F.sequence(F.lit(1), F.lit(32)), lambda p: F.when(digit(x, p).isin("0", "1"), "a").when(digit(x, p) == "2", "n").otherwise(F.substring(x["a"], p, F.lit(1))))
+    b = F.array_join(S.bound({"a": a, "q": F.md5(F.concat(F.lit("q"), key))}, letters), "")
+    return spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("gk"), a.alias("a"), b.alias("b"))
 
 
 _FLAGS = f"SELECT gk, a, b, list_aggregate([CASE WHEN a[i] <> b[i] OR a[i] = 'n' OR b[i] = 'n' THEN '1' ELSE '0' END FOR i IN range(1, 33)], 'string_agg', '') AS f FROM ({_PAIR32})"
