@@ -138,9 +138,9 @@ def w4(spark, d):
 
 @register("W5_run_lengths", derived("genes", ", p AS (SELECT gk, pos, substr(gs, pos, 1) AS b FROM (SELECT *, unnest(range(1, 65)) AS pos FROM genes)), r AS (SELECT gk, b, pos - row_number() OVER (PARTITION BY gk, b ORDER BY pos) AS isle FROM p) SELECT b AS base, n AS run, count(*) AS times FROM (SELECT gk, b, isle, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL"))
 def w5(spark, d):
-    w = Window.partitionBy("gk", "motif").orderBy("pos")
-    runs = features.sites(genes(spark, d), 1, 0).withColumn("isle", F.col("pos") - F.row_number().over(w)).groupBy("gk", "motif", "isle").agg(F.count("*").alias("run"))
-    return runs.groupBy(F.col("motif").alias("base"), "run").agg(F.count("*").alias("times"))
+    # a row's runs come from the row itself: nothing is sorted or shuffled but counts
+    runs = genes(spark, d).select(F.explode(F.regexp_extract_all("gs", F.lit(r"((.)\2*)"), F.lit(1))).alias("x"))
+    return runs.groupBy(F.substring("x", 1, 1).alias("base"), F.length("x").cast("long").alias("run")).agg(F.count("*").alias("times"))
 
 
 #: The standard genetic code, codons in the order t, c, a, g of each base.
