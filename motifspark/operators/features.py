@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,16 +89,61 @@ def state_after(start: Column, mutations: Column, steps: Column) -> Column:
     return F.aggregate(F.slice(mutations, F.lit(1), steps), start, lambda s, x: F.overlay(s, x["target"], x["pos"], F.lit(1)))
 
 
-def mutability(labelled: DataFrame) -> DataFrame:
-    """(motif, mutability): how often a motif's site mutates, the sum over motifs scaled to 1; labelled: (motif, target), null where none."""
-    rates = labelled.groupBy("motif").agg((F.count("target") / F.count("*")).alias("rate"))
+def site_counts(seqs: DataFrame, k: int, left: int, text: str = "gs", end: str = "es") -> DataFrame:
+    """(motif, target, n): how many sites have each full motif and mutate to this base, null where they don't; summed up in each task before the shuffle.
+
+    A letter is whatever the texts have. Sites that the end lacks mutate to ''.
+    """
+
+    def work(stream):
+        for batch in stream:
+            starts, ends = batch.column(text).to_pylist(), batch.column(end).to_pylist()
+            for lo in range(0, len(starts), 4096):
+                yield from _site_counts(starts[lo : lo + 4096], ends[lo : lo + 4096], k, left)
+
+    return seqs.select(text, end).mapInArrow(work, "motif string, target string, n long").groupBy("motif", "target").agg(F.sum("n").alias("n"))
+
+
+def _site_counts(starts: Sequence[str | None], ends: Sequence[str | None], k: int, left: int):
+    rows = [(a, b) for a, b in zip(starts, ends, strict=True) if a is not None and len(a) >= k]
+    width = max((len(a) for a, _ in rows), default=0)
+    if not width:
+        return
+    points = lambda texts: np.frombuffer("".join(x[:width].ljust(width, "\0") for x in texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
+    a, b = points([x for x, _ in rows]), points([x or "" for _, x in rows])
+    b = np.where([[x is None] for _, x in rows], a, b)  # an unknown end differs nowhere
+    letters, both = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
+    a, b = both[: a.size].reshape(a.shape), both[a.size :].reshape(b.shape)
+    size, places = len(letters), width - k + 1
+    inside = np.arange(places) <= np.array([len(x) for x, _ in rows])[:, None] - k
+    motif = np.zeros(inside.shape, np.int64)
+    for at in range(k):
+        motif = motif * size + a[:, at : at + places]
+    own, other = a[:, left : left + places], b[:, left : left + places]
+    cell = (motif * (size + 1) + np.where(own == other, size, other))[inside]
+    if size**k * (size + 1) <= 1 << 20:
+        n = np.bincount(cell)
+        cells = np.flatnonzero(n)
+        n = n[cells]
+    else:
+        cells, n = np.unique(cell, return_counts=True)
+    name = lambda x: chr(letters[x]).replace("\0", "")
+    motifs = ["".join(chr(letters[x // size**at % size]) for at in range(k - 1, -1, -1)) for x in (cells // (size + 1)).tolist()]
+    targets = [None if x == size else name(x) for x in (cells % (size + 1)).tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(motifs, pa.string()), pa.array(targets, pa.string()), pa.array(n.astype(np.int64))], names=["motif", "target", "n"])
+
+
+def mutability(labelled: DataFrame, times: str | None = None) -> DataFrame:
+    """(motif, mutability): how often a motif's site mutates, the sum over motifs scaled to 1; labelled: (motif, target), null where none, and a column of how many sites a row stands for, if not one."""
+    n = F.col(times) if times else F.lit(1)
+    rates = labelled.groupBy("motif").agg((F.coalesce(F.sum(F.when(F.col("target").isNotNull(), n)), F.lit(0)) / F.sum(n)).alias("rate"))
     total = rates.agg(F.sum("rate")).first()[0]
     return rates.select("motif", (F.col("rate") / F.lit(total)).alias("mutability"))
 
 
-def substitution(labelled: DataFrame) -> DataFrame:
-    """(motif, target, substitution): a motif's shares of targets among its mutations."""
-    counts = labelled.filter("target IS NOT NULL").groupBy("motif", "target").agg(F.count("*").alias("n"))
+def substitution(labelled: DataFrame, times: str | None = None) -> DataFrame:
+    """(motif, target, substitution): a motif's shares of targets among its mutations; times: as in mutability()."""
+    counts = labelled.filter("target IS NOT NULL").groupBy("motif", "target").agg(F.sum(times or F.lit(1)).alias("n"))
     return counts.withColumn("substitution", F.col("n") / F.sum("n").over(Window.partitionBy("motif"))).drop("n")
 
 

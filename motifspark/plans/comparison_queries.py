@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from motifspark.functions import sequences as S
-from motifspark.operators import features, likelihood, statistics, tables
+from motifspark.operators import features, hazards, likelihood, proximal, statistics, tables
+from motifspark.operators.fitting import kept
 from motifspark.sources.derived import genes, seqs, spread, table
 
-from .model_queries import target_theta, theta
+from .model_queries import THREE, THREE_THETA, target_theta, theta
 from .registry import derived, register
 from .table_queries import _PAIRS, _pairs
 
@@ -146,8 +148,7 @@ def j1_anti_some(spark, d):
 
 @register("W7_running_denominators", derived("rated", "SELECT sk, step, round(max(den), 6) AS den FROM rated GROUP BY sk, step"))
 def w7(spark, d):
-    found = likelihood.denominators(likelihood.risk_counts(seqs(spark, d)), theta(spark))
-    return found.select("sk", F.col("step").cast("long").alias("step"), S.rounded("den").alias("den"))
+    return hazards.denominators(seqs(spark, d), THREE, THREE_THETA).select("sk", "step", S.rounded("den").alias("den"))
 
 
 @register("W10_recentred", derived("sites", "SELECT (pos + 24 - c_nationkey)::BIGINT AS place, count_if(mu)::BIGINT AS n FROM sites JOIN customer ON gk = c_custkey GROUP BY 1").replace("24", "(SELECT max(c_nationkey) FROM customer)"))
@@ -218,22 +219,20 @@ _FIVE = ", m AS (SELECT mu, sc, ec, lag(sc, 2) OVER w || lag(sc) OVER w || sc ||
 
 @register("E12_mutability_model", derived("sites", _FIVE + " SELECT motif, round((mutated / n) / (SELECT sum(mutated / n) FROM c), 8) AS mutability FROM c"))
 def e12_model(spark, d):
-    return features.mutability(_labelled(spark, d)).select("motif", S.rounded("mutability", 8).alias("mutability"))
+    return features.mutability(_labelled(spark, d), "n").select("motif", S.rounded("mutability", 8).alias("mutability"))
 
 
 @register("E12_substitution_model", derived("sites", _FIVE + ", t AS (SELECT motif, ec AS target, count(*)::DOUBLE AS n FROM m WHERE motif IS NOT NULL AND mu GROUP BY ALL) SELECT motif, target, round(n / sum(n) OVER (PARTITION BY motif), 6) AS substitution, round((SELECT (c.mutated / c.n) / (SELECT sum(mutated / n) FROM c) FROM c WHERE c.motif = t.motif) * n / sum(n) OVER (PARTITION BY motif), 8) AS targeting FROM t"))
 def e12_substitution(spark, d):
     """Each motif's targets, and its targeting: mutability by substitution."""
     labelled = _labelled(spark, d)
-    found = features.substitution(labelled).join(features.mutability(labelled), "motif")
+    found = features.substitution(labelled, "n").join(features.mutability(labelled, "n"), "motif")
     return found.select("motif", "target", S.rounded("substitution").alias("substitution"), S.rounded(F.col("mutability") * F.col("substitution"), 8).alias("targeting"))
 
 
 def _labelled(spark, d):
-    """Sites with their 5-mers, and the target of those that mutate."""
-    found = features.sites(seqs(spark, d).select("sk", "gs", "es"), 5, 2)
-    at = lambda text: F.substring(F.col(text), F.col("pos"), F.lit(1))
-    return found.withColumn("target", F.when(at("gs") != at("es"), at("es")))
+    """Sites counted by their 5-mers and the target of those that mutate: read and counted once, however often it is used."""
+    return kept(features.site_counts(seqs(spark, d), 5, 2), "site-counts")
 
 
 _TREE = ", tree AS (SELECT gk // 2 AS parent_id, gk AS child_id FROM genes WHERE gk // 2 IN (SELECT gk FROM genes))"
@@ -283,5 +282,6 @@ def e7_categories(spark, d):
 
 @register("E10_fused_objective", derived("rated", f", ll AS (SELECT sk, sum(theta - ln(den)) AS ll FROM rated WHERE hit GROUP BY sk), m AS (SELECT motif, (idx % 7) / 7.0::DOUBLE AS x FROM ({_TRIPLES})) SELECT round(-avg(ll) + 0.1 * (SELECT sum(x) FROM m) + 0.05 * (SELECT sum(abs(a.x - b.x)) FROM m a, m b WHERE hamming(a.motif, b.motif) = 1), 6) AS objective FROM ll").replace("\n,", ","))
 def e10(spark, d):
-    edges = features.neighbours(features.motif_dimension(spark, 3))
-    return likelihood.fused_objective(likelihood.risk_counts(seqs(spark, d)), theta(spark), edges, 0.1, 0.05).withColumn("objective", S.rounded("objective"))
+    pairs = proximal.motif_edges(THREE)
+    both = np.concatenate([pairs, pairs[:, ::-1]])
+    return hazards.penalised_objective(seqs(spark, d), THREE, THREE_THETA, 0.1, both, 0.05).withColumn("objective", S.rounded("objective"))

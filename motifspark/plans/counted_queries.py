@@ -11,28 +11,37 @@ from pyspark.sql import functions as F
 
 from motifspark.functions import sequences as S
 from motifspark.operators import features, statistics, tables
+from motifspark.operators.fitting import kept
 from motifspark.sources.derived import genes, seqs, table
 
 from .registry import derived, register
 
 
-def sites(spark, d, k: int = 3, left: int = 1):
-    """Each site with a full motif, whether it mutates and to what."""
-    found = features.sites(seqs(spark, d), k, left)
-    at = lambda text: F.substring(F.col(text), F.col("pos"), F.lit(1))
-    return found.select("motif", F.when(at("gs") != at("es"), at("es")).alias("target"))
+def site_counts(spark, d, k: int = 3, left: int = 1):
+    """(motif, target, n) of all sites with a full motif: some hundred rows, written once, so that a query that uses them twice reads the sequences once and joins don't wait for them."""
+    return kept(features.site_counts(seqs(spark, d), k, left), "site-counts")
+
+
+def by_motif(counts):
+    """(motif, n, hits, theta)"""
+    found = counts.groupBy("motif").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("target").isNotNull(), F.col("n"))), F.lit(0)).alias("hits"))
+    return found.withColumn("theta", F.expr("((hits * 1000) div n - 62) / 1000.0D"))
+
+
+def by_target(spark, counts):
+    """(motif, target, possible, hits): all 256 pairs."""
+    hits = counts.filter("target IS NOT NULL").select("motif", "target", F.col("n").alias("hits"))
+    return features.possible_targets(spark, 3, 1).join(hits, ["motif", "target"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
 def counted(spark, d, k: int = 3, left: int = 1):
     """(motif, n, hits, theta)"""
-    counts = sites(spark, d, k, left).groupBy("motif").agg(F.count("*").alias("n"), F.count("target").alias("hits"))
-    return counts.withColumn("theta", F.expr("((hits * 1000) div n - 62) / 1000.0D"))
+    return by_motif(site_counts(spark, d, k, left))
 
 
 def counted_targets(spark, d):
-    """(motif, target, hits): all 256 pairs."""
-    hits = sites(spark, d).filter("target IS NOT NULL").groupBy("motif", "target").agg(F.count("*").alias("hits"))
-    return features.possible_targets(spark, 3, 1).join(hits, ["motif", "target"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    """(motif, target, possible, hits): all 256 pairs."""
+    return by_target(spark, site_counts(spark, d))
 
 
 _IDX = "((instr('acgt', motif[1]) - 1) * 16 + (instr('acgt', motif[2]) - 1) * 4 + instr('acgt', motif[3]) - 1)"
@@ -130,7 +139,8 @@ def m14(spark, d):
 
 @register("M16_target_probabilities", _sql("SELECT motif, target, round(exp(-t) / sum(exp(-t)) OVER (PARTITION BY motif), 6) AS probability FROM (SELECT motif, target, x + hits / 100.0::DOUBLE AS t FROM pairs WHERE motif[2] <> target)"))
 def m16(spark, d):
-    rows = counted_targets(spark, d).filter("possible").join(counted(spark, d).select("motif", "theta"), "motif").withColumn("theta", F.col("theta") + F.col("hits") / 100.0)
+    counts = site_counts(spark, d)
+    rows = by_target(spark, counts).filter("possible").join(by_motif(counts).select("motif", "theta"), "motif").withColumn("theta", F.col("theta") + F.col("hits") / 100.0)
     return statistics.target_probabilities(rows.select("motif", "target", "theta"), "motif", "theta").select("motif", "target", S.rounded("probability").alias("probability"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from motifspark.operators import trees
+import pytest
+
+import __spark_entry__
+from motifspark.operators import features, trees
 
 EDGES, SEQUENCES = "tree long, parent_id long, child_id long", "tree long, node long, sequence string"
 
@@ -28,3 +31,27 @@ def test_pairs_are_cleaned_once(spark):
     rows = spark.createDataFrame([(1, "acgtnacgtacgt", "acgttacgaacgt")], "key long, start string, end string")
     plan = trees.observed_pairs(rows, 2, 1, "key", most_unknown=0.3)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("md5(") <= 4
+
+
+@pytest.mark.parametrize("name", ["L8_penalised_objective", "E10_fused_objective", "W7_running_denominators", "F6_step_motifs", "F6_step_features"])
+def test_steps_are_not_dealt_out_site_by_site(spark, sf, name):
+    """Rows by step and motif were shuffled; a row's likelihood and counts come from the row."""
+    plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("name", ["M16_target_probabilities", "M11_aggregate_variance", "J7_aggregate_theta", "E12_substitution_model", "E12_mutability_model"])
+def test_counts_are_read_once(spark, sf, name):
+    """No join or broadcast of these waits for a pass over the sequences, which took longer than a broadcast may."""
+    plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan
+
+
+def test_runs_are_found_in_their_row(spark, sf):
+    assert "Window" not in __spark_entry__.queries()["W5_run_lengths"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sites_are_counted_with_any_letters(spark):
+    rows = spark.createDataFrame([("acgn", "aCgn"), ("aég", "aég"), ("acg", "a"), ("acg", None), (None, "acg"), ("ac", "ac")], "gs string, es string")
+    got = sorted(map(tuple, features.site_counts(rows, 3, 1).collect()), key=str)
+    assert got == sorted([("acg", "C", 1), ("cgn", None, 1), ("aég", None, 1), ("acg", "", 1), ("acg", None, 1)], key=str)
