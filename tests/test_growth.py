@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 import __spark_entry__
-from motifspark.operators import features, trees
+from motifspark.operators import features, hazards, models, trees
+from motifspark.plans.model_queries import THREE
+from motifspark.sources.derived import seqs
 
 EDGES, SEQUENCES = "tree long, parent_id long, child_id long", "tree long, node long, sequence string"
 
@@ -55,3 +58,15 @@ def test_sites_are_counted_with_any_letters(spark):
     rows = spark.createDataFrame([("acgn", "aCgn"), ("aég", "aég"), ("acg", "a"), ("acg", None), (None, "acg"), ("ac", "ac")], "gs string, es string")
     got = sorted(map(tuple, features.site_counts(rows, 3, 1).collect()), key=str)
     assert got == sorted([("acg", "C", 1), ("cgn", None, 1), ("aég", None, 1), ("acg", "", 1), ("acg", None, 1)], key=str)
+
+
+def test_compact_steps_give_the_same_sums(spark, sf):
+    """A fit's passes worked every sequence out anew."""
+    orders = seqs(spark, sf).select("sk", "gs", "mutations").limit(200).cache()
+    compact = hazards.compacted(orders, THREE)
+    assert "_risk_3_1" in compact.columns
+    theta = np.random.default_rng(1).normal(size=(64, 1))
+    for features_, values in ((THREE, theta), (THREE.without([0, 5, 63]), theta[[i for i in range(64) if i not in (0, 5, 63)]])):
+        want, got = models.point_at(orders, features_, values, True), models.point_at(compact, features_, values, True)
+        assert got.n == want.n and got.log_lik == pytest.approx(want.log_lik)
+        assert np.allclose(got.slope, want.slope, atol=1e-8) and np.allclose(got.bend, want.bend, atol=1e-8)
