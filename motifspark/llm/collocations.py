@@ -1,23 +1,20 @@
 """Phrases of two or three words that occur more often than their parts suggest, by language.
 
 Candidates come level by level: words, then pairs of frequent words, then
-triples of which both pairs are frequent.  Each level's n-grams are counted
-up to `least` before the shuffle; what reaches `least` is a candidate.  A
-table of bits, of bounded size at any number of candidates, tells the next
-level what may be frequent: it errs only by letting more through.
-
-The candidates of all levels get slots of a minimal perfect hash, whose
-stored keys tell members from others.  In rounds of MOST_SLOTS candidates,
-mappers add up occurrences by slot with bincount, their arrays are summed as a
-tree, and each phrase reads its own count and those of its parts by slot.
-
-A phrase's identity is a hash of 64 bits with a check of 32 bits.  Of 10**12
-different phrases, two share both with a chance of some 10**-5.
+triples of which both pairs are frequent.  A table of bits, of bounded size at
+any number of candidates, tells the next level what may be frequent: it errs
+only by letting more through, so every occurrence of what is frequent is
+counted and a level's sums are exact.  The texts are read once for each level.
+
+A word is known by its text and language at the first level and by a key of
+64 bits made of both at the next ones, where an n-gram is the keys of its
+words.  So counts of parts come from joins of the levels, and the texts of
+words are joined to the few phrases that may rank.  Of 10**7 different
+frequent words, two share a key with a chance of some 3 * 10**-6.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
 
@@ -29,15 +26,14 @@ from pyspark.sql.window import Window
 
 from .textops import SEPARATOR, _powers, batches, byte_class, lower_bytes, mix, stored
 
-MOST_SLOTS = 2_000_000  # of a round's index: 14 bytes each, and 8 of its counts in each worker
+MOST_SLOTS = 600_000  # n-grams that a task gathers before it hands their counts on
 MOST_BITS = 1 << 27  # of the table of what may be frequent: 16 MB
-CHUNK = 1 << 12  # slots of a row of counts
+SHARDS = 16  # parts of a language that are ranked side by side
 LONGEST = 3
 _BREAKS = byte_class([*b".,;:!?", *range(0x0A, 0x0E), SEPARATOR])
 _IN_WORD = ~(_BREAKS | byte_class(b" \t"))
-_CODES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) for seed in (71, 72)]
-_PLACES = [mix(np.arange(k, k + LONGEST, dtype=np.uint64)) for k in (101, 201)]
-_FRAME = "chunk int, part int, slots binary, counts binary, lang string, phrase string, words long"
+_CODES = np.random.default_rng(71).integers(1, 1 << 63, 256, dtype=np.uint64)
+_PLACES = mix(np.arange(101, 101 + LONGEST, dtype=np.uint64))
 
 
 class PerfectHash:
@@ -96,12 +92,19 @@ class Index:
         return np.where(own, at, -1)
 
 
+def rolled(words: Sequence[np.ndarray]) -> np.ndarray:
+    """A key for each n-gram, from those of its first, second, ... words."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for place, own in zip(_PLACES, words, strict=False):
+        out += mix(own ^ place)
+    return mix(out)
+
+
 class Grams:
-    """The n-grams of some texts, by length: keys, checks and first words. Words carry their language."""
+    """The n-grams of some texts, by length, as keys by their first words. Words' keys carry their language."""
 
     def __init__(self, texts: Sequence[bytes], langs: Sequence[str]):
         self.raw = b"\xff".join(texts) + b"\xff"
-        self.homes = np.array([zlib.crc32(x) & 0xFF for x in texts], np.uint8)
         buffer = np.frombuffer(self.raw, np.uint8)
         edge = np.flatnonzero(np.diff(_IN_WORD[buffer], prepend=False, append=False))
         self.start, self.end = edge[0::2], edge[1::2]
@@ -111,27 +114,22 @@ class Grams:
         names = {x: np.uint64(int.from_bytes(sha256(x.encode()).digest()[:8], "little")) for x in set(langs)}
         lang = mix(np.array([names[x] for x in langs], np.uint64))[self.owner] if len(self.start) else np.zeros(0, np.uint64)
         up, down = _powers(len(buffer) + 1)
-        spread = []
-        for codes in _CODES:
-            total = np.zeros(len(buffer) + 1, np.uint64)
-            np.cumsum(codes[buffer] * up[:-1], out=total[1:])
-            spread.append(mix(mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64)) ^ lang))
+        codes = _CODES[buffer]
+        total = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(codes * up[:-1], out=total[1:])
+        self.words = mix(mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64)) ^ lang)
         self.whole = [np.ones(len(self.start), bool), follows, follows[:-1] & follows[1:]]
-        self.rolled = [[], []]
-        for side, words in enumerate(spread):
-            for n in range(1, LONGEST + 1):
-                count = max(len(words) - n + 1, 0)
-                out = np.full(count, n, np.uint64)
-                for k in range(n):
-                    out += mix(words[k : k + count] ^ _PLACES[side][k])
-                self.rolled[side].append(mix(out))
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, checks) of the n-grams by their first word, also of those that cross a break."""
-        return self.rolled[0][n - 1], (self.rolled[1][n - 1] >> np.uint64(32)).astype(np.uint32)
+    def of(self, n: int) -> np.ndarray:
+        """Keys of the n-grams by their first word, also of those that cross a break."""
+        count = max(len(self.words) - n + 1, 0)
+        return self.words if n == 1 else rolled([self.words[k : k + count] for k in range(n)])
 
-    def text(self, first: int, n: int) -> str:
-        return b" ".join([self.raw[self.start[i] : self.end[i]] for i in range(first, first + n)]).decode("utf-8", "surrogatepass")
+    def texts(self, at: np.ndarray) -> np.ndarray:
+        """The words at these places, as bytes."""
+        out = np.empty(len(at), object)
+        out[:] = [self.raw[a:b] for a, b in zip(self.start[at].tolist(), self.end[at].tolist(), strict=True)]
+        return out
 
 
 def _parts(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
@@ -166,12 +164,12 @@ def grams_of(batch: pa.RecordBatch) -> Iterator[tuple[Grams, list[str]]]:
             yield Grams(parts, held), held
 
 
-def _summed(keys: np.ndarray, checks: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, check), how often each occurs and its least home; equal ones that lie apart give two rows, which the shuffle joins."""
+def _summed(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, and how often it occurs (n: how often at each place)."""
     order = np.argsort(keys)
-    keys, checks, homes = keys[order], checks[order], homes[order]
-    at = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])))
-    return keys[at], checks[at], np.diff(np.append(at, len(keys))), np.minimum.reduceat(homes, at)
+    found = keys[order]
+    at = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return order[at], np.diff(np.append(at, len(keys))) if n is None else np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _bits(frequent: DataFrame, size: int) -> np.ndarray:
@@ -190,131 +188,99 @@ def _may_be(table: np.ndarray, size: int, keys: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def candidates(docs: DataFrame, least: int) -> DataFrame:
-    """(n, key, check, home) of the words, pairs and triples that occur `least` times or more in their language, as parts and by themselves.
-
-    Every text has a home, a byte of its checksum; the least of those of an
-    n-gram's texts tells which texts give its wording.
-    """
-    found = []
-    held = None
-    for n in range(1, LONGEST + 1):
-
-        def work(stream, n=n, held=held):
-            pile, size = [], 0
-
-            def rows():
-                keys, checks, count, homes = _summed(*(np.concatenate(x) for x in zip(*pile, strict=True)))
-                return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "check": pa.array(checks.astype(np.int64)), "n": pa.array(np.minimum(count, least)), "home": pa.array(homes.astype(np.int16))})
-
-            for batch in stream:
-                for grams, _ in grams_of(batch):
-                    keys, checks = grams.of(n)
-                    wanted = grams.whole[n - 1]
-                    if held is not None:
-                        table, bits = held.value
-                        parts = _may_be(table, bits, grams.of(n - 1)[0])
-                        wanted = wanted & parts[:-1] & parts[1:]
-                    pile.append((keys[wanted], checks[wanted], grams.homes[grams.owner[: len(keys)]][wanted]))
-                    size += int(wanted.sum())
-                    if size > 1_500_000:
-                        yield rows()
-                        pile, size = [], 0
-            if size:
-                yield rows()
-
-        counted = docs.mapInArrow(work, "key long, check long, n long, home short").groupBy("key", "check").agg(F.sum("n").alias("n"), F.min("home").alias("home"))
-        found.append(stored(counted.filter(F.col("n") >= least).select(F.lit(n).alias("n"), "key", "check", "home"), f"frequent-{n}"))
-        if n < LONGEST:
-            size = 1 << min(max(64 * found[-1].count(), 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
-            held = docs.sparkSession.sparkContext.broadcast((_bits(found[-1], size), size))
-    return found[0].unionByName(found[1]).unionByName(found[2])
-
-
-def _index(chosen: DataFrame) -> Index:
-    rows = chosen.select("key", "check", "home").toArrow()
-    return Index(rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("check").to_numpy().astype(np.uint32), rows.column("home").to_numpy().astype(np.uint8))
-
-
-def _count(docs: DataFrame, held, with_words: bool) -> DataFrame:
-    """Rows of _FRAME: counts by slot, a row for each chunk and task; phrases, from the texts of their home, once a task; words by language."""
+def _count_words(docs: DataFrame, most: int) -> DataFrame:
+    """(w1, lang, word, f): how often each word occurs in a language; a null word has the sum of all."""
 
     def work(stream):
-        from pyspark import TaskContext
+        pile, size = [], 0
 
-        index, part = held.value, TaskContext.get().partitionId()
-        counts, seen, words = np.zeros(index.hash.size, np.int64), np.zeros(index.hash.size, bool), {}
-        nothing = lambda n: pa.nulls(n)
-
-        def rows(n: int, **columns):
-            kinds = {"chunk": pa.int32(), "part": pa.int32(), "slots": pa.binary(), "counts": pa.binary(), "lang": pa.string(), "phrase": pa.string(), "words": pa.int64()}
-            return pa.RecordBatch.from_pydict({name: pa.array(columns[name], kind) if name in columns else nothing(n).cast(kind) for name, kind in kinds.items()})
+        def rows():
+            keys, count, langs, texts = (np.concatenate(x) for x in zip(*pile, strict=True))
+            at, n = _summed(keys, count)
+            return pa.RecordBatch.from_pydict({"w1": pa.array(keys[at].view(np.int64)), "lang": pa.array(langs[at], pa.string()), "word": pa.array(texts[at], pa.string()), "f": pa.array(n)})
 
         for batch in stream:
+            total = {}
             for grams, langs in grams_of(batch):
-                names = []
-                if with_words:
-                    for lang, n in zip(langs, np.bincount(grams.owner, minlength=len(langs)).tolist(), strict=True):
-                        words[lang] = words.get(lang, 0) + n
-                for n in range(1, LONGEST + 1):
-                    at = np.where(grams.whole[n - 1], index.slots(*grams.of(n)), -1)
-                    places = np.flatnonzero(at >= 0)
-                    counts += np.bincount(at[places], minlength=len(counts))
-                    if n > 1:
-                        new = places[~seen[at[places]] & (index.homes[at[places]] == grams.homes[grams.owner[places]])]
-                        new = new[np.unique(at[new], return_index=True)[1]]
-                        names += [(langs[grams.owner[i]], grams.text(i, n)) for i in new]
-                        seen[at[new]] = True
-                if names:
-                    yield rows(len(names), lang=[x for x, _ in names], phrase=[x for _, x in names])
-        if words:
-            yield rows(len(words), lang=list(words), words=list(words.values()))
-        at = np.flatnonzero(counts)
-        for chunk in np.split(at, np.flatnonzero(np.diff(at // CHUNK)) + 1) if len(at) else ():
-            yield rows(1, chunk=[int(chunk[0]) // CHUNK], part=[part], slots=[(chunk % CHUNK).astype(np.uint16).tobytes()], counts=[counts[chunk].tobytes()])
-
-    return docs.mapInArrow(work, _FRAME)
-
-
-def _tree_sum(rows: DataFrame, fan: int = 64) -> DataFrame:
-    """(chunk, slots, counts): each chunk's arrays added up, in groups of tasks first and then over the groups."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            total[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, np.int64)
-        at = np.flatnonzero(total)
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int32()), "slots": pa.array([at.astype(np.uint16).tobytes()], pa.binary()), "counts": pa.array([total[at].tobytes()], pa.binary())})
-
-    schema = "chunk int, slots binary, counts binary"
-    some = rows.filter("chunk IS NOT NULL").select("chunk", "slots", "counts", F.pmod("part", F.lit(fan)).alias("branch"))
-    return some.groupBy("chunk", "branch").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
-
-
-def _fill(phrases: DataFrame, held) -> DataFrame:
-    """Fills f, the counts of a phrase's words, pairs and whole by length and place, with those that this round's slots have."""
+                for lang, n in zip(langs, np.bincount(grams.owner, minlength=len(langs)).tolist(), strict=True):
+                    total[lang] = total.get(lang, 0) + n
+                at, n = _summed(grams.words)
+                if len(at):
+                    pile.append((grams.words[at], n, np.array(langs, object)[grams.owner[at]], grams.texts(at)))
+                    size += len(at)
+                if size > most // 4:
+                    yield rows()
+                    pile, size = [], 0
+            yield pa.RecordBatch.from_pydict({"w1": pa.array([0] * len(total), pa.int64()), "lang": pa.array(list(total), pa.string()), "word": pa.nulls(len(total), pa.string()), "f": pa.array(list(total.values()), pa.int64())})
+        if pile:
+            yield rows()
+
+    return docs.mapInArrow(work, "w1 long, lang string, word string, f long").groupBy("w1", "lang", "word").agg(F.sum("f").alias("f"))
+
+
+def _count(docs: DataFrame, n: int, held, most: int) -> DataFrame:
+    """(w1, .., wn, f): how often each n-gram occurs, for those whose parts of n - 1 words may be frequent."""
+    names = [f"w{k + 1}" for k in range(n)]
 
     def work(stream):
-        index, counts = held.value
+        pile, size = [], 0
+
+        def rows():
+            keys, *words = (np.concatenate(x) for x in zip(*pile, strict=True))
+            at, count = _summed(keys)
+            return pa.RecordBatch.from_arrays([*(pa.array(w[at].view(np.int64)) for w in words), pa.array(count)], names=[*names, "f"])
+
+        table, bits = held.value
         for batch in stream:
-            found = np.array(batch.column("f").to_pylist(), np.int64).reshape(-1, LONGEST * (LONGEST + 1) // 2)
-            langs = batch.column("lang").to_pylist()
-            grams = Grams([x.encode("utf-8", "surrogatepass") for x in batch.column("phrase").to_pylist()], langs)
-            first, column = np.searchsorted(grams.owner, np.arange(len(langs) + 1)), 0
-            for n in range(1, LONGEST + 1):
-                at = index.slots(*grams.of(n))
-                here = np.arange(len(at))
-                place = here - first[grams.owner[here]]
-                own = (at >= 0) & (here + n <= first[grams.owner[here] + 1])
-                found[grams.owner[here[own]], column + place[own]] = counts[at[own]]
-                column += LONGEST + 1 - n
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "phrase": batch.column("phrase"), "f": pa.array(found.tolist(), pa.list_(pa.int64()))})
-
-    return phrases.mapInArrow(work, "lang string, phrase string, f array<long>")
+            for grams, _ in grams_of(batch):
+                parts = _may_be(table, bits, grams.of(n - 1))
+                at = np.flatnonzero(grams.whole[n - 1] & parts[:-1] & parts[1:])
+                if len(at):
+                    words = [grams.words[at + k] for k in range(n)]
+                    pile.append((rolled(words), *words))
+                    size += len(at)
+                if size > most:
+                    yield rows()
+                    pile, size = [], 0
+        if pile:
+            yield rows()
+
+    return docs.mapInArrow(work, ", ".join(f"{x} long" for x in [*names, "f"])).groupBy(*names).agg(F.sum("f").alias("f"))
+
+
+def _keyed(grams: DataFrame, n: int) -> DataFrame:
+    """(key) of n-grams, as Grams.of() gives it."""
+
+    def work(stream):
+        for batch in stream:
+            words = [batch.column(k).to_numpy().view(np.uint64) for k in range(n)]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(rolled(words).view(np.int64))})
+
+    return grams.select(*(f"w{k + 1}" for k in range(n))).mapInArrow(work, "key long")
+
+
+def _levels(docs: DataFrame, least: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(lang, n) of all words; and the words, pairs and triples that occur `least` times or more in their language, with how often: (w1, lang, word, f), (w1, w2, f), (w1, w2, w3, f)."""
+    words = stored(_count_words(docs, most).filter(F.col("word").isNull() | (F.col("f") >= least)), "frequent-1")
+    found = [words.filter("word IS NOT NULL")]
+    for n in range(2, LONGEST + 1):
+        size = 1 << min(max(64 * found[-1].count(), 1 << 16).bit_length(), MOST_BITS.bit_length() - 1)
+        keys = found[-1].select(F.col("w1").alias("key")) if n == 2 else _keyed(found[-1], n - 1)
+        held = docs.sparkSession.sparkContext.broadcast((_bits(keys, size), size))
+        found.append(stored(_count(docs, n, held, most).filter(F.col("f") >= least), f"frequent-{n}"))
+    return words.filter("word IS NULL").select("lang", F.col("f").alias("n")), found
+
+
+def candidates(docs: DataFrame, least: int, most: int = MOST_SLOTS) -> DataFrame:
+    """(n, w1, w2, w3, f) of the words, pairs and triples that occur `least` times or more in their language, and how often they do."""
+    none = lambda name: F.lit(None).cast("long").alias(name)
+    _, found = _levels(docs, least, most)
+    rows = [x.select(F.lit(n).alias("n"), *(F.col(f"w{k}") if k <= n else none(f"w{k}") for k in range(1, LONGEST + 1)), "f") for n, x in enumerate(found, 1)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def cut_scores(f: Sequence[int], million: int = 1_000_000) -> tuple[int, int, int, int]:
-    """(a, l, r, score) of a phrase by its lowest-scoring cut, ties to the first; f as in _fill: w1, w2, w3, w1w2, w2w3, w1w2w3."""
+    """(a, l, r, score) of a phrase by its lowest-scoring cut, ties to the first; f: counts of w1, w2, w3, w1w2, w2w3, w1w2w3, with 0 for what a pair lacks."""
     if not f[5]:
         a, cuts = f[3], [(f[0], f[1])]
     else:
@@ -323,21 +289,15 @@ def cut_scores(f: Sequence[int], million: int = 1_000_000) -> tuple[int, int, in
     return a, *cuts[k], score
 
 
-def _scored(filled: DataFrame, covers: int) -> DataFrame:
-    """(lang, phrase, a, l, r, score, inner): inner are the pairs of a triple that it makes redundant."""
+def _scored(phrases: DataFrame) -> DataFrame:
+    """(lang, w1, w2, w3, a, l, r, score) from (lang, w1, w2, w3, f), f as in cut_scores()."""
 
     def work(stream):
         for batch in stream:
-            out = {x: [] for x in ("a", "l", "r", "score", "inner")}
-            for phrase, f in zip(batch.column("phrase").to_pylist(), batch.column("f").to_pylist(), strict=True):
-                words = phrase.split(" ")
-                for name, value in zip(out, cut_scores(f), strict=False):
-                    out[name].append(value)
-                out["inner"].append([" ".join(words[k : k + 2]) for k in (0, 1) if 100 * f[5] >= covers * f[3 + k]] if len(words) == LONGEST else [])
-            kinds = {x: pa.int64() for x in ("a", "l", "r", "score")} | {"inner": pa.list_(pa.string())}
-            yield pa.RecordBatch.from_pydict({"lang": batch.column("lang"), "phrase": batch.column("phrase")} | {x: pa.array(v, kinds[x]) for x, v in out.items()})
+            found = np.array([cut_scores(f) for f in batch.column("f").to_pylist()], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("lang", "w1", "w2", "w3")), *(pa.array(x) for x in found.T.copy())], names=["lang", "w1", "w2", "w3", "a", "l", "r", "score"])
 
-    return filled.mapInArrow(work, "lang string, phrase string, a long, l long, r long, score long, inner array<string>")
+    return phrases.select("lang", "w1", "w2", "w3", "f").mapInArrow(work, "lang string, w1 long, w2 long, w3 long, a long, l long, r long, score long")
 
 
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, covers: int = 50, most_slots: int = MOST_SLOTS) -> DataFrame:
@@ -347,35 +307,29 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, covers: int
     more are dropped.  Null texts are empty, null languages are `und`;
     repeated rows count each by itself; other columns are ignored; an empty
     table gives no rows.  Long texts are cut where pieces end, so a task holds
-    a few megabytes of text at a time.  Beyond `most_slots` candidates the
-    texts are read once more for each so many of them.
+    a few megabytes of text at a time, and counts of some `most_slots`
+    n-grams.  The texts are read three times, however many candidates they have.
     """
     docs = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    spark = docs.sparkSession
-    chosen = candidates(docs, least)
-    rounds = max(-(-chosen.count() // (most_slots - most_slots // 8)), 1)  # room for uneven rounds
-    counted, phrases, words, arrays = [], None, None, []
-    for k in range(rounds):
-        index = _index(chosen.filter(F.pmod(F.xxhash64("key", "check"), F.lit(rounds)) == k))
-        rows = stored(_count(docs, spark.sparkContext.broadcast(index), k == 0), "counted")
-        counts = np.zeros(index.hash.size, np.int64)
-        for r in _tree_sum(rows).toLocalIterator():
-            counts[r["chunk"] * CHUNK + np.frombuffer(r["slots"], np.uint16).astype(np.int64)] = np.frombuffer(r["counts"], np.int64)
-        arrays.append((index, counts))
-        counted.append(rows.filter("phrase IS NOT NULL").select("lang", "phrase"))
-        words = rows.filter("words IS NOT NULL").groupBy("lang").agg(F.sum("words").alias("n")) if k == 0 else words
-        phrases = counted[0]
-    for more in counted[1:]:
-        phrases = phrases.unionByName(more)
-    filled = phrases.distinct().withColumn("f", F.array_repeat(F.lit(0).cast("long"), LONGEST * (LONGEST + 1) // 2))
-    for pair in arrays:
-        filled = stored(_fill(filled, spark.sparkContext.broadcast(pair)), "filled")
-    scored = stored(_scored(filled, covers), "scored")
-    redundant = scored.select("lang", F.explode("inner").alias("phrase")).distinct()
-    kept = scored.drop("inner").join(redundant, ["lang", "phrase"], "left_anti")
-    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    shards = 64
-    first = kept.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(shards))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "shard").orderBy(*order))).filter(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
-    few = F.broadcast(words)  # a row for each language
+    totals, (words, pairs, triples) = _levels(docs, least, most_slots)
+    of = lambda frame, f, *names: frame.select(*(F.col(f"w{k + 1}").alias(x) for k, x in enumerate(names)), F.col("f").alias(f))
+    spoken = words.select("w1", "lang", F.col("f").alias("f1"))
+    two = of(pairs, "a", "w1", "w2").join(spoken, "w1").join(of(words, "f2", "w2"), "w2")
+    three = of(triples, "a", "w1", "w2", "w3").join(of(pairs, "f12", "w1", "w2"), ["w1", "w2"]).join(of(pairs, "f23", "w2", "w3"), ["w2", "w3"]).join(spoken, "w1").join(of(words, "f3", "w3"), "w3")
+    three = stored(three, "triples")
+    covered = lambda f: 100 * F.col("a") >= covers * F.col(f)
+    redundant = three.filter(covered("f12")).select("w1", "w2").union(three.filter(covered("f23")).select("w2", "w3")).distinct()
+    none = F.lit(0).cast("long")
+    kept = two.join(redundant, ["w1", "w2"], "left_anti").select("lang", "w1", "w2", F.lit(None).cast("long").alias("w3"), F.array("f1", "f2", none, "a", none, none).alias("f"))
+    scored = _scored(kept.unionByName(three.select("lang", "w1", "w2", "w3", F.array("f1", none, "f3", "f12", "f23", "a").alias("f"))))
+    # what ties with the last that may rank is kept until the phrases' texts are there
+    best = (F.desc("score"), F.desc("a"))
+    ahead = lambda frame, rank, *order: frame.withColumn("rank", rank.over(Window.partitionBy("lang", "shard").orderBy(*order))).filter(F.col("rank") <= top)
+    first = ahead(scored.withColumn("shard", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(SHARDS))), F.rank(), *best)
+    for k in (1, 2, 3):
+        first = first.join(words.select(F.col("w1").alias(f"w{k}"), F.col("word").alias(f"word{k}")), f"w{k}", "left")
+    named = first.withColumn("phrase", F.concat_ws(" ", "word1", "word2", "word3"))
+    ranked = ahead(named, F.row_number(), *best, F.asc("phrase"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best, F.asc("phrase"))).cast("long")).filter(F.col("rank") <= top)
+    few = F.broadcast(totals)  # a row for each language
     return ranked.join(few, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

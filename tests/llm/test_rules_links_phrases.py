@@ -290,3 +290,17 @@ def test_cut_scores_are_exact():
     assert cut_scores([a + 1, a + 2, a + 5, a + 3, a + 4, a]) == min([(a, a + 1, a + 4, 10**6 * a * a // ((a + 1) * (a + 4))), (a, a + 3, a + 5, 10**6 * a * a // ((a + 3) * (a + 5)))], key=lambda x: x[3])
     assert cut_scores([10, 20, 0, 10, 0, 0]) == (10, 10, 20, 500_000)
     assert cut_scores([20, 20, 20, 20, 20, 20]) == (20, 20, 20, 10**6)
+
+
+def test_texts_are_read_once_for_each_length_however_many_candidates(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(stream):
+        for batch in stream:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(f"w{i} x{i} y{i}. " * 3, "en") for i in range(100)]
+    docs = spark.createDataFrame(rows, "text string, lang string").mapInArrow(passed, "text string, lang string")
+    assert collocations(docs, least=3, most_slots=40).count() == 100
+    assert read.value == 3 * len(rows)
