@@ -146,11 +146,14 @@ def trimmed(a: Column | str, b: Column | str, left: int, right: int) -> Column:
     """
 
     def ends(x):
-        base = lambda t, p: F.substring(x[t], p, F.lit(1))
-        flags = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x["a"]), F.lit(1))), lambda p: F.when((base("a", p) != base("b", p)) | (base("a", p) == "n") | (base("b", p) == "n"), "1").otherwise("0")), "")
-        half = F.floor(F.length(x["a"]) / 2).cast("int")
-        skipped = lambda text, n: F.length(F.regexp_extract(text, f"^(?:0{{0,{n - 1}}}1)*", 0)) if n else F.lit(0)
-        return F.struct((skipped(F.substring(flags, F.lit(1), half), left) + left).alias("start"), (F.length(x["a"]) - skipped(F.reverse(F.substring(flags, half + 1, F.length(flags))), right) - right).alias("end"))
+        # what counts from an outer end to the last stop that has fewer than a flank's bases before it; stops are few, so these steps are too
+        stops = differing(F.translate(x["a"], "n", "\x01"), F.translate(x["b"], "n", "\x02"))  # unknown bases differ from all
+        return bound({"stops": stops, "n": F.length(x["a"]), "half": F.floor(F.length(x["a"]) / 2).cast("int")}, inner)
+
+    def inner(y):
+        first = F.aggregate(F.filter(y["stops"], lambda p: p <= y["half"]), F.lit(0), lambda at, p: F.when(p - at <= left, p).otherwise(at))
+        last = F.aggregate(F.reverse(F.filter(y["stops"], lambda p: p > y["half"])), y["n"] + 1, lambda at, p: F.when(at - p <= right, p).otherwise(at))
+        return F.struct((first + left).alias("start"), (last - 1 - right).alias("end"))
 
     return bound({"a": _col(a), "b": _col(b)}, ends)
 
