@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.sequences import differing
+
 
 def suffixed_join(left: DataFrame, right: DataFrame, on: list[str], suffix: str) -> DataFrame:
     """Inner join on several keys; the right side's other columns get the suffix where the left has them too."""
@@ -83,15 +85,24 @@ def resampled_families(frame: DataFrame, by: str, member: str, most: int, draws:
 def consensus(frame: DataFrame, by: str, start: str, text: str, key: str, seed: str = "v") -> DataFrame:
     """(by, consensus): at each position a base of a member that isn't the start's, picked by a digest, else the start's.
 
-    Positions beyond the shortest member are cut.  Votes are pre-aggregated by position, so a family of any size is one row each.
+    Positions beyond the shortest member are cut.  Only bases that differ from the start's are votes, and these are
+    pre-aggregated by position, so a family of any size is one row each.  Members of one family may have different
+    starts: the least of their bases counts then.  Null families and texts are left out.
     """
-    spread = frame.select(by, key, start, F.posexplode(F.split(text, "")).alias("i", "base")).filter("base <> ''")
-    other = (F.col("base") != F.substring(F.col(start), F.col("i") + 1, F.lit(1))) & (F.col("base") != "n")
-    vote = F.when(other, F.struct(F.md5(F.concat(F.lit(seed), F.concat_ws("-", key, "i"))).alias("tie"), "base"))
-    found = spread.groupBy(by, "i").agg(F.coalesce(F.min(vote)["base"], F.min(F.substring(F.col(start), F.col("i") + 1, F.lit(1)))).alias("base"))
-    shortest = frame.groupBy(by).agg(F.min(F.length(text)).alias("least"))
-    rows = found.join(shortest, by).filter("i < least").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "base"))).alias("all"))
-    return rows.select(by, F.array_join(F.transform("all", lambda x: x["base"]), "").alias("consensus"))
+    # each member once: a row for itself (at 0) and one for each vote
+    rows = frame.select(by, key, start, text, F.explode(F.concat(F.array(F.lit(0)), differing(text, start))).alias("at"))
+    own, i, base = F.col("at") == 0, F.col("at") - 1, F.substring(F.col(text), F.col("at"), F.lit(1))
+    tie = F.unhex(F.md5(F.concat(F.lit(seed), F.concat_ws("-", key, i))))
+    rows = rows.select(by, i.alias("i"), F.when(own, F.col(start)).alias("begin"), F.when(own, F.length(text)).alias("length"), F.when(~own, F.struct(tie.alias("tie"), base.alias("base"))).alias("vote"))
+    rows = rows.filter(F.col(by).isNotNull() & (F.col("vote").isNull() | ~F.col("vote.base").isin("", "n")))
+    chosen = rows.groupBy(by, "i", "begin").agg(F.min("vote")["base"].alias("base"), F.min("length").alias("length"))
+    families = chosen.groupBy(by).agg(F.min("length").alias("least"), F.collect_list("begin").alias("starts"), F.array_sort(F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "base")))).alias("changes"))
+    letters = F.transform(F.sequence(F.lit(1), F.col("least")), lambda p: F.coalesce(F.array_min(F.transform("starts", lambda s: F.substring(s, p, F.lit(1)))), F.lit("")))
+    spread = F.aggregate("changes", letters, lambda all, c: F.when(c["i"] < F.size(all), F.concat(F.slice(all, F.lit(1), c["i"]), F.array(c["base"]), F.slice(all, c["i"] + 2, F.size(all)))).otherwise(all))
+    # one start as long as the result, as nearly always: bases are put into the text
+    whole = F.aggregate("changes", F.substring(F.get("starts", F.lit(0)), F.lit(1), F.col("least")), lambda all, c: F.when(c["i"] < F.length(all), F.overlay(all, c["base"], c["i"] + 1, F.lit(1))).otherwise(all))
+    plain = (F.size("starts") == 1) & (F.length(F.get("starts", F.lit(0))) >= F.col("least"))
+    return families.filter("least > 0").select(by, F.when(plain, whole).otherwise(F.array_join(spread, "")).alias("consensus"))
 
 
 def gap_aligned(pos: Column, gaps: Column) -> Column:
