@@ -10,11 +10,13 @@ once; combinations are as many as windows (4**k), not as sites.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,18 @@ from .generators import FeatureSet, codes_of
 MOST_COMBINATIONS = 1_000_000  # rows of counts that the driver takes
 
 
+def _distinct_rows(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, in order, and how often each occurs; rows are sorted as one number each where they fit into it."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    low = keys.min(axis=0)
+    spans = [int(x) for x in keys.max(axis=0) - low + 1]
+    if math.prod(spans) >= 1 << 62:
+        return np.unique(keys, axis=0, return_counts=True)
+    kept, n = np.unique(np.ravel_multi_index(tuple((keys - low).T), spans), return_counts=True)
+    return np.column_stack(np.unravel_index(kept, spans)) + low, n
+
+
 def outcome_counts(seqs: DataFrame, features: FeatureSet, fold: str | None = None) -> DataFrame:
     """(fold, features, own, target, n): how many sites have these features, this base and this outcome (-1: not mutated); rows (gs, mutations).
 
@@ -33,19 +47,23 @@ def outcome_counts(seqs: DataFrame, features: FeatureSet, fold: str | None = Non
 
     def work(stream):
         for batch in stream:
-            texts, listed, folds = batch.column("gs").to_pylist(), batch.column("mutations").to_pylist(), np.array(batch.column("fold").to_pylist(), np.int64)
+            texts, listed, folds = batch.column("gs").to_pylist(), batch.column("mutations"), np.array(batch.column("fold").to_pylist(), np.int64)
+            owner, flat = pc.list_parent_indices(listed).to_numpy(), pc.list_flatten(listed)
+            at, base = flat.field("pos").to_numpy(zero_copy_only=False) - 1, pc.index_in(flat.field("target"), pa.array(list("acgt")))
+            if base.null_count:
+                raise ValueError("a mutation's target is none of acgt")
+            base = base.to_numpy()
             for lo in range(0, len(texts), 2048):
                 part = [x or "" for x in texts[lo : lo + 2048]]
                 codes = codes_of(part)
                 target = np.full(codes.shape, -1, np.int64)
-                for i, found in enumerate(listed[lo : lo + 2048]):
-                    for m in found or ():
-                        target[i, m["pos"] - 1] = "acgt".index(m["target"])
+                own = slice(*np.searchsorted(owner, [lo, lo + 2048]))
+                target[owner[own] - lo, at[own]] = base[own]
                 place = np.arange(codes.shape[1])
                 inside = (place >= features.left) & (place < np.array([len(x) for x in part])[:, None] - features.right) & (codes >= 0)
                 row, site = np.nonzero(inside)
                 keys = np.column_stack([folds[lo + row], codes[row, site], target[row, site], features.index(codes)[row, site]])
-                kept, n = np.unique(keys, axis=0, return_counts=True)
+                kept, n = _distinct_rows(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0], pa.int32()), pa.array(kept[:, 3:].tolist(), pa.list_(pa.int32())), pa.array(kept[:, 1], pa.int32()), pa.array(kept[:, 2], pa.int32()), pa.array(n)], names=["fold", "features", "own", "target", "n"])
 
     number = F.col(fold).cast("int") if fold else F.lit(0)
