@@ -149,27 +149,28 @@ def _back(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
-def step_table(steps: np.ndarray, code: int) -> list[int]:
-    """symbol << 6 | length by the bits that follow: green and red in their place of a pixel, other symbols of the first code beyond 1 << 16.
+def step_values(steps: np.ndarray, code: int) -> np.ndarray:
+    """symbol << 6 | length of symbol << 4 | length: green and red in their place of a pixel, other symbols of the first code beyond 1 << 16.
 
     Six bits hold the sum of three lengths, so steps of a pixel's parts can be added up.
     """
     size, symbol = steps & 15, steps >> 4
     if code == 0:
         symbol = np.where(symbol < 256, symbol << 8, symbol + 65536)
-    return ((symbol << 16 if code == 1 else symbol) << 6 | size).tolist()
+    return (symbol << 16 if code == 1 else symbol) << 6 | size
 
 
-def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: int, total: int, cache_bits: int) -> tuple[list[int], int]:
+def entropy_pixels(words: list[int], at: int, tables: list[list[int]], width: int, total: int, cache_bits: int, known: list[int] | None = None) -> tuple[list[int], int]:
     """The pixels of an image of one code group, and the bit after it.
 
-    words: see words_of(); tables: see step_table(), for each of the five codes.
+    words: see words_of(); tables: see step_values(), for each of the five
+    codes, by the bits that follow; known: the pixels before the bit at.
     """
     greens, reds, blues, alphas, distances = tables
     opaque = len(alphas) == 1
     g_mask, r_mask, b_mask, a_mask, d_mask = (len(x) - 1 for x in tables)
     base = alphas[0] >> 6 << 24 if opaque else 0
-    out: list[int] = []
+    out: list[int] = known or []
     cache, shift = [0] * (1 << cache_bits), 32 - cache_bits
     add, filled, limit, literal = out.append, 0, 65536 + 280 + (1 << cache_bits if cache_bits else 0), 65536 << 6
     last = len(words) - 9
@@ -242,7 +243,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     if count == 1:
         begin = bits.at >> 3
-        found, at = entropy_pixels(words_of(bits.data, begin, len(bits.data)), bits.at & 7, [step_table(c.peek, k) for k, c in enumerate(groups[0])], width, total, cache_bits)
+        found, at = entropy_pixels(words_of(bits.data, begin, len(bits.data)), bits.at & 7, [step_values(c.peek, k).tolist() for k, c in enumerate(groups[0])], width, total, cache_bits)
         bits.at = 8 * begin + at
         return np.array(found, np.uint32)
     out: list[int] = []

@@ -17,7 +17,7 @@ from functools import cache, cached_property
 import numpy as np
 
 from .textops import mix
-from .webp import ALPHABETS, CACHE_FACTOR, CROSS_COLOUR, LENGTH_ORDER, NEAR, PALETTE, PREDICTOR, WebpError, _channels, _cross, _near, _pixels, _symbols, code_lengths, decode_image, entropy_pixels, step_table
+from .webp import ALPHABETS, CACHE_FACTOR, CROSS_COLOUR, LENGTH_ORDER, NEAR, PALETTE, PREDICTOR, WebpError, _channels, _cross, _near, _pixels, _symbols, code_lengths, decode_image, entropy_pixels, step_values
 
 WIDTH, MOST_ROWS = 64, 16384
 TILE = 4
@@ -25,8 +25,16 @@ MODES = (0, 1, 2, 4, 8, 9)
 FACTORS = (0, 16, 32)
 #: Fewer images than this of about one size are read one by one.
 FEW = 16
-_BY_ROW = (0, 1, 2, 3, 4, 8, 9)
+#: Fewer images than this are not worth a step of array operations for each pixel.
+LEAST_IN_STEP = 64
+#: Images and pixels that are read in step at once.
+MOST_LANES, MOST_PIXELS = 1536, 1 << 21
+_BY_ROW = np.isin(np.arange(16), (0, 1, 2, 3, 4, 8, 9))
 _EMPTY = np.zeros(0, np.int64)
+_LITERAL = 65536 << 6
+_VALUE_BITS = np.maximum(np.arange(40) - 2 >> 1, 0)
+_VALUE_LEAST = np.where(np.arange(40) < 4, np.arange(40), (2 + (np.arange(40) & 1)) << _VALUE_BITS) + 1
+_NEAR_X, _NEAR_Y = np.array([(0, 0), *NEAR]).T.copy()
 
 
 @cache
@@ -79,6 +87,22 @@ class Streams:
         return [data[8 * b : 8 * b + n] for b, n in zip(base.tolist(), ((self.sizes + 7) // 8).tolist(), strict=True)]
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """The order by several keys of no negative values, which together differ everywhere; the first counts most."""
+    packed, used = np.zeros(len(keys[0]), np.int64), 0
+    for key in reversed(keys):
+        packed |= key.astype(np.int64) << used
+        used += int(key.max(initial=0)).bit_length()
+    if used > 62:
+        return np.lexsort(keys[::-1])
+    own = len(packed).bit_length()
+    if used + own > 62:
+        return np.argsort(packed)
+    packed = packed << own | np.arange(len(packed))
+    packed.sort()
+    return packed & ((1 << own) - 1)
+
+
 def huffman_lengths(row: np.ndarray, symbol: np.ndarray, count: np.ndarray, rows: int, most: int) -> np.ndarray:
     """Huffman code lengths of the entries (ordered by row) of many codes; counts are halved until none is longer than `most`."""
     many = np.bincount(row, minlength=rows)
@@ -96,38 +120,36 @@ def huffman_lengths(row: np.ndarray, symbol: np.ndarray, count: np.ndarray, rows
     rows = int((many > 1).sum())
     if not rows:
         return out
-    order = np.lexsort((symbol, count, place[row]))
+    order = _order(place[row], count, symbol)
     n = many[rank][:rows]
     order = order[: n.sum()]
     at_row, at = np.repeat(np.arange(rows), n), np.arange(n.sum()) - np.repeat(_first(n), n)
     k = int(n[0])
     none = np.iinfo(np.int64).max // 4
-    leaf_w, inner_w = np.full((rows, k + 1), none), np.full((rows, k), none)
-    leaf_w[at_row, at] = count[order]
-    leaf_up, inner_up = np.zeros((rows, k + 1), np.int64), np.zeros((rows, k), np.int64)
-    leaf, inner = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    # by rank of the node, then row: what is next in a row moves on by `rows`
+    leaf_w, inner_w = np.full((k + 1) * rows, none), np.full(k * rows, none)
+    leaf_w[at * rows + at_row] = count[order]
+    leaf_up, inner_up = np.zeros((k + 1) * rows, np.int64), np.zeros(k * rows, np.int64)
+    leaf, inner = np.arange(rows), np.arange(rows)
     active = [int(x) for x in np.searchsorted(-n, -(np.arange(k - 1) + 1), "left")]  # rows with more than t + 1 symbols
-    lanes = np.arange(rows)
     for t, live in enumerate(active):
-        own = lanes[:live]
-        total = np.zeros(live, np.int64)
+        total = inner_w[t * rows : t * rows + live]
+        least = []
         for _ in range(2):
             a, b = leaf[:live], inner[:live]
-            x, y = leaf_w[own, a], inner_w[own, b]
-            take = x <= y
-            total += np.where(take, x, y)
-            some, other = take.nonzero()[0], (~take).nonzero()[0]
-            leaf_up[some, a[some]] = t
-            inner_up[other, b[other]] = t
-            leaf[some] += 1
-            inner[other] += 1
-        inner_w[:live, t] = total
-    depth = np.zeros((rows, k), np.int64)
+            x, y = leaf_w.take(a), inner_w.take(b)
+            least.append(np.minimum(x, y))
+            leaf_up[a], inner_up[b] = t, t  # the one that isn't taken is written again when it is
+            step = np.where(x <= y, rows, 0)
+            a += step
+            b += rows - step
+        np.add(*least, out=total)
+    depth = np.zeros(k * rows, np.int64)
+    lanes = np.arange(rows)
     for t in range(k - 3, -1, -1):
         live = active[t + 1]
-        own = lanes[:live]
-        depth[:live, t] = depth[own, inner_up[:live, t]] + 1
-    found = depth[at_row, leaf_up[at_row, at]] + 1
+        depth[t * rows : t * rows + live] = depth.take(inner_up[t * rows : t * rows + live] * rows + lanes[:live]) + 1
+    found = depth[leaf_up[at * rows + at_row] * rows + at_row] + 1
     out[order] = found
     long = np.bincount(at_row, weights=found > most, minlength=rows) > 0
     if long.any():
@@ -139,7 +161,7 @@ def huffman_lengths(row: np.ndarray, symbol: np.ndarray, count: np.ndarray, rows
 
 def _words(row: np.ndarray, symbol: np.ndarray, length: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(bits as the stream holds them, how many) of canonical codes' entries, ordered by row; a lone symbol takes none."""
-    order = np.lexsort((symbol, length, row))
+    order = _order(row, length, symbol)
     share = np.int64(1) << (15 - length[order])
     many = np.bincount(row, minlength=rows)
     running = np.cumsum(share) - share
@@ -217,10 +239,14 @@ def _write_codes(out: Streams, row: np.ndarray, symbol: np.ndarray, length: np.n
 
 
 def _last_equal(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    """For each place the last one before it of the same key, of at most 43 bits, or -1."""
+    keyed = keys.astype(np.uint64) << np.uint64(21) | np.arange(len(keys), dtype=np.uint64)
+    keyed.sort()
+    order = (keyed & np.uint64((1 << 21) - 1)).astype(np.int64)
+    keyed >>= np.uint64(21)
     out = np.full(len(keys), -1, np.int64)
-    same = keys[order[1:]] == keys[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
+    same = (keyed[1:] == keyed[:-1]).nonzero()[0]
+    out[order[same + 1]] = order[same]
     return out
 
 
@@ -230,8 +256,9 @@ def _copies(p: np.ndarray, owner: np.ndarray, most: int = 4096) -> tuple[np.ndar
     if n < 2:
         return _EMPTY, _EMPTY, _EMPTY
     wide = p.astype(np.uint64)
-    key = mix(mix(wide[:-2] << np.uint64(32) | wide[1:-1]) ^ wide[2:] ^ (owner[:-2].astype(np.uint64) << np.uint64(32)))
-    last = _last_equal(key)
+    # 33 bits of a hash, by image: windows that only share it are told apart below
+    key = mix(mix(wide[:-2] << np.uint64(32) | wide[1:-1]) ^ wide[2:]) >> np.uint64(31)
+    last = _last_equal(owner[:-2].astype(np.uint64) << np.uint64(33) | key)
     ok = (last >= 0) & (owner[:-2] == owner[2:]) & (owner[last] == owner[:-2]) & (p[last] == p[:-2]) & (p[last + 1] == p[1:-1]) & (p[last + 2] == p[2:])
     breaks = np.ones(n, bool)
     breaks[1:] = ~(ok[1:] & ok[:-1] & (last[1:] == last[:-1] + 1))
@@ -315,7 +342,7 @@ def _cost(values: np.ndarray, image: np.ndarray, total: np.ndarray) -> np.ndarra
     """256ths of a bit for each sample (rows, 64), by its image's own counts."""
     cell = (image[:, None] << 8) + values
     counts = np.bincount(cell.ravel(), minlength=len(total) << 8)
-    return _logs()[total][image][:, None] - _logs()[counts][cell]
+    return (np.repeat(_logs()[total], 256) - _logs()[counts]).take(cell)
 
 
 class _Batch:
@@ -330,10 +357,12 @@ class _Batch:
         self.total = self.heights * WIDTH
         self.tiles = (self.heights + (1 << TILE) - 1 >> TILE) * (WIDTH >> TILE)
         self.tile = (_first(self.tiles)[self.image] + (self.row >> TILE) * (WIDTH >> TILE))[:, None] + (np.arange(WIDTH) >> TILE)
+        self.tile_row = np.flatnonzero(self.row & ((1 << TILE) - 1) == 0)
         self.tile_image = np.repeat(np.arange(self.many), self.tiles)
 
     def by_tile(self, cost: np.ndarray) -> np.ndarray:
-        return np.bincount(self.tile.ravel(), weights=cost.ravel(), minlength=len(self.tile_image))
+        rows = np.add.reduceat(cost, self.tile_row, axis=0, dtype=np.int64)
+        return rows.reshape(len(rows), -1, 1 << TILE).sum(2).ravel()
 
     def predictions(self, image: np.ndarray):
         """What each of MODES makes of the stacked image, one after the other."""
@@ -505,18 +534,21 @@ class _Codes:
         count = np.bincount(cell, minlength=rows << 4).reshape(rows, 16)
         return np.cumsum(count << (15 - np.arange(16)), axis=1), self.begin[:, None] + np.cumsum(count, axis=1) - count
 
-    def tables(self, code: int) -> list[list[int]]:
-        """step_table() of every lane."""
-        alone = step_table(self.lone << 4, code)
-        return [[one] if lone else step_table(self.steps(k), code) for k, (lone, one) in enumerate(zip(self.alone.tolist(), alone, strict=True))]
-
-    def steps(self, lane: int) -> np.ndarray:
-        """symbol << 4 | length of one lane by the bits that follow, as many as its longest word has."""
-        a, b = self.begin[lane], self.begin[lane] + self.many[lane]
-        length = self.length[a:b]
-        longest = int(length[-1])
-        ordered = np.repeat(self.symbol[a:b] << 4 | length, np.int64(1) << (longest - length))
-        return ordered[_reversed15()[: 1 << longest] >> (15 - longest)]
+    def steps(self, code: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """step_values() of all lanes, by the bits that follow; where a lane's begin, and how many bits its longest word has."""
+        rows = len(self.many)
+        longest = np.zeros(rows, np.int64)
+        some = ~self.alone
+        longest[some] = self.length[(self.begin + self.many - 1)[some]]
+        size = np.int64(1) << longest
+        begin = _first(size)
+        own = np.flatnonzero(some[self.row])
+        ordered = np.zeros(int(size.sum()), np.int32)
+        ordered[begin[self.alone]] = step_values(self.lone[self.alone] << 4, code)
+        words = step_values(self.symbol[own] << 4 | self.length[own], code).astype(np.int32)
+        ordered[np.repeat(some, size)] = np.repeat(words, np.int64(1) << (longest[self.row[own]] - self.length[own]))
+        at = np.arange(len(ordered)) - np.repeat(begin, size)
+        return ordered[np.repeat(begin, size) + (_reversed15()[at] >> np.repeat(15 - longest, size))].astype(np.int64), begin, longest
 
     def read(self, lanes: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(symbols, bits taken) for the lanes from the bits that follow."""
@@ -546,6 +578,11 @@ class _Reader:
         self.most = len(data) - 8
         self.words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
 
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """The eight bytes from every second byte on."""
+        return np.ascontiguousarray(self.words[::2]).view(np.int64)
+
     def ahead(self, lanes: np.ndarray) -> np.ndarray:
         """At least 57 of the bits that follow."""
         at = self.at[lanes]
@@ -587,34 +624,65 @@ def _read_codes(bits: _Reader, lanes: np.ndarray, size: np.ndarray) -> _Codes:
         some = np.flatnonzero(limited)
         width = 2 + 2 * bits.read(lanes[s][some], 3)
         steps[some] = 2 + bits.read(lanes[s][some], width)
-        lengths = np.zeros((len(s), int(size[s].max())), np.int64)
-        at, last, live = np.zeros(len(s), np.int64), np.full(len(s), 8), np.arange(len(s))
-        most = size[s]
-        while len(live := live[(at[live] < most[live]) & (steps[live] > 0)]):
-            steps[live] -= 1
-            ahead = bits.ahead(lanes[s[live]])
-            symbol, taken = code.read(live, ahead)
-            plain = symbol < 16
-            extra = np.where(plain, 0, np.where(symbol == 16, 2, np.where(symbol == 17, 3, 7)))
-            n = ((ahead >> taken) & ((1 << extra) - 1)) + np.where(plain, 1, np.where(symbol == 18, 11, 3))
-            bits.at[lanes[s[live]]] += taken + extra
-            if (at[live] + n > most[live]).any():
-                raise WebpError("too many code lengths")
-            p = live[plain]
-            lengths[p, at[p]] = symbol[plain]
-            last[p] = np.where(symbol[plain] > 0, symbol[plain], last[p])
-            again = np.flatnonzero(symbol == 16)
-            for k in range(6 if len(again) else 0):
-                now = live[again[n[again] > k]]
-                lengths[now, at[now] + k] = last[now]
-            at[live] += n
-        r, sym = np.nonzero(lengths)
-        found.append((s[r], sym, lengths[r, sym]))
+        r, sym, length, bits.at[lanes[s]] = _lengths_in_step(bits, bits.at[lanes[s]], code, steps, size[s])
+        found.append((s[r], sym, length))
     row, symbol, length = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((symbol, row))
+    if (symbol >= size[row]).any():
+        raise WebpError("no such symbol")
+    order = np.argsort(row << 12 | symbol, kind="stable")
     return _Codes(row[order], symbol[order], length[order], rows)
 
 
+def _lengths_in_step(bits: _Reader, at: np.ndarray, code: _Codes, steps: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(lanes, symbols, code lengths) that run-length tokens of each lane mean, as many as steps or until size symbols are named, and the bits after them."""
+    table, begin, longest = code.steps(2)
+    token, n_bits = table >> 6, table & 63
+    extra = np.where(token < 16, 0, np.array([2, 3, 7])[np.maximum(token - 16, 0)])
+    least = np.where(token < 16, 1, np.where(token == 18, 11, 3))
+    # a token's least run, mask of extra bits, bits in all, bits of its word, and itself
+    table = ((least << 7 | (1 << extra) - 1) << 5 | n_bits + extra) << 8 | n_bits << 5 | token
+    # a column for each lane at work
+    state = np.stack([np.arange(len(at)), at, np.zeros_like(at), steps, size, begin, (1 << longest) - 1])
+    ends, tokens = at.copy(), []
+    words = bits.pairs
+    while state.shape[1]:
+        lane, at, place, left, most, begin, mask = state
+        live = True
+        while live:
+            ahead = words.take(at >> 4, mode="clip")
+            ahead >>= at & 15
+            index = ahead & mask
+            index += begin
+            step = table.take(index)
+            ahead >>= step >> 5 & 7
+            ahead &= step >> 13 & 127
+            ahead += step >> 20
+            tokens.append((lane, step & 31, ahead))
+            at += step >> 8 & 31
+            place += ahead
+            left -= 1
+            done = (left <= 0) | (place >= most)
+            live = not done.any()
+        if (place > most).any():
+            raise WebpError("too many code lengths")
+        ends[lane[done]] = at[done]
+        state = state[:, ~done]
+    lane, token, n = (np.concatenate(x) for x in zip(*tokens, strict=True))
+    order = np.argsort(lane.astype(np.uint16 if len(ends) <= 1 << 16 else np.int64), kind="stable")
+    lane, token, n = lane[order], token[order], n[order]
+    place = _first(n)
+    many = np.bincount(lane, minlength=len(ends))
+    first = _first(many)
+    place -= place[first][lane]
+    # a repeat means the last length before it that isn't zero
+    known = np.where((token > 0) & (token < 16), np.arange(len(token)), -1)
+    last = np.maximum.accumulate(known)
+    value = np.where(last >= first[lane], token[last], 8)
+    n = np.where(token == 16, n, known >= 0)
+    entry = np.repeat(np.arange(len(n)), n)
+    return lane[entry], place[entry] + np.arange(len(entry)) - _first(n)[entry], value[entry], ends
+
+
 def _read_lanes(bits: _Reader, lanes: np.ndarray, width: np.ndarray, height: np.ndarray, main: bool) -> tuple[list[np.ndarray], np.ndarray]:
     """The entropy-coded image of each lane as flat pixels, and which lanes have several code groups and were left."""
     cache_bits = np.zeros(len(lanes), np.int64)
@@ -630,20 +698,128 @@ def _read_lanes(bits: _Reader, lanes: np.ndarray, width: np.ndarray, height: np.
     if not len(ids):
         return out, left
     codes = [_read_codes(bits, lanes, np.full(len(lanes), n) + (np.where(cache_bits > 0, 1 << cache_bits, 0) if k == 0 else 0)) for k, n in enumerate(ALPHABETS)]
-    tables = list(zip(*(c.tables(j) for j, c in enumerate(codes)), strict=True))
-    for k, i in enumerate(ids.tolist()):
-        if all(c.alone[k] for c in codes[:4]) and codes[0].lone[k] < 256:  # no bits at all
-            green, red, blue, alpha = (int(c.lone[k]) for c in codes[:4])
-            out[i] = np.full(total[k], alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
-            continue
-        at = int(bits.at[lanes[k]])
-        words = bits.words[at >> 3 : (int(bits.end[lanes[k]]) >> 3) + 9].tolist()
-        pixels, to = entropy_pixels(words, at & 7, tables[k], int(width[k]), int(total[k]), int(cache_bits[k]))
-        bits.at[lanes[k]] = (at & ~7) + to
-        out[i] = np.array(pixels, np.uint32)
+    bare = np.logical_and.reduce([c.alone for c in codes[:4]]) & (codes[0].lone < 256)  # no bits at all
+    colour = codes[3].lone << 24 | codes[1].lone << 16 | codes[0].lone << 8 | codes[2].lone
+    for k in np.flatnonzero(bare).tolist():
+        out[ids[k]] = np.full(total[k], colour[k], np.uint32)
+    some = np.flatnonzero(~bare)
+    if len(some):
+        found = _pixels_in_step(bits, lanes, some, codes, width, total, cache_bits)
+        for k, pixels in zip(some.tolist(), found, strict=True):
+            out[ids[k]] = pixels
     return out, left
 
 
+def _pixels_in_step(bits: _Reader, lanes: np.ndarray, some: np.ndarray, codes: list[_Codes], width: np.ndarray, total: np.ndarray, cache_bits: np.ndarray) -> list[np.ndarray]:
+    """The pixels of some lanes: a pixel or a copy of each lane in a step, and one by one once few lanes are left."""
+    tables, masks, begins = [], [], []
+    held = 0
+    for k, code in enumerate(codes):
+        table, begin, longest = code.steps(k)
+        tables.append(table)
+        begins.append(begin[some] + held)
+        masks.append((np.int64(1) << longest[some]) - 1)
+        held += len(table)
+    table = np.concatenate(tables)
+    total, width, cache_bits = total[some], width[some], cache_bits[some]
+    first = _first(total)
+    out = np.zeros(int(total.sum()), np.int64)
+    colours = np.int64(1) << cache_bits
+    cache, with_cache = np.zeros(int(colours.sum()), np.int64), bool(cache_bits.any())
+    opaque = bool(codes[3].alone[some].all())
+    alpha = codes[3].lone[some] << 24 if opaque else np.zeros(len(some), np.int64)
+    # a column for each lane at work
+    state = np.stack([np.arange(len(some)), bits.at[lanes[some]], first, first + total, *begins[:3], *masks[:3], alpha, 32 - cache_bits, _first(colours)])
+    stopped = np.zeros((2, len(some)), np.int64)
+    words = bits.pairs
+    while state.shape[1] >= LEAST_IN_STEP:
+        lane, at, place, end, g_begin, r_begin, b_begin, g_mask, r_mask, b_mask, base, shift, slots = state
+        live = True
+        while live:
+            ahead = words.take(at >> 4, mode="clip")
+            ahead >>= at & 15
+            index = ahead & g_mask
+            index += g_begin
+            step = table.take(index)
+            special = (step >= _LITERAL).nonzero()[0]
+            ahead >>= step & 63
+            index = ahead & r_mask
+            index += r_begin
+            red = table.take(index)
+            ahead >>= red & 63
+            index = ahead & b_mask
+            index += b_begin
+            red += table.take(index)
+            if len(special):
+                first_step = step[special]
+            step += red
+            taken = step & 63
+            step >>= 6
+            step += base
+            if not opaque:
+                index = words.take((at + taken) >> 4, mode="clip") >> (at + taken & 15)
+                index = table[begins[3][lane] + (index & masks[3][lane])]
+                taken += index & 63
+                step += index >> 6 << 24
+            if len(special):
+                taken[special] = first_step & 63
+                symbol = (first_step >> 6) - 65536 - 280  # within its alphabet, so a colour that the cache has
+                step[special] = cache.take(slots[special] + symbol, mode="clip")
+                copies = (symbol < 0).nonzero()[0]
+                if len(copies):
+                    of = special[copies]
+                    own = lane[of]
+                    many, now = _values_in_step(words, at[of] + taken[of], symbol[copies] + 24)
+                    found = table.take(begins[4][own] + (words.take(now >> 4, mode="clip") >> (now & 15) & masks[4][own]))
+                    far, now = _values_in_step(words, now + (found & 63), found >> 6)
+                    near = np.maximum(1, _NEAR_X.take(far, mode="clip") + _NEAR_Y.take(far, mode="clip") * width[own])
+                    back = np.where(far > 120, far - 120, near)
+                    to = place[of]
+                    if (back > to - first[own]).any() or (to + many > end[of]).any():
+                        raise WebpError("a back-reference leaves the image")
+                    taken[of] = now - at[of]
+                    k = np.arange(int(many.sum())) - np.repeat(_first(many), many)
+                    copied = out[np.repeat(to - back, many) + k % np.repeat(back, many)]
+                    out[np.repeat(to, many) + k] = copied
+                    if with_cache:
+                        cache[np.repeat(slots[of], many) + ((copied * CACHE_FACTOR & 0xFFFFFFFF) >> np.repeat(shift[of], many))] = copied
+                    step[of] = copied[np.cumsum(many) - 1]
+                    place[of] += many - 1
+            out[place] = step
+            if with_cache:
+                step_slot = step * CACHE_FACTOR
+                step_slot &= 0xFFFFFFFF
+                step_slot >>= shift
+                step_slot += slots
+                cache[step_slot] = step
+            at += taken
+            place += 1
+            live = bool((place < end).all())
+        done = place >= end
+        stopped[:, lane[done]] = state[1:3, done]
+        state = state[:, ~done]
+    stopped[:, state[0]] = state[1:3]
+    pixels = out.astype(np.uint32)
+    bits.at[lanes[some]] = stopped[0]
+    found = [pixels[a:b] for a, b in zip(first.tolist(), (first + total).tolist(), strict=True)]
+    for k in state[0].tolist():
+        begin = int(stopped[0, k])
+        own = [table[begins[j][k] : begins[j][k] + masks[j][k] + 1].tolist() for j in range(5)]
+        known = out[first[k] : stopped[1, k]].tolist()
+        ahead = bits.words[begin >> 3 : (int(bits.end[lanes[some[k]]]) >> 3) + 9].tolist()
+        one, to = entropy_pixels(ahead, begin & 7, own, int(width[k]), int(total[k]), int(cache_bits[k]), known)
+        bits.at[lanes[some[k]]] = (begin & ~7) + to
+        found[k] = np.array(one, np.uint32)
+    return found
+
+
+def _values_in_step(words: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances from their prefix symbols, and the bits after them."""
+    more = _VALUE_BITS.take(symbol)
+    extra = words.take(at >> 4, mode="clip") >> (at & 15) & ((1 << more) - 1)
+    return _VALUE_LEAST.take(symbol) + extra, at + more
+
+
 def _unpredicted(rests: list[np.ndarray], modes: list[np.ndarray], tile: int) -> list[np.ndarray]:
     """Images (height, width, alpha red green blue) of one width and tile size, in step: a row's tiles from left to right."""
     height = np.array([len(x) for x in rests])
@@ -708,7 +884,7 @@ def _decode_lanes(files: list[bytes]) -> list[np.ndarray | None]:
                 found, _ = _read_lanes(bits, some, across, down, False)
                 for i, p, w, t in zip(some.tolist(), found, across.tolist(), tile.tolist(), strict=True):
                     steps[i].append((k, t, p.reshape(-1, w), int(own[i])))
-                    single[i] |= k == PREDICTOR and not np.isin((p >> 8) & 15, _BY_ROW).all()
+                    single[i] |= k == PREDICTOR and not _BY_ROW[p >> 8 & 15].all()
             elif k == PALETTE:
                 size = bits.read(some, 8) + 1
                 found, _ = _read_lanes(bits, some, size, np.ones(len(some), np.int64), False)
@@ -771,14 +947,21 @@ def _from_palette(image: np.ndarray, colours: np.ndarray, pack: int, width: int)
     return table[(image[..., 2][:, at >> pack] >> (depth * (at & ((1 << pack) - 1))).astype(np.uint8)) & np.uint8((1 << depth) - 1)]
 
 
+def _pixels_of(file: bytes) -> int:
+    size = int.from_bytes(file[21:25], "little")
+    return ((size & 0x3FFF) + 1) * ((size >> 14 & 0x3FFF) + 1)
+
+
 def decode_batch(files: list[bytes]) -> list[np.ndarray]:
     """Samples (height, width, red green blue) of each lossless WebP file."""
     out: list[np.ndarray | None] = [None] * len(files)
     order = sorted(range(len(files)), key=lambda k: len(files[k]))
+    pixels = [_pixels_of(x) for x in files]
     begin = 0
     while begin < len(order):
-        end = begin
-        while end < len(order) and end - begin < 768 and len(files[order[end]]) <= 256 + 1.5 * len(files[order[begin]]):
+        end, held = begin, 0
+        while end < len(order) and end - begin < MOST_LANES and (held == 0 or held + pixels[order[end]] <= MOST_PIXELS) and len(files[order[end]]) <= 256 + 3 * len(files[order[begin]]):
+            held += pixels[order[end]]
             end += 1
         own = order[begin:end]
         if len(own) >= FEW:

@@ -124,3 +124,53 @@ def test_broken_streams_are_refused():
             webp_lanes.decode_batch([broken])
         with pytest.raises(webp.WebpError):
             webp_lanes._decode_lanes([broken] * 20)
+
+
+def _one_by_one(monkeypatch) -> list[int]:
+    """How many pixels each call of the single symbol loop adds."""
+    inner, added = webp_lanes.entropy_pixels, []
+
+    def counted(words, at, tables, width, total, cache_bits, known=None):
+        before = len(known or ())
+        found = inner(words, at, tables, width, total, cache_bits, *([known] if known else []))
+        added.append(len(found[0]) - before)
+        return found
+
+    monkeypatch.setattr(webp_lanes, "entropy_pixels", counted)
+    return added
+
+
+def test_many_images_are_read_in_step(monkeypatch):
+    """Most pixels of a large batch don't pass the loop over one image's symbols."""
+    added, payloads = _one_by_one(monkeypatch), _many(1500)
+    assert [x.tobytes() for x in webp_lanes.read_payloads(webp_lanes.store_payloads(payloads))] == payloads
+    assert sum(added) < 0.25 * sum(map(len, payloads)) / 3
+
+
+@pytest.mark.parametrize("least", [1, 8, 1 << 30])
+def test_lanes_in_step_read_as_the_single_decoder(monkeypatch, least):
+    """All images in step, some handed over before their end, none in step: alpha, caches of every size, copies near and far, runs of bare codes."""
+    monkeypatch.setattr(webp_lanes, "LEAST_IN_STEP", least)
+    added, files = _one_by_one(monkeypatch), []
+    for k in range(60):
+        name = list(IMAGES)[k % len(IMAGES)]
+        image = IMAGES[name] if k % 2 else RNG.choice(np.array([3, 0x12345678, 0xFF000001, 1 << 24], np.uint32), (1 + k % 11, 1 + k * 3))
+        files.append(webp.encode_image(image, cache_bits=k % 12))
+    repeated = np.tile(RNG.integers(0, 2**32, (3, 50), dtype=np.uint32), (40, 1))
+    files.append(webp.encode_image(repeated, cache_bits=4))
+    found = webp_lanes._decode_lanes(files)
+    for file, x in zip(files, found, strict=True):
+        image = webp.decode_image(file)
+        assert (x == np.stack([(image >> np.uint32(k)) & np.uint32(255) for k in (16, 8, 0)], -1)).all()
+    assert (sum(added) == 0) == (least == 1)
+
+
+def test_codes_of_many_rows_cost_what_single_ones_do():
+    many = RNG.integers(1, 90, 300)
+    row, symbol = np.repeat(np.arange(300), many), np.concatenate([np.sort(RNG.choice(300, n, replace=False)) for n in many])
+    count = np.maximum(1, RNG.pareto(0.7, len(row)).astype(np.int64) % 100_000)
+    got = webp_lanes.huffman_lengths(row, symbol, count, 300, 15)
+    for r in range(300):
+        own = row == r
+        want = np.array(webp.code_lengths(dict(zip(symbol[own].tolist(), count[own].tolist(), strict=True)), 300))
+        assert (got[own] == want[symbol[own]]).all()
