@@ -256,10 +256,18 @@ def _copies(p: np.ndarray, owner: np.ndarray, most: int = 4096) -> tuple[np.ndar
     if n < 2:
         return _EMPTY, _EMPTY, _EMPTY
     wide = p.astype(np.uint64)
-    # 33 bits of a hash, by image: windows that only share it are told apart below
-    key = mix(mix(wide[:-2] << np.uint64(32) | wide[1:-1]) ^ wide[2:]) >> np.uint64(31)
-    last = _last_equal(owner[:-2].astype(np.uint64) << np.uint64(33) | key)
-    ok = (last >= 0) & (owner[:-2] == owner[2:]) & (owner[last] == owner[:-2]) & (p[last] == p[:-2]) & (p[last + 1] == p[1:-1]) & (p[last + 2] == p[2:])
+    key, own = mix(mix(wide[:-2] << np.uint64(32) | wide[1:-1]) ^ wide[2:]), owner[:-2]
+    whole = own == owner[2:]
+    # a part of the hash nearly always does; where other windows share it, all of it is sorted
+    last = _last_equal(own.astype(np.uint64) << np.uint64(33) | key >> np.uint64(31))
+    same = (p[last] == p[:-2]) & (p[last + 1] == p[1:-1]) & (p[last + 2] == p[2:])
+    if (whole & (last >= 0) & ~same).any():
+        order = np.lexsort((key, own))
+        equal = ((key[order[1:]] == key[order[:-1]]) & (own[order[1:]] == own[order[:-1]])).nonzero()[0]
+        last = np.full(n, -1, np.int64)
+        last[order[equal + 1]] = order[equal]
+        same = (p[last] == p[:-2]) & (p[last + 1] == p[1:-1]) & (p[last + 2] == p[2:])
+    ok = whole & (last >= 0) & same
     breaks = np.ones(n, bool)
     breaks[1:] = ~(ok[1:] & ok[:-1] & (last[1:] == last[:-1] + 1))
     end = np.append(np.flatnonzero(breaks)[1:], n)[np.cumsum(breaks) - 1]  # where this run of windows ends
