@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from motifspark.operators import features, hazards, models, trees
+from motifspark.operators import features, hazards, models, statistics, trees
 from motifspark.plans.model_queries import THREE
 from motifspark.sources.derived import seqs
 
@@ -70,3 +70,13 @@ def test_compact_steps_give_the_same_sums(spark, sf):
         want, got = models.point_at(orders, features_, values, True), models.point_at(compact, features_, values, True)
         assert got.n == want.n and got.log_lik == pytest.approx(want.log_lik)
         assert np.allclose(got.slope, want.slope, atol=1e-8) and np.allclose(got.bend, want.bend, atol=1e-8)
+
+
+def test_probabilities_of_large_values(spark):
+    """Counts grow with the tables, and exp(-count / 100) is 0 from 9,000,000 sequences on: the shares were divided by 0."""
+    values = {"acg": [1800.0, 1801.0, 1803.0], "cgt": [-1800.0, -1799.0, 5000.0], "gta": [0.5, 0.25, 0.0]}
+    rows = spark.createDataFrame([(m, t, x) for m, own in values.items() for t, x in zip("acg", own, strict=True)], "motif string, target string, theta double")
+    got = {(r["motif"], r["target"]): r["probability"] for r in statistics.target_probabilities(rows, "motif", "theta").collect()}
+    for motif, own in values.items():
+        share = np.exp(min(own) - np.array(own))
+        assert [got[motif, t] for t in "acg"] == pytest.approx(share / share.sum())
