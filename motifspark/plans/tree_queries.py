@@ -9,7 +9,7 @@ from motifspark.functions.sequences import rounded
 from motifspark.operators import trees
 from motifspark.operators.generators import FeatureSet, MotifFeatures
 from motifspark.sources import datasets
-from motifspark.sources.derived import genes, seqs
+from motifspark.sources.derived import ends, genes, seqs
 
 from .comparison_queries import _HEX, _PAIR32, _pair32
 from .registry import derived, register
@@ -35,10 +35,11 @@ def t1_observed(spark, d):
 
 def _families(spark, d):
     """A tree for each gene: the gene at the root (node 0), three inner nodes without a sequence, and its sequences as leaves."""
-    rows = seqs(spark, d).select(F.col("gk").alias("tree"), (F.col("sk") + 10).alias("leaf"), (F.col("sk") % 3 + 1).alias("inner"), "es")
+    rows = seqs(spark, d).select(F.col("gk").alias("tree"), (F.col("sk") + 10).alias("leaf"), (F.col("sk") % 3 + 1).alias("inner"))
+    leaves = ends(spark, d).select(F.col("gk").alias("tree"), (F.col("sk") + 10).alias("node"), F.col("es").alias("sequence"))
     edges = rows.select("tree", F.col("inner").alias("parent_id"), F.col("leaf").alias("child_id")).unionByName(rows.select("tree", F.lit(0).cast("long").alias("parent_id"), F.col("inner").alias("child_id")).distinct())
     roots = genes(spark, d).select(F.col("gk").alias("tree"), F.lit(0).cast("long").alias("node"), F.col("gs").alias("sequence")).join(rows.select("tree").distinct(), "tree", "left_semi")
-    return edges, roots.unionByName(rows.select("tree", F.col("leaf").alias("node"), F.col("es").alias("sequence")))
+    return edges, roots.unionByName(leaves)
 
 
 _IMPUTED = """,
@@ -64,7 +65,7 @@ def t2_needed(spark, d):
 def t3(spark, d):
     """The likelihood of each gene's tree with its imputed ancestors, under 3-mer coefficients."""
     edges, sequences = _families(spark, d)
-    return trees.tree_likelihoods(edges, trees.impute_ancestors(edges, sequences), FeatureSet([MotifFeatures(3, 1)]), (np.arange(64) % 7 / 7.0)[:, None], samples=50)
+    return trees.pairs_likelihoods(trees.imputed_pairs(edges, sequences), FeatureSet([MotifFeatures(3, 1)]), (np.arange(64) % 7 / 7.0)[:, None], samples=50, clean=True)
 
 
 def _members(spark, d):

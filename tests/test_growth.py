@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from motifspark.operators import features, hazards, models, statistics, trees
 from motifspark.plans.model_queries import THREE
-from motifspark.sources.derived import seqs
+from motifspark.sources.derived import ends, seqs
 
 EDGES, SEQUENCES = "tree long, parent_id long, child_id long", "tree long, node long, sequence string"
 
@@ -29,6 +30,19 @@ def test_ancestors_write_a_row_for_each_node(spark, monkeypatch):
     assert max(written) == 15
 
 
+def test_likelihoods_of_trees_are_not_joined_back(spark, sf):
+    """Pairs came from two joins of all sequences, were written, and their likelihoods were joined to them by name."""
+    plan = __spark_entry__.queries()["T3_tree_likelihoods"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "edge = " not in plan
+
+
+def test_known_bases_are_not_cleaned(spark, monkeypatch):
+    """Pairs without an unknown base went through the column functions that fill them, place by place."""
+    monkeypatch.setattr(trees, "cleaned_pair", lambda *a: F.raise_error(F.lit("cleaned")))
+    rows = spark.createDataFrame([(1, "acgtacgtacgt", "ACGTACTTACGT")], "key long, start string, end string")
+    assert [(r["gs"], r["mutations"][0]["pos"]) for r in trees.observed_pairs(rows, 2, 1, "key").collect()] == [("acgtacgtacgt", 7)]
+
+
 def test_pairs_are_cleaned_once(spark):
     """The optimiser put the cleaning in wherever a filter or a field named it."""
     rows = spark.createDataFrame([(1, "acgtnacgtacgt", "acgttacgaacgt")], "key long, start string, end string")
@@ -50,6 +64,11 @@ def test_counts_are_read_once(spark, sf, name):
     assert "o_orderkey" not in plan
 
 
+def test_ends_are_those_of_the_sequences(spark, sf):
+    """They need no order of mutations."""
+    assert ends(spark, sf).exceptAll(seqs(spark, sf).select("sk", "gk", "es")).count() == 0 and ends(spark, sf).count() == seqs(spark, sf).count()
+
+
 def test_runs_are_found_in_their_row(spark, sf):
     assert "Window" not in __spark_entry__.queries()["W5_run_lengths"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 

@@ -49,6 +49,23 @@ def test_steps_and_sums_are_those_of_single_rows(which):
                 assert orders.summed(logs)[r] == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("which", range(3))
+@pytest.mark.parametrize("wide", [1.0, 30.0])
+def test_sums_are_those_of_the_steps(which, wide):
+    """With and without logarithms: mutations next to each other and apart, at sites that can't mutate, of rates far apart."""
+    features, columns = SETS[which]
+    theta = np.random.default_rng(which).normal(size=(features.size, columns)) * wide
+    theta[::9] = -np.inf
+    windows = orders.Windows(features, theta, 30)
+    assert (windows.least < orders.LEAST_STEP * 30) == (wide > 1)
+    for n in (1, 2, 5, 9):
+        rows = [made(seed, n, features, longest) for seed in range(12) for longest in (14, 30)]
+        places = np.array([sorted(t) for _, t in rows])
+        targets = np.array([["acgt".index(t[p]) for p in sorted(t)] for _, t in rows])
+        given = windows, orders.codes_of([x for x, _ in rows]), np.array([len(x) for x, _ in rows]), places - 1, targets
+        assert orders.sums(*given) == pytest.approx(orders.summed(orders.step_logs(*given)), abs=1e-9)
+
+
 def test_drawn_orders_follow_their_likelihood_however_rows_are_dealt(spark):
     features, theta = SETS[0][0], np.random.default_rng(5).normal(size=(64, 1))
     text, own = made(3, 3, features)

@@ -157,3 +157,29 @@ def test_likelihood_of_a_tree_is_the_sum_of_its_edges(spark, columns):
         sequences += [(tree, k, s) for k, s in texts.items()]
     got = {r["tree"]: r for r in trees.tree_likelihoods(spark.createDataFrame(edges, EDGES), spark.createDataFrame(sequences, SEQUENCES), features, theta).collect()}
     assert set(got) == set(want) and all(abs(got[t]["log_lik"] - x) < 1e-9 and got[t]["n_edges"] == 3 for t, x in want.items())
+
+
+def test_edges_count_once(spark):
+    """An edge that came twice was counted four times, as its likelihood was joined back by its name."""
+    edges = spark.createDataFrame([(1, 0, 1), (1, 0, 2)], EDGES)
+    sequences = spark.createDataFrame([(1, 0, "acgtacgtacgt"), (1, 1, "acgtaagtacgt"), (1, 2, "acgtacgtacgt")], SEQUENCES)
+    features, theta = FeatureSet([MotifFeatures(3, 1)]), np.zeros((64, 1))
+    want = [tuple(r) for r in trees.tree_likelihoods(edges, sequences, features, theta).collect()]
+    assert want[0][:3] == (1, 2, 1)
+    assert [tuple(r) for r in trees.tree_likelihoods(edges.unionByName(edges), sequences, features, theta).collect()] == want
+
+
+def test_imputed_pairs_are_the_pairs_along_edges(spark):
+    """Trees of unknown bases and of uneven lengths, without a join of the sequences."""
+    rng = np.random.default_rng(4)
+    made = {key: random_tree(rng, key) for key in range(20)}
+    made[3][1][max(made[3][1])] = "ac"
+    edges = spark.createDataFrame([(t, p, k) for t, (parent, _) in made.items() for k, p in parent.items()], EDGES)
+    sequences = spark.createDataFrame([(t, k, s) for t, (_, own) in made.items() for k, s in own.items()], SEQUENCES)
+    want = trees.edge_pairs(edges, trees.impute_ancestors(edges, sequences)).select("tree", "parent_id", "child_id", "start", "end").collect()
+    got = trees.imputed_pairs(edges.unionByName(edges), sequences)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) == 120
+    assert got.columns == ["tree", "parent_id", "child_id", "start", "end"]
+    assert trees.imputed_pairs(edges.limit(0), sequences.limit(0)).count() == 0
+    ready = lambda clean: sorted(map(str, trees.observed_pairs(got, 1, 1, "child_id", clean=clean).collect()))
+    assert ready(True) == ready(False)
